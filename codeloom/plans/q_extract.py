@@ -1 +1,94 @@
-"""Registered plans."""
+"""E2–E22 extraction plans over the generated corpus, with closed-form oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import extract_python as XP
+from ..operators.tokens import match_brackets, tokenize, with_neighbours
+from ..sources.corpus import code_files, duck_code_cte
+from .registry import register
+
+
+def _tokens(spark, sf_dir, language=None):
+    files = code_files(spark, sf_dir).select("file_path", "language", "content")
+    if language:
+        files = files.where(F.col("language") == language)
+    sig, fm = tokenize(files)
+    return match_brackets(with_neighbours(sig)), fm
+
+
+def python_tables(spark, sf_dir):
+    s, fm = _tokens(spark, sf_dir, "python")
+    p = XP.prepare(s)
+    funcs, classes = XP.functions(p, fm)
+    return funcs, classes, XP.class_methods(funcs, classes), XP.imports(p, fm)
+
+
+def _W(lang_mod):
+    return f"WITH {duck_code_cte()}, src AS (SELECT *, CAST(id AS VARCHAR) AS sid FROM code WHERE id % 3 = {lang_mod}) "
+
+
+I = "CAST({} AS INTEGER)"
+
+
+@register("py_functions", _W(0) + """
+SELECT file_path, 'run_' || sid AS name, 4 AS start_line, 4 AS start_column, 4 AS end_line,
+  CAST(4 + length('run_' || sid) AS INTEGER) AS end_column, k + 2 AS complexity, 'a' AS parameters,
+  CAST(43 + 28 * k AS INTEGER) AS body_len FROM src
+UNION ALL
+SELECT file_path, 'm_' || sid, 9 + 2 * k, 8, 9 + 2 * k, CAST(8 + length('m_' || sid) AS INTEGER), 2, 'self,v',
+  43 FROM src""")
+def py_functions(spark, sf_dir):
+    """E4 (+E3 complexity, E2 positions): every ``def`` with name position."""
+    f = python_tables(spark, sf_dir)[0]
+    return f.select("file_path", "name", "start_line", "start_column", "end_line", "end_column", "complexity",
+                    F.array_join("parameters", ",").alias("parameters"), F.length("body_text").alias("body_len"))
+
+
+@register("py_parameters", _W(0) + """
+SELECT file_path, 'run_' || sid AS function, 0 AS pos, 'a' AS parameter FROM src
+UNION ALL SELECT file_path, 'm_' || sid, 0, 'self' FROM src
+UNION ALL SELECT file_path, 'm_' || sid, 1, 'v' FROM src""")
+def py_parameters(spark, sf_dir):
+    """E5: bare and annotated names only (defaults, *args, **kwargs dropped)."""
+    f = python_tables(spark, sf_dir)[0]
+    return f.select("file_path", F.col("name").alias("function"), F.posexplode("parameters").alias("pos", "parameter"))
+
+
+@register("py_classes", _W(0) + """
+SELECT file_path, 'K' || sid AS name, 8 + 2 * k AS start_line, 6 AS start_column, 8 + 2 * k AS end_line,
+  CAST(6 + length('K' || sid) AS INTEGER) AS end_column, 2 AS complexity, 'm_' || sid AS methods,
+  CAST(68 + length(sid) AS INTEGER) AS body_len FROM src""")
+def py_classes(spark, sf_dir):
+    """Classes with whole-class complexity and their direct methods."""
+    _, c, m, _ = python_tables(spark, sf_dir)
+    ms = m.groupBy("file_path", "class_idx").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]), ",")
+        .alias("methods"))
+    j = c.join(ms, (c.file_path == ms.file_path) & (c.idx == ms.class_idx), "left").drop(ms.file_path)
+    return j.select("file_path", "name", "start_line", "start_column", "end_line", "end_column", "complexity",
+                    F.coalesce("methods", F.lit("")).alias("methods"), F.length("body_text").alias("body_len"))
+
+
+@register("py_methods", _W(0) + """
+SELECT file_path, 'K' || sid AS class_name, 'm_' || sid AS name, 9 + 2 * k AS start_line, 4 AS start_column,
+  12 + 2 * k AS end_line, 16 AS end_column, 2 AS complexity, 'self,v' AS parameters,
+  CAST(68 + length(sid) AS INTEGER) AS body_len FROM src""")
+def py_methods(spark, sf_dir):
+    """Direct, undecorated defs of a class; whole-definition position/body."""
+    m = python_tables(spark, sf_dir)[2]
+    return m.select("file_path", "class_name", "name", "start_line", "start_column", "end_line", "end_column",
+                    "complexity", F.array_join("parameters", ",").alias("parameters"),
+                    F.length("body_text").alias("body_len"))
+
+
+@register("py_imports", _W(0) + """
+SELECT file_path, 'os' AS text, 0 AS start_line, 7 AS start_column, 0 AS end_line, 9 AS end_column,
+  'import' AS type FROM src
+UNION ALL SELECT file_path, 'typing', 1, 5, 1, 11, 'import_from' FROM src
+UNION ALL SELECT file_path, 'List', 1, 19, 1, 23, 'import_from' FROM src""")
+def py_imports(spark, sf_dir):
+    """One row per dotted name; plain imports vs from-imports."""
+    i = python_tables(spark, sf_dir)[3]
+    return i.select("file_path", "text", "start_line", "start_column", "end_line", "end_column", "type")
