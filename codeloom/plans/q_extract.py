@@ -92,3 +92,127 @@ def py_imports(spark, sf_dir):
     """One row per dotted name; plain imports vs from-imports."""
     i = python_tables(spark, sf_dir)[3]
     return i.select("file_path", "text", "start_line", "start_column", "end_line", "end_column", "type")
+
+
+from ..operators import extract_go as XG  # noqa: E402
+from ..operators import extract_java as XJ  # noqa: E402
+
+
+def go_tables(spark, sf_dir):
+    s, fm = _tokens(spark, sf_dir, "go")
+    g = XG.prepare(s)
+    return XG.functions(g, fm), XG.structs(g, fm), XG.imports(g), XG.type_declarations(g)
+
+
+def java_tables(spark, sf_dir):
+    s, fm = _tokens(spark, sf_dir, "java")
+    j = XJ.prepare(s)
+    m, c = XJ.methods(j, fm), XJ.classes(j, fm)
+    return m, c, XJ.class_methods(m, c), XJ.imports(j, fm)
+
+
+@register("go_functions", _W(1) + """
+SELECT file_path, 'run' || sid AS name, 5 AS start_line, 5 AS start_column, 5 AS end_line,
+  CAST(5 + length('run' || sid) AS INTEGER) AS end_column, k + 2 AS complexity,
+  'a: int,m: interface{}' AS parameters, CAST(32 + 18 * k AS INTEGER) AS body_len FROM src""")
+def go_functions(spark, sf_dir):
+    """``func name(`` without receiver; E10 parameters rendered ``name: type``."""
+    f = go_tables(spark, sf_dir)[0]
+    return f.select("file_path", "name", "start_line", "start_column", "end_line", "end_column", "complexity",
+                    F.array_join("parameters", ",").alias("parameters"), F.length("body_text").alias("body_len"))
+
+
+@register("go_parameters", _W(1) + """
+SELECT file_path, 'run' || sid AS function, 0 AS pos, 'a: int' AS parameter FROM src
+UNION ALL SELECT file_path, 'run' || sid, 1, 'm: interface{}' FROM src""")
+def go_parameters(spark, sf_dir):
+    """identifier/pointer/array/slice types kept, others ``interface{}``."""
+    f = go_tables(spark, sf_dir)[0]
+    return f.select("file_path", F.col("name").alias("function"), F.posexplode("parameters").alias("pos", "parameter"))
+
+
+@register("go_structs", _W(1) + """
+SELECT file_path, 'T' || sid AS name, 10 + k AS start_line, 5 AS start_column, 10 + k AS end_line,
+  CAST(5 + length('T' || sid) AS INTEGER) AS end_column, 2 AS n_fields,
+  CAST(50 + length('T' || sid) AS INTEGER) AS body_len FROM src""")
+def go_structs(spark, sf_dir):
+    """Struct type specs with name position and type-spec text."""
+    s = go_tables(spark, sf_dir)[1]
+    return s.select("file_path", "name", "start_line", "start_column", "end_line", "end_column",
+                    F.size("fields").alias("n_fields"), F.length("body_text").alias("body_len"))
+
+
+@register("go_struct_fields", _W(1) + """
+SELECT file_path, 'T' || sid AS struct_name, 0 AS pos, 'Value' AS name, 'int' AS type, NULL AS tag FROM src
+UNION ALL SELECT file_path, 'T' || sid, 1, 'Name', '*string', '`json:"name"`' FROM src""")
+def go_struct_fields(spark, sf_dir):
+    """(name, type, raw-string tag) per field."""
+    s = go_tables(spark, sf_dir)[1]
+    return s.select("file_path", F.col("name").alias("struct_name"), F.posexplode("fields").alias("pos", "f")) \
+            .select("file_path", "struct_name", "pos", "f.name", "f.type", "f.tag")
+
+
+@register("go_imports", _W(1) + """
+SELECT file_path, 'import "fmt"' AS text, 2 AS start_line, 7 AS start_column, 2 AS end_line, 12 AS end_column,
+  'regular' AS type FROM src""")
+def go_imports(spark, sf_dir):
+    """Single and grouped imports, named when aliased."""
+    i = go_tables(spark, sf_dir)[2]
+    return i.select("file_path", "text", "start_line", "start_column", "end_line", "end_column", "type")
+
+
+@register("java_methods", _W(2) + """
+SELECT file_path, 'run' || sid AS name, 9 AS start_line, 15 AS start_column, 9 AS end_line,
+  CAST(15 + length('run' || sid) AS INTEGER) AS end_column, k + 2 AS complexity,
+  'a: Object,b: List<String>' AS parameters, CAST(61 + 28 * k AS INTEGER) AS body_len FROM src""")
+def java_methods(spark, sf_dir):
+    """Method declarations with a body (no constructors, no abstract)."""
+    m = java_tables(spark, sf_dir)[0]
+    return m.select("file_path", "name", "start_line", "start_column", "end_line", "end_column", "complexity",
+                    F.array_join("parameters", ",").alias("parameters"), F.length("body_text").alias("body_len"))
+
+
+@register("java_parameters", _W(2) + """
+SELECT file_path, 'run' || sid AS function, 0 AS pos, 'a: Object' AS parameter FROM src
+UNION ALL SELECT file_path, 'run' || sid, 1, 'b: List<String>' FROM src""")
+def java_parameters(spark, sf_dir):
+    """identifier/array/generic types kept, primitives and scoped as Object."""
+    m = java_tables(spark, sf_dir)[0]
+    return m.select("file_path", F.col("name").alias("function"), F.posexplode("parameters").alias("pos", "parameter"))
+
+
+@register("java_classes", _W(2) + """
+SELECT file_path, 'C' || sid AS name, 7 AS start_line, 13 AS start_column, 7 AS end_line,
+  CAST(13 + length('C' || sid) AS INTEGER) AS end_column, k + 2 AS complexity, 'run' || sid AS methods,
+  CAST(125 + length(sid) + 28 * k AS INTEGER) AS body_len FROM src""")
+def java_classes(spark, sf_dir):
+    """Classes with whole-class complexity and direct methods."""
+    _, c, cm, _ = java_tables(spark, sf_dir)
+    ms = cm.groupBy("file_path", "class_idx").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]), ",")
+        .alias("methods"))
+    j = c.join(ms, (c.file_path == ms.file_path) & (c.idx == ms.class_idx), "left").drop(ms.file_path)
+    return j.select("file_path", "name", "start_line", "start_column", "end_line", "end_column", "complexity",
+                    F.coalesce("methods", F.lit("")).alias("methods"), F.length("body_text").alias("body_len"))
+
+
+@register("java_class_methods", _W(2) + """
+SELECT file_path, 'C' || sid AS class_name, 'run' || sid AS name, 9 AS start_line, 4 AS start_column,
+  12 + k AS end_line, 5 AS end_column, k + 2 AS complexity, 'a: Object,b: List<String>' AS parameters,
+  CAST(99 + length(sid) + 28 * k AS INTEGER) AS body_len FROM src""")
+def java_class_methods(spark, sf_dir):
+    """Direct methods; position and text of the whole declaration."""
+    cm = java_tables(spark, sf_dir)[2]
+    return cm.select("file_path", "class_name", "name", "start_line", "start_column", "end_line", "end_column",
+                     "complexity", F.array_join("parameters", ",").alias("parameters"),
+                     F.length("body_text").alias("body_len"))
+
+
+@register("java_imports", _W(2) + """
+SELECT file_path, 'import java.util.List;' AS text, 1 AS start_line, 7 AS start_column, 1 AS end_line,
+  21 AS end_column, 'regular' AS type FROM src
+UNION ALL SELECT file_path, 'import java.lang.Math.abs;', 2, 14, 2, 32, 'regular' FROM src""")
+def java_imports(spark, sf_dir):
+    """``import [static] a.b.c;`` rebuilt as ``import a.b.c;``, type regular."""
+    i = java_tables(spark, sf_dir)[3]
+    return i.select("file_path", "text", "start_line", "start_column", "end_line", "end_column", "type")
