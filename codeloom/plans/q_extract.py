@@ -216,3 +216,144 @@ def java_imports(spark, sf_dir):
     """``import [static] a.b.c;`` rebuilt as ``import a.b.c;``, type regular."""
     i = java_tables(spark, sf_dir)[3]
     return i.select("file_path", "text", "start_line", "start_column", "end_line", "end_column", "type")
+
+
+from ..operators import analysis as AN  # noqa: E402
+from ..operators import java_regex as JR  # noqa: E402
+
+
+def code_analysis(spark, sf_dir):
+    """The analysis table of the generated corpus (+ created_at for searches)."""
+    files = code_files(spark, sf_dir)
+    rec = AN.analyse(files.select("file_path", "language", "content"))
+    return rec.join(files.select("file_path", "created_at"), "file_path")
+
+
+AVG = ("CASE id % 3 WHEN 0 THEN (k + 6) / 3.0 WHEN 1 THEN (k + 3) / 2.0 ELSE CAST(k + 2 AS DOUBLE) END")
+NFUN = "CASE id % 3 WHEN 0 THEN 2 ELSE 1 END"
+NCLS = "CASE id % 3 WHEN 1 THEN 0 ELSE 1 END"
+NIMP = "CASE id % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END"
+FNAMES = "CASE id % 3 WHEN 0 THEN 'run_' || sid || ',m_' || sid ELSE 'run' || sid END"
+CNAMES = "CASE id % 3 WHEN 0 THEN 'K' || sid WHEN 1 THEN '' ELSE 'C' || sid END"
+WALL = f"WITH {duck_code_cte()}, src AS (SELECT *, CAST(id AS VARCHAR) AS sid FROM code) "
+
+
+@register("analysis_record", WALL + f"""
+SELECT file_path, language, {NFUN} AS n_functions, {NCLS} AS n_classes,
+  CASE id % 3 WHEN 1 THEN 1 ELSE 0 END AS n_structs, {NIMP} AS n_imports,
+  {FNAMES} AS function_names, {CNAMES} AS class_names,
+  CASE id % 3 WHEN 2 THEN 'tree-sitter' END AS parser_used, false AS has_errors FROM src""")
+def analysis_record(spark, sf_dir):
+    """The nested per-file record, checked by array sizes and names."""
+    a = code_analysis(spark, sf_dir)
+    names = lambda c: F.array_join(F.transform(c, lambda x: x["name"]), ",")
+    return a.select("file_path", "language", F.size("functions").alias("n_functions"),
+                    F.size("classes").alias("n_classes"), F.size("structs").alias("n_structs"),
+                    F.size("imports").alias("n_imports"), names("functions").alias("function_names"),
+                    names("classes").alias("class_names"), "parser_used", "has_errors")
+
+
+@register("avg_complexity", WALL + f"SELECT file_path, round({AVG}, 6) AS average_complexity FROM src")
+def avg_complexity(spark, sf_dir):
+    """M6: mean complexity over function and class (Go: type) definitions."""
+    a = code_analysis(spark, sf_dir)
+    return a.select("file_path", F.round("metrics.average_complexity", 6).alias("average_complexity"))
+
+
+@register("repo_summary", WALL + f"""
+SELECT count(*) AS total_files, sum({NFUN}) AS total_functions, sum({NCLS}) AS total_classes,
+  sum({NIMP}) AS total_imports FROM src""")
+def repo_summary(spark, sf_dir):
+    """A1: repository summary counters."""
+    return AN.summary(code_analysis(spark, sf_dir))
+
+
+@register("repo_summary_by_language", WALL + f"""
+SELECT language, count(*) AS total_files, sum({NFUN}) AS total_functions, sum({NCLS}) AS total_classes,
+  sum({NIMP}) AS total_imports FROM src GROUP BY language""")
+def repo_summary_by_language(spark, sf_dir):
+    """A1 per language (the flagship query of ``entry``)."""
+    return AN.summary(code_analysis(spark, sf_dir), by_language=True)
+
+
+@register("function_positions", WALL + """
+SELECT file_path, name, start_line, start_column, end_line, end_column FROM (
+  SELECT file_path, 'run_' || sid AS name, 4 AS start_line, 4 AS start_column, 4 AS end_line,
+    CAST(4 + length('run_' || sid) AS INTEGER) AS end_column FROM src WHERE id % 3 = 0
+  UNION ALL SELECT file_path, 'm_' || sid, 9 + 2 * k, 8, 9 + 2 * k, CAST(8 + length('m_' || sid) AS INTEGER)
+    FROM src WHERE id % 3 = 0
+  UNION ALL SELECT file_path, 'run' || sid, 5, 5, 5, CAST(5 + length('run' || sid) AS INTEGER) FROM src WHERE id % 3 = 1
+  UNION ALL SELECT file_path, 'run' || sid, 9, 15, 9, CAST(15 + length('run' || sid) AS INTEGER) FROM src
+    WHERE id % 3 = 2) t""")
+def function_positions(spark, sf_dir):
+    """0-based line / byte-column spans of every function name."""
+    a = code_analysis(spark, sf_dir)
+    f = a.select("file_path", F.explode("functions").alias("f"))
+    return f.select("file_path", "f.name", "f.position.*")
+
+
+@register("function_complexity", WALL + """
+SELECT file_path, language, name, complexity FROM (
+  SELECT file_path, language, 'run_' || sid AS name, k + 2 AS complexity FROM src WHERE id % 3 = 0
+  UNION ALL SELECT file_path, language, 'm_' || sid, 2 FROM src WHERE id % 3 = 0
+  UNION ALL SELECT file_path, language, 'run' || sid, k + 2 FROM src WHERE id % 3 <> 0) t""")
+def function_complexity(spark, sf_dir):
+    """1 + decision keywords in the span (strings and comments excluded)."""
+    a = code_analysis(spark, sf_dir)
+    return a.select("file_path", "language", F.explode("functions").alias("f")) \
+            .select("file_path", "language", "f.name", "f.complexity")
+
+
+def _java_files(spark, sf_dir):
+    return code_files(spark, sf_dir).where(F.col("language") == "java").select("file_path", "language", "content")
+
+
+@register("java_methods_regex", _W(2) + """
+SELECT file_path, 'run' || sid AS name, 9 AS start_line, 0 AS start_column, 9 AS end_line,
+  CAST(43 + length(sid) AS INTEGER) AS end_column, 1 AS complexity FROM src""")
+def java_methods_regex(spark, sf_dir):
+    """The line-pattern method finder (fallback path) over every Java file."""
+    return JR.methods(_java_files(spark, sf_dir))
+
+
+@register("java_classes_regex", _W(2) + """
+SELECT file_path, 'C' || sid AS name, 7 AS start_line, 0 AS start_column, 7 AS end_line,
+  CAST(16 + length(sid) AS INTEGER) AS end_column, 1 AS complexity FROM src""")
+def java_classes_regex(spark, sf_dir):
+    """The line-pattern class finder."""
+    return JR.classes(_java_files(spark, sf_dir))
+
+
+@register("java_imports_regex", _W(2) + """
+SELECT file_path, 'import java.util.List;' AS text, 1 AS start_line, 0 AS start_column, 1 AS end_line,
+  22 AS end_column, 'regular' AS type FROM src
+UNION ALL SELECT file_path, 'import static java.lang.Math.abs;', 2, 0, 2, 33, 'static' FROM src""")
+def java_imports_regex(spark, sf_dir):
+    """Raw import lines, static vs regular."""
+    return JR.imports(_java_files(spark, sf_dir))
+
+
+@register("java_metrics_regex", _W(2) + """
+SELECT file_path, CAST(15 + k AS INTEGER) AS total_lines, CAST(9 + k AS INTEGER) AS code_lines,
+  4 AS comment_lines, 2 AS blank_lines, CAST(1.0 AS DOUBLE) AS average_complexity FROM src""")
+def java_metrics_regex(spark, sf_dir):
+    """M5: line counts with the block-comment state machine."""
+    return JR.metrics(_java_files(spark, sf_dir))
+
+
+@register("java_fallback", _W(2) + """
+SELECT file_path, 'tree-sitter' AS parser_used, 1 AS n_functions, 1 AS n_classes, 2 AS n_imports,
+  2 AS comment_lines, CAST(11 + k AS INTEGER) AS code_lines, round(CAST(k + 2 AS DOUBLE), 6) AS average_complexity
+FROM src
+UNION ALL SELECT file_path || '.broken', 'regex', 1, 1, 2, 4, CAST(8 + k AS INTEGER), 1.0 FROM src""")
+def java_fallback(spark, sf_dir):
+    """Balanced files take the structural path; a copy with its final
+    closing brace removed is routed to the line-pattern fallback."""
+    jf = _java_files(spark, sf_dir)
+    broken = jf.select(F.concat("file_path", F.lit(".broken")).alias("file_path"), "language",
+                       F.regexp_replace("content", "\\}\\n$", "").alias("content"))
+    a = AN.analyse(jf.unionByName(broken))
+    return a.select("file_path", "parser_used", F.size("functions").alias("n_functions"),
+                    F.size("classes").alias("n_classes"), F.size("imports").alias("n_imports"),
+                    "metrics.comment_lines", "metrics.code_lines",
+                    F.round("metrics.average_complexity", 6).alias("average_complexity"))
