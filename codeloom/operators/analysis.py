@@ -64,7 +64,6 @@ def _avg(parts: list[DataFrame]) -> DataFrame:
 def analyse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """files(file_path, language, content) → analysis records (schema ANALYSIS)."""
     sig, fm = tokenize(files.select("file_path", "language", "content"), num_partitions)
-    fm = materialize(fm)
     s = materialize(match_brackets(with_neighbours(sig)))
 
     p = materialize(XP.prepare(s))

@@ -90,10 +90,15 @@ def tokenize(files: DataFrame, num_partitions: int | None = None) -> tuple[DataF
     ``sig`` holds the significant tokens (words, strings, punctuation) with
     positions, depths and decision counts; ``files_masked`` adds the masked
     content.  Both stay hash-partitioned by ``file_path``."""
-    parts = [num_partitions] if num_partitions else []
-    f = (files.repartition(*parts, "file_path")
+    # An explicit count: AQE must not coalesce this exchange into a handful of
+    # tasks, because the per-file windows after it are CPU-bound.
+    n = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    f = (files.repartition(n, "file_path")
               .withColumn("__toks", token_array(F.col("content"), F.col("language")))
               .withColumn("masked", masked_content(F.col("__toks"), F.col("language"))))
+    # Tokenise once: the token stream and the masked text feed several consumers.
+    from ..session import materialize
+    f = materialize(f)
     tok = f.select("file_path", "language", F.posexplode("__toks").alias("idx", "text"))
     nls = F.length("text") - F.length(F.regexp_replace("text", "\n", ""))
     tok = tok.select("*", kind_of(F.col("text"), F.col("language")).alias("kind"),

@@ -1 +1,193 @@
-"""Registered plans."""
+"""P4, P5, P7–P10, V1, L3, L4 over the stored analysis table of the corpus."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import text_representation
+from ..operators import alerts as A
+from ..operators import search as S
+from ..operators import vectors as V
+from ..session import scratch_path
+from ..sources.alerts_src import alerts
+from ..sources.corpus import duck_code_cte
+from ..sources.tables import read_table
+from .q_extract import AVG, NFUN, NIMP, code_analysis
+from .registry import register
+
+_TABLES: dict = {}
+
+
+def analysis_table(spark, sf_dir):
+    """The analysis table, written once per application and dataset to the shared
+    checkpoint folder and read back (searches then scan Parquet, with pushdown)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        path = scratch_path(spark, "analysis_current")
+        code_analysis(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _TABLES[key] = path
+    return spark.read.parquet(_TABLES[key])
+
+
+WALL = f"WITH {duck_code_cte()}, src AS (SELECT *, CAST(id AS VARCHAR) AS sid, {AVG} AS avg_c FROM code) "
+TL = "CAST(CASE id % 3 WHEN 0 THEN 14 + 2 * k WHEN 1 THEN 17 + k ELSE 15 + k END AS INTEGER)"
+
+
+def _flat(df):
+    return df.select("file_path", "language", F.size("functions").alias("n_functions"),
+                     F.size("imports").alias("n_imports"), F.col("metrics.total_lines").alias("total_lines"),
+                     F.round("metrics.average_complexity", 6).alias("average_complexity"))
+
+
+@register("get_result", WALL + f"""SELECT file_path, language, {NFUN} AS n_functions, {NIMP} AS n_imports,
+  {TL} AS total_lines, round(avg_c, 6) AS average_complexity FROM src WHERE file_path = '/repo/b1/f_1.go'""")
+def get_result(spark, sf_dir):
+    """Point lookup by file path."""
+    return _flat(S.get_result(analysis_table(spark, sf_dir), "/repo/b1/f_1.go"))
+
+
+@register("analysis_result", WALL + f"""SELECT file_path, language, {NFUN} AS n_functions, {NIMP} AS n_imports,
+  {TL} AS total_lines, round(avg_c, 6) AS average_complexity FROM src""")
+def analysis_result(spark, sf_dir):
+    """P10: the response projection of every record."""
+    return _flat(analysis_table(spark, sf_dir))
+
+
+@register("search_results_lang", WALL + """SELECT file_path, language, created_at FROM src
+  WHERE language = 'go' ORDER BY created_at DESC, file_path LIMIT 20""")
+def search_results_lang(spark, sf_dir):
+    """P5: language filter, newest first, limit 20."""
+    r = S.search_results(analysis_table(spark, sf_dir), language="go", limit=20)
+    return r.select("file_path", "language", "created_at")
+
+
+@register("search_results_ilike", WALL + """SELECT file_path, created_at FROM src WHERE file_path ILIKE '%B1_/%'""")
+def search_results_ilike(spark, sf_dir):
+    """P5: ILIKE substring; ``_`` stays a wildcard as in the reference."""
+    r = S.search_results(analysis_table(spark, sf_dir), file_path_pattern="B1_/")
+    return r.select("file_path", "created_at")
+
+
+@register("search_results_range", WALL + """SELECT file_path, round(avg_c, 6) AS average_complexity FROM src
+  WHERE avg_c >= 2.0 AND avg_c <= 3.0""")
+def search_results_range(spark, sf_dir):
+    """P5: complexity band on the nested metrics field (pushed to the scan)."""
+    r = S.search_results(analysis_table(spark, sf_dir), min_complexity=2.0, max_complexity=3.0)
+    return r.select("file_path", F.round("metrics.average_complexity", 6).alias("average_complexity"))
+
+
+@register("search_results_all", WALL + """SELECT file_path, created_at FROM src WHERE language = 'python'
+  AND file_path ILIKE '%b1%' AND avg_c >= 2.0 AND avg_c <= 3.0 ORDER BY created_at DESC, file_path LIMIT 50""")
+def search_results_all(spark, sf_dir):
+    """P5: all filters together with a limit."""
+    r = S.search_results(analysis_table(spark, sf_dir), language="python", file_path_pattern="b1",
+                         min_complexity=2.0, max_complexity=3.0, limit=50)
+    return r.select("file_path", "created_at")
+
+
+@register("search_part_ilike", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RED%'")
+def search_part_ilike(spark, sf_dir):
+    """P5's ILIKE on the driver's part names."""
+    return read_table(spark, sf_dir, "part").where(F.col("p_name").ilike("%RED%")).select("p_partkey", "p_name")
+
+
+@register("complexity_range", WALL + """SELECT file_path, round(avg_c, 6) AS complexity_score FROM src
+  WHERE avg_c BETWEEN 2.0 AND 3.0 ORDER BY avg_c DESC, file_path LIMIT 5""")
+def complexity_range(spark, sf_dir):
+    """Inclusive band, highest first, top 5."""
+    r = S.complexity_range(analysis_table(spark, sf_dir), 2.0, 3.0, 5)
+    return r.select("file_path", F.round("complexity_score", 6).alias("complexity_score"))
+
+
+@register("function_name_search", WALL + """SELECT file_path, name AS matched_function, line AS start_line FROM (
+  SELECT file_path, 'run_' || sid AS name, 4 AS line FROM src WHERE id % 3 = 0
+  UNION ALL SELECT file_path, 'run' || sid, CASE id % 3 WHEN 1 THEN 5 ELSE 9 END FROM src WHERE id % 3 <> 0) t
+  WHERE strpos(lower(name), 'run_1') > 0 ORDER BY file_path, line LIMIT 5""")
+def function_name_search(spark, sf_dir):
+    """Substring (not pattern) match on function names, first 5."""
+    r = S.function_name_search(analysis_table(spark, sf_dir), "RUN_1", 5)
+    return r.select("file_path", F.col("matched_function.name").alias("matched_function"),
+                    F.col("matched_function.position.start_line").alias("start_line"))
+
+
+DIP = ("list_sum(list_transform(range(1, len(e.embedding) + 1), "
+       "lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.qe[i] AS DOUBLE)))")
+
+
+@register("topk_lang_post", f"""WITH q AS (SELECT embedding AS qe FROM embeddings ORDER BY vec_id LIMIT 1),
+s AS (SELECT vec_id, label, {DIP} AS sc FROM embeddings e, q),
+t AS (SELECT vec_id, label, sc, row_number() OVER (ORDER BY sc DESC, vec_id) AS rank FROM s ORDER BY sc DESC, vec_id
+      LIMIT 5)
+SELECT CAST(rank AS INTEGER) AS rank, vec_id AS id, label, round(sc, 6) AS similarity_score FROM t WHERE label = 2""")
+def topk_lang_post(spark, sf_dir):
+    """P7 post mode (faithful): rank first, then filter — may return fewer than k."""
+    emb = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    q = emb.orderBy("id").select("embedding").first()[0]
+    top = V.topk_single(emb, q, 5)
+    return S.language_filter(top, 2, "label").select(
+        "rank", "id", "label", F.round("similarity_score", 6).alias("similarity_score"))
+
+
+@register("topk_lang_pre", f"""WITH q AS (SELECT embedding AS qe FROM embeddings ORDER BY vec_id LIMIT 1),
+s AS (SELECT vec_id, label, {DIP} AS sc FROM embeddings e, q WHERE label = 2)
+SELECT CAST(row_number() OVER (ORDER BY sc DESC, vec_id) AS INTEGER) AS rank, vec_id AS id, label,
+  round(sc, 6) AS similarity_score FROM s ORDER BY sc DESC, vec_id LIMIT 5""")
+def topk_lang_pre(spark, sf_dir):
+    """P7 pre mode: filter (pushed into the scan), then rank — always k rows when possible."""
+    emb = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    q = emb.orderBy("id").select("embedding").first()[0]
+    top = V.topk_single(S.language_filter(emb, 2, "label"), q, 5)
+    return top.select("rank", "id", "label", F.round("similarity_score", 6).alias("similarity_score"))
+
+
+def code_texts(spark, sf_dir):
+    a = analysis_table(spark, sf_dir)
+    return a.select("file_path", "language", text_representation(
+        F.col("file_path"), F.col("language"), F.col("functions"), F.col("classes"), F.col("imports"),
+        F.col("metrics")).alias("text_for_embedding"))
+
+
+@register("text_repr")
+def text_repr(spark, sf_dir):
+    """V1: the embedding text of every analysed file (rows-only check; unit tests
+    hold golden strings)."""
+    return code_texts(spark, sf_dir).select("file_path", "text_for_embedding")
+
+
+def code_vectors(spark, sf_dir, dim=64):
+    t = code_texts(spark, sf_dir)
+    emb = V.hash_embed(t, "file_path", "text_for_embedding", dim)
+    return emb.join(t.select("file_path", "language"), "file_path")
+
+
+def related_code(spark, sf_dir, k=5, dim=64):
+    """L3: top-k related files per alert.  Alert texts repeat a lot, so each
+    distinct text is searched once and the result joined back by text."""
+    al = A.alert_text(alerts(spark, sf_dir))
+    texts = al.select("query_text").distinct().withColumn("qid", F.xxhash64("query_text"))
+    qv = V.hash_embed(texts, "qid", "query_text", dim)
+    vecs = code_vectors(spark, sf_dir, dim).withColumn("vid", F.xxhash64("file_path"))
+    top = V.topk_batch(spark, qv, vecs.select(F.col("vid").alias("id"), "embedding"), k, dim=dim)
+    named = top.join(vecs.select(F.col("vid").alias("id"), "file_path", "language"), "id")
+    per_text = named.join(texts, "qid").select("query_text", "rank", "file_path", "language", "similarity_score")
+    return al, per_text
+
+
+@register("alert_related")
+def alert_related(spark, sf_dir):
+    """L3: (alert, rank, related file) rows — 5 per alert when ≥ 5 files exist."""
+    al, per_text = related_code(spark, sf_dir)
+    return al.select("alert_id", "query_text").join(per_text, "query_text").select(
+        "alert_id", "rank", "file_path", F.round("similarity_score", 6).alias("similarity_score"))
+
+
+@register("alert_result")
+def alert_result(spark, sf_dir):
+    """L4: one row per alert with related code (sorted by rank) and suggestions."""
+    al, per_text = related_code(spark, sf_dir)
+    nested = per_text.groupBy("query_text").agg(F.transform(F.array_sort(F.collect_list(
+        F.struct("rank", "file_path", "language", "similarity_score"))), lambda x: x).alias("related_code"))
+    out = al.join(nested, "query_text", "left")
+    return A.with_suggestions(out).select("alert_id", "alert_type", "alert_message", "severity",
+                                          F.size("related_code").alias("n_related"),
+                                          F.size("suggested_fixes").alias("n_suggestions"))
