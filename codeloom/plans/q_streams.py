@@ -1 +1,16 @@
-"""Registered plans."""
+"""R5 as a registered plan (the batch form of the streaming aggregation)."""
+
+from __future__ import annotations
+
+from ..sources.tables import read_table
+from ..streaming.jobs import rolling_activity
+from .registry import register
+
+
+@register("rolling_24h", """
+SELECT ws AS window_start, ws + INTERVAL 24 HOUR AS window_end, count(*) AS n_events
+FROM (SELECT date_trunc('hour', ts) - to_hours(i) AS ws FROM events, range(0, 24) r(i)) t GROUP BY ws""")
+def rolling_24h(spark, sf_dir):
+    """Sliding 24 h / 1 h event counts (same plan as the streaming job)."""
+    ev = read_table(spark, sf_dir, "events").select("ts")
+    return rolling_activity(ev)
