@@ -26,8 +26,9 @@ def alert_ingest(spark: SparkSession, src_dir: str, schema: StructType, sink: st
                  watermark: str = "24 hours"):
     """R1 + R3.  ``src_dir`` holds raw alert files (schema of ``raw_alerts``)."""
     raw = spark.readStream.schema(schema).parquet(src_dir)
-    out = (normalise(raw).withWatermark("created_at", watermark)
-           .dropDuplicatesWithinWatermark(["alert_id"]))
+    # Watermarks need TIMESTAMP (with zone); the table keeps TIMESTAMP_NTZ.
+    out = (normalise(raw).withColumn("__et", F.col("created_at").cast("timestamp"))
+           .withWatermark("__et", watermark).dropDuplicatesWithinWatermark(["alert_id"]).drop("__et"))
     return (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
                .outputMode("append").trigger(availableNow=True).start())
 
@@ -35,11 +36,12 @@ def alert_ingest(spark: SparkSession, src_dir: str, schema: StructType, sink: st
 def rolling_activity(events: DataFrame, ts: str = "ts", length: str = "24 hours", slide: str = "1 hour",
                      watermark: str = "24 hours") -> DataFrame:
     """R5 (works on a stream or a batch frame)."""
-    w = F.window(ts, length, slide)
-    return (events.withWatermark(ts, watermark).groupBy(w.alias("window"))
-                  .agg(F.count(F.lit(1)).alias("n_events"))
-                  .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                          "n_events"))
+    ev = events.withColumn("__et", F.col(ts).cast("timestamp"))  # event time must be TIMESTAMP
+    w = F.window("__et", length, slide)
+    return (ev.withWatermark("__et", watermark).groupBy(w.alias("window"))
+              .agg(F.count(F.lit(1)).alias("n_events"))
+              .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window.end").cast("timestamp_ntz").alias("window_end"), "n_events"))
 
 
 def rolling_activity_stream(spark: SparkSession, src_dir: str, schema: StructType, sink: str, checkpoint: str):
