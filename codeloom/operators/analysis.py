@@ -17,7 +17,7 @@ from . import extract_go as XG
 from . import extract_java as XJ
 from . import extract_python as XP
 from . import java_regex as JR
-from .tokens import match_brackets, tokenize, with_neighbours
+from .tokens import match_brackets, tokenize, with_context
 
 
 def _pos(prefix: str = "") -> Column:
@@ -64,20 +64,20 @@ def _avg(parts: list[DataFrame]) -> DataFrame:
 def analyse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """files(file_path, language, content) → analysis records (schema ANALYSIS)."""
     sig, fm = tokenize(files.select("file_path", "language", "content"), num_partitions)
-    s = materialize(match_brackets(with_neighbours(sig)))
+    s = materialize(with_context(match_brackets(sig)), "tokens")
 
-    p = materialize(XP.prepare(s))
-    py_f, py_c = XP.functions(p, fm)
-    py_f, py_c = materialize(py_f), materialize(py_c)
+    p = XP.prepare(s)
+    py_f, py_c = XP.split_definitions(materialize(XP.definitions(p, fm), "py_defs"))
     py_m = XP.class_methods(py_f, py_c)
     py_i = XP.imports(p, fm)
 
-    g = materialize(XG.prepare(s))
+    g = XG.prepare(s)
     go_f, go_s, go_i, go_t = XG.functions(g, fm), XG.structs(g, fm), XG.imports(g), XG.type_declarations(g)
 
-    j = materialize(XJ.prepare(s))
+    j = XJ.prepare(s)
     bal = XJ.balanced(s)
-    ja_m, ja_c = materialize(XJ.methods(j, fm)), materialize(XJ.classes(j, fm))
+    ja_m = materialize(XJ.methods(j, fm), "java_methods")
+    ja_c = XJ.classes(j, fm)
     ja_cm = XJ.class_methods(ja_m, ja_c)
     ja_i = XJ.imports(j, fm)
 

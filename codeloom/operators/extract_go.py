@@ -5,26 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import next_of
-
-TOK_FIELDS = ["idx", "text", "line", "bcol", "end_bcol", "char_off", "char_end", "close"]
-
-
-def _tok():
-    return F.struct(*[F.col(c).alias(c) for c in TOK_FIELDS])
-
+from .tokens import next_in_subset
 
 def prepare(s: DataFrame) -> DataFrame:
-    g = s.where(F.col("language") == "go")
-    w = Window.partitionBy("file_path").orderBy("idx")
-    g = g.select("*", F.lead(_tok(), 1).over(w).alias("t1"), F.lead(_tok(), 2).over(w).alias("t2"),
-                 F.lag("kind", 1).over(w).alias("pkind1"),
-                 F.last(F.when((F.col("text") == "(") & (F.col("prv1") == "import"),
-                               F.struct(F.col("idx").alias("o"), F.col("close.idx").alias("c"))), ignorenulls=True)
-                  .over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("imp_grp"))
-    body = (F.col("text") == "{") & ~F.coalesce(F.col("prv1").isin("interface", "struct"), F.lit(False)) \
-        & (F.col("bdepth") == 1)
-    return next_of(g, body, "body", ["idx", "char_off", "close"])
+    """Go rows of the context-enriched token stream (no extra window)."""
+    return s.where(F.col("language") == "go")
 
 
 def type_or_any(t: Column) -> Column:
@@ -43,8 +28,13 @@ def split_params(params_txt: Column) -> Column:
 
 
 def functions(g: DataFrame, files_masked: DataFrame) -> DataFrame:
-    f = g.where((F.col("text") == "func") & (F.col("bdepth") == 0) & (F.col("t1.text").rlike(r"^\w+$"))
-                & (F.col("t2.text") == "(") & F.col("body").isNotNull())
+    header = ((F.col("text") == "func") & (F.col("bdepth") == 0) & (F.col("t1.kind") == "word")
+              & (F.col("t2.text") == "("))
+    # The body is the first top-level '{' after the header that does not belong
+    # to an ``interface{}`` / ``struct{}`` type (subset window).
+    body = ((F.col("text") == "{") & (F.col("bdepth") == 1)
+            & ~F.coalesce(F.col("prv1").isin("interface", "struct"), F.lit(False)))
+    f = next_in_subset(g, header, body, "body", ["idx", "char_off", "close"]).where(F.col("body").isNotNull())
     cplx = (F.lit(1) + F.col("body.close.cum_dec") - (F.col("cum_dec") - F.col("dec"))).cast("int")
     j = f.select("file_path", "idx", "t1", "t2", "body", cplx.alias("complexity")).join(
         files_masked.select("file_path", "content", "masked"), "file_path")

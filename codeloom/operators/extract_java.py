@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import next_of
+from .tokens import next_in_subset
 
 # Java words that cannot be a method's return type right before
 # its name (statement keywords and modifiers); primitive types and void can.
@@ -18,24 +18,9 @@ NOT_TYPE = ["new", "return", "throw", "else", "case", "default", "do", "try", "f
 KEYWORDS = NOT_TYPE + ["void", "int", "long", "short", "byte", "char", "boolean", "float", "double", "var"]
 PRIMITIVES = ["int", "long", "short", "byte", "char", "boolean", "float", "double"]
 
-TOK_FIELDS = ["idx", "text", "line", "bcol", "end_bcol", "char_off", "char_end", "close"]
-
-
-def _tok():
-    return F.struct(*[F.col(c).alias(c) for c in TOK_FIELDS])
-
-
 def prepare(s: DataFrame) -> DataFrame:
-    j = s.where(F.col("language") == "java")
-    w = Window.partitionBy("file_path").orderBy("idx")
-    seg = F.struct(F.col("idx").alias("idx"), F.col("line").alias("line"), F.col("bcol").alias("bcol"),
-                   F.col("char_off").alias("char_off"))
-    j = j.select("*", F.lead(_tok(), 1).over(w).alias("t1"), F.lead(_tok(), 2).over(w).alias("t2"),
-                 F.lag("kind", 1).over(w).alias("pkind1"),
-                 F.last(F.when(F.col("prv1").isNull() | F.col("prv1").isin(";", "{", "}"), seg), ignorenulls=True)
-                  .over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("decl_start"))
-    j = next_of(j, F.col("text").isin("{", ";"), "nb", ["idx", "text", "char_off", "close"])
-    return next_of(j, F.col("text") == ";", "semi", ["idx", "char_off"])
+    """Java rows of the context-enriched token stream (no extra window)."""
+    return s.where(F.col("language") == "java")
 
 
 def _param_list(params_txt: Column) -> Column:
@@ -55,9 +40,12 @@ def _param_list(params_txt: Column) -> Column:
 
 def methods(j: DataFrame, files_masked: DataFrame) -> DataFrame:
     prv_ok = ((F.col("pkind1") == "word") & ~F.col("prv1").isin(*NOT_TYPE)) | F.col("prv1").isin(">", "]")
-    m = j.where((F.col("kind") == "word") & ~F.col("text").isin(*KEYWORDS) & (F.col("t1.text") == "(")
-                & prv_ok & F.col("t1.close").isNotNull() & (F.col("nb.text") == "{")
-                & (F.col("nb.idx") > F.col("t1.close.idx")) & F.col("nb.close").isNotNull())
+    cand = ((F.col("kind") == "word") & ~F.col("text").isin(*KEYWORDS) & (F.col("t1.text") == "(")
+            & prv_ok & F.col("t1.close").isNotNull())
+    # A declaration has a body when the next '{' / ';' after its name is a '{'.
+    m = next_in_subset(j, cand, (F.col("kind") == "punct") & F.col("text").isin("{", ";"), "nb",
+                       ["idx", "text", "char_off", "close"])
+    m = m.where((F.col("nb.text") == "{") & (F.col("nb.idx") > F.col("t1.close.idx")) & F.col("nb.close").isNotNull())
     cplx = (F.lit(1) + F.col("nb.close.cum_dec") - (F.col("cum_dec") - F.col("dec"))).cast("int")
     jj = m.select("file_path", "idx", "text", "line", "bcol", "end_bcol", "bdepth", "t1", "nb", "decl_start",
                   cplx.alias("complexity")).join(files_masked.select("file_path", "content", "masked"), "file_path")
@@ -77,12 +65,10 @@ def methods(j: DataFrame, files_masked: DataFrame) -> DataFrame:
 
 
 def classes(j: DataFrame, files_masked: DataFrame) -> DataFrame:
-    c = j.where((F.col("text") == "class") & (F.col("kind") == "word")
-                & ~F.coalesce(F.col("prv1") == ".", F.lit(False)) & (F.col("t1.text").rlike(r"^\w+$")))
-    c = next_of(j, F.col("text") == "{", "brace", ["idx", "char_off", "bdepth", "close"]).where(
-        (F.col("text") == "class") & (F.col("kind") == "word")
-        & ~F.coalesce(F.col("prv1") == ".", F.lit(False)) & (F.col("t1.text").rlike(r"^\w+$"))
-        & F.col("brace.close").isNotNull())
+    is_cls = ((F.col("text") == "class") & (F.col("kind") == "word")
+              & ~F.coalesce(F.col("prv1") == ".", F.lit(False)) & (F.col("t1.kind") == "word"))
+    c = next_in_subset(j, is_cls, (F.col("kind") == "punct") & (F.col("text") == "{"), "brace",
+                       ["idx", "char_off", "bdepth", "close"]).where(F.col("brace.close").isNotNull())
     cplx = (F.lit(1) + F.col("brace.close.cum_dec") - (F.col("cum_dec") - F.col("dec"))).cast("int")
     cc = c.select("file_path", "idx", "t1", "brace", cplx.alias("complexity")).join(
         files_masked.select("file_path", "content"), "file_path")
@@ -113,7 +99,9 @@ def class_methods(meths: DataFrame, classes_df: DataFrame) -> DataFrame:
 
 
 def imports(j: DataFrame, files_masked: DataFrame) -> DataFrame:
-    im = j.where((F.col("text") == "import") & (F.col("bdepth") == 0) & F.col("semi").isNotNull())
+    is_imp = (F.col("text") == "import") & (F.col("kind") == "word") & (F.col("bdepth") == 0)
+    im = next_in_subset(j, is_imp, (F.col("kind") == "punct") & (F.col("text") == ";"), "semi",
+                        ["idx", "char_off"]).where(F.col("semi").isNotNull())
     start = F.when(F.col("t1.text") == "static", F.col("t2")).otherwise(F.col("t1"))
     jj = im.select("file_path", "idx", start.alias("st"), "semi").join(
         files_masked.select("file_path", "masked"), "file_path")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import next_of
+from .tokens import next_in_subset
 
 END_FIELDS = ["char_end", "end_line", "end_bcol", "cum_dec"]
 
@@ -23,25 +23,8 @@ def _end_struct(prefix: str = "") -> F.Column:
 
 
 def prepare(s: DataFrame) -> DataFrame:
-    """Python rows with the header / block bookkeeping columns."""
-    p = s.where(F.col("language") == "python")
-    w = Window.partitionBy("file_path").orderBy("idx")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tok = F.struct(F.col("idx").alias("idx"), F.col("text").alias("text"), F.col("line").alias("line"),
-                   F.col("bcol").alias("bcol"), F.col("end_bcol").alias("end_bcol"),
-                   F.col("char_off").alias("char_off"), F.col("char_end").alias("char_end"),
-                   F.col("close").alias("close"))
-    p = p.select("*",
-                 F.lag(_end_struct()).over(w).alias("prev_end"),
-                 F.last(_end_struct()).over(whole).alias("file_end"),
-                 F.lead(tok, 1).over(w).alias("t1"), F.lead(tok, 2).over(w).alias("t2"),
-                 F.lead(tok, 3).over(w).alias("t3"),
-                 F.lead("char_off", 1).over(w).alias("nxt_off"),
-                 F.last(F.when(F.col("ll_start"), F.col("text")), ignorenulls=True)
-                  .over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("stmt"))
-    # Block start = token after the first bracket-depth-0 ':' following the header.
-    colon = (F.col("text") == ":") & (F.col("adepth") == 0)
-    return next_of(p, colon, "colon", ["idx", "nxt_off"])
+    """Python rows of the context-enriched token stream (no extra window)."""
+    return s.where(F.col("language") == "python")
 
 
 def headers(p: DataFrame) -> DataFrame:
@@ -60,7 +43,12 @@ def headers(p: DataFrame) -> DataFrame:
                     .over(wl.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("levels"))
     closers = ll.select("file_path", "idx", F.explode(F.filter("levels", lambda v: v >= F.col("indent"))).alias("lvl"),
                         F.lit(0).alias("is_hdr"), "prev_end")
-    hdrs = ll.where(F.col("htype").isNotNull())
+    # Block start = token after the first bracket-depth-0 ':' following the
+    # header: a subset window over headers and depth-0 colons only.
+    colon = (F.col("text") == ":") & (F.col("adepth") == 0)
+    hc = next_in_subset(p.withColumn("nxt_off", F.col("t1.char_off")),
+                        F.col("ll_start") & (is_def | is_cls), colon, "colon", ["idx", "nxt_off"])
+    hdrs = ll.where(F.col("htype").isNotNull()).join(hc.select("file_path", "idx", "colon"), ["file_path", "idx"])
     u = closers.unionByName(hdrs.select("file_path", "idx", F.col("indent").alias("lvl"), F.lit(1).alias("is_hdr"),
                                         F.lit(None).cast(closers.schema["prev_end"].dataType).alias("prev_end")))
     wu = (Window.partitionBy("file_path", "lvl").orderBy(F.col("idx").desc(), F.col("is_hdr").desc())
@@ -75,6 +63,16 @@ def headers(p: DataFrame) -> DataFrame:
 
 def functions(p: DataFrame, files_masked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All ``def``s (top level, nested, methods) and all classes, flat rows."""
+    return split_definitions(definitions(p, files_masked))
+
+
+def split_definitions(out: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return out.where(F.col("htype") == "def").drop("htype"), out.where(F.col("htype") == "class").drop("htype")
+
+
+def definitions(p: DataFrame, files_masked: DataFrame) -> DataFrame:
+    """``def`` and ``class`` headers with names, spans, parameters and texts
+    (``htype`` tells them apart)."""
     h, ll = headers(p)
     is_async = F.col("text") == "async"
     name = F.when(is_async, F.col("t2")).otherwise(F.col("t1"))
@@ -107,7 +105,7 @@ def functions(p: DataFrame, files_masked: DataFrame) -> tuple[DataFrame, DataFra
         F.col("blk_end.char_end").alias("blk_end_off"),
         F.coalesce(params, F.array().cast("array<string>")).alias("parameters"),
         "complexity", body.alias("body_text"), whole.alias("def_text"))
-    return out.where(F.col("htype") == "def").drop("htype"), out.where(F.col("htype") == "class").drop("htype")
+    return out
 
 
 def class_methods(funcs: DataFrame, classes: DataFrame) -> DataFrame:

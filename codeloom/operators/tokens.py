@@ -1,8 +1,11 @@
 """Files → token rows with positions, nesting depths and decision counts.
 
 * X0 tokenise: one linear regex per language (possessive / unrolled loops only,
-  last alternative ``[\\s\\S]`` so every character lands in a token);
-  strings and comments are single tokens, so keywords inside them never count.
+  last alternative ``[\\s\\S]`` so every character lands somewhere).  Each
+  match is ``(trivia)(token)``: whitespace, newlines and comments are folded
+  into the significant token after them, so there is one row per word, string
+  or punctuation mark; strings are single tokens and comments never become
+  tokens, so keywords inside them never count.
 * X1 positions: running sums over ``(file_path ORDER BY idx)`` give the char
   offset, byte offset, 0-based line and byte column of every token.
 * X2 nesting: running ``{``/``(``/all-bracket depths; the matching close of an
@@ -35,17 +38,19 @@ _DQ = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"?'
 _SQ = r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'?"
 _BLOCK = r"/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
 
+# Trivia (whitespace, newlines, comments, Python line continuations) is folded
+# into the token that follows it: one row per significant token.
+TRIVIA_RE = {
+    "python": r"(?:[ \t\f\r\n]++|\\\r?\n|#[^\n]*+)*+",
+    "go": r"(?:[ \t\f\r\n]++|//[^\n]*+|" + _BLOCK + r")*+",
+    "java": r"(?:[ \t\f\r\n]++|//[^\n]*+|" + _BLOCK + r")*+",
+}
 TOKEN_RE = {
-    "python": ("(?:[rRbBuUfF]{1,2})?(?:" + _SQ_PY3 + "|" + _DQ_PY3 + "|" + _SQ + "|" + _DQ + ")"
-               + r"|#[^\n]*+|\\\r?\n|\r?\n|[ \t\f\r]++|\w++|[\s\S]"),
-    "go": (r"//[^\n]*+|" + _BLOCK + r"|`[^`]*+`?|" + _DQ + "|" + _SQ
-           + r"|\r?\n|[ \t\f\r]++|\w++|[\s\S]"),
-    "java": (r"//[^\n]*+|" + _BLOCK + "|" + _DQ_PY3 + "|" + _DQ + "|" + _SQ
-             + r"|\r?\n|[ \t\f\r]++|\w++|[\s\S]"),
+    "python": "(?:[rRbBuUfF]{1,2})?(?:" + _SQ_PY3 + "|" + _DQ_PY3 + "|" + _SQ + "|" + _DQ + r")|(?U:\w++)|[\s\S]",
+    "go": r"`[^`]*+`?|" + _DQ + "|" + _SQ + r"|(?U:\w++)|[\s\S]",
+    "java": _DQ_PY3 + "|" + _DQ + "|" + _SQ + r"|(?U:\w++)|[\s\S]",
 }
-
-# Line-comment and block-comment markers per language.
-COMMENT_START = {"python": ("#",), "go": ("//", "/*"), "java": ("//", "/*")}
+PIECE_RE = {lang: f"({TRIVIA_RE[lang]})({TOKEN_RE[lang]})" for lang in TOKEN_RE}
 
 
 def _by_language(language: Column, values: dict, wrap=lambda v: F.lit(v)) -> Column:
@@ -55,111 +60,164 @@ def _by_language(language: Column, values: dict, wrap=lambda v: F.lit(v)) -> Col
     return expr
 
 
-def token_array(content: Column, language: Column) -> Column:
+def _pieces(content: Column, language: Column, group: int) -> Column:
     expr = None
-    for lang, rx in TOKEN_RE.items():
-        t = F.regexp_extract_all(content, F.lit(rx), 0)
+    for lang, rx in PIECE_RE.items():
+        t = F.regexp_extract_all(content, F.lit(rx), group)
         expr = F.when(language == lang, t) if expr is None else expr.when(language == lang, t)
     return expr
 
 
-def is_comment(tok: Column, language: Column) -> Column:
-    py = tok.startswith("#")
-    c = tok.startswith("//") | (tok.startswith("/*") & (F.length(tok) >= 4) & tok.endswith("*/"))
-    return F.when(language == "python", py).otherwise(c)
+def token_array(content: Column, language: Column) -> Column:
+    """Significant tokens of a file (trivia dropped), in order."""
+    return _pieces(content, language, 2)
 
 
-def masked_content(toks: Column, language: Column) -> Column:
-    """Content with comments blanked (same length, same newlines)."""
-    return F.array_join(F.transform(toks, lambda t: F.when(is_comment(t, language),
-                                                           F.regexp_replace(t, "[^\n]", " ")).otherwise(t)), "")
+def masked_content(trivia: Column, toks: Column) -> Column:
+    """Content with trivia (comments, whitespace) blanked to spaces — same
+    length, same newlines — up to the last significant token."""
+    return F.array_join(F.zip_with(trivia, toks, lambda tr, t: F.concat(F.regexp_replace(tr, "[^\n]", " "), t)), "")
 
 
-def kind_of(tok: Column, language: Column) -> Column:
-    return (F.when(tok.rlike(r"^\r?\n$"), "nl")
-             .when(tok.rlike(r"^(?:[ \t\f\r]+|\\\r?\n)$"), "ws")
-             .when(is_comment(tok, language), "com")
-             .when(tok.rlike(r"^(?:[rRbBuUfF]{0,2}['\"]|`)"), "str")
-             .when(tok.rlike(r"^\w"), "word")
+def kind_of(tok: Column) -> Column:
+    """str / word / punct.  Every quote opens a string token, so a token holding
+    a quote (or starting with a backtick) is a string; other multi-char tokens
+    are words."""
+    is_str = (F.instr(tok, "'") > 0) | (F.instr(tok, '"') > 0) | tok.startswith("`")
+    return (F.when(is_str, "str")
+             .when((F.length(tok) > 1) | tok.rlike(r"^(?U:\w)"), "word")
              .otherwise("punct"))
 
 
+def _nl_count(c: Column) -> Column:
+    return F.length(c) - F.length(F.regexp_replace(c, "\n", ""))
+
+
 def tokenize(files: DataFrame, num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Return ``(sig, files_masked)``.
 
-    ``sig`` holds the significant tokens (words, strings, punctuation) with
-    positions, depths and decision counts; ``files_masked`` adds the masked
+    ``sig`` holds one row per significant token (words, strings, punctuation)
+    with positions, depths and decision counts; ``files_masked`` adds the masked
     content.  Both stay hash-partitioned by ``file_path``."""
     # An explicit count: AQE must not coalesce this exchange into a handful of
     # tasks, because the per-file windows after it are CPU-bound.
     n = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     f = (files.repartition(n, "file_path")
-              .withColumn("__toks", token_array(F.col("content"), F.col("language")))
-              .withColumn("masked", masked_content(F.col("__toks"), F.col("language"))))
-    # Tokenise once: the token stream and the masked text feed several consumers.
-    from ..session import materialize
-    f = materialize(f)
-    tok = f.select("file_path", "language", F.posexplode("__toks").alias("idx", "text"))
-    nls = F.length("text") - F.length(F.regexp_replace("text", "\n", ""))
-    tok = tok.select("*", kind_of(F.col("text"), F.col("language")).alias("kind"),
+              .withColumn("__tr", _pieces(F.col("content"), F.col("language"), 1))
+              .withColumn("__tk", _pieces(F.col("content"), F.col("language"), 2))
+              .withColumn("masked", masked_content(F.col("__tr"), F.col("__tk"))))
+    tok = f.select("file_path", "language",
+                   F.posexplode(F.arrays_zip(F.col("__tr").alias("tr"), F.col("__tk").alias("text")))
+                    .alias("idx", "z"))
+    tok = tok.select("file_path", "language", "idx", F.col("z.tr").alias("tr"), F.col("z.text").alias("text"))
+    tr_nls = _nl_count(F.col("tr"))
+    tok = tok.select("*", kind_of(F.col("text")).alias("kind"),
+                     F.length("tr").alias("tlen"), F.octet_length("tr").alias("tblen"),
                      F.length("text").alias("clen"), F.octet_length("text").alias("blen"),
-                     nls.alias("nls"))
+                     tr_nls.alias("tnls"), _nl_count(F.col("text")).alias("nls"),
+                     # a newline in the trivia that is not a line continuation
+                     F.when(F.col("language") == "python",
+                            F.regexp_replace("tr", "#[^\n]*+", "").rlike(r"(?<!\\)\n"))
+                      .otherwise(tr_nls > 0).alias("brk"))
     w = Window.partitionBy("file_path").orderBy("idx")
     inc = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     punct = F.col("kind") == "punct"
     t = F.col("text")
     dec_words = _by_language(F.col("language"), DECISIONS, lambda v: F.array(*[F.lit(x) for x in v]))
     dec = F.when((F.col("kind") == "word") & F.array_contains(dec_words, t), 1).otherwise(0)
+    a_delta = F.when(punct & t.isin("(", "[", "{"), 1).when(punct & t.isin(")", "]", "}"), -1).otherwise(0)
     tok = tok.select(
         "*",
-        (F.sum("clen").over(inc) - F.col("clen")).alias("char_off"),
-        (F.sum("blen").over(inc) - F.col("blen")).alias("byte_off"),
-        (F.sum("nls").over(inc) - F.col("nls")).alias("line"),
+        (F.sum(F.col("tlen") + F.col("clen")).over(inc) - F.col("clen")).alias("char_off"),
+        (F.sum(F.col("tblen") + F.col("blen")).over(inc) - F.col("blen")).alias("byte_off"),
+        (F.sum(F.col("tnls") + F.col("nls")).over(inc) - F.col("nls")).alias("line"),
         F.sum(F.when(punct & (t == "{"), 1).when(punct & (t == "}"), -1).otherwise(0)).over(inc).alias("bdepth"),
         F.sum(F.when(punct & (t == "("), 1).when(punct & (t == ")"), -1).otherwise(0)).over(inc).alias("pdepth"),
-        F.sum(F.when(punct & t.isin("(", "[", "{"), 1).when(punct & t.isin(")", "]", "}"), -1).otherwise(0))
-         .over(inc).alias("adepth"),
+        F.sum(a_delta).over(inc).alias("adepth"),
+        a_delta.alias("adelta"),
         dec.alias("dec"),
         F.sum(dec).over(inc).alias("cum_dec"),
     )
-    # Line starts: offset just after the last newline of the latest token holding one.
-    after_nl_c = F.length(F.substring_index("text", "\n", -1))
-    after_nl_b = F.octet_length(F.substring_index("text", "\n", -1))
+    # Line starts: just after the latest newline before the token — in its own
+    # trivia, else in an earlier piece (running max over earlier pieces).
+    after_c = lambda c: F.length(F.substring_index(c, "\n", -1))
+    after_b = lambda c: F.octet_length(F.substring_index(c, "\n", -1))
+    last_nl_c = (F.when(F.col("nls") > 0, F.col("char_off") + F.col("clen") - after_c(F.col("text")))
+                  .when(F.col("tnls") > 0, F.col("char_off") - after_c(F.col("tr"))))
+    last_nl_b = (F.when(F.col("nls") > 0, F.col("byte_off") + F.col("blen") - after_b(F.col("text")))
+                  .when(F.col("tnls") > 0, F.col("byte_off") - after_b(F.col("tr"))))
+    prev = w.rowsBetween(Window.unboundedPreceding, -1)
+    own_c = F.when(F.col("tnls") > 0, F.col("char_off") - after_c(F.col("tr")))
+    own_b = F.when(F.col("tnls") > 0, F.col("byte_off") - after_b(F.col("tr")))
+    ll_brk = F.when(F.col("brk") & ((F.col("adepth") - F.col("adelta")) == 0), 1).otherwise(0)
     tok = tok.select(
         "*",
-        F.coalesce(F.max(F.when(F.col("nls") > 0, F.col("char_off") + F.col("clen") - after_nl_c))
-                   .over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__lsc"),
-        F.coalesce(F.max(F.when(F.col("nls") > 0, F.col("byte_off") + F.col("blen") - after_nl_b))
-                   .over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__lsb"),
-        # Python logical lines: a newline at bracket depth 0 ends one.
-        F.sum(F.when((F.col("kind") == "nl") & (F.col("adepth") == 0), 1).otherwise(0)).over(inc).alias("__llc"),
+        F.coalesce(own_c, F.max(last_nl_c).over(prev), F.lit(0)).alias("__lsc"),
+        F.coalesce(own_b, F.max(last_nl_b).over(prev), F.lit(0)).alias("__lsb"),
+        # Python logical lines: a newline at bracket depth 0 starts a new one.
+        F.sum(ll_brk).over(inc).alias("ll"),
     )
     ccol = (F.col("char_off") - F.col("__lsc")).cast("int")
     bcol = (F.col("byte_off") - F.col("__lsb")).cast("int")
     end_line = (F.col("line") + F.col("nls")).cast("int")
-    end_bcol = F.when(F.col("nls") > 0, after_nl_b).otherwise(bcol + F.col("blen")).cast("int")
-    sig = tok.where(F.col("kind").isin("word", "str", "punct")).select(
+    end_bcol = F.when(F.col("nls") > 0, after_b(F.col("text"))).otherwise(bcol + F.col("blen")).cast("int")
+    sig = tok.select(
         "file_path", "language", "idx", "kind", "text", "char_off",
         (F.col("char_off") + F.col("clen")).alias("char_end"),
         F.col("line").cast("int").alias("line"), ccol.alias("ccol"), bcol.alias("bcol"),
         end_line.alias("end_line"), end_bcol.alias("end_bcol"),
-        "bdepth", "pdepth", "adepth", "dec", "cum_dec",
-        (F.col("__llc") - F.when((F.col("kind") == "nl") & (F.col("adepth") == 0), 1).otherwise(0)).alias("ll"),
+        "bdepth", "pdepth", "adepth", "dec", "cum_dec", "ll",
+        ((F.col("idx") == 0) | (ll_brk == 1)).alias("ll_start"),
     )
-    return sig, f.drop("__toks")
+    return sig, f.drop("__tr", "__tk")
+
+
+TOK_FIELDS = ["idx", "text", "kind", "line", "bcol", "end_bcol", "char_off", "char_end", "close"]
+END_FIELDS = ["char_end", "end_line", "end_bcol", "cum_dec"]
+
 
+def _struct(fields: list[str]) -> Column:
+    return F.struct(*[F.col(c).alias(c) for c in fields])
 
-def with_neighbours(sig: DataFrame, n_next: int = 3, n_prev: int = 2) -> DataFrame:
-    """Previous/next significant tokens as columns (``nxt1``…, ``prv1``…), plus
-    the logical-line start flag and the indent of the current logical line."""
+
+def with_context(s: DataFrame) -> DataFrame:
+    """Neighbour and running-context columns for every token, in two window
+    passes with the same ``(file_path ORDER BY idx)`` spec (one sort):
+
+    ``nxt1``/``prv1..2`` texts, ``pkind1``, ``t1..t3`` (next tokens with their
+    bracket match), ``prev_end`` (end of the previous token), ``file_end`` (end
+    of the last token), ``stmt`` (first token of the logical line), ``imp_grp``
+    (the enclosing ``import ( … )`` group, Go) and ``decl_start`` (first token
+    after the latest ``; { }``, Java declarations)."""
     w = Window.partitionBy("file_path").orderBy("idx")
-    cols = []
-    for i in range(1, n_next + 1):
-        cols.append(F.lead("text", i).over(w).alias(f"nxt{i}"))
-    for i in range(1, n_prev + 1):
-        cols.append(F.lag("text", i).over(w).alias(f"prv{i}"))
-    cols.append((F.lag("ll", 1).over(w).isNull() | (F.lag("ll", 1).over(w) != F.col("ll"))).alias("ll_start"))
-    return sig.select("*", *cols)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tok = _struct(TOK_FIELDS)
+    c = s.select("*",
+                 F.lead("text", 1).over(w).alias("nxt1"),
+                 *[F.lag("text", i).over(w).alias(f"prv{i}") for i in (1, 2)],
+                 F.lag("kind", 1).over(w).alias("pkind1"),
+                 *[F.lead(tok, i).over(w).alias(f"t{i}") for i in (1, 2, 3)],
+                 F.lag(_struct(END_FIELDS)).over(w).alias("prev_end"),
+                 F.last(_struct(END_FIELDS)).over(whole).alias("file_end"),
+                 F.last(F.when(F.col("ll_start"), F.col("text")), ignorenulls=True).over(run).alias("stmt"))
+    grp = F.when((F.col("text") == "(") & (F.col("prv1") == "import"),
+                 F.struct(F.col("idx").alias("o"), F.col("close.idx").alias("c")))
+    seg = F.when(F.col("prv1").isNull() | F.col("prv1").isin(";", "{", "}"),
+                 _struct(["idx", "line", "bcol", "char_off"]))
+    return c.select("*", F.last(grp, ignorenulls=True).over(run).alias("imp_grp"),
+                    F.last(seg, ignorenulls=True).over(run).alias("decl_start"))
+
+
+def next_in_subset(df: DataFrame, anchor: Column, target: Column, name: str, fields: list[str]) -> DataFrame:
+    """Anchor rows only, each with the nearest *following* target row (a struct
+    of ``fields``).  The window runs over anchors ∪ targets — a small subset of
+    the token stream — with a running ``last`` in descending order (O(n))."""
+    sub = df.where(anchor | target).withColumn("__a", anchor).withColumn("__t", target)
+    w = (Window.partitionBy("file_path").orderBy(F.col("idx").desc())
+               .rowsBetween(Window.unboundedPreceding, -1))
+    nxt = F.last(F.when(F.col("__t"), _struct(fields)), ignorenulls=True).over(w)
+    return sub.withColumn(name, nxt).where(F.col("__a")).drop("__a", "__t")
 
 
 def match_brackets(sig: DataFrame) -> DataFrame:
@@ -177,12 +235,3 @@ def match_brackets(sig: DataFrame) -> DataFrame:
     is_open = (F.col("kind") == "punct") & t.isin("{", "(")
     closing = F.when(is_open & (nxt.getField("text") == F.when(t == "{", "}").otherwise(")")), nxt)
     return s.withColumn("close", closing).drop("__fam", "__lvl")
-
-
-def next_of(sig: DataFrame, cond: Column, name: str, fields: list[str]) -> DataFrame:
-    """For every token, the nearest *following* token satisfying ``cond`` (a
-    struct of ``fields``), via a running ``last`` over descending order — O(n)."""
-    w = (Window.partitionBy("file_path").orderBy(F.col("idx").desc())
-               .rowsBetween(Window.unboundedPreceding, -1))
-    st = F.struct(*[F.col(c).alias(c) for c in fields])
-    return sig.withColumn(name, F.last(F.when(cond, st), ignorenulls=True).over(w))

@@ -59,9 +59,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df):
-    """Cut lineage: a reliable checkpoint written under ``spark.checkpoint.dir``
-    (shared storage on a cluster), so a lost executor re-reads files instead of
-    recomputing the token windows, and several consumers share one computation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "stage", bucket_by: str | None = None, buckets: int | None = None):
+    """Cut lineage: write ``df`` once as a Parquet table under
+    ``spark.checkpoint.dir`` (shared storage on a cluster) and read it back.
+
+    A lost executor then re-reads files instead of recomputing the token
+    windows, several consumers share one computation, and (unlike
+    ``Dataset.checkpoint``) the input is computed once, stored columnar and
+    compressed, and read back with the vectorised reader."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    if bucket_by is None:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    # Bucketed by the key every consumer partitions on: reads come back
+    # hash-partitioned, so later windows/joins on the key need no exchange.
+    import uuid
+
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"codeloom_{name}_{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").bucketBy(n, bucket_by).option("path", path).saveAsTable(table)
+    return spark.table(table)
