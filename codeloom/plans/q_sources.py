@@ -97,3 +97,22 @@ def json_roundtrip(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").select("event_id", "props")
     parsed = ev.select("event_id", F.from_json("props", "k INT").alias("j"))
     return parsed.select("event_id", F.col("j.k").alias("k"), F.to_json("j").alias("props_json"))
+
+
+@register("scan_repo", f"""WITH {duck_code_cte()}
+SELECT file_path, language,
+  CAST(CASE id % 3 WHEN 0 THEN 14 + 2 * k WHEN 1 THEN 17 + k ELSE 15 + k END AS INTEGER) AS total_lines,
+  CAST(length(content) AS BIGINT) AS n_bytes FROM code""")
+def scan_repo_q(spark, sf_dir):
+    """S1–S5 end to end: the corpus is written as a directory tree (in the shared
+    checkpoint folder), scanned back with the repository source, decoded and
+    measured; paths are reported relative to the tree root."""
+    from ..functions.lines import line_metric_cols
+    from ..session import scratch_path
+    from ..sources.repo_scan import scan_repo, write_tree
+    root = scratch_path(spark, "repo_tree")
+    write_tree(code_files(spark, sf_dir), root)
+    files, _rejects = scan_repo(spark, root)
+    m = line_metric_cols(F.col("content"), F.col("language"))
+    return files.select(F.expr(f"substring(file_path, {len(root) + 1})").alias("file_path"), "language",
+                        m["total_lines"].alias("total_lines"), "n_bytes")
