@@ -33,3 +33,31 @@ def test_alert_ingest_is_idempotent(spark, tmp_path):
     jobs.alert_ingest(spark, src, raw.schema, sink, ck).awaitTermination()
     n2 = spark.read.parquet(sink).count()
     assert n1 == raw.count() and n2 == n1
+
+
+def test_continuous_analysis_equals_batch(spark, tmp_path):
+    from codeloom.operators.analysis import analyse
+    from codeloom.sources.corpus import code_files
+    files = code_files(spark, SF_SMALL).select("file_path", "language", "content")
+    src = str(tmp_path / "manifests")
+    files.write.parquet(src)
+    q = jobs.continuous_analysis(spark, src, files.schema, str(tmp_path / "log"), str(tmp_path / "ck"))
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "log"))
+    exp = analyse(files)
+    key = lambda df: sorted((r.file_path, r.n) for r in df.select("file_path", F.size("functions").alias("n")).collect())
+    assert key(got) == key(exp)
+
+
+def test_alert_enrichment_stream(spark, tmp_path):
+    from codeloom.operators import vectors as V
+    raw = raw_alerts(spark, SF_SMALL).limit(50)   # a small fixture stream
+    src = str(tmp_path / "alerts")
+    raw.write.parquet(src)
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    q = jobs.alert_enrichment(spark, src, raw.schema, emb, V.hash_embed, str(tmp_path / "out"),
+                              str(tmp_path / "ck"), k=5, dim=64)
+    q.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    per = out.groupBy("alert_id").count().collect()
+    assert len(per) == 50 and all(r["count"] == 5 for r in per)
