@@ -24,7 +24,12 @@ def analysis_table(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TABLES:
         path = scratch_path(spark, "analysis_current")
-        code_analysis(spark, sf_dir).write.mode("overwrite").parquet(path)
+        # Directory per language (partition pruning for language filters) and
+        # files sorted by path (row-group min/max pruning for point lookups).
+        # No repartition by language: that would put a third of all rows in
+        # one task.
+        (code_analysis(spark, sf_dir).sortWithinPartitions("language", "file_path")
+            .write.mode("overwrite").partitionBy("language").parquet(path))
         _TABLES[key] = path
     return spark.read.parquet(_TABLES[key])
 
