@@ -12,28 +12,9 @@ from ..session import scratch_path
 from ..sources.alerts_src import alerts
 from ..sources.corpus import duck_code_cte
 from ..sources.tables import read_table
-from .q_extract import AVG, NFUN, NIMP, code_analysis
+from .q_extract import AVG, NFUN, NIMP, analysis_table
 from .registry import register
 
-_TABLES: dict = {}
-
-
-def analysis_table(spark, sf_dir):
-    """The analysis table, written once per application and dataset to the shared
-    checkpoint folder and read back (searches then scan Parquet, with pushdown)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TABLES:
-        path = scratch_path(spark, "analysis_current")
-        # Directory per language (partition pruning for language filters) and
-        # files sorted by path (row-group min/max pruning for point lookups).
-        # No repartition by language: that would put a third of all rows in
-        # one task.
-        (code_analysis(spark, sf_dir).sortWithinPartitions("language", "file_path")
-            .write.mode("overwrite").partitionBy("language").parquet(path))
-        _TABLES[key] = path
-    return spark.read.parquet(_TABLES[key])
-
-
 WALL = f"WITH {duck_code_cte()}, src AS (SELECT *, CAST(id AS VARCHAR) AS sid, {AVG} AS avg_c FROM code) "
 TL = "CAST(CASE id % 3 WHEN 0 THEN 14 + 2 * k WHEN 1 THEN 17 + k ELSE 15 + k END AS INTEGER)"
 
