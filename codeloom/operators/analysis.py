@@ -62,7 +62,9 @@ def _avg(parts: list[DataFrame]) -> DataFrame:
 
 
 def analyse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """files(file_path, language, content) → analysis records (schema ANALYSIS)."""
+    """files(file_path, language, content) → analysis records (schema ANALYSIS)
+    plus ``function_spans``: (name, first line, last line) of every function's
+    whole definition, for locating code by line (L6)."""
     sig, fm = tokenize(files.select("file_path", "language", "content"), num_partitions)
     s = materialize(with_context(match_brackets(sig)), "tokens")
 
@@ -93,6 +95,16 @@ def analyse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
     c_arr = _classes_with_methods(py_c.select(cls_cols).unionByName(ja_c.select(cls_cols)),
                                   py_m.unionByName(ja_cm))
     s_arr = _per_file(go_s, F.struct("name", _pos().alias("position"), "fields", "body_text"), "structs")
+    SPAN = schemas.SPAN
+    spans = (py_f.select("file_path", "idx", F.struct("name", F.col("def_line").alias("start_line"),
+                                                      F.col("blk_end_line").alias("end_line")).alias("v"))
+             .unionByName(go_f.select("file_path", "idx", F.struct(
+                 "name", F.col("span_start_line").alias("start_line"),
+                 F.col("span_end_line").alias("end_line")).alias("v")))
+             .unionByName(ja_m.select("file_path", "idx", F.struct(
+                 "name", F.col("decl_line").alias("start_line"), F.col("close_line").alias("end_line")).alias("v"))))
+    sp_arr = spans.groupBy("file_path").agg(
+        _sorted(F.struct(F.col("idx").alias("k"), F.col("v").cast(SPAN).alias("v"))).alias("function_spans"))
     avg = _avg([py_f.select("file_path", "complexity"), py_c.select("file_path", "complexity"),
                 go_f.select("file_path", "complexity"), go_t.select("file_path", "complexity"),
                 ja_m.select("file_path", "complexity"), ja_c.select("file_path", "complexity")])
@@ -100,7 +112,8 @@ def analyse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
     base = fm.select("file_path", "language", "content").join(bal, "file_path", "left")
     m = line_metric_cols(F.col("content"), F.col("language"))
     rec = (base.join(f_arr, "file_path", "left").join(c_arr, "file_path", "left")
-               .join(s_arr, "file_path", "left").join(i_arr, "file_path", "left").join(avg, "file_path", "left"))
+               .join(s_arr, "file_path", "left").join(i_arr, "file_path", "left").join(avg, "file_path", "left")
+               .join(sp_arr, "file_path", "left"))
     empty = lambda t: F.array().cast(F.ArrayType(t))
     structural = rec.where((F.col("language") != "java") | F.coalesce("balanced", F.lit(True))).select(
         "file_path", "language",
@@ -113,7 +126,8 @@ def analyse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
                  F.coalesce("avg_c", F.lit(0.0)).cast("double").alias("average_complexity")).alias("metrics"),
         F.lit(False).alias("has_errors"),
         F.when(F.col("language") == "java", "tree-sitter").alias("parser_used"),
-        F.lit(None).cast("string").alias("error"))
+        F.lit(None).cast("string").alias("error"),
+        F.coalesce("function_spans", empty(schemas.SPAN)).alias("function_spans"))
     fallback = regex_records(rec.where((F.col("language") == "java") & ~F.coalesce("balanced", F.lit(True)))
                              .select("file_path", "language", "content"))
     return structural.unionByName(fallback)
@@ -150,7 +164,7 @@ def regex_records(files: DataFrame) -> DataFrame:
         F.struct("total_lines", "code_lines", "comment_lines", "blank_lines",
                  F.col("average_complexity").cast("double").alias("average_complexity")).alias("metrics"),
         F.lit(False).alias("has_errors"), F.lit("regex").alias("parser_used"),
-        F.lit(None).cast("string").alias("error"))
+        F.lit(None).cast("string").alias("error"), empty(schemas.SPAN).alias("function_spans"))
 
 
 def summary(analysis: DataFrame, by_language: bool = False) -> DataFrame:

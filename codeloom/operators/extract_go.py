@@ -36,7 +36,7 @@ def functions(g: DataFrame, files_masked: DataFrame) -> DataFrame:
             & ~F.coalesce(F.col("prv1").isin("interface", "struct"), F.lit(False)))
     f = next_in_subset(g, header, body, "body", ["idx", "char_off", "close"]).where(F.col("body").isNotNull())
     cplx = (F.lit(1) + F.col("body.close.cum_dec") - (F.col("cum_dec") - F.col("dec"))).cast("int")
-    j = f.select("file_path", "idx", "t1", "t2", "body", cplx.alias("complexity")).join(
+    j = f.select("file_path", "idx", "line", "t1", "t2", "body", cplx.alias("complexity")).join(
         files_masked.select("file_path", "content", "masked"), "file_path")
     params_txt = F.expr("substring(masked, t2.char_end + 1, t2.close.char_off - t2.char_end)")
     return j.select("file_path", "idx", F.col("t1.text").alias("name"),
@@ -45,7 +45,8 @@ def functions(g: DataFrame, files_masked: DataFrame) -> DataFrame:
                     F.coalesce(split_params(params_txt), F.array().cast("array<string>")).alias("parameters"),
                     "complexity",
                     F.expr("substring(content, body.char_off + 1, body.close.char_end - body.char_off)")
-                    .alias("body_text"))
+                    .alias("body_text"),
+                    F.col("line").alias("span_start_line"), F.col("body.close.end_line").alias("span_end_line"))
 
 
 def structs(g: DataFrame, files_masked: DataFrame) -> DataFrame:

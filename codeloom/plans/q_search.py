@@ -9,7 +9,7 @@ from ..operators import alerts as A
 from ..operators import search as S
 from ..operators import vectors as V
 from ..session import scratch_path
-from ..sources.alerts_src import alerts
+from ..sources.alerts_src import DUCK_ALERTS_CTE, alerts
 from ..sources.corpus import duck_code_cte
 from ..sources.tables import read_table
 from .q_extract import AVG, NFUN, NIMP, analysis_table
@@ -177,3 +177,21 @@ def alert_result(spark, sf_dir):
     return A.with_suggestions(out).select("alert_id", "alert_type", "alert_message", "severity",
                                           F.size("related_code").alias("n_related"),
                                           F.size("suggested_fixes").alias("n_suggestions"))
+
+
+SPANS = """spans AS (
+  SELECT file_path, 'run_' || CAST(id AS VARCHAR) AS name, 4 AS s, 6 + 2 * k AS e FROM code WHERE id % 3 = 0
+  UNION ALL SELECT file_path, 'm_' || CAST(id AS VARCHAR), 9 + 2 * k, 12 + 2 * k FROM code WHERE id % 3 = 0
+  UNION ALL SELECT file_path, 'run' || CAST(id AS VARCHAR), 5, 8 + k FROM code WHERE id % 3 = 1
+  UNION ALL SELECT file_path, 'run' || CAST(id AS VARCHAR), 9, 12 + k FROM code WHERE id % 3 = 2)"""
+
+
+@register("alert_enclosing", f"""WITH {duck_code_cte()}, {DUCK_ALERTS_CTE}, {SPANS}
+SELECT a.alert_id, a.file_path, a.line_number,
+  (SELECT arg_max(name, s) FROM spans WHERE spans.file_path = a.file_path
+     AND a.line_number BETWEEN spans.s AND spans.e) AS enclosing_function FROM alerts a""")
+def alert_enclosing(spark, sf_dir):
+    """Each alert's own file and line → the innermost enclosing function."""
+    a = alerts(spark, sf_dir)
+    return A.enclosing_function(a, analysis_table(spark, sf_dir)).select(
+        "alert_id", "file_path", "line_number", "enclosing_function")

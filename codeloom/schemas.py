@@ -53,6 +53,13 @@ METRICS = StructType([
     StructField("average_complexity", DoubleType()),
 ])
 
+# Whole-definition line span of a function (0-based, inclusive).
+SPAN = StructType([
+    StructField("name", StringType()),
+    StructField("start_line", IntegerType()),
+    StructField("end_line", IntegerType()),
+])
+
 ANALYSIS = StructType([
     StructField("file_path", StringType()),
     StructField("language", StringType()),
