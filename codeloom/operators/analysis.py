@@ -107,7 +107,8 @@ def analyse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
         _sorted(F.struct(F.col("idx").alias("k"), F.col("v").cast(SPAN).alias("v"))).alias("function_spans"))
     avg = _avg([py_f.select("file_path", "complexity"), py_c.select("file_path", "complexity"),
                 go_f.select("file_path", "complexity"), go_t.select("file_path", "complexity"),
-                ja_m.select("file_path", "complexity"), ja_c.select("file_path", "complexity")])
+                ja_m.select("file_path", "complexity"), ja_c.select("file_path", "complexity"),
+                XJ.bodiless_methods(j).select("file_path", "complexity")])
 
     base = fm.select("file_path", "language", "content").join(bal, "file_path", "left")
     m = line_metric_cols(F.col("content"), F.col("language"))

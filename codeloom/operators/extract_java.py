@@ -38,13 +38,27 @@ def _param_list(params_txt: Column) -> Column:
     return F.transform(ok, render)
 
 
-def methods(j: DataFrame, files_masked: DataFrame) -> DataFrame:
+def _declarations(j: DataFrame) -> DataFrame:
+    """Method-declaration candidates (``Type name(…)``) with the next ``{``/``;``."""
     prv_ok = ((F.col("pkind1") == "word") & ~F.col("prv1").isin(*NOT_TYPE)) | F.col("prv1").isin(">", "]")
     cand = ((F.col("kind") == "word") & ~F.col("text").isin(*KEYWORDS) & (F.col("t1.text") == "(")
             & prv_ok & F.col("t1.close").isNotNull())
+    return next_in_subset(j, cand, (F.col("kind") == "punct") & F.col("text").isin("{", ";"), "nb",
+                          ["idx", "text", "char_off", "close"])
+
+
+def bodiless_methods(j: DataFrame) -> DataFrame:
+    """Abstract / interface method declarations (``…);``): not in the method
+    list, but they are method declarations, so they count in the average
+    complexity with complexity 1."""
+    d = _declarations(j)
+    return d.where((F.col("nb.text") == ";") & (F.col("nb.idx") > F.col("t1.close.idx"))).select(
+        "file_path", "idx", F.lit(1).alias("complexity"))
+
+
+def methods(j: DataFrame, files_masked: DataFrame) -> DataFrame:
     # A declaration has a body when the next '{' / ';' after its name is a '{'.
-    m = next_in_subset(j, cand, (F.col("kind") == "punct") & F.col("text").isin("{", ";"), "nb",
-                       ["idx", "text", "char_off", "close"])
+    m = _declarations(j)
     m = m.where((F.col("nb.text") == "{") & (F.col("nb.idx") > F.col("t1.close.idx")) & F.col("nb.close").isNotNull())
     cplx = (F.lit(1) + F.col("nb.close.cum_dec") - (F.col("cum_dec") - F.col("dec"))).cast("int")
     jj = m.select("file_path", "idx", "text", "line", "bcol", "end_bcol", "bdepth", "t1", "nb", "decl_start",

@@ -124,7 +124,10 @@ def tokenize(files: DataFrame, num_partitions: int | None = None) -> tuple[DataF
     punct = F.col("kind") == "punct"
     t = F.col("text")
     dec_words = _by_language(F.col("language"), DECISIONS, lambda v: F.array(*[F.lit(x) for x in v]))
-    dec = F.when((F.col("kind") == "word") & F.array_contains(dec_words, t), 1).otherwise(0)
+    # Python's ``case`` is a soft keyword: it is decided once logical lines are
+    # known (below); every other decision word counts here.
+    py_case = (F.col("language") == "python") & (t == "case")
+    dec = F.when((F.col("kind") == "word") & F.array_contains(dec_words, t) & ~py_case, 1).otherwise(0)
     a_delta = F.when(punct & t.isin("(", "[", "{"), 1).when(punct & t.isin(")", "]", "}"), -1).otherwise(0)
     tok = tok.select(
         "*",
@@ -135,8 +138,8 @@ def tokenize(files: DataFrame, num_partitions: int | None = None) -> tuple[DataF
         F.sum(F.when(punct & (t == "("), 1).when(punct & (t == ")"), -1).otherwise(0)).over(inc).alias("pdepth"),
         F.sum(a_delta).over(inc).alias("adepth"),
         a_delta.alias("adelta"),
-        dec.alias("dec"),
-        F.sum(dec).over(inc).alias("cum_dec"),
+        dec.alias("dec0"),
+        ((F.col("kind") == "word") & py_case).alias("py_case"),
     )
     # Line starts: just after the latest newline before the token — in its own
     # trivia, else in an earlier piece (running max over earlier pieces).
@@ -150,8 +153,13 @@ def tokenize(files: DataFrame, num_partitions: int | None = None) -> tuple[DataF
     own_c = F.when(F.col("tnls") > 0, F.col("char_off") - after_c(F.col("tr")))
     own_b = F.when(F.col("tnls") > 0, F.col("byte_off") - after_b(F.col("tr")))
     ll_brk = F.when(F.col("brk") & ((F.col("adepth") - F.col("adelta")) == 0), 1).otherwise(0)
+    ll_start = (F.col("idx") == 0) | (ll_brk == 1)
+    # ``case`` counts as a match-statement clause only when it starts a logical line.
+    dec = F.col("dec0") + F.when(F.col("py_case") & ll_start, 1).otherwise(0)
     tok = tok.select(
         "*",
+        dec.alias("dec"),
+        F.sum(dec).over(inc).alias("cum_dec"),
         F.coalesce(own_c, F.max(last_nl_c).over(prev), F.lit(0)).alias("__lsc"),
         F.coalesce(own_b, F.max(last_nl_b).over(prev), F.lit(0)).alias("__lsb"),
         # Python logical lines: a newline at bracket depth 0 starts a new one.
@@ -167,7 +175,7 @@ def tokenize(files: DataFrame, num_partitions: int | None = None) -> tuple[DataF
         F.col("line").cast("int").alias("line"), ccol.alias("ccol"), bcol.alias("bcol"),
         end_line.alias("end_line"), end_bcol.alias("end_bcol"),
         "bdepth", "pdepth", "adepth", "dec", "cum_dec", "ll",
-        ((F.col("idx") == 0) | (ll_brk == 1)).alias("ll_start"),
+        ll_start.alias("ll_start"),
     )
     return sig, f.drop("__tr", "__tk")
 

@@ -87,3 +87,15 @@ def test_java_mutations(spark):
     assert [m.name for m in j.classes[0].methods] == ["toString", "gen"]
     ts = j.classes[0].methods[0]
     assert (ts.position.start_line, ts.position.start_column) == (5, 4)
+
+
+def test_soft_case_and_bodiless_java_methods(spark):
+    py = ("def f(x):\n    match x:\n        case 1:\n            return 1\n        case _:\n            return 2\n"
+          "def g(case):\n    y = case + 1\n    return case\n")
+    java = "interface I {\n    void a();\n    default int b() { if (true) { return 1; } return 0; }\n}\n"
+    r = _rec(spark, [("c.py", "python", py), ("I.java", "java", java)])
+    assert {f.name: f.complexity for f in r["c.py"].functions} == {"f": 3, "g": 1}
+    j = r["I.java"]
+    assert [f.name for f in j.functions] == ["b"]
+    # b (complexity 2) and the bodiless a (1) are both method declarations.
+    assert j.metrics.average_complexity == 1.5
