@@ -39,14 +39,6 @@ def comment_pattern(prefix_re: str) -> str:
     return f"^{PY_WS}*+(?:{prefix_re})"
 
 
-def comment_prefix_for(language: Column) -> Column:
-    expr = None
-    for lang, pre in COMMENT_PREFIX_RE.items():
-        expr = (F.when(language == lang, F.lit(pre)) if expr is None
-                else expr.when(language == lang, F.lit(pre)))
-    return expr.otherwise(F.lit("#"))
-
-
 def line_metric_cols(content: Column, language: Column) -> dict[str, Column]:
     """total/blank/comment/code line counts (all INT) for one file row.
 

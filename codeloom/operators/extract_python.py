@@ -15,13 +15,6 @@ from pyspark.sql import functions as F
 
 from .tokens import next_in_subset
 
-END_FIELDS = ["char_end", "end_line", "end_bcol", "cum_dec"]
-
-
-def _end_struct(prefix: str = "") -> F.Column:
-    return F.struct(*[F.col(prefix + c).alias(c) for c in END_FIELDS])
-
-
 def prepare(s: DataFrame) -> DataFrame:
     """Python rows of the context-enriched token stream (no extra window)."""
     return s.where(F.col("language") == "python")

@@ -68,11 +68,6 @@ def _pieces(content: Column, language: Column, group: int) -> Column:
     return expr
 
 
-def token_array(content: Column, language: Column) -> Column:
-    """Significant tokens of a file (trivia dropped), in order."""
-    return _pieces(content, language, 2)
-
-
 def masked_content(trivia: Column, toks: Column) -> Column:
     """Content with trivia (comments, whitespace) blanked to spaces — same
     length, same newlines — up to the last significant token."""

@@ -66,3 +66,19 @@ def test_fourth_language_by_rows_only(spark):
     df = spark.createDataFrame([("/a/b.RS",), ("/a/.bashrc",), ("/a/x.py",)], "p string")
     got = {r.p: r.language for r in L.resolve_by_extension(df, "p", dim).collect()}
     assert got == {"/a/b.RS": "rust", "/a/.bashrc": None, "/a/x.py": "python"}
+
+
+def test_language_listing_membership_and_info(spark):
+    dim = L.language_dim(spark)
+    assert sorted(r.alias for r in L.supported_languages(dim).collect()) == ["go", "golang", "java", "py", "python"]
+    df = spark.createDataFrame([("PY",), ("rust",), ("GoLang",)], "x string")
+    assert sorted(r.x for r in L.is_supported(df, F.col("x"), dim).collect()) == ["GoLang", "PY"]
+    info = L.parser_info(dim).first().parsers
+    assert info["py"] == "PythonParser" and info["golang"] == "GoParser" and len(info) == 5
+
+
+def test_language_distribution_map(spark):
+    from codeloom.operators import stats
+    df = spark.createDataFrame([("a", "go"), ("b", "go"), ("c", "java")], "file_path string, language string")
+    m = stats.distribution_map(stats.language_distribution(df)).first().language_distribution
+    assert m == {"go": 2, "java": 1}
