@@ -183,3 +183,10 @@ def topk_batch(spark: SparkSession, queries: DataFrame, index: DataFrame, k: int
         cand = cand.unionByName(p)
     w = Window.partitionBy("qid").orderBy(F.col("similarity_score").desc(), F.col("id"))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def embed_text(spark: SparkSession, text: str, dim: int = 64) -> list[float]:
+    """V3: embed one query string with the default model (a one-row DataFrame
+    through :func:`hash_embed`; only the ``dim`` floats come back)."""
+    df = spark.createDataFrame([(0, text)], "qid long, t string")
+    return list(hash_embed(df, "qid", "t", dim).first()["embedding"])

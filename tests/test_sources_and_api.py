@@ -87,3 +87,14 @@ def test_search_dispatch(spark):
     with pytest.raises(ValueError):
         S.search_code(a, None, "x", search_type="bogus")
     assert S.search_code(a, None, "run", search_type="function_name").count() == 0
+
+
+def test_semantic_search_dispatch_with_default_model(spark):
+    docs = spark.createDataFrame([("a.py", "def run parse tokens"), ("b.go", "func main print"),
+                                  ("c.java", "class Parser parse tokens tree")], "file_path string, t string")
+    vecs = V.hash_embed(docs, "file_path", "t", 64).withColumn("language", F.lit("x"))
+    a = spark.createDataFrame([], schemas.ANALYSIS)
+    res = S.search_code(a, vecs, "parse tokens", search_type="semantic", top_k=2,
+                        embed=lambda q: V.embed_text(spark, q, 64))
+    got = [r.file_path for r in res.orderBy("rank").collect()]
+    assert got[0] in ("a.py", "c.java") and len(got) == 2 and "b.go" not in got
