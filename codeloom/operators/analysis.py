@@ -17,7 +17,7 @@ from . import extract_go as XG
 from . import extract_java as XJ
 from . import extract_python as XP
 from . import java_regex as JR
-from .tokens import match_brackets, tokenize, with_context
+from .tokens import match_brackets, relevant, tokenize, with_context
 
 
 def _pos(prefix: str = "") -> Column:
@@ -66,7 +66,7 @@ def analyse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
     plus ``function_spans``: (name, first line, last line) of every function's
     whole definition, for locating code by line (L6)."""
     sig, fm = tokenize(files.select("file_path", "language", "content"), num_partitions)
-    s = materialize(with_context(match_brackets(sig)), "tokens")
+    s = materialize(relevant(with_context(match_brackets(sig))), "tokens")
 
     p = XP.prepare(s)
     py_f, py_c = XP.split_definitions(materialize(XP.definitions(p, fm), "py_defs"))

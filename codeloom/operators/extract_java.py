@@ -132,11 +132,7 @@ def imports(j: DataFrame, files_masked: DataFrame) -> DataFrame:
 
 def balanced(s: DataFrame) -> DataFrame:
     """E22 routing flag per Java file: braces/parens never negative and closed at
-    the end, and every string/char literal terminated.  Co-partitioned by file,
-    so the aggregation adds no exchange."""
+    the end, and every string/char literal terminated (computed over the whole
+    token stream as window facts, read here from any kept row)."""
     j = s.where(F.col("language") == "java")
-    bad_str = (F.col("kind") == "str") & ((F.length("text") < 2) | ~(
-        F.substring("text", -1, 1) == F.substring("text", 1, 1)))
-    return j.groupBy("file_path").agg(
-        ((F.min("bdepth") >= 0) & (F.min("pdepth") >= 0) & (F.max_by("bdepth", "idx") == 0)
-         & (F.max_by("pdepth", "idx") == 0) & (F.max(bad_str.cast("int")) == 0)).alias("balanced"))
+    return j.groupBy("file_path").agg(F.min(F.col("file_balanced").cast("int")).cast("boolean").alias("balanced"))

@@ -208,8 +208,31 @@ def with_context(s: DataFrame) -> DataFrame:
                  F.struct(F.col("idx").alias("o"), F.col("close.idx").alias("c")))
     seg = F.when(F.col("prv1").isNull() | F.col("prv1").isin(";", "{", "}"),
                  _struct(["idx", "line", "bcol", "char_off"]))
+    t = F.col("text")
+    bad_str = (F.col("kind") == "str") & ((F.length(t) < 2) | (F.substring(t, -1, 1) != F.substring(t, 1, 1)))
     return c.select("*", F.last(grp, ignorenulls=True).over(run).alias("imp_grp"),
-                    F.last(seg, ignorenulls=True).over(run).alias("decl_start"))
+                    F.last(seg, ignorenulls=True).over(run).alias("decl_start"),
+                    # File-level balance facts (E22 routing), one value per file.
+                    ((F.min("bdepth").over(whole) >= 0) & (F.min("pdepth").over(whole) >= 0)
+                     & (F.last("bdepth").over(whole) == 0) & (F.last("pdepth").over(whole) == 0)
+                     & (F.max(bad_str.cast("int")).over(whole) == 0)).alias("file_balanced"))
+
+
+def relevant(s: DataFrame) -> DataFrame:
+    """Keep only the token rows some extractor reads (all their window-derived
+    columns are already computed over the full stream): logical-line starts,
+    import statements, depth-0 colons, braces and semicolons, string literals,
+    ``name(`` candidates, ``… struct`` names and the declaration keywords.
+    The materialised token table is then a fraction of the token stream."""
+    t = F.col("text")
+    keep = (F.col("ll_start")
+            | F.col("stmt").isin("import", "from")
+            | ((t == ":") & (F.col("adepth") == 0))
+            | ((F.col("kind") == "word") & t.isin("def", "class", "async", "func", "type", "import"))
+            | ((F.col("kind") == "punct") & t.isin("{", ";"))
+            | (F.col("kind") == "str")
+            | ((F.col("kind") == "word") & F.col("t1.text").isin("(", "struct")))
+    return s.where(keep)
 
 
 def next_in_subset(df: DataFrame, anchor: Column, target: Column, name: str, fields: list[str]) -> DataFrame:
