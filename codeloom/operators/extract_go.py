@@ -35,8 +35,13 @@ def functions(g: DataFrame, files_masked: DataFrame) -> DataFrame:
     body = ((F.col("text") == "{") & (F.col("bdepth") == 1)
             & ~F.coalesce(F.col("prv1").isin("interface", "struct"), F.lit(False)))
     f = next_in_subset(g, header, body, "body", ["idx", "char_off", "close"]).where(F.col("body").isNotNull())
-    cplx = (F.lit(1) + F.col("body.close.cum_dec") - (F.col("cum_dec") - F.col("dec"))).cast("int")
-    j = f.select("file_path", "idx", "line", "t1", "t2", "body", cplx.alias("complexity")).join(
+    # An unclosed body (broken file) runs to the end of the file.
+    end_cum = F.coalesce(F.col("body.close.cum_dec"), F.col("file_end.cum_dec"))
+    cplx = (F.lit(1) + end_cum - (F.col("cum_dec") - F.col("dec"))).cast("int")
+    f = f.withColumn("end_off", F.coalesce(F.col("body.close.char_end"), F.col("file_end.char_end"))) \
+         .withColumn("end_line", F.coalesce(F.col("body.close.end_line"), F.col("file_end.end_line")))
+    j = f.select("file_path", "idx", "line", "t1", "t2", "body", "end_off", "end_line",
+                 cplx.alias("complexity")).join(
         files_masked.select("file_path", "content", "masked"), "file_path")
     params_txt = F.expr("substring(masked, t2.char_end + 1, t2.close.char_off - t2.char_end)")
     return j.select("file_path", "idx", F.col("t1.text").alias("name"),
@@ -44,9 +49,8 @@ def functions(g: DataFrame, files_masked: DataFrame) -> DataFrame:
                     F.col("t1.line").alias("end_line"), F.col("t1.end_bcol").alias("end_column"),
                     F.coalesce(split_params(params_txt), F.array().cast("array<string>")).alias("parameters"),
                     "complexity",
-                    F.expr("substring(content, body.char_off + 1, body.close.char_end - body.char_off)")
-                    .alias("body_text"),
-                    F.col("line").alias("span_start_line"), F.col("body.close.end_line").alias("span_end_line"))
+                    F.expr("substring(content, body.char_off + 1, end_off - body.char_off)").alias("body_text"),
+                    F.col("line").alias("span_start_line"), F.col("end_line").alias("span_end_line"))
 
 
 def structs(g: DataFrame, files_masked: DataFrame) -> DataFrame:

@@ -50,7 +50,9 @@ TOKEN_RE = {
     "go": r"`[^`]*+`?|" + _DQ + "|" + _SQ + r"|(?U:\w++)|[\s\S]",
     "java": _DQ_PY3 + "|" + _DQ + "|" + _SQ + r"|(?U:\w++)|[\s\S]",
 }
-PIECE_RE = {lang: f"({TRIVIA_RE[lang]})({TOKEN_RE[lang]})" for lang in TOKEN_RE}
+# Trailing trivia at the end of a file matches an empty token (``\z``), so a
+# final comment is consumed as trivia instead of being re-scanned from inside.
+PIECE_RE = {lang: f"({TRIVIA_RE[lang]})({TOKEN_RE[lang]}|\\z)" for lang in TOKEN_RE}
 
 
 def _by_language(language: Column, values: dict, wrap=lambda v: F.lit(v)) -> Column:
@@ -104,7 +106,8 @@ def tokenize(files: DataFrame, num_partitions: int | None = None) -> tuple[DataF
     tok = f.select("file_path", "language",
                    F.posexplode(F.arrays_zip(F.col("__tr").alias("tr"), F.col("__tk").alias("text")))
                     .alias("idx", "z"))
-    tok = tok.select("file_path", "language", "idx", F.col("z.tr").alias("tr"), F.col("z.text").alias("text"))
+    tok = (tok.select("file_path", "language", "idx", F.col("z.tr").alias("tr"), F.col("z.text").alias("text"))
+              .where(F.col("text") != ""))
     tr_nls = _nl_count(F.col("tr"))
     tok = tok.select("*", kind_of(F.col("text")).alias("kind"),
                      F.length("tr").alias("tlen"), F.octet_length("tr").alias("tblen"),
