@@ -26,8 +26,8 @@ def line_metrics(spark, sf_dir):
 
 
 @register("language_distribution", W + """
-SELECT language, count(*) AS count, sum(CASE id % 3 WHEN 0 THEN 14 + 2 * k WHEN 1 THEN 17 + k
-  ELSE 15 + k END) AS total_lines FROM code GROUP BY language""")
+SELECT language, count(*) AS count, CAST(sum(CASE id % 3 WHEN 0 THEN 14 + 2 * k WHEN 1 THEN 17 + k
+  ELSE 15 + k END) AS BIGINT) AS total_lines FROM code GROUP BY language""")
 def language_distribution(spark, sf_dir):
     """A4: files and lines per language (partial aggregation before the shuffle)."""
     files = code_files(spark, sf_dir)

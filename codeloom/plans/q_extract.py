@@ -282,16 +282,16 @@ def avg_complexity(spark, sf_dir):
 
 
 @register("repo_summary", WALL + f"""
-SELECT count(*) AS total_files, sum({NFUN}) AS total_functions, sum({NCLS}) AS total_classes,
-  sum({NIMP}) AS total_imports FROM src""")
+SELECT count(*) AS total_files, CAST(sum({NFUN}) AS BIGINT) AS total_functions, CAST(sum({NCLS}) AS BIGINT) AS total_classes,
+  CAST(sum({NIMP}) AS BIGINT) AS total_imports FROM src""")
 def repo_summary(spark, sf_dir):
     """A1: repository summary counters."""
     return AN.summary(analysis_table(spark, sf_dir))
 
 
 @register("repo_summary_by_language", WALL + f"""
-SELECT language, count(*) AS total_files, sum({NFUN}) AS total_functions, sum({NCLS}) AS total_classes,
-  sum({NIMP}) AS total_imports FROM src GROUP BY language""")
+SELECT language, count(*) AS total_files, CAST(sum({NFUN}) AS BIGINT) AS total_functions, CAST(sum({NCLS}) AS BIGINT) AS total_classes,
+  CAST(sum({NIMP}) AS BIGINT) AS total_imports FROM src GROUP BY language""")
 def repo_summary_by_language(spark, sf_dir):
     """A1 per language (the flagship query of ``entry``)."""
     return AN.summary(analysis_table(spark, sf_dir), by_language=True)

@@ -91,7 +91,7 @@ def decode_policy_q(spark, sf_dir):
 
 @register("json_roundtrip", """
 SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
-  to_json({'k': CAST(json_extract(props, '$.k') AS INTEGER)}) AS props_json FROM events""")
+  CAST(to_json({'k': CAST(json_extract(props, '$.k') AS INTEGER)}) AS VARCHAR) AS props_json FROM events""")
 def json_roundtrip(spark, sf_dir):
     """Decode the JSON payload with an explicit schema, encode it back."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "props")
