@@ -1,5 +1,7 @@
 """FIXTURES §2 mutations: edges of the extraction semantics."""
 
+from pyspark.sql import functions as F
+
 from codeloom.operators.analysis import analyse
 from tests.conftest import files_df
 
@@ -99,3 +101,20 @@ def test_soft_case_and_bodiless_java_methods(spark):
     assert [f.name for f in j.functions] == ["b"]
     # b (complexity 2) and the bodiless a (1) are both method declarations.
     assert j.metrics.average_complexity == 1.5
+
+
+def test_enclosing_function_matches_brute_force_on_nested_code(spark):
+    from codeloom.operators.alerts import enclosing_function
+    src = "".join(
+        f"def outer{i}(a):\n    x = 1\n    def inner{i}(b):\n        return b\n    return inner{i}\n\n" for i in range(40))
+    df = files_df(spark, [("n.py", "python", src)])
+    rec = analyse(df)
+    spans = rec.select(F.explode("function_spans").alias("s")).select("s.*").collect()
+    assert len(spans) == 80
+    lines = list(range(0, src.count("\n") + 2, 3))
+    alerts = spark.createDataFrame([(f"a{n}", "n.py", n) for n in lines], "alert_id string, file_path string, line_number int")
+    got = {r.alert_id: r.enclosing_function for r in enclosing_function(alerts, rec, bucket=8).collect()}
+    for n in lines:
+        inside = [s for s in spans if s.start_line <= n <= s.end_line]
+        exp = max(inside, key=lambda s: s.start_line).name if inside else None
+        assert got[f"a{n}"] == exp

@@ -82,3 +82,21 @@ def test_language_distribution_map(spark):
     df = spark.createDataFrame([("a", "go"), ("b", "go"), ("c", "java")], "file_path string, language string")
     m = stats.distribution_map(stats.language_distribution(df)).first().language_distribution
     assert m == {"go": 2, "java": 1}
+
+
+def test_fold_with_a_hot_key_holding_a_third_of_the_log(spark):
+    rnd = random.Random(9)
+    rows = []
+    for seq in range(3000):
+        key = 0 if seq % 3 == 0 else rnd.randint(1, 200)
+        op = rnd.choice(["put", "put", "patch", "delete"])
+        rows.append({"user_id": key, "op": op, "ts": rnd.randint(0, 10_000), "seq": seq, "created_hint": None,
+                     "value": float(seq), "props": f"p{seq}" if op == "put" else None,
+                     "kind": "k" if op == "put" else None})
+    for r in rows:
+        r["created_hint"] = r["ts"] if r["op"] == "put" else None
+    df = spark.createDataFrame(rows, "user_id long, op string, ts long, seq long, created_hint long, value double, "
+                                     "props string, kind string").repartition(5)
+    got = {r.user_id: (r.value, r.props, r.kind, r.created_at, r.updated_at)
+           for r in state.fold(df, KEY, PAYLOAD, PATCHABLE).collect()}
+    assert got == _py_fold(rows)
