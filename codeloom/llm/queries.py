@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import byte_bpe, language_id, quality_fertility, token_counts
+from codeloom.llm import byte_bpe, language_id, quality_fertility, secret_scan, token_counts, url_filter
 from codeloom.llm.common import table
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -18,11 +18,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url", "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer_path(PIECE_BPE)).drop("text")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return secret_scan.digest(found)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return language_id.identify(docs, declared_col="lang", host_col="source").drop("text")
@@ -39,8 +48,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_counts, op8_language_id, op9_quality_rules, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_url_filter, op6_token_counts, op7_secret_scan, op8_language_id, op9_quality_rules, op10_byte_bpe)}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": url_filter.oracle_sql(), "op7_secret_scan": secret_scan.oracle_sql()}
