@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import byte_bpe, language_id, quality_fertility, secret_scan, token_counts, url_filter
+from codeloom.llm import byte_bpe, language_id, quality_fertility, secret_scan, simhash, suffix_dedup, token_counts, url_filter
 from codeloom.llm.common import table
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -18,10 +18,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url", "score")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer_path(PIECE_BPE)).drop("text")
@@ -48,7 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op6_token_counts, op7_secret_scan, op8_language_id, op9_quality_rules, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op5_suffix_dedup, op6_token_counts, op7_secret_scan, op8_language_id, op9_quality_rules, op10_byte_bpe)}
 
 
 def oracles() -> dict[str, str]:
