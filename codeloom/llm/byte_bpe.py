@@ -214,7 +214,7 @@ def _map(docs: DataFrame, path: str, text_col: str, new: list[tuple[str, T.DataT
             for i, j in row_groups(offs):
                 part = b.slice(i, j - i)
                 cols = work(tok, data[offs[i]: offs[j]], offs[i: j + 1] - offs[i])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, t) for c, (_, _, t) in zip(cols, new))], names=keep + names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, _, t) in zip(cols, new))], names=keep + names)
 
     return src.mapInArrow(run, out)
 
@@ -223,7 +223,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     """``docs`` with ``ids_col``: the token ids of each text (array of ints)."""
     def work(tok, data, offs):
         blobs = tok.encode_chunk(data, offs)
-        return [[np.frombuffer(x, "<u4").astype(np.int32) for x in blobs]]
+        ends = np.cumsum([0, *(len(x) // 4 for x in blobs)])
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), "<i4")))]
     return _map(docs, path, text_col, [(ids_col, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))], work)
 
 
@@ -246,12 +247,18 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
     return src.mapInArrow(run, out)
 
 
-def digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, path: str, text_col: str = "text", ids_col: str | None = None) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 (of the bytes that
-    the ids decode to); ids and bytes never leave the task."""
+    the ids decode to), and with the ids themselves if ``ids_col`` names them."""
     def work(tok, data, offs):
         blobs = tok.encode_chunk(data, offs)
-        return [[len(x) // 4 for x in blobs], [hashlib.sha256(x).hexdigest() for x in blobs],
-                [hashlib.sha256(tok.decode(x)[0]).hexdigest() for x in blobs]]
+        out = [[len(x) // 4 for x in blobs], [hashlib.sha256(x).hexdigest() for x in blobs],
+               [hashlib.sha256(tok.decode(x)[0]).hexdigest() for x in blobs]]
+        if ids_col:
+            out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *out[0]]), pa.int32()), pa.array(np.frombuffer(b"".join(blobs), "<i4"))))
+        return out
     s = T.StringType()
-    return _map(docs, path, text_col, [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", s, pa.string()), ("decoded_sha256", s, pa.string())], work)
+    new = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", s, pa.string()), ("decoded_sha256", s, pa.string())]
+    if ids_col:
+        new.append((ids_col, T.ArrayType(T.IntegerType()), pa.list_(pa.int32())))
+    return _map(docs, path, text_col, new, work)

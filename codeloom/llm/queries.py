@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import byte_bpe, language_id, quality_fertility, secret_scan, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from codeloom.llm import byte_bpe, decontaminate, language_id, quality_fertility, secret_scan, simhash, suffix_dedup, token_counts, toxicity, url_filter
 from codeloom.llm.common import table
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -30,6 +30,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
@@ -60,7 +64,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_toxicity, op5_suffix_dedup, op6_token_counts, op7_secret_scan, op8_language_id, op9_quality_rules, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_toxicity, op4_decontamination, op5_suffix_dedup, op6_token_counts, op7_secret_scan, op8_language_id, op9_quality_rules, op10_byte_bpe)}
 
 
 def oracles() -> dict[str, str]:

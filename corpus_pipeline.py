@@ -1,27 +1,54 @@
-"""The training-data pipeline over ``documents``; stages are written and reread."""
+"""The training-data pipeline over ``documents``.
+
+Each stage works on all that the one before it kept, is written as Parquet under
+the cluster's shared folder and reread, so a lost executor costs one stage's
+tasks at most.  The first four keep the columns of ``documents``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm import byte_bpe, language_id
-from codeloom.llm.common import scratch_path, table
+from codeloom.llm import byte_bpe, decontaminate, language_id, secret_scan, simhash
+from codeloom.llm.common import materialize, scratch_path, table
 from codeloom.llm.queries import BYTE_BPE, tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is accepted."""
+    """Language identification; documents that it rejects go."""
     out = language_id.identify(docs, declared_col="lang", host_col="source")
     return out.filter("accepted").select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-duplicates by three-word shingles and three bits, as in the
+    operator's contract; one document of each group stays."""
+    return simhash.deduplicate(docs, shingle=3, max_bits=3).select(*docs.columns)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination; documents that leak an item go (a document
+    without an id is judged by its text, so it is searched under its digest)."""
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    leaks = decontaminate.find_leaks(docs.select(key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key")
+    bad = materialize(leaks.select("key").distinct(), "leaking-texts")
+    return docs.withColumn("key", key).join(bad, "key", "left_anti").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scan; every span found is masked by asterisks."""
+    found, _ = secret_scan.scan(docs)
+    spans = found.select(*docs.columns, "spans")
+    return spans.withColumn("text", secret_scan.mask(F.col("text"), F.col("spans"))).select(*docs.columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, checked by decoding them."""
-    return byte_bpe.digests(byte_bpe.encode(docs, tokenizer_path(BYTE_BPE)), tokenizer_path(BYTE_BPE))
+    """Byte-level token ids, with digests of the ids and of what they decode to."""
+    return byte_bpe.digests(docs, tokenizer_path(BYTE_BPE), ids_col="ids")
 
 
-STAGES = [("language_id", language), ("byte_bpe", tokens)]
-#: Language identification, the latent retrieval and the merges are no SQL.
+STAGES = [("language_id", language), ("simhash_dedup", near_duplicates), ("decontamination", contamination), ("secret_scan", secrets), ("byte_bpe", tokens)]
+#: Language identification, latent retrieval and pair merging are no SQL.
 ORACLE_SQL = None
 
 
