@@ -12,8 +12,12 @@ The log-posterior of a language adds up
 A further class ``und`` has uniform trigrams; rows that it wins, or whose best
 language stays under ``min_confidence``, are rejected.
 
-Defined results: null, empty and very short texts have no trigram, so they are
-``und``, confidence 0 and rejected; a null or unsupported declaration and a null
+Only trigrams of letters and spaces count, so that numbers and marks are no
+evidence against any language.
+
+Defined results: null and empty texts and those without a letter are ``und``,
+confidence 0 and rejected; a text too short for a trigram goes by its
+declaration and host; a null or unsupported declaration and a null
 host are no evidence; all rows stay (``accepted`` tells the verdict), repeated
 rows get the same answer, extra columns stay, those named like a result are
 replaced; a table without declared rows has no model: everything is ``und``.
@@ -37,17 +41,22 @@ UNDETERMINED = "und"
 
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
+_LOWER[[9, 10, 11, 12, 13]] = 32
+_LETTER = np.zeros(256, bool)                                  # ASCII letters and all bytes of other characters
+_LETTER[97:123] = _LETTER[128:] = True
 
 
 def trigram_buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of the trigram at each byte of a chunk, and whether it lies within
-    one text."""
+    """Bucket of the trigram at each byte of a chunk, and whether it counts: it
+    lies within one text and is of letters, or of spaces and letters."""
     if len(data) < 3:
         return np.zeros(0, np.int64), np.zeros(0, bool)
     x = _LOWER[data]
     v = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]
     b = ((v * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
-    ok = np.ones(len(b), bool)
+    letter, space = _LETTER[x], x == 32
+    fine = letter | space
+    ok = fine[:-2] & fine[1:-1] & fine[2:] & (letter[:-2] | letter[1:-1] | letter[2:])
     ends = offs[1:]
     for k in (1, 2):                                           # starts whose trigram runs over an end
         at = ends - k
@@ -95,22 +104,21 @@ def train(rows: DataFrame, languages=LANGUAGES) -> np.ndarray | None:
     return np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * size)).astype(np.float32)
 
 
+def _per_text(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    cum = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    return np.diff(cum[np.minimum(offs, len(values))])
+
+
 def _text_evidence(model: np.ndarray | None, n: int, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tempered log-likelihoods (row, language or und last), trigrams per row."""
-    rows = len(offs) - 1
-    out, grams = np.zeros((rows, n + 1)), np.maximum(np.diff(offs) - 2, 0)
-    out[:, n] = -BITS * np.log(2) * grams / 3
-    if model is None:
-        out[:, :n] = out[:, n:] - 1e3
-        return out, grams
+    """Tempered log-likelihoods (row, language or und last) and letters per row."""
+    out = np.zeros((len(offs) - 1, n + 1))
+    letters = _per_text(_LETTER[_LOWER[data]], offs)
     b, ok = trigram_buckets(data, offs)
-    some = np.flatnonzero(grams)
-    if len(some):
-        for k in range(n):
-            v = model[:, k][b] * ok
-            cum = np.concatenate([[0.0], np.cumsum(v, dtype=np.float64)])
-            out[some, k] = (cum[np.minimum(offs[some + 1], len(v))] - cum[offs[some]]) / 3
-    return out, grams
+    grams = _per_text(ok, offs)
+    out[:, n] = -BITS * np.log(2) * grams / 3
+    for k in range(n):
+        out[:, k] = out[:, n] - 1e3 if model is None else _per_text(np.where(ok, model[:, k][b], 0), offs) / 3
+    return out, letters
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -142,8 +150,8 @@ def identify(df: DataFrame, text_col: str = "text", declared_col: str | None = N
             p = np.zeros((batch.num_rows, n))
             data, offs = utf8_buffer(batch.column("__text"))
             for i, j in row_groups(offs):
-                x, grams = _text_evidence(model.value, n, data[offs[i]: offs[j]], offs[i: j + 1] - offs[i])
-                p[i:j] = _softmax(x)[:, :n] * (grams > 0)[:, None]
+                x, letters = _text_evidence(model.value, n, data[offs[i]: offs[j]], offs[i: j + 1] - offs[i])
+                p[i:j] = _softmax(x)[:, :n] * (letters > 0)[:, None]
             frame = batch.select(["__suffix", "__host", "__declared"]).to_pandas()
             for k in range(n):
                 frame[f"p{k}"] = p[:, k]
@@ -178,8 +186,8 @@ def identify(df: DataFrame, text_col: str = "text", declared_col: str | None = N
             host, suffix = (np.array([x or [0.0] * n for x in batch.column(f"{c}_mass").to_pylist()]).reshape(-1, n) for c in ("__host", "__suffix"))
             lang, conf = np.full(batch.num_rows, n), np.zeros(batch.num_rows)
             for i, j in row_groups(offs):
-                x, grams = _text_evidence(model.value, n, data[offs[i]: offs[j]], offs[i: j + 1] - offs[i])
-                own = _softmax(x)[:, :n] * (grams > 0)[:, None]
+                x, letters = _text_evidence(model.value, n, data[offs[i]: offs[j]], offs[i: j + 1] - offs[i])
+                own = _softmax(x)[:, :n] * (letters > 0)[:, None]
                 s, h = np.maximum(suffix[i:j] - own, 0), np.maximum(host[i:j] - own, 0)
                 base = (s + suffix_weight * glob) / (s.sum(axis=1, keepdims=True) + suffix_weight)
                 prior = (h + host_weight * base) / (h.sum(axis=1, keepdims=True) + host_weight)
@@ -187,7 +195,7 @@ def identify(df: DataFrame, text_col: str = "text", declared_col: str | None = N
                 x[:, n] += np.log(0.25 / n)
                 p = _softmax(x)
                 lang[i:j], conf[i:j] = p.argmax(axis=1), p.max(axis=1)
-                none = grams == 0
+                none = letters == 0
                 lang[i:j][none], conf[i:j][none] = n, 0.0
             names = np.array([*languages, UNDETERMINED], object)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names[lang], pa.string()), pa.array(conf),
