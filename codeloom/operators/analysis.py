@@ -66,10 +66,11 @@ def analyse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
     plus ``function_spans``: (name, first line, last line) of every function's
     whole definition, for locating code by line (L6)."""
     sig, fm = tokenize(files.select("file_path", "language", "content"), num_partitions)
-    s = materialize(relevant(with_context(match_brackets(sig))), "tokens")
+    n = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = materialize(relevant(with_context(match_brackets(sig))), "tokens", "file_path", n)
 
     p = XP.prepare(s)
-    py_f, py_c = XP.split_definitions(materialize(XP.definitions(p, fm), "py_defs"))
+    py_f, py_c = XP.split_definitions(materialize(XP.definitions(p, fm), "py_defs", "file_path", n))
     py_m = XP.class_methods(py_f, py_c)
     py_i = XP.imports(p, fm)
 
@@ -78,7 +79,7 @@ def analyse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
 
     j = XJ.prepare(s)
     bal = XJ.balanced(s)
-    ja_m = materialize(XJ.methods(j, fm), "java_methods")
+    ja_m = materialize(XJ.methods(j, fm), "java_methods", "file_path", n)
     ja_c = XJ.classes(j, fm)
     ja_cm = XJ.class_methods(ja_m, ja_c)
     ja_i = XJ.imports(j, fm)

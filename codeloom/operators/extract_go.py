@@ -55,7 +55,8 @@ def functions(g: DataFrame, files_masked: DataFrame) -> DataFrame:
 
 def structs(g: DataFrame, files_masked: DataFrame) -> DataFrame:
     st = g.where((F.col("kind") == "word") & (F.col("t1.text") == "struct") & (F.col("t2.text") == "{")
-                 & ((F.col("prv1") == "type") | ((F.col("prv1") == "(") & (F.col("prv2") == "type")))
+                 & ((F.col("prv1") == "type") | F.coalesce(       # or a spec of a ``type ( … )`` group
+                     (F.col("bdepth") == 0) & (F.col("typ_grp.o") < F.col("idx")) & (F.col("idx") < F.col("typ_grp.c")), F.lit(False)))
                  & F.col("t2.close").isNotNull())
     j = st.select("file_path", "idx", "text", "line", "bcol", "end_bcol", "char_off", "t2").join(
         files_masked.select("file_path", "content", "masked"), "file_path")

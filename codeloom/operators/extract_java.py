@@ -24,9 +24,9 @@ def prepare(s: DataFrame) -> DataFrame:
 
 
 def _param_list(params_txt: Column) -> Column:
-    norm = F.trim(F.regexp_replace(params_txt, r"\s+", " "))
-    pieces = F.transform(F.split(norm, r",(?![^<>]*(?:<[^<>]*>[^<>]*)*>)"), lambda x: F.trim(
-        F.regexp_replace(F.regexp_replace(x, r"@\w+(?:\.\w+)*(?:\([^)]*\))?\s*", ""), r"^final\s+", "")))
+    norm = F.regexp_replace(F.regexp_replace(params_txt, r"\s+", " "), r"@\w+(?:\.\w+)*(?: ?\([^)]*\))? ?", "")
+    pieces = F.transform(F.split(F.trim(norm), r",(?![^<>]*(?:<[^<>]*>[^<>]*)*>)"),
+                         lambda x: F.regexp_replace(F.trim(x), r"^final\s+", ""))
     rx = r"^(.+?)\s*\b(\w+)((?:\s*\[\s*\])*)$"
     ok = F.filter(pieces, lambda x: x.rlike(rx) & ~x.contains("..."))
     prim = "|".join(PRIMITIVES)
@@ -39,12 +39,13 @@ def _param_list(params_txt: Column) -> Column:
 
 
 def _declarations(j: DataFrame) -> DataFrame:
-    """Method-declaration candidates (``Type name(…)``) with the next ``{``/``;``."""
+    """Method-declaration candidates (``Type name(…)``) with the next ``{``/``;``
+    after the parameter list (annotations in it may hold braces)."""
     prv_ok = ((F.col("pkind1") == "word") & ~F.col("prv1").isin(*NOT_TYPE)) | F.col("prv1").isin(">", "]")
     cand = ((F.col("kind") == "word") & ~F.col("text").isin(*KEYWORDS) & (F.col("t1.text") == "(")
             & prv_ok & F.col("t1.close").isNotNull())
     return next_in_subset(j, cand, (F.col("kind") == "punct") & F.col("text").isin("{", ";"), "nb",
-                          ["idx", "text", "char_off", "close"])
+                          ["idx", "text", "char_off", "close"], F.col("t1.close.idx"))
 
 
 def bodiless_methods(j: DataFrame) -> DataFrame:

@@ -131,8 +131,8 @@ def imports(p: DataFrame, files_masked: DataFrame) -> DataFrame:
     imp = p.where(F.col("stmt").isin("import", "from"))
     w = Window.partitionBy("file_path").orderBy("idx")
     is_word = F.col("kind") == "word"
-    prev_text, prev_kind, prev_ll = F.lag("text").over(w), F.lag("kind").over(w), F.lag("ll").over(w)
-    same_ll = prev_ll == F.col("ll")
+    prev_text, prev_kind, prev_no = F.lag("text").over(w), F.lag("kind").over(w), F.lag("stmt_no").over(w)
+    same_ll = prev_no == F.col("stmt_no")
     cont = same_ll & (((F.col("text") == ".") & (prev_kind == "word")) | (is_word & (prev_text == ".")))
     in_run = is_word | (F.col("text") == ".")
     imp = imp.select("*", in_run.alias("in_run"), F.coalesce(cont, F.lit(False)).alias("cont"),
@@ -150,12 +150,12 @@ def imports(p: DataFrame, files_masked: DataFrame) -> DataFrame:
     is_name = F.col("before").isin("import", ",", "(") & ~(F.col("text").isin("import", "from"))
     ok = is_word & ~F.coalesce(F.col("last.nxt1") == "as", F.lit(False)) & (is_mod | is_name)
     cand = runs.where(ok).select(
-        "file_path", "idx", "ll", "stmt", is_mod.alias("is_mod"),
+        "file_path", "idx", "stmt_no", "stmt", is_mod.alias("is_mod"),
         "char_off", F.col("last.char_end").alias("char_end"),
         F.col("line").alias("start_line"), F.col("bcol").alias("start_column"),
         F.col("last.end_line").alias("end_line"), F.col("last.end_bcol").alias("end_column"))
     # from-statements need a module and at least one plain name.
-    wl = Window.partitionBy("file_path", "ll")
+    wl = Window.partitionBy("file_path", "stmt_no")
     cand = cand.withColumn("has_name", F.max((~F.col("is_mod")).cast("int")).over(wl)) \
                .withColumn("has_mod", F.max(F.col("is_mod").cast("int")).over(wl))
     cand = cand.where((F.col("stmt") == "import") | ((F.col("has_name") == 1) & (F.col("has_mod") == 1)))

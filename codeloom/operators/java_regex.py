@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 METHOD_RE = r"(?U)(?<=\s)(\w++)\s*+\([^)]*+\)\s*+(?:throws\s++[^{]++)?\{"
 CLASS_RE = r"(?U)class\s++(\w++)(?:\s++extends\s++\w++)?(?:\s++implements\s++[^{]++)?\s*+\{"
-IMPORT_RE = r"(?U)import\s+(?:static\s+)?([^;]+);"
+# the word, white space, then whatever is not a semicolon up to the first one;
+# a leading ``static`` is part of the text, its presence is read from the line
+IMPORT_RE = r"(?U)import\s++([^;]++);"
 # Names the fallback skips, and the modifier words its patterns allow.
 SKIP_NAMES = ["if", "while", "for", "switch", "catch"]
 METHOD_MODS = "public|private|protected|static"

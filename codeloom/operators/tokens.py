@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Decision keywords counted by the complexity score, per language
 # (the tree node types if/elif/else/for/while/case/catch/except that exist in each).
 DECISIONS = {
@@ -101,8 +103,10 @@ def tokenize(files: DataFrame, num_partitions: int | None = None) -> tuple[DataF
     n = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     f = (files.repartition(n, "file_path")
               .withColumn("__tr", _pieces(F.col("content"), F.col("language"), 1))
-              .withColumn("__tk", _pieces(F.col("content"), F.col("language"), 2))
-              .withColumn("masked", masked_content(F.col("__tr"), F.col("__tk"))))
+              .withColumn("__tk", _pieces(F.col("content"), F.col("language"), 2)))
+    # Written once, bucketed by file: the only tokenisation and the only shuffle
+    # of contents; every later join on the file reads its bucket in place.
+    f = materialize(f.withColumn("masked", masked_content(F.col("__tr"), F.col("__tk"))), "pieces", "file_path", n)
     tok = f.select("file_path", "language",
                    F.posexplode(F.arrays_zip(F.col("__tr").alias("tr"), F.col("__tk").alias("text")))
                     .alias("idx", "z"))
@@ -192,8 +196,9 @@ def with_context(s: DataFrame) -> DataFrame:
 
     ``nxt1``/``prv1..2`` texts, ``pkind1``, ``t1..t3`` (next tokens with their
     bracket match), ``prev_end`` (end of the previous token), ``file_end`` (end
-    of the last token), ``stmt`` (first token of the logical line), ``imp_grp``
-    (the enclosing ``import ( … )`` group, Go) and ``decl_start`` (first token
+    of the last token), ``stmt`` and ``stmt_no`` (first token and number of the
+    statement), ``imp_grp`` and ``typ_grp`` (the latest ``import ( … )`` and
+    ``type ( … )`` group, Go) and ``decl_start`` (first token
     after the latest ``; { }``, Java declarations)."""
     w = Window.partitionBy("file_path").orderBy("idx")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -205,15 +210,21 @@ def with_context(s: DataFrame) -> DataFrame:
                  F.lag("kind", 1).over(w).alias("pkind1"),
                  *[F.lead(tok, i).over(w).alias(f"t{i}") for i in (1, 2, 3)],
                  F.lag(_struct(END_FIELDS)).over(w).alias("prev_end"),
-                 F.last(_struct(END_FIELDS)).over(whole).alias("file_end"),
-                 F.last(F.when(F.col("ll_start"), F.col("text")), ignorenulls=True).over(run).alias("stmt"))
-    grp = F.when((F.col("text") == "(") & (F.col("prv1") == "import"),
-                 F.struct(F.col("idx").alias("o"), F.col("close.idx").alias("c")))
+                 F.last(_struct(END_FIELDS)).over(whole).alias("file_end"))
+    def group(word):
+        return F.when((F.col("text") == "(") & (F.col("prv1") == word),
+                      F.struct(F.col("idx").alias("o"), F.col("close.idx").alias("c")))
+    # A simple statement also starts after ';', and an import after a block's ':'.
+    stmt_start = F.col("ll_start") | F.coalesce((F.col("adepth") == 0) & ((F.col("prv1") == ";") | (
+        (F.col("prv1") == ":") & F.col("text").isin("import", "from"))), F.lit(False))
     seg = F.when(F.col("prv1").isNull() | F.col("prv1").isin(";", "{", "}"),
                  _struct(["idx", "line", "bcol", "char_off"]))
     t = F.col("text")
     bad_str = (F.col("kind") == "str") & ((F.length(t) < 2) | (F.substring(t, -1, 1) != F.substring(t, 1, 1)))
-    return c.select("*", F.last(grp, ignorenulls=True).over(run).alias("imp_grp"),
+    return c.select("*", F.last(F.when(stmt_start, F.col("text")), ignorenulls=True).over(run).alias("stmt"),
+                    F.sum(stmt_start.cast("int")).over(run).alias("stmt_no"),
+                    F.last(group("import"), ignorenulls=True).over(run).alias("imp_grp"),
+                    F.last(group("type"), ignorenulls=True).over(run).alias("typ_grp"),
                     F.last(seg, ignorenulls=True).over(run).alias("decl_start"),
                     # File-level balance facts (E22 routing), one value per file.
                     ((F.min("bdepth").over(whole) >= 0) & (F.min("pdepth").over(whole) >= 0)
@@ -238,15 +249,17 @@ def relevant(s: DataFrame) -> DataFrame:
     return s.where(keep)
 
 
-def next_in_subset(df: DataFrame, anchor: Column, target: Column, name: str, fields: list[str]) -> DataFrame:
+def next_in_subset(df: DataFrame, anchor: Column, target: Column, name: str, fields: list[str],
+                   after: Column | None = None) -> DataFrame:
     """Anchor rows only, each with the nearest *following* target row (a struct
-    of ``fields``).  The window runs over anchors ∪ targets — a small subset of
+    of ``fields``); with ``after``, the nearest one past that token number.  The window runs over anchors ∪ targets — a small subset of
     the token stream — with a running ``last`` in descending order (O(n))."""
-    sub = df.where(anchor | target).withColumn("__a", anchor).withColumn("__t", target)
-    w = (Window.partitionBy("file_path").orderBy(F.col("idx").desc())
+    pos = F.col("idx") if after is None else F.when(anchor, after).otherwise(F.col("idx"))
+    sub = df.where(anchor | target).withColumn("__a", anchor).withColumn("__t", target).withColumn("__p", pos)
+    w = (Window.partitionBy("file_path").orderBy(F.col("__p").desc())
                .rowsBetween(Window.unboundedPreceding, -1))
     nxt = F.last(F.when(F.col("__t"), _struct(fields)), ignorenulls=True).over(w)
-    return sub.withColumn(name, nxt).where(F.col("__a")).drop("__a", "__t")
+    return sub.withColumn(name, nxt).where(F.col("__a")).drop("__a", "__t", "__p")
 
 
 def match_brackets(sig: DataFrame) -> DataFrame:

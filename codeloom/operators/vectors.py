@@ -5,24 +5,25 @@ vectors and metadata cannot drift apart, identity is the id, not a position.
 
 * single query (V5): score column + ``orderBy(desc).limit(k)`` →
   TakeOrderedAndProject: each task keeps k rows, the driver merges k×tasks.
-* batch (V6): the query block is size-checked and shipped once per executor;
-  each vector partition scores it with one Arrow/NumPy matmul and keeps its
-  local top-k per query; a window ``row_number() <= k`` over ``qid`` (planned
-  as WindowGroupLimit) merges them, so the shuffle holds ≤ k·partitions rows
-  per query.  Larger query sets are processed in bounded blocks.
+* batch (V6): blocks of queries meet blocks of vectors in grouped tasks, each
+  with one bounded score matrix that leaves k rows per query; a window
+  ``row_number() <= k`` over ``qid`` (planned as WindowGroupLimit) merges them.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 INDEX_TYPE = "exact_ip"
-# Upper bound of one broadcast query block (bytes of float32 query vectors).
-MAX_QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+#: Rows of a block of the batch search; a task's score matrix has its square.
+BLOCK_ROWS = 2048
+#: Scores are ranked at this many decimals, so that sums that differ in their
+#: last bits are ties (and go by id) in every path.
+SCORE_DIGITS = 12
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -41,16 +42,19 @@ def token_bucket(tok: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
 
 
+def _bucket_counts(df: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
+    """(id, bucket, n), a null bucket for a text without tokens.  Texts stay where
+    they are: at most ``dim`` counts of a text go through the shuffle."""
+    toks = df.select(F.col(id_col).alias("__id"), F.explode_outer(
+        F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\w+"), 0)).alias("tok"))
+    return toks.groupBy("__id", token_bucket(F.col("tok"), dim).alias("bucket")).agg(F.count("tok").alias("n"))
+
+
 def hash_embed_sparse(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """V2 default model: hashed bag of lowercase ``\\w+`` tokens, L2-normalised.
 
-    Returns the non-zero entries ``(id, bucket, weight)``.  Repartitioning the
-    texts by id first makes the count and the per-id norm run without a second
-    exchange (hash(id) clusters (id, bucket) too)."""
-    toks = (df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
-              .repartition("__id")
-              .select("__id", F.explode(F.regexp_extract_all(F.lower(F.col("__t")), F.lit(r"\w+"), 0)).alias("tok")))
-    counts = toks.groupBy("__id", token_bucket(F.col("tok"), dim).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    Returns the non-zero entries ``(id, bucket, weight)``."""
+    counts = _bucket_counts(df, id_col, text_col, dim).where(F.col("bucket").isNotNull())
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("__id")))
     return counts.select(F.col("__id").alias(id_col), "bucket", (F.col("n") / norm).alias("weight"))
 
@@ -58,14 +62,12 @@ def hash_embed_sparse(df: DataFrame, id_col: str, text_col: str, dim: int = 64)
 def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """Dense form ``(id, embedding ARRAY<FLOAT>)`` of :func:`hash_embed_sparse`;
     texts without tokens get a zero vector."""
-    sp = hash_embed_sparse(df, id_col, text_col, dim)
-    m = sp.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
+    m = (_bucket_counts(df, id_col, text_col, dim).groupBy("__id")
+         .agg(F.map_from_entries(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "n")))).alias("m"),
+              F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm")))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0)).cast("float"))
-    ids = df.select(F.col(id_col)).distinct()
-    return (ids.join(m.select(id_col, dense.alias("embedding")), id_col, "left")
-               .select(id_col, F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), dim))
-                       .alias("embedding")))
+                        lambda i: F.coalesce(F.element_at(F.col("m"), i) / F.nullif("norm", F.lit(0)), F.lit(0.0)).cast("float"))
+    return m.select(F.col("__id").alias(id_col), dense.alias("embedding"))
 
 
 def build_index(vectors: DataFrame, dim: int, id_col: str = "id", emb_col: str = "embedding",
@@ -83,6 +85,12 @@ def build_index(vectors: DataFrame, dim: int, id_col: str = "id", emb_col: str =
     return vectors.withColumn(emb_col, checked.cast(ArrayType(FloatType())))
 
 
+def upsert_index(index: DataFrame, changes: DataFrame, id_col: str = "id") -> DataFrame:
+    """V4 upsert mode: ``changes`` replace the vectors of equal id and add the
+    others (columns as in ``index``, ids unique in either)."""
+    return index.join(changes.select(id_col), id_col, "left_anti").unionByName(changes)
+
+
 def save_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One Parquet dataset holds vectors and metadata."""
     index.write.mode(mode).parquet(path)
@@ -122,65 +130,66 @@ def topk_single(index: DataFrame, query_vec: list[float], k: int = 5, id_col: st
     """V5: exact top-k for one query; k = min(top_k, n) falls out of ``limit``.
     Ties are broken by id.  Adds ``similarity_score`` and 1-based ``rank``."""
     q = F.array(*[F.lit(float(x)).cast("float") for x in query_vec])
-    scored = index.withColumn("similarity_score", inner_product(F.col(emb_col), q))
+    scored = index.withColumn("similarity_score", F.round(inner_product(F.col(emb_col), q), SCORE_DIGITS))
     top = scored.orderBy(F.col("similarity_score").desc(), F.col(id_col)).limit(k)
     return top.withColumn("rank", F.row_number().over(
         Window.orderBy(F.col("similarity_score").desc(), F.col(id_col))))
 
 
-def _block_topk_fn(bq, k: int, id_col: str, emb_col: str):
-    def run(batches):
-        qids, qmat = bq.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            ids = pdf[id_col].to_numpy()
-            mat = np.stack([np.asarray(e, dtype=np.float64) for e in pdf[emb_col]])
-            scores = qmat @ mat.T  # (nq, nb)
-            kk = min(k, scores.shape[1])
-            part = np.argpartition(-scores, kk - 1, axis=1)[:, :kk]
-            rows_q = np.repeat(qids, kk)
-            rows_i = ids[part.ravel()]
-            rows_s = np.take_along_axis(scores, part, axis=1).ravel()
-            yield pd.DataFrame({"qid": rows_q, "id": rows_i, "similarity_score": rows_s})
-    return run
+def _block_topk(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per query row: positions and scores of its first k vectors by
+    (score desc, id asc).  A matrix product finds all vectors that may be among
+    them; their scores are then summed in index order, as the single-query path
+    does, and rounded alike."""
+    order = np.argsort(ids, kind="stable")                     # ties go by id
+    rough = q @ v[order].T
+    k = min(k, rough.shape[1])
+    bound = 1e-9 * (1 + np.abs(rough).max(initial=0))
+    kth = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
+    row, col = np.nonzero(rough >= kth[:, None] - bound)
+    exact = np.zeros(len(row))
+    for d in range(q.shape[1]):
+        exact += q[row, d] * v[order[col], d]
+    exact = np.round(exact, SCORE_DIGITS)
+    best = np.lexsort((col, -exact, row))
+    row, col, exact = row[best], col[best], exact[best]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    top = rank < k
+    return np.stack([row[top], order[col[top]]]), exact[top]
 
 
 def topk_batch(spark: SparkSession, queries: DataFrame, index: DataFrame, k: int = 5,
                qid_col: str = "qid", qemb_col: str = "embedding", id_col: str = "id",
-               emb_col: str = "embedding", dim: int | None = None) -> DataFrame:
-    """V6: exact top-k for every query row.
-
-    Candidates per (query, partition) are the local top-k of one matmul; the
-    final ``row_number() <= k`` keeps exact results (local top-k ⊇ global top-k
-    restricted to that partition).  Ties: score desc, id asc.  The query block
-    collected to the driver is bounded by ``MAX_QUERY_BLOCK_BYTES``; beyond it
-    the query set is split into blocks by a hash of the query id and the
-    per-block results are unioned (every query is still answered)."""
-    if dim is None:
-        dim = int(index.select(F.size(emb_col)).first()[0])
-    nq = queries.count()
-    nblocks = max(1, int(np.ceil(nq * dim * 8 / MAX_QUERY_BLOCK_BYTES)))
-    out_schema = StructType([StructField("qid", LongType()), StructField("id", LongType()),
-                             StructField("similarity_score", DoubleType())])
-    parts = []
-    src = index.select(F.col(id_col).cast("long").alias(id_col), F.col(emb_col))
-    for b in range(nblocks):
-        qb = queries if nblocks == 1 else queries.where(
-            F.pmod(F.xxhash64(F.col(qid_col)), F.lit(nblocks)) == b)
-        pdf = qb.select(F.col(qid_col).cast("long").alias("qid"), F.col(qemb_col).alias("e")).toPandas()
-        if len(pdf) == 0:
-            continue
-        qmat = np.stack([np.asarray(e, dtype=np.float64) for e in pdf["e"]])
-        # Shipped once per executor as a broadcast variable, not inside every task.
-        bq = spark.sparkContext.broadcast((pdf["qid"].to_numpy(), qmat))
-        fn = _block_topk_fn(bq, k, id_col, emb_col)
-        parts.append(src.mapInPandas(fn, out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema.add("rank", IntegerType()))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+               emb_col: str = "embedding", dim: int | None = None, block: int = BLOCK_ROWS) -> DataFrame:
+    """V6: exact top-k for every query row: (qid, id, similarity_score, rank).
+
+    Both sides are dealt into blocks of about ``block`` rows.  Each block of
+    queries meets each block of vectors in one grouped task: its score matrix
+    has ``block`` squared entries, whatever the size of either side, and it
+    emits k rows per query.  A window over the query id, limited map-side,
+    merges the blocks' candidates.  Nothing passes through the driver but two
+    counts; ids keep their type.  Ties: score (rounded) desc, id asc."""
+    nq, nv = max(1, -(-queries.count() // block)), max(1, -(-index.count() // block))
+    q = queries.select(F.col(qid_col).alias("qid"), F.col(qemb_col).alias("e"))
+    v = index.select(F.col(id_col).alias("id"), F.col(emb_col).alias("e"))
+    qt, vt = q.schema["qid"].dataType, v.schema["id"].dataType
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    ql = q.select(F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("qb"), every(nv, "vb"), "qid", F.lit(None).cast(vt).alias("id"), "e")
+    vl = v.select(every(nq, "qb"), F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("vb"), F.lit(None).cast(qt).alias("qid"), "id", "e")
+    out = StructType([StructField("qid", qt), StructField("id", vt), StructField("similarity_score", DoubleType())])
+
+    def meet(t: pa.Table) -> pa.Table:
+        is_q = t.column("id").is_null().to_numpy()
+        at_q, at_v = np.flatnonzero(is_q), np.flatnonzero(~is_q)
+        empty = pa.table({"qid": t.column("qid").slice(0, 0), "id": t.column("id").slice(0, 0), "similarity_score": pa.array([], pa.float64())})
+        if not len(at_q) or not len(at_v):
+            return empty
+        e = np.stack([np.asarray(x, dtype=np.float64) for x in t.column("e").to_numpy()])
+        ids = t.column("id").take(pa.array(at_v))
+        pair, score = _block_topk(e[at_q], e[at_v], ids.to_numpy(), k)
+        return pa.table({"qid": t.column("qid").take(pa.array(at_q[pair[0]])), "id": ids.take(pa.array(pair[1])), "similarity_score": pa.array(score)})
+
+    cand = ql.unionByName(vl.filter("id is not null")).groupBy("qb", "vb").applyInArrow(meet, out)
     w = Window.partitionBy("qid").orderBy(F.col("similarity_score").desc(), F.col("id"))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.text import text_representation
 from ..operators import alerts as A
 from ..operators import search as S
 from ..operators import vectors as V
-from ..session import scratch_path
+from ..session import materialize
 from ..sources.alerts_src import DUCK_ALERTS_CTE, alerts
 from ..sources.corpus import duck_code_cte
 from ..sources.tables import read_table
@@ -126,14 +128,14 @@ def topk_lang_pre(spark, sf_dir):
     return top.select("rank", "id", "label", F.round("similarity_score", 6).alias("similarity_score"))
 
 
-def code_texts(spark, sf_dir):
+def code_texts(spark, sf_dir, body_chars=None):
     a = analysis_table(spark, sf_dir)
     return a.select("file_path", "language", text_representation(
         F.col("file_path"), F.col("language"), F.col("functions"), F.col("classes"), F.col("imports"),
-        F.col("metrics")).alias("text_for_embedding"))
+        F.col("metrics"), body_chars).alias("text_for_embedding"))
 
 
-TEXT_SQL = f"""WITH {duck_code_cte()}, src AS (SELECT *, CAST(id AS VARCHAR) AS sid FROM code)
+TEXT_200_SQL = f"""WITH {duck_code_cte()}, src AS (SELECT *, CAST(id AS VARCHAR) AS sid FROM code)
 SELECT file_path, CASE id % 3
   WHEN 0 THEN concat('File: ', file_path, ' Language: python',
     ' Function: run_', sid, ' Parameters: a Body: ',
@@ -157,14 +159,22 @@ SELECT file_path, CASE id % 3
     ' Imports: import java.util.List; import java.lang.Math.abs; Metrics: Lines=', CAST(15 + k AS VARCHAR),
     ', Complexity=', printf('%.2f', CAST(k + 2 AS DOUBLE)))
   END AS text_for_embedding FROM src"""
+# the same with whole bodies: left(x, 200), '...' becomes x
+TEXT_SQL = re.sub(r"left\((substr\(.*), 200\), '\.\.\.'", r"\1", TEXT_200_SQL)
 
 
 @register("text_repr", TEXT_SQL)
 def text_repr(spark, sf_dir):
-    """V1: the embedding text of every analysed file."""
+    """V1: the embedding text of every analysed file, bodies whole."""
     return code_texts(spark, sf_dir).select("file_path", "text_for_embedding")
 
 
+@register("text_repr_200", TEXT_200_SQL)
+def text_repr_200(spark, sf_dir):
+    """V1 with the first 200 characters of each body."""
+    return code_texts(spark, sf_dir, 200).select("file_path", "text_for_embedding")
+
+
 def code_vectors(spark, sf_dir, dim=64):
     t = code_texts(spark, sf_dir)
     emb = V.hash_embed(t, "file_path", "text_for_embedding", dim)
@@ -173,35 +183,64 @@ def code_vectors(spark, sf_dir, dim=64):
 
 def related_code(spark, sf_dir, k=5, dim=64):
     """L3: top-k related files per alert.  Alert texts repeat a lot, so each
-    distinct text is searched once and the result joined back by text."""
+    distinct text is searched once and the result joined back by text; it is a
+    written table, so that adaptive execution can split a text most alerts share."""
     al = A.alert_text(alerts(spark, sf_dir))
-    texts = al.select("query_text").distinct().withColumn("qid", F.xxhash64("query_text"))
-    qv = V.hash_embed(texts, "qid", "query_text", dim)
-    vecs = code_vectors(spark, sf_dir, dim).withColumn("vid", F.xxhash64("file_path"))
-    top = V.topk_batch(spark, qv, vecs.select(F.col("vid").alias("id"), "embedding"), k, dim=dim)
-    named = top.join(vecs.select(F.col("vid").alias("id"), "file_path", "language"), "id")
-    per_text = named.join(texts, "qid").select("query_text", "rank", "file_path", "language", "similarity_score")
+    qv = V.hash_embed(al.select("query_text").distinct(), "query_text", "query_text", dim)
+    vecs = materialize(code_vectors(spark, sf_dir, dim), "code_vectors")
+    top = V.topk_batch(spark, materialize(qv, "alert_vectors"), vecs, k, qid_col="query_text", id_col="file_path")
+    per_text = top.withColumnsRenamed({"qid": "query_text", "id": "file_path"}).join(vecs.select("file_path", "language"), "file_path")
     return al, per_text
 
 
-@register("alert_related")
+RELATED_SQL = f"""{TEXT_SQL.replace("SELECT file_path, CASE id % 3", "codetext AS (SELECT file_path, language, CASE id % 3", 1).replace(" AS sid FROM code)", " AS sid FROM code),", 1)}),
+{DUCK_ALERTS_CTE},
+al AS (SELECT *, concat_ws(' ', alert_type, alert_message) AS query_text FROM alerts),
+t AS (SELECT 'c' AS side, file_path AS key, unnest(regexp_extract_all(lower(text_for_embedding), '\\w+')) AS tok FROM codetext
+  UNION ALL SELECT 'q', query_text, unnest(regexp_extract_all(lower(query_text), '\\w+')) FROM (SELECT DISTINCT query_text FROM al)),
+n AS (SELECT side, key, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS INTEGER) AS bucket, count(*) AS n FROM t GROUP BY 1, 2, 3),
+w AS (SELECT side, key, bucket, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY side, key)) AS FLOAT) AS DOUBLE) AS w FROM n),
+s AS (SELECT q.key AS query_text, c.key AS file_path, round(sum(q.w * c.w), 12) AS sc FROM w q JOIN w c USING (bucket)
+  WHERE q.side = 'q' AND c.side = 'c' GROUP BY 1, 2),
+every AS (SELECT q.query_text, c.file_path, c.language, coalesce(s.sc, 0.0) AS sc FROM (SELECT DISTINCT query_text FROM al) q, codetext c
+  LEFT JOIN s ON s.query_text = q.query_text AND s.file_path = c.file_path),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_text ORDER BY sc DESC, file_path) AS rank FROM every),
+top AS (SELECT * FROM r WHERE rank <= 5) """
+
+
+@register("alert_related", RELATED_SQL + """SELECT alert_id, CAST(rank AS INTEGER) AS rank, top.file_path, round(sc, 6) AS similarity_score
+FROM al JOIN top USING (query_text)""")
 def alert_related(spark, sf_dir):
     """L3: (alert, rank, related file) rows — 5 per alert when ≥ 5 files exist."""
     al, per_text = related_code(spark, sf_dir)
     return al.select("alert_id", "query_text").join(per_text, "query_text").select(
-        "alert_id", "rank", "file_path", F.round("similarity_score", 6).alias("similarity_score"))
+        "alert_id", F.col("rank").cast("int").alias("rank"), "file_path", F.round("similarity_score", 6).alias("similarity_score"))
 
 
-@register("alert_result")
+@register("alert_result", RELATED_SQL + f"""SELECT alert_id, alert_type, alert_message, severity,
+  (SELECT string_agg(top.file_path || ' ' || top.language, ',' ORDER BY rank) FROM top WHERE top.query_text = al.query_text) AS related_code,
+  '{" | ".join(A.SUGGESTED_FIXES)}' AS suggested_fixes FROM al""")
 def alert_result(spark, sf_dir):
-    """L4: one row per alert with related code (sorted by rank) and suggestions."""
+    """L4: one row per alert with its related code, best first, and suggestions."""
     al, per_text = related_code(spark, sf_dir)
-    nested = per_text.groupBy("query_text").agg(F.transform(F.array_sort(F.collect_list(
-        F.struct("rank", "file_path", "language", "similarity_score"))), lambda x: x).alias("related_code"))
-    out = al.join(nested, "query_text", "left")
-    return A.with_suggestions(out).select("alert_id", "alert_type", "alert_message", "severity",
-                                          F.size("related_code").alias("n_related"),
-                                          F.size("suggested_fixes").alias("n_suggestions"))
+    nested = materialize(per_text.groupBy("query_text").agg(F.array_sort(F.collect_list(
+        F.struct("rank", "file_path", "language", "similarity_score"))).alias("related_code")), "related")
+    out = A.with_suggestions(al.join(nested, "query_text", "left"))
+    return out.select("alert_id", "alert_type", "alert_message", "severity",
+                      F.array_join(F.transform("related_code", lambda x: F.concat_ws(" ", x["file_path"], x["language"])), ",").alias("related_code"),
+                      F.array_join("suggested_fixes", " | ").alias("suggested_fixes"))
+
+
+SEARCH_TEXT = "run list of string"
+
+
+@register("code_search_text", RELATED_SQL.replace("SELECT DISTINCT query_text FROM al", f"SELECT '{SEARCH_TEXT}' AS query_text") + """SELECT
+  CAST(rank AS INTEGER) AS rank, file_path, language, round(sc, 6) AS similarity_score FROM top""")
+def code_search_text(spark, sf_dir):
+    """V3 + V5: a text query embedded and searched over the code vectors."""
+    q = V.embed_text(spark, SEARCH_TEXT)
+    top = V.topk_single(code_vectors(spark, sf_dir), q, 5, id_col="file_path")
+    return top.select("rank", "file_path", "language", F.round("similarity_score", 6).alias("similarity_score"))
 
 
 SPANS = """spans AS (

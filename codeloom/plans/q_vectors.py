@@ -35,8 +35,8 @@ def _duck_ip(a, b):
 @register("semantic_topk", f"""
 WITH q AS (SELECT embedding AS qe FROM embeddings ORDER BY vec_id LIMIT 1),
 s AS (SELECT vec_id, {_duck_ip('embedding', 'qe')} AS sc FROM embeddings, q)
-SELECT CAST(row_number() OVER (ORDER BY sc DESC, vec_id) AS INTEGER) AS rank, vec_id AS id,
-  round(sc, 6) AS similarity_score FROM s ORDER BY sc DESC, vec_id LIMIT 5""")
+SELECT CAST(row_number() OVER (ORDER BY round(sc, 12) DESC, vec_id) AS INTEGER) AS rank, vec_id AS id,
+  round(sc, 6) AS similarity_score FROM s ORDER BY round(sc, 12) DESC, vec_id LIMIT 5""")
 def semantic_topk(spark, sf_dir):
     """V5: exact inner-product top-5 for one query vector."""
     top = V.topk_single(_index(spark, sf_dir), _query_vec(spark, sf_dir), 5)
@@ -48,8 +48,8 @@ WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x / sqrt({_du
            FROM embeddings),
 q AS (SELECT e AS qe FROM n ORDER BY vec_id LIMIT 1),
 s AS (SELECT vec_id, {_duck_ip('e', 'qe')} AS sc FROM n, q)
-SELECT CAST(row_number() OVER (ORDER BY sc DESC, vec_id) AS INTEGER) AS rank, vec_id AS id,
-  round(sc, 6) AS similarity_score FROM s ORDER BY sc DESC, vec_id LIMIT 5""")
+SELECT CAST(row_number() OVER (ORDER BY round(sc, 12) DESC, vec_id) AS INTEGER) AS rank, vec_id AS id,
+  round(sc, 6) AS similarity_score FROM s ORDER BY round(sc, 12) DESC, vec_id LIMIT 5""")
 def cosine_topk(spark, sf_dir):
     """V7: cosine = inner product over vectors normalised at build time."""
     idx = _index(spark, sf_dir, metric="cosine")
@@ -60,13 +60,14 @@ def cosine_topk(spark, sf_dir):
 
 @register("semantic_topk_batch", f"""
 WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS id, {_duck_ip('v.embedding', 'q.embedding')} AS sc
-           FROM embeddings q, embeddings v),
-r AS (SELECT qid, id, sc, row_number() OVER (PARTITION BY qid ORDER BY sc DESC, id) AS rank FROM s)
+           FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+r AS (SELECT qid, id, sc, row_number() OVER (PARTITION BY qid ORDER BY round(sc, 12) DESC, id) AS rank FROM s)
 SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(sc, 6) AS similarity_score FROM r WHERE rank <= 5""")
 def semantic_topk_batch(spark, sf_dir):
-    """V6: every vector is a query (exact all-queries top-5 via block matmul)."""
+    """V6: the stated query set, every vector whose id is divisible by 50,
+    against all vectors (exact top-5)."""
     idx = _index(spark, sf_dir)
-    qs = idx.select(F.col("id").alias("qid"), "embedding")
+    qs = idx.where(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), "embedding")
     res = V.topk_batch(spark, qs, idx, 5, dim=DIM)
     return res.select("qid", "id", F.col("rank").cast("int").alias("rank"),
                       F.round("similarity_score", 6).alias("similarity_score"))
@@ -94,11 +95,27 @@ def vector_save_load(spark, sf_dir):
                                                           lambda a, x: a + x.cast("double")), 6).alias("checksum"))
 
 
-@register("vector_load_missing", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id < 0 AND vec_id > 0")
+@register("vector_load_missing", "SELECT vec_id AS id, label, CAST(0 AS BIGINT) AS n_found FROM embeddings")
 def vector_load_missing(spark, sf_dir):
-    """A missing index path loads as an empty index (0 rows, same schema)."""
-    path = scratch_path(spark, "missing_index")
-    return V.load_index(spark, path, schemas.VECTORS).select("id", "label")
+    """An index that was never saved loads as an empty one of the same
+    schema; every stored vector looks itself up in it and finds nothing."""
+    missing = V.load_index(spark, scratch_path(spark, "missing_index"), schemas.VECTORS)
+    found = missing.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return _index(spark, sf_dir).join(found, "id", "left").select("id", "label", F.coalesce("n", F.lit(0)).cast("long").alias("n_found"))
+
+
+@register("vector_upsert", f"""
+SELECT vec_id AS id, CAST(CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS BIGINT) AS label,
+  round(sqrt({_duck_ip('embedding', 'embedding')}) * CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END, 6) AS norm FROM embeddings
+UNION ALL SELECT vec_id + 1000000000, CAST(label AS BIGINT), round(sqrt({_duck_ip('embedding', 'embedding')}), 6) FROM embeddings WHERE vec_id % 7 = 0""")
+def vector_upsert(spark, sf_dir):
+    """V4 upsert: a third of the vectors replaced, some new ones added."""
+    idx = _index(spark, sf_dir).select("id", "embedding", F.col("label").cast("long").alias("label"))
+    twice = F.transform("embedding", lambda x: (x * 2).cast("float"))
+    put = idx.where("id % 3 = 0").select("id", twice.alias("embedding"), (F.col("label") + 100).alias("label"))
+    new = idx.where("id % 7 = 0").select((F.col("id") + 1000000000).alias("id"), "embedding", "label")
+    now = V.upsert_index(idx, put.unionByName(new))
+    return now.select("id", "label", F.round(F.sqrt(V.inner_product(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
 
 
 @register("vector_stats", """
