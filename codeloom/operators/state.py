@@ -12,9 +12,8 @@ current table is a fold, never an in-place update:
    every put can never win); ``created_at`` = earliest surviving put (a
    snapshot carries its original one); ``updated_at`` = latest put/patch.
 
-Only ``groupBy`` aggregations (map-side partial aggregation) and one equi-join
-on the key are used, so a key holding a third of all rows is reduced
-per partition before any shuffle — no window over a hot key.
+A key may hold a third of all rows, so rows are dealt by key and salt, folded
+to one row per key and salt, and then to one per key.
 """
 
 from __future__ import annotations
@@ -29,28 +28,38 @@ def _order(ts: str = "ts", seq: str = "seq"):
     return F.struct(F.col(ts), F.col(seq))
 
 
-def fold(log: DataFrame, key: str, payload: list[str], patchable: list[str]) -> DataFrame:
-    """Fold a change log into the current table (one row per live key)."""
+#: Parts that every key's rows are dealt into before they are folded.
+SALTS = 16
+
+
+def fold(log: DataFrame, key: str, payload: list[str], patchable: list[str], salts: int = SALTS) -> DataFrame:
+    """Fold a change log into the current table (one row per live key).
+
+    Rows are dealt by (key, salt): the join with the latest tombstones, which
+    are repeated for each salt, and the first aggregation share that
+    partitioning, so a key with a third of the log is ``salts`` tasks' work.
+    The second aggregation gets at most ``salts`` rows per key."""
     o = _order()
+    salted = log.withColumn("__salt", F.pmod(F.xxhash64("ts", "seq"), F.lit(salts)).cast("int"))
     last_del = (log.where(F.col("op") == "delete")
-                   .groupBy(key).agg(F.max(o).alias("__del")))
-    live = (log.where(F.col("op").isin("put", "snap", "patch"))
-               .join(last_del, key, "left")
-               .where(F.col("__del").isNull() | (o > F.col("__del"))))
+                   .groupBy(key).agg(F.max(o).alias("__del"))
+                   .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    live = (salted.where(F.col("op").isin("put", "snap", "patch"))
+                  .join(last_del, [key, "__salt"], "left")
+                  .where(F.col("__del").isNull() | (o > F.col("__del"))))
     is_put = F.col("op").isin(*PUT_OPS)
-    aggs = [
+    # The rows that may decide a column: put/snap/patch rows that carry a
+    # patchable one, put/snap rows for the others.
+    at = {c: F.when(F.col(c).isNotNull() | is_put if c in patchable else is_put, o) for c in payload}
+    part = live.groupBy(key, "__salt").agg(
         F.min(F.when(is_put, F.col("created_hint"))).alias("created_at"),
         F.max(F.when(is_put | (F.col("op") == "patch"), F.col("ts"))).alias("updated_at"),
         F.count(F.when(is_put, 1)).alias("__puts"),
-    ]
-    for c in payload:
-        if c in patchable:
-            # Latest of put/snap/patch rows that carry the column.
-            aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull() | is_put, o)).alias(c))
-        else:
-            aggs.append(F.max_by(F.col(c), F.when(is_put, o)).alias(c))
-    out = live.groupBy(key).agg(*aggs).where(F.col("__puts") > 0).drop("__puts")
-    return out.select(key, *payload, "created_at", "updated_at")
+        *[F.max_by(F.col(c), at[c]).alias(c) for c in payload], *[F.max(at[c]).alias(f"__at_{c}") for c in payload])
+    out = part.groupBy(key).agg(
+        F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.sum("__puts").alias("__puts"),
+        *[F.max_by(F.col(c), F.col(f"__at_{c}")).alias(c) for c in payload])
+    return out.where(F.col("__puts") > 0).select(key, *payload, "created_at", "updated_at")
 
 
 def dedup_latest(df: DataFrame, key: str, order_cols: list[str], keep: list[str]) -> DataFrame:

@@ -37,9 +37,13 @@ def rolling_activity(events: DataFrame, ts: str = "ts", length: str = "24 hours"
                      watermark: str = "24 hours") -> DataFrame:
     """R5 (works on a stream or a batch frame)."""
     ev = events.withColumn("__et", F.col(ts).cast("timestamp"))  # event time must be TIMESTAMP
-    w = F.window("__et", length, slide)
-    return (ev.withWatermark("__et", watermark).groupBy(w.alias("window"))
-              .agg(F.count(F.lit(1)).alias("n_events"))
+    # Events are counted per slide first; only these few rows go to all the
+    # windows that hold them (window bounds are multiples of the slide).
+    per_slide = (ev.withWatermark("__et", watermark).groupBy(F.window("__et", slide).alias("slide"))
+                   .agg(F.count(F.lit(1)).alias("n")))
+    w = F.window(F.window_time("slide"), length, slide)
+    return (per_slide.groupBy(w.alias("window"))
+              .agg(F.sum("n").alias("n_events"))
               .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
                       F.col("window.end").cast("timestamp_ntz").alias("window_end"), "n_events"))
 
@@ -50,6 +54,12 @@ def rolling_activity_stream(spark: SparkSession, src_dir: str, schema: StructTyp
             .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
 
 
+def _write_batch(rows: DataFrame, sink: str, batch_id: int) -> None:
+    """A folder per micro-batch (read back as column ``batch_id``): a batch that
+    is run again after a failure replaces what it had written."""
+    rows.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
+
+
 def alert_enrichment(spark: SparkSession, src_dir: str, schema: StructType, vectors: DataFrame, embed_fn,
                      sink: str, checkpoint: str, k: int = 5, dim: int = 64):
     """R2: stream–static top-k per micro-batch (``foreachBatch``)."""
@@ -57,13 +67,15 @@ def alert_enrichment(spark: SparkSession, src_dir: str, schema: StructType, vect
     from ..operators import vectors as V
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        al = A.alert_text(normalise(batch))
-        texts = al.select("query_text").distinct().withColumn("qid", F.xxhash64("query_text"))
-        qv = embed_fn(texts, "qid", "query_text", dim)
-        top = V.topk_batch(batch.sparkSession, qv, vectors, k, dim=dim)
-        res = (top.join(texts, "qid").join(al.select("alert_id", "query_text"), "query_text")
-                  .select("alert_id", "rank", F.col("id").alias("vector_id"), "similarity_score"))
-        res.write.mode("append").parquet(sink)
+        al = A.alert_text(normalise(batch)).persist()
+        try:
+            qv = embed_fn(al.select("query_text").distinct(), "query_text", "query_text", dim)
+            top = V.topk_batch(batch.sparkSession, qv, vectors, k, qid_col="query_text")
+            res = (top.withColumnRenamed("qid", "query_text").join(al.select("alert_id", "query_text"), "query_text")
+                      .select("alert_id", "rank", F.col("id").alias("vector_id"), "similarity_score"))
+            _write_batch(res, sink, batch_id)
+        finally:
+            al.unpersist()
 
     raw = spark.readStream.schema(schema).parquet(src_dir)
     return (raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
@@ -76,7 +88,7 @@ def continuous_analysis(spark: SparkSession, src_dir: str, schema: StructType, s
 
     def run(batch: DataFrame, batch_id: int) -> None:
         rec = analyse(batch.select("file_path", "language", "content"))
-        rec.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        _write_batch(rec, sink, batch_id)
 
     raw = spark.readStream.schema(schema).parquet(src_dir)
     return (raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
