@@ -46,8 +46,8 @@ GRAM = 128
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 SEGMENT = 1 << 20
 BASE = 0x9E3779B97F4A7C15
-#: Bytes of context in a bucket, and contexts of one gram in it.
-BUCKET_BYTES, GRAM_CONTEXTS = 6 << 20, 2000
+#: Bytes of context in a bucket; a gram with more than that is split by a salt.
+BUCKET_BYTES = 6 << 20
 
 
 # --- anchors ---------------------------------------------------------------
@@ -289,15 +289,16 @@ def bucket_repeats(table: pa.Table, length: int) -> pa.Table:
 
 # --- the whole -------------------------------------------------------------
 
-def repeated_starts(keyed: DataFrame, length: int = 400, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, gram_contexts: int = GRAM_CONTEXTS):
+def repeated_starts(keyed: DataFrame, length: int = 400, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES):
     """From (tk, n, text and more columns): the table of texts, with their text
     only where it may lose bytes, and (tk, n, starts) with all repeated starts
     as ranges (lo, hi)."""
     anc = materialize(anchors(keyed.filter(F.col("n") >= length).select("tk", "n", "text"), length, gram), "anchors")
     more = materialize(anc.groupBy("cls").agg(F.count("*").alias("c"), (F.min("ctx") != F.max("ctx")).alias("several")).filter("c > 1").select("cls", "several"), "repeated-grams")
-    hits = materialize(anc.join(more, "cls").groupBy("cls", "ctx", "tk", "n", "lo", "hi").agg(F.count("*").alias("c"), F.first("several").alias("several")), "anchor-hits")
+    # written before it is grouped: adaptive execution can then split the join at a hot gram
+    hits = materialize(materialize(anc.join(more, "cls"), "anchor-matches").groupBy("cls", "ctx", "tk", "n", "lo", "hi").agg(F.count("*").alias("c"), F.first("several").alias("several")), "anchor-hits")
     contexts = materialize(hits.groupBy("cls", "ctx").agg(F.sum("c").alias("c"), F.first("several").alias("several"), F.min(F.struct("tk", "n", "lo", "hi")).alias("at")), "contexts")
-    per_gram = materialize(contexts.filter("several").groupBy("cls").agg(F.ceil(F.count("*") / gram_contexts).alias("salts")), "gram-salts")
+    per_gram = materialize(contexts.filter("several").groupBy("cls").agg(F.ceil(F.sum(F.col("at.hi") - F.col("at.lo") + length) / bucket_bytes).alias("salts")), "gram-salts")
     ship = contexts.filter("several").join(per_gram, "cls").select(
         F.col("at.tk").alias("tk"), F.col("at.n").alias("n"),
         F.struct("cls", "ctx", "at.lo", "at.hi", (F.col("c") == 1).alias("once"), (F.col("salts") > 1).alias("split"), F.pmod("ctx", "salts").alias("salt")).alias("w"))
@@ -353,8 +354,7 @@ def _runs(starts: list[dict], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES,
-                   gram_contexts: int = GRAM_CONTEXTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` without its text, with n_bytes, spans (removed runs, as byte
     offsets) , n_removed, n_spans and kept_sha256 (of the bytes that stay)."""
     bounded_batches(docs.sparkSession)
@@ -363,7 +363,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, g
     keep = [f"k{i}" for i in range(len(names))]                # under way, so that no name clashes
     text = F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))
     keyed = docs.select(*[docs[f"`{c}`"].alias(k) for c, k in zip(names, keep)], F.xxhash64(text).alias("tk"), F.octet_length(text).cast("long").alias("n"), text.alias("text"))
-    texts, starts = repeated_starts(keyed, length, gram, bucket_bytes, gram_contexts)
+    texts, starts = repeated_starts(keyed, length, gram, bucket_bytes)
     run_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     plain = texts.filter("text is null").select(*[F.col(f"`{c}`") for c in keep], F.col("n").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
                                                 F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.array().cast(run_type).alias("spans"))
