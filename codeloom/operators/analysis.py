@@ -17,7 +17,7 @@ from . import extract_go as XG
 from . import extract_java as XJ
 from . import extract_python as XP
 from . import java_regex as JR
-from .tokens import match_brackets, relevant, tokenize, with_context
+from .tokens import TOKEN_RE, match_brackets, relevant, tokenize, with_context
 
 
 def _pos(prefix: str = "") -> Column:
@@ -65,7 +65,9 @@ def analyse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """files(file_path, language, content) → analysis records (schema ANALYSIS)
     plus ``function_spans``: (name, first line, last line) of every function's
     whole definition, for locating code by line (L6)."""
-    sig, fm = tokenize(files.select("file_path", "language", "content"), num_partitions)
+    known = F.coalesce(F.col("language").isin(*TOKEN_RE) & F.col("content").isNotNull(), F.lit(False))
+    failed = failure_records(files.where(~known))
+    sig, fm = tokenize(files.where(known).select("file_path", "language", "content"), num_partitions)
     n = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     s = materialize(relevant(with_context(match_brackets(sig))), "tokens", "file_path", n)
 
@@ -132,7 +134,20 @@ def analyse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
         F.coalesce("function_spans", empty(schemas.SPAN)).alias("function_spans"))
     fallback = regex_records(rec.where((F.col("language") == "java") & ~F.coalesce("balanced", F.lit(True)))
                              .select("file_path", "language", "content"))
-    return structural.unionByName(fallback)
+    return structural.unionByName(fallback).unionByName(failed)
+
+
+def failure_records(files: DataFrame) -> DataFrame:
+    """The empty record of a file that cannot be analysed, with the reason."""
+    empty = lambda t: F.array().cast(F.ArrayType(t))
+    zero = [F.lit(0).alias(c) for c in ("total_lines", "code_lines", "comment_lines", "blank_lines")]
+    why = (F.when(F.col("language").isNull(), "unknown language").when(F.col("content").isNull(), "no content")
+            .otherwise(F.concat(F.lit("unsupported language: "), "language")))
+    return files.select(
+        "file_path", "language", empty(schemas.FUNCTION).alias("functions"), empty(schemas.CLASS).alias("classes"),
+        empty(schemas.STRUCT).alias("structs"), empty(schemas.IMPORT).alias("imports"),
+        F.struct(*zero, F.lit(0.0).alias("average_complexity")).alias("metrics"), F.lit(True).alias("has_errors"),
+        F.lit(None).cast("string").alias("parser_used"), why.alias("error"), empty(schemas.SPAN).alias("function_spans"))
 
 
 def regex_records(files: DataFrame) -> DataFrame:

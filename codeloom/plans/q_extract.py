@@ -378,3 +378,16 @@ def java_fallback(spark, sf_dir):
                     F.size("classes").alias("n_classes"), F.size("imports").alias("n_imports"),
                     "metrics.comment_lines", "metrics.code_lines",
                     F.round("metrics.average_complexity", 6).alias("average_complexity"))
+
+
+@register("analysis_errors", f"""WITH {duck_code_cte()}
+SELECT file_path, CASE id % 10 WHEN 0 THEN 'rust' WHEN 1 THEN NULL ELSE language END AS language, id % 10 < 3 AS has_errors,
+  CASE id % 10 WHEN 0 THEN 'unsupported language: rust' WHEN 1 THEN 'unknown language' WHEN 2 THEN 'no content' END AS error,
+  CASE WHEN id % 10 < 3 THEN 0 ELSE {NIMP} END AS n_imports FROM code""")
+def analysis_errors(spark, sf_dir):
+    """Files that cannot be analysed keep an empty record with the reason."""
+    from ..operators.analysis import analyse
+    code = code_files(spark, sf_dir)
+    odd = code.select("file_path", F.when(F.col("id") % 10 == 0, "rust").when(F.col("id") % 10 != 1, F.col("language")).alias("language"),
+                      F.when(F.col("id") % 10 != 2, F.col("content")).alias("content"))
+    return analyse(odd).select("file_path", "language", "has_errors", "error", F.size("imports").alias("n_imports"))

@@ -109,10 +109,39 @@ def scan_repo_q(spark, sf_dir):
     measured; paths are reported relative to the tree root."""
     from ..functions.lines import line_metric_cols
     from ..session import scratch_path
-    from ..sources.repo_scan import scan_repo, write_tree
-    root = scratch_path(spark, "repo_tree")
+    from ..sources.repo_scan import local_path, scan_repo, write_tree
+    root = local_path(scratch_path(spark, "repo_tree"))
     write_tree(code_files(spark, sf_dir), root)
     files, _rejects = scan_repo(spark, root)
     m = line_metric_cols(F.col("content"), F.col("language"))
     return files.select(F.expr(f"substring(file_path, {len(root) + 1})").alias("file_path"), "language",
                         m["total_lines"].alias("total_lines"), "n_bytes")
+
+
+@register("scan_rejects", f"""WITH {duck_code_cte()}
+SELECT CASE id % 10 WHEN 0 THEN file_path || '.rs' ELSE '/bad' || file_path END AS file_path,
+  CASE WHEN id % 10 = 0 THEN NULL ELSE language END AS language,
+  CASE id % 10 WHEN 0 THEN 'unknown language' ELSE 'invalid utf-8' END AS reason
+FROM code WHERE id % 10 = 0 OR (id % 10 = 1 AND language <> 'java')""")
+def scan_rejects(spark, sf_dir):
+    """S3 + S5: the corpus tree with a tenth of the files also under a suffix of
+    no known language and a tenth also with a stray byte: what is not accepted,
+    and why.  (Java files with such a byte are Latin-1, hence accepted.)"""
+    from ..session import scratch_path
+    from ..sources.repo_scan import DEFAULT_PATTERNS, local_path, scan_repo, write_tree
+    root = local_path(scratch_path(spark, "repo_tree"))
+    code = code_files(spark, sf_dir)
+    bad = code.where("id % 10 = 1").select(F.concat(F.lit("/bad"), "file_path").alias("file_path"), F.concat("content", F.lit("\x00BAD")).alias("content"))
+    odd = code.where("id % 10 = 0").select(F.concat("file_path", F.lit(".rs")).alias("file_path"), "content")
+    write_tree(code.select("file_path", "content").unionByName(bad).unionByName(odd), root, stray=("\x00BAD", b"\xff"))
+    _files, rejects = scan_repo(spark, root, DEFAULT_PATTERNS + ",*.rs")
+    return rejects.select(F.expr(f"substring(file_path, {len(root) + 1})").alias("file_path"), "language", "reason")
+
+
+@register("languages", f"""WITH {DIM_CTE}, {duck_code_cte()}
+SELECT alias, dim.language, parser, (SELECT count(*) FROM code WHERE code.language = dim.language) AS n_files FROM dim""")
+def languages(spark, sf_dir):
+    """Every supported name with its parser and the corpus files it covers."""
+    n = code_files(spark, sf_dir).groupBy("language").agg(F.count(F.lit(1)).alias("n_files"))
+    return (L.supported_languages(L.language_dim(spark)).join(n, "language", "left")
+            .select("alias", "language", "parser", F.coalesce("n_files", F.lit(0)).cast("long").alias("n_files")))
