@@ -16,6 +16,7 @@ are replaced; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,19 +37,22 @@ SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400,
            ("arabic", 0x600, 0x6FF), ("indic", 0x900, 0xDFF), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF))
 
 
-def repeated_words(ids: np.ndarray) -> int:
+def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a 3-word window found at least twice."""
-    if len(ids) < 4:
+    if len(words) < 4:
         return 0
-    m = np.int64(ids.max()) + 1
-    pair = np.unique(ids[:-1] * m + ids[1:], return_inverse=True)[1]
-    win = pair[:-1].astype(np.int64) * m + ids[2:]
-    _, inv, n = np.unique(win, return_inverse=True, return_counts=True)
-    rep = n[inv] > 1
-    covered = np.zeros(len(ids), bool)
-    for k in range(3):
-        covered[k: len(rep) + k] |= rep
-    return int(covered.sum())
+    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    h = np.sort((h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) + h[2:])
+    if (h[1:] != h[:-1]).all():                                # no two windows are equal
+        return 0
+    windows = list(zip(words, words[1:], words[2:]))
+    n = Counter(windows)
+    total = upto = 0
+    for k, w in enumerate(windows):
+        if n[w] > 1:
+            total += k + 3 - max(k, upto)
+            upto = k + 3
+    return total
 
 
 def entropy(ids: np.ndarray) -> float:
@@ -94,15 +98,14 @@ def measure(docs: DataFrame, path: str, text_col: str = "text", lang_col: str |
                 raw, strs = part.tobytes(), [t or "" for t in texts.slice(i, j - i).to_pylist()]
                 pre = [model.pretokens(t) for t in strs]
                 model.tokens.learn(set().union(*pre))
-                get, index, rows = model.tokens.__getitem__, {}, []
+                get, rows = model.tokens.__getitem__, []
                 for k, (words_of, t) in enumerate(zip(pre, strs)):
                     text = raw[o[k]: o[k + 1]]
                     words = text.split()
-                    ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
                     lines = [x for x in text.split(b"\n") if x.strip()]
                     tok = np.frombuffer(b"".join(map(get, words_of)), "<u4")
                     low = int(((tok >= model.byte0) & (tok < model.byte0 + 256) & (tok != model.byte0 + 10)).sum())
-                    rows.append((len(words), len(lines) - len(set(lines)), repeated_words(ids), per_text[2][k] / max(len(tok), 1),
+                    rows.append((len(words), len(lines) - len(set(lines)), repeated_words(words), per_text[2][k] / max(len(tok), 1),
                                  low / max(len(tok), 1), entropy(tok), langs[i + k].as_py() or f"script:{main_script(t)}"))
                 w, d, r, c, b, e, key = zip(*rows)
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:-2], pa.array(w, pa.int64()), pa.array(per_text[0]), pa.array(per_text[1]),

@@ -11,6 +11,7 @@ merging one pair at a time, lowest rank first, leftmost first.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 import numpy as np
 
@@ -109,9 +110,9 @@ def merge(sym: np.ndarray, lens: np.ndarray, pairs: PairTable) -> tuple[np.ndarr
         sym[at] = into[at]
         stay = np.ones(len(sym), bool)
         stay[at + 1] = False
-        moved = at - np.searchsorted(at + 1, at, side="right")  # its place after the removals before it
+        moved = at - np.arange(len(at))                        # its place after the removals before it
         sym, seq, rank, into = sym[stay], seq[stay], rank[stay], into[stay]
-        again = np.unique(np.concatenate([moved, moved[moved > 0] - 1]))
+        again = np.concatenate([moved, moved[moved > 0] - 1])
         inside = again + 1 < len(sym)
         inside[inside] = seq[again[inside]] == seq[again[inside] + 1]
         rank[again[~inside]] = NONE
@@ -154,16 +155,17 @@ def _together(sym, seq, into, best, local, at, own, lead, several, pairs):
 
 class Cache(dict):
     """Bounded memo from a pre-token to what ``encode`` makes of it; a full memo
-    starts over, so a task's memory does not follow its input."""
+    forgets its older half, so a task's memory does not follow its input."""
 
-    def __init__(self, encode: Callable[[list], Iterable], entries: int = 300_000):
+    def __init__(self, encode: Callable[[list], Iterable], entries: int = 800_000):
         super().__init__()
         self.encode, self.entries = encode, entries
 
-    def learn(self, words: set, step: int = 100_000) -> None:
+    def learn(self, words: set, step: int = 50_000) -> None:
         """Make every one of ``words`` known."""
         if len(self) > self.entries:
-            self.clear()
+            for w in list(islice(self, len(self) // 2)):
+                del self[w]
         todo = [w for w in words if w not in self]
         for i in range(0, len(todo), step):
             part = todo[i: i + step]
