@@ -184,10 +184,19 @@ def regex_records(files: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("error"), empty(schemas.SPAN).alias("function_spans"))
 
 
+def with_flat_columns(analysis: DataFrame) -> DataFrame:
+    """The table as it is stored: counts and function names as flat columns."""
+    return analysis.withColumns({
+        **{f"n_{c}": F.size(c) for c in ("functions", "classes", "structs", "imports")},
+        "function_names": F.transform("functions", lambda f: f["name"])})
+
+
 def summary(analysis: DataFrame, by_language: bool = False) -> DataFrame:
-    """A1: files, functions, classes, imports (partial aggregation per task)."""
+    """A1: files, functions, classes, imports (partial aggregation per task);
+    a stored table's flat counts are read instead of the nested columns."""
+    def n(column):
+        flat = f"n_{column}"
+        return F.col(flat) if flat in analysis.columns else F.size(column)
     aggs = [F.count(F.lit(1)).alias("total_files"),
-            F.sum(F.size("functions")).alias("total_functions"),
-            F.sum(F.size("classes")).alias("total_classes"),
-            F.sum(F.size("imports")).alias("total_imports")]
+            *[F.sum(n(c)).alias(f"total_{c}") for c in ("functions", "classes", "imports")]]
     return analysis.groupBy("language").agg(*aggs) if by_language else analysis.agg(*aggs)

@@ -230,23 +230,31 @@ def code_analysis(spark, sf_dir):
     return rec.join(files.select("file_path", "created_at"), "file_path")
 
 
-_TABLES: dict = {}
+def build_analysis_table(spark, sf_dir):
+    """Analyse the corpus and write the table that searches read; its path.
+
+    Rows are ranged by language and path, so a point lookup by path skips all
+    files but one and a language filter most of them; a large language spreads
+    over many files.  Counts and names are flat columns beside the nested ones:
+    listings and summaries read no body text."""
+    path = scratch_path(spark, "analysis_current")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (AN.with_flat_columns(code_analysis(spark, sf_dir)).repartitionByRange(n, "language", "file_path")
+        .sortWithinPartitions("language", "file_path").write.mode("overwrite").parquet(path))
+    return path
+
+
+_BUILT: dict = {}
 
 
 def analysis_table(spark, sf_dir):
-    """The analysis table, written once per application and dataset to the shared
-    checkpoint folder and read back (searches then scan Parquet, with pushdown)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TABLES:
-        path = scratch_path(spark, "analysis_current")
-        # Directory per language (partition pruning for language filters) and
-        # files sorted by path (row-group min/max pruning for point lookups).
-        # No repartition by language: that would put a third of all rows in
-        # one task.
-        (code_analysis(spark, sf_dir).sortWithinPartitions("language", "file_path")
-            .write.mode("overwrite").partitionBy("language").parquet(path))
-        _TABLES[key] = path
-    return spark.read.parquet(_TABLES[key])
+    """The stored table of this corpus, built when there is none for these very
+    rows yet (their checksum tells, so changed data are analysed anew)."""
+    rows = code_files(spark, sf_dir).agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "k").cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *rows)
+    if key not in _BUILT:
+        _BUILT[key] = build_analysis_table(spark, sf_dir)
+    return spark.read.parquet(_BUILT[key])
 
 
 AVG = ("CASE id % 3 WHEN 0 THEN (k + 6) / 3.0 WHEN 1 THEN (k + 3) / 2.0 ELSE CAST(k + 2 AS DOUBLE) END")

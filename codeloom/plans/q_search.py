@@ -22,8 +22,7 @@ TL = "CAST(CASE id % 3 WHEN 0 THEN 14 + 2 * k WHEN 1 THEN 17 + k ELSE 15 + k END
 
 
 def _flat(df):
-    return df.select("file_path", "language", F.size("functions").alias("n_functions"),
-                     F.size("imports").alias("n_imports"), F.col("metrics.total_lines").alias("total_lines"),
+    return df.select("file_path", "language", "n_functions", "n_imports", F.col("metrics.total_lines").alias("total_lines"),
                      F.round("metrics.average_complexity", 6).alias("average_complexity"))
 
 

@@ -54,3 +54,47 @@ def test_fold_aggregates_partially_before_shuffle(spark):
     p = _plan(f, "simple")
     assert "partial_max_by" in p and "partial_min" in p
     assert "Window" not in p
+
+
+def _exchanges(plan):
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_fold_meets_tombstones_by_key_and_salt(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = _plan(state.fold(events_log(spark, SF_SMALL), KEY, PAYLOAD, PATCHABLE), "simple")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+    join = next(line for line in p.splitlines() if "SortMergeJoin" in line)
+    assert "__salt" in join
+    assert sum("__salt" in line for line in _exchanges(p)) == 2        # the log and the tombstones, nothing again
+
+
+def test_one_tokenisation_and_one_shuffle_of_contents(spark):
+    from codeloom.operators.analysis import analyse
+    from tests.conftest import files_df
+    p = _plan(analyse(files_df(spark, [("a.py", "python", "x = 1")])), "simple")
+    assert "regexp_extract_all(content" not in p
+    assert not any("content" in line for line in _exchanges(p))
+
+
+def test_summary_and_listing_read_no_bodies(spark):
+    from codeloom.operators import analysis as AN
+    from codeloom.plans.q_extract import analysis_table
+    t = analysis_table(spark, SF_SMALL)
+    for df in (AN.summary(t), S.get_result(t, "/repo/b1/f_1.go").select("file_path", "n_functions", "metrics.total_lines")):
+        assert "body_text" not in _plan(df)
+
+
+def test_embedding_moves_counts_not_texts(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    p = _plan(V.hash_embed_sparse(docs, "doc_id", "text"), "simple")
+    assert "Exchange" in p and not any("text" in line for line in _exchanges(p))
+    assert p.index("partial_count") > 0
+
+
+def test_rolling_counts_before_windows(spark):
+    from codeloom.streaming.jobs import rolling_activity
+    p = _plan(rolling_activity(spark.read.parquet(f"{SF_SMALL}/events.parquet")), "simple")
+    assert p.count("partial_count") == 1 and p.count("Expand") <= 1

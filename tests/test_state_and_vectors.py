@@ -100,3 +100,14 @@ def test_fold_with_a_hot_key_holding_a_third_of_the_log(spark):
     got = {r.user_id: (r.value, r.props, r.kind, r.created_at, r.updated_at)
            for r in state.fold(df, KEY, PAYLOAD, PATCHABLE).collect()}
     assert got == _py_fold(rows)
+
+
+def test_batch_topk_takes_the_least_ids_of_equal_vectors(spark):
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(40)] + [(100 + i, [0.1 * i, 0.0, 0.0]) for i in range(30)]
+    emb = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(7)
+    qs = spark.createDataFrame([("a", [1.0, 1.0, 1.0]), ("b", [0.5, 0.0, 0.0])], "qid string, embedding array<float>")
+    for block in (2048, 9):
+        got = V.topk_batch(spark, qs, emb, 5, block=block).orderBy("qid", "rank").collect()
+        assert [r.id for r in got if r.qid == "a"] == [0, 1, 2, 3, 4]
+        single = {q.qid: [r.id for r in V.topk_single(emb, q.embedding, 5).orderBy("rank").collect()] for q in qs.collect()}
+        assert {k: [r.id for r in got if r.qid == k] for k in ("a", "b")} == single
