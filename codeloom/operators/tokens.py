@@ -92,6 +92,14 @@ def _nl_count(c: Column) -> Column:
     return F.length(c) - F.length(F.regexp_replace(c, "\n", ""))
 
 
+def _interpolated_decisions(tok: Column) -> Column:
+    """Decision words of the expressions in an f-string's braces (doubled braces
+    and strings within the expressions aside)."""
+    expressions = F.array_join(F.regexp_extract_all(F.regexp_replace(tok, r"\{\{|\}\}", ""), F.lit(r"\{([^{}]*+)"), 1), " ")
+    words = F.lit(r"(?<!\w)(" + "|".join(w for w in DECISIONS["python"] if w != "case") + r")(?!\w)")
+    return F.size(F.regexp_extract_all(F.regexp_replace(expressions, r"'[^']*+'|\"[^\"]*+\"", " "), words, 1))
+
+
 def tokenize(files: DataFrame, num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Return ``(sig, files_masked)``.
 
@@ -129,7 +137,9 @@ def tokenize(files: DataFrame, num_partitions: int | None = None) -> tuple[DataF
     # Python's ``case`` is a soft keyword: it is decided once logical lines are
     # known (below); every other decision word counts here.
     py_case = (F.col("language") == "python") & (t == "case")
-    dec = F.when((F.col("kind") == "word") & F.array_contains(dec_words, t) & ~py_case, 1).otherwise(0)
+    is_f = (F.col("language") == "python") & (F.col("kind") == "str") & t.rlike("^[rRbBuU]?[fF][rR]?[\"']")
+    dec = (F.when((F.col("kind") == "word") & F.array_contains(dec_words, t) & ~py_case, 1)
+            .when(is_f, _interpolated_decisions(t)).otherwise(0))
     a_delta = F.when(punct & t.isin("(", "[", "{"), 1).when(punct & t.isin(")", "]", "}"), -1).otherwise(0)
     tok = tok.select(
         "*",

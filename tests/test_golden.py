@@ -104,6 +104,11 @@ def test_keywords_in_strings_and_comments_do_not_count(spark):
     assert r["b.py"].functions[0].complexity == 2
 
 
+def test_keywords_in_interpolations_count(spark):
+    src = 'def f(a):\n    return f"{1 if a else 2} if {{for}} {a[\'if\']}" + "{x if y else z}"\n'
+    assert _records(spark, ("a.py", "python", src))["a.py"].functions[0].complexity == 3
+
+
 def test_line_metric_edges(spark):
     df = files_df(spark, [("e.py", "python", ""), ("c.py", "python", "x = 1\r\n# c\r\n"),
                           ("n.go", "go", "package main")])
