@@ -5,7 +5,7 @@ characters per token, its share of byte-fallback tokens and its token entropy
 (in parts of the most that so many tokens can have).  Each language (the
 ``lang`` column; texts without one go by their main script) gets a band for
 each measure from the quartiles of all its documents that pass the base rules,
-``width`` interquartile ranges beyond them; languages with fewer than
+``width`` interquartile ranges beyond them, more for short texts; languages with fewer than
 ``min_group`` such documents use the band of all.  A text outside a band, or
 failing a base rule, is not kept.
 
@@ -32,7 +32,10 @@ SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
 #: Least half-width of a band, where most documents share one value.
-SLACK = {"chars_per_token": 0.5, "fallback_share": 0.05, "token_entropy": 0.05}
+SLACK = {"chars_per_token": 0.1, "fallback_share": 0.05, "token_entropy": 0.05}
+#: Under so many words a band widens with the square root of what is missing,
+#: as the spread of a mean does.
+FULL_WORDS = 200
 SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF),
            ("arabic", 0x600, 0x6FF), ("indic", 0x900, 0xDFF), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF))
 
@@ -115,7 +118,7 @@ def measure(docs: DataFrame, path: str, text_col: str = "text", lang_col: str |
     return src.mapInArrow(run, out)
 
 
-def judge(docs: DataFrame, path: str, text_col: str = "text", lang_col: str | None = "lang", width: float = 6.0, min_group: int = 50) -> DataFrame:
+def judge(docs: DataFrame, path: str, text_col: str = "text", lang_col: str | None = "lang", width: float = 4.0, min_group: int = 50) -> DataFrame:
     """``measure``'s columns with base_failed, kept and the bands applied."""
     m = measure(docs, path, text_col, lang_col)
     new = ("base_failed", "kept")
@@ -130,15 +133,15 @@ def judge(docs: DataFrame, path: str, text_col: str = "text", lang_col: str | No
         for c in MEASURES:
             a, b = F.col(c)[0], F.col(c)[1]
             far = F.greatest(width * (b - a), F.lit(SLACK[c]))
-            cols += [(a - far).alias(f"{prefix}{c}_low"), (b + far).alias(f"{prefix}{c}_high")]
+            cols += [a.alias(f"{prefix}{c}_low"), b.alias(f"{prefix}{c}_high"), far.alias(f"{prefix}{c}_far")]
         return cols
 
     every = good.agg(*quart).select(*band(None, "all_"))       # one row
     group = materialize(good.groupBy("band_key").agg(*quart, F.count("*").alias("n_group")).filter(F.col("n_group") >= min_group)
                         .select("band_key", *band(None, "own_")), "fertility-bands")
     x = join_counted(m, group, ["band_key"]).join(F.broadcast(every))
-    inside = F.lit(True)
+    inside, wider = F.lit(True), F.sqrt(F.greatest(F.lit(1.0), FULL_WORDS / F.greatest(F.col("n_words"), F.lit(1))))
     for c in MEASURES:
-        low, high = (F.coalesce(f"own_{c}_{s}", f"all_{c}_{s}") for s in ("low", "high"))
-        inside = inside & F.coalesce(F.col(c).between(low, high), F.lit(True))
+        low, high, far = (F.coalesce(f"own_{c}_{s}", f"all_{c}_{s}") for s in ("low", "high", "far"))
+        inside = inside & F.coalesce(F.col(c).between(low - far * wider, high + far * wider), F.lit(True))
     return x.select(*[m[f"`{c}`"] for c in m.columns if c != "band_key"], "band_key", (~F.col("base_failed") & inside).alias("kept"))

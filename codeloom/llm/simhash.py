@@ -194,8 +194,10 @@ def links(codes: DataFrame, max_bits: int = 3, block: int = BLOCK) -> DataFrame:
                 u, v = near(x, y, max_bits, b.column(0)[r].as_py() == b.column(1)[r].as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["a", "b"])
 
-    codes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    return met.mapInArrow(run, "a long, b long")
+    bounded_batches(codes.sparkSession, 64)                    # pairs of blocks, 128 KB each
+    out = materialize(met.mapInArrow(run, "a long, b long"), "simhash-links")
+    bounded_batches(codes.sparkSession)
+    return out
 
 
 def components_of(fps: DataFrame, id_col: str = "doc_id", max_bits: int = 3) -> DataFrame:
