@@ -78,9 +78,8 @@ def unique_name(df: DataFrame, *wanted: str) -> list[str]:
 BROADCAST_ROWS = 50_000
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", n: int | None = None) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join a grouped table whose rows are counted first: broadcast when few,
     else a shuffled join, whose hot keys adaptive execution splits (``right``
     must be a written table for that)."""
-    n = right.count() if n is None else n
-    return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, on, how)
+    return left.join(F.broadcast(right) if right.count() <= limit else right, on, how)

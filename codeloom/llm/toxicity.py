@@ -5,8 +5,8 @@ lower-cased, white space runs as one space).  Over all labelled training rows,
 document counts of each n-gram by class give smoothed log-count ratios; the
 ``features`` n-grams with the greatest z-score of that ratio are kept, and each
 feature's value is its ratio.  A logistic regression over the scaled features is
-fitted on at most ``fit_rows`` labelled rows (the documented bound; the least
-hashes of their ids), and scores every whole text.
+fitted on about ``fit_rows`` labelled rows (the documented bound; those whose
+ids hash below the share that it is of all), and scores every whole text.
 
 Counts are summed in tasks before Spark sums the tasks'; the model's size is
 fixed by ``bits`` and ``features``.
@@ -28,11 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.llm.common import bounded_batches, row_groups, utf8_buffer
+from codeloom.llm.common import bounded_batches, join_counted, materialize, row_groups, utf8_buffer
 
 SIZES = (4, 5, 6)
 BITS = 20
 FEATURES, FIT_ROWS = 4096, 20_000
+LABEL_ROWS = 500_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -95,19 +96,16 @@ def count_ratios(train: DataFrame, bits: int, features: int) -> tuple[np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[0, at], total[0])), pa.array(np.append(n[1, at], total[1]))], names=["bucket", "n0", "n1"])
 
     sums = train.select("text", "y").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    sums = sums.persist()
-    try:
-        total = sums.filter("bucket = -1").first()
-        n0, n1 = (int(total["n0"] or 0), int(total["n1"] or 0)) if total else (0, 0)
-        if not n0 or not n1:
-            return np.zeros(0, np.int64), np.zeros(0), n0, n1
-        # difference of smoothed log odds over its standard error
-        a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
-        ratio = F.log(a / (n1 + 1.0)) - F.log(b / (n0 + 1.0))
-        z = F.abs(ratio) / F.sqrt(1 / a + 1 / b)
-        top = sums.filter("bucket >= 0").select("bucket", ratio.alias("r"), z.alias("z")).orderBy(F.desc("z"), "bucket").limit(features).toPandas()
-    finally:
-        sums.unpersist()
+    sums = materialize(sums, "gram-counts")
+    total = sums.filter("bucket = -1").first()
+    n0, n1 = (int(total["n0"] or 0), int(total["n1"] or 0)) if total else (0, 0)
+    if not n0 or not n1:
+        return np.zeros(0, np.int64), np.zeros(0), n0, n1
+    # difference of smoothed log odds over its standard error
+    a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
+    ratio = F.log(a / (n1 + 1.0)) - F.log(b / (n0 + 1.0))
+    z = F.abs(ratio) / F.sqrt(1 / a + 1 / b)
+    top = sums.filter("bucket >= 0").select("bucket", ratio.alias("r"), z.alias("z")).orderBy(F.desc("z"), "bucket").limit(features).toPandas()
     top = top.sort_values("bucket")
     return top["bucket"].to_numpy(np.int64), top["r"].to_numpy(float), n0, n1
 
@@ -162,7 +160,8 @@ def score(docs: DataFrame, labelled: DataFrame, text_col: str = "text", bits: in
                     at = np.searchsorted(r, np.arange(j - i + 1))
                     yield pa.RecordBatch.from_arrays([pa.array([f[x:y].astype("<i2").tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary()),
                                                       b.column(1).slice(i, j - i)], names=["f", "y"])
-        chosen = train.orderBy(F.xxhash64("id"), "id").limit(fit_rows) if n0 + n1 > fit_rows else train
+        share = min(1.0, fit_rows / (n0 + n1))
+        chosen = train.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
         got = chosen.select("text", "y").mapInArrow(vectors, "f binary, y int").toPandas()
         hits = [np.frombuffer(f, "<i2").astype(np.int64) for f in got["f"]]
         rows = np.repeat(np.arange(len(hits)), [len(f) for f in hits])
@@ -195,6 +194,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """id, held_out, score and predicted for every row of ``docs``."""
     known = labels.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max(f"`{label_col}`").alias("y")).filter("id is not null and y in (0, 1)")
     ids = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
-    labelled = ids.filter(~held_out(F.col("id"))).join(known.filter(~held_out(F.col("id"))), "id")
+    # ids and classes, 16 bytes a row: sent out up to LABEL_ROWS, else texts meet them in a shuffle
+    known = materialize(known.filter(~held_out(F.col("id"))), "labels")
+    labelled = join_counted(ids.filter(~held_out(F.col("id"))), known, ["id"], "inner", limit=LABEL_ROWS)
     out = score(docs.select(id_col, text_col), labelled, text_col)
     return out.select(id_col, held_out(F.col(f"`{id_col}`")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
