@@ -137,3 +137,16 @@ def hash_embed(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     sp = V.hash_embed_sparse(docs, "doc_id", "text", DIM)
     return sp.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@register("sql_functions", f"""
+SELECT vec_id AS id, round({_duck_ip('embedding', 'embedding')}, 6) AS self_product,
+  CASE vec_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'go' WHEN 2 THEN 'java' END AS language FROM embeddings""")
+def sql_functions(spark, sf_dir):
+    """The registered SQL functions in a query over ``embeddings``."""
+    from ..functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    read_table(spark, sf_dir, "embeddings").createOrReplaceTempView("codeloom_embeddings")
+    return spark.sql("""SELECT vec_id AS id, round(inner_product(embedding, embedding), 6) AS self_product,
+      lang_of(concat('/x/f', vec_id, CASE vec_id % 4 WHEN 0 THEN '.PY' WHEN 1 THEN '.golang' WHEN 2 THEN '.java' ELSE '.txt' END)) AS language
+      FROM codeloom_embeddings""")

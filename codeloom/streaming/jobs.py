@@ -82,13 +82,18 @@ def alert_enrichment(spark: SparkSession, src_dir: str, schema: StructType, vect
                .trigger(availableNow=True).start())
 
 
+def analysis_log(records: DataFrame, ts, seq: int) -> DataFrame:
+    """Records as ``put`` rows of the change log that T1's fold reads."""
+    return records.withColumns({"op": F.lit("put"), "ts": ts, "seq": F.lit(seq).cast("long"), "created_hint": ts})
+
+
 def continuous_analysis(spark: SparkSession, src_dir: str, schema: StructType, sink: str, checkpoint: str):
     """files(file_path, language, content) arriving as Parquet → analysis log."""
     from ..operators.analysis import analyse
 
     def run(batch: DataFrame, batch_id: int) -> None:
         rec = analyse(batch.select("file_path", "language", "content"))
-        _write_batch(rec, sink, batch_id)
+        _write_batch(analysis_log(rec, F.current_timestamp().cast("timestamp_ntz"), batch_id), sink, batch_id)
 
     raw = spark.readStream.schema(schema).parquet(src_dir)
     return (raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
