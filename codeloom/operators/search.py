@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
+
 
 def get_result(analysis: DataFrame, file_path: str) -> DataFrame:
     """Point lookup by key."""
@@ -42,6 +44,19 @@ def search_results(analysis: DataFrame, language: str | None = None, file_path_p
     return out.limit(limit) if limit is not None else out
 
 
+LISTS = {"functions": schemas.FUNCTION, "classes": schemas.CLASS, "structs": schemas.STRUCT, "imports": schemas.IMPORT}
+
+
+def response(analysis: DataFrame) -> DataFrame:
+    """P10: the typed record a search answers with: missing lists are empty,
+    missing counts zero; parser_used and error may be null."""
+    lists = [F.coalesce(F.col(c), F.array().cast(F.ArrayType(t))).alias(c) for c, t in LISTS.items()]
+    metrics = F.struct(*[F.coalesce(F.col(f"metrics.{f.name}"), F.lit(0).cast(f.dataType)).alias(f.name)
+                         for f in analysis.schema["metrics"].dataType.fields])
+    return analysis.select("file_path", "language", *lists, metrics.alias("metrics"),
+                           F.coalesce("has_errors", F.lit(False)).alias("has_errors"), "parser_used", "error")
+
+
 def complexity_range(analysis: DataFrame, min_complexity: float | None = None,
                      max_complexity: float | None = None, top_k: int | None = None) -> DataFrame:
     """Inclusive band (NULL bounds default to 0 / 100), highest first, with

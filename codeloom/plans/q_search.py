@@ -242,6 +242,45 @@ def code_search_text(spark, sf_dir):
     return top.select("rank", "file_path", "language", F.round("similarity_score", 6).alias("similarity_score"))
 
 
+@register("analysis_response", f"""WITH {duck_code_cte()}, src AS (SELECT *, CAST(id AS VARCHAR) AS sid, {AVG} AS avg_c FROM code)
+SELECT file_path, language,
+  CASE id % 3 WHEN 0 THEN 'run_' || sid || '(a):' || (k + 2) || ';m_' || sid || '(self, v):2'
+    WHEN 1 THEN 'run' || sid || '(a: int, m: interface{{}}):' || (k + 2) ELSE 'run' || sid || '(a: Object, b: List<String>):' || (k + 2) END AS functions,
+  CASE id % 3 WHEN 0 THEN 'K' || sid || ' m_' || sid WHEN 1 THEN '' ELSE 'C' || sid || ' run' || sid END AS classes,
+  CASE id % 3 WHEN 1 THEN 'T' || sid || ' Value int,Name *string' ELSE '' END AS structs,
+  CASE id % 3 WHEN 0 THEN 'os typing List' WHEN 1 THEN 'import "fmt"' ELSE 'import java.util.List; import java.lang.Math.abs;' END AS imports,
+  {TL} AS total_lines, round(avg_c, 6) AS average_complexity, false AS has_errors,
+  CASE id % 3 WHEN 2 THEN 'tree-sitter' END AS parser_used, CAST(NULL AS VARCHAR) AS error FROM src""")
+def analysis_response(spark, sf_dir):
+    """P10: the whole response record, its lists rendered as text."""
+    r = S.response(analysis_table(spark, sf_dir))
+    text = lambda c, f, sep=";": F.array_join(F.transform(c, f), sep).alias(c)
+    return r.select(
+        "file_path", "language",
+        text("functions", lambda f: F.concat(f["name"], F.lit("("), F.array_join(f["parameters"], ", "), F.lit("):"), f["complexity"].cast("string"))),
+        text("classes", lambda c: F.concat_ws(" ", c["name"], F.array_join(F.transform(c["methods"], lambda m: m["name"]), ","))),
+        text("structs", lambda s: F.concat_ws(" ", s["name"], F.array_join(F.transform(s["fields"], lambda x: F.concat_ws(" ", x["name"], x["type"])), ","))),
+        text("imports", lambda i: i["text"], " "), "metrics.total_lines", F.round("metrics.average_complexity", 6).alias("average_complexity"),
+        "has_errors", "parser_used", "error")
+
+
+def _dispatch_sql():
+    from .registry import oracles
+    part = "SELECT '{0}' AS search_type, file_path FROM ({1}) t"
+    o = oracles()
+    return " UNION ALL ".join(part.format(k, o[q]) for k, q in (("function_name", "function_name_search"), ("complexity", "complexity_range"), ("semantic", "code_search_text")))
+
+
+@register("search_dispatch", _dispatch_sql())
+def search_dispatch(spark, sf_dir):
+    """The three search types through one dispatch."""
+    a, v = analysis_table(spark, sf_dir), code_vectors(spark, sf_dir)
+    ask = lambda kind, query, **k: S.search_code(a, v, query, kind, 5, embed=lambda t: V.embed_text(spark, t), **k).select(
+        F.lit(kind).alias("search_type"), "file_path")
+    return (ask("function_name", "RUN_1").unionByName(ask("complexity", "", min_complexity=2.0, max_complexity=3.0))
+            .unionByName(ask("semantic", SEARCH_TEXT)))
+
+
 SPANS = """spans AS (
   SELECT file_path, 'run_' || CAST(id AS VARCHAR) AS name, 4 AS s, 6 + 2 * k AS e FROM code WHERE id % 3 = 0
   UNION ALL SELECT file_path, 'm_' || CAST(id AS VARCHAR), 9 + 2 * k, 12 + 2 * k FROM code WHERE id % 3 = 0
