@@ -204,3 +204,16 @@ def identify(df: DataFrame, text_col: str = "text", declared_col: str | None = N
     types = {f.name: f for f in df.schema.fields}
     out = T.StructType([*(types[c] for c in keep), T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
     return joined.select(*[F.col(f"`{c}`") for c in keep], "__text", "__declared", "__host_mass", "__suffix_mass").mapInArrow(decide, out)
+
+
+def page_columns(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """``pages`` with page_text (no markup), page_lang (the root element's
+    declaration), page_host and page_suffix (its last label)."""
+    from codeloom.llm.url_filter import host_and_path
+
+    html = F.coalesce(pages[f"`{html_col}`"].cast("string"), F.lit(""))
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*+>", " ")
+    declared = F.nullif(F.regexp_extract(html, r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", 1), F.lit(""))
+    host = F.nullif(host_and_path(pages[f"`{url_col}`"].cast("string"))[0], F.lit(""))
+    return pages.withColumns({"page_text": F.regexp_replace(bare, r"&\w+;|&#\d+;", " "), "page_lang": declared,
+                              "page_host": host, "page_suffix": F.regexp_extract(host, r"([^.]+)$", 1)})

@@ -53,6 +53,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, declared_col="lang", host_col="source").drop("text")
 
 
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over ``pages``, with their markup's language, address
+    suffix and host as evidence."""
+    pages = language_id.page_columns(table(spark, sf_dir, "pages")).select("page_id", "page_text", "page_lang", "page_host", "page_suffix")
+    return language_id.identify(pages, "page_text", "page_lang", "page_host", "page_suffix").drop("page_text")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_fertility.judge(docs, tokenizer_path(PIECE_BPE)).drop("lang")
@@ -64,7 +71,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_toxicity, op4_decontamination, op5_suffix_dedup, op6_token_counts, op7_secret_scan, op8_language_id, op9_quality_rules, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_toxicity, op4_decontamination, op5_suffix_dedup, op6_token_counts, op7_secret_scan, op8_language_id, op9_quality_rules, op10_byte_bpe, page_language_id)}
 
 
 def oracles() -> dict[str, str]:

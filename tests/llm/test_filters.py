@@ -168,3 +168,13 @@ def test_address_suffix_is_evidence(spark):
     df = spark.createDataFrame(rows, "text string, declared string, host string, suffix string")
     got = language_id.identify(df, declared_col="declared", host_col="host", suffix_col="suffix", min_confidence=0.0).toPandas()
     assert got[got["host"] == "new.fr"].iloc[0]["language"] == "fr" and got[got["host"] == "new.uk"].iloc[0]["language"] == "en"
+
+
+def test_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = language_id.identify(language_id.page_columns(pages), "page_text", "page_lang", "page_host", "page_suffix").toPandas()
+    assert len(got) == 250 and got["accepted"].mean() > 0.95 and (got["language"] == got["page_lang"]).mean() > 0.9
+    odd = spark.createDataFrame([(1, None, None), (2, "x", "<p>hi"), (2, "http://A.Fr/x", "<HTML class=a lang='fr-CA'><script>if (a<b) x()</script>mot")], "page_id long, url string, html string")
+    r = language_id.page_columns(odd).collect()
+    assert [(x["page_text"].split(), x["page_lang"], x["page_host"], x["page_suffix"]) for x in r] == [
+        ([], None, None, None), (["hi"], None, None, None), (["mot"], "fr-CA", "a.fr", "fr")]
