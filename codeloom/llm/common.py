@@ -78,8 +78,10 @@ def unique_name(df: DataFrame, *wanted: str) -> list[str]:
 BROADCAST_ROWS = 50_000
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a grouped table whose rows are counted first: broadcast when few,
-    else a shuffled join, whose hot keys adaptive execution splits (``right``
-    must be a written table for that)."""
-    return left.join(F.broadcast(right) if right.count() <= limit else right, on, how)
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
+    """Join a grouped table whose rows, with the entries of its array ``items``,
+    are counted first: broadcast when few, else a shuffled join, whose hot keys
+    adaptive execution splits (``right`` must be a written table for that)."""
+    size = F.lit(1) + F.size(items) if items else F.lit(1)
+    few = (right.agg(F.sum(size)).first()[0] or 0) <= limit
+    return left.join(F.broadcast(right) if few else right, on, how)

@@ -24,7 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize
+from codeloom.llm.common import join_counted, materialize
+
+
+#: Blobs with findings and findings (some 100 bytes each) that may be broadcast.
+FINDINGS = 200_000
 
 
 def either_case(word: str) -> str:
@@ -114,7 +118,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, text_col: str = "
     found = materialize(spans(all_rows, rules), "secret-findings")
     keep = [c for c in versions.columns if c.lower() not in ("blob", "spans")]
     out = versions.select(*[versions[f"`{c}`"] for c in keep], blob_of(versions[f"`{text_col}`"]).alias("blob"))
-    return out.join(found, "blob", "left").select(*[F.col(f"`{c}`") for c in keep], "blob", "spans"), new
+    # few findings go to the texts; else both meet in a shuffle
+    return join_counted(out, found, ["blob"], "left", FINDINGS, "spans").select(*[F.col(f"`{c}`") for c in keep], "blob", "spans"), new
 
 
 def mask(text: Column, found: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import byte_bpe, decontaminate, language_id, secret_scan, simhash
-from codeloom.llm.common import materialize, scratch_path, table
+from codeloom.llm.common import join_counted, materialize, scratch_path, table
 from codeloom.llm.queries import BYTE_BPE, tokenizer_path
 
 
@@ -32,7 +32,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
     leaks = decontaminate.find_leaks(docs.select(key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key")
     bad = materialize(leaks.select("key").distinct(), "leaking-texts")
-    return docs.withColumn("key", key).join(bad, "key", "left_anti").select(*docs.columns)
+    return join_counted(docs.withColumn("key", key), bad, ["key"], "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
