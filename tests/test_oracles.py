@@ -12,7 +12,9 @@ FAST = ["line_metrics", "language_distribution", "upsert_fold", "patch_fold", "d
         "recent_24h", "semantic_topk", "semantic_topk_batch", "cosine_topk", "vector_stats", "hash_embed",
         "lang_by_alias", "lang_by_extension", "path_remap", "decode_policy", "json_roundtrip", "rolling_24h",
         "py_functions", "go_structs", "java_class_methods", "java_methods_regex", "java_fallback",
-        "analysis_record", "search_results_all", "function_name_search", "complexity_range"]
+        "analysis_record", "search_results_all", "function_name_search", "complexity_range",
+        "alert_related", "alert_result", "analysis_response", "search_dispatch", "scan_rejects", "analysis_errors",
+        "vector_upsert", "text_repr", "text_repr_200", "alerts_ingest_once", "continuous_analysis", "sql_functions"]
 
 
 @pytest.fixture(scope="module")
