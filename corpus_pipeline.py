@@ -30,7 +30,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Benchmark decontamination; documents that leak an item go (a document
     without an id is judged by its text, so it is searched under its digest)."""
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    leaks = decontaminate.find_leaks(docs.select(key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key")
+    leaks = decontaminate.find_leaks(docs.select(key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key", short_exact=True)
     bad = materialize(leaks.select("key").distinct(), "leaking-texts")
     return join_counted(docs.withColumn("key", key), bad, ["key"], "left_anti").select(*docs.columns)
 
