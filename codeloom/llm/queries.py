@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import byte_bpe, decontaminate, language_id, quality_fertility, secret_scan, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from codeloom.llm import byte_bpe, decontaminate, language_id, minhash, prefix_trie, quality_fertility, secret_scan, simhash, spelling, suffix_dedup, token_counts, toxicity, url_filter
 from codeloom.llm.common import table
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -70,9 +70,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, tokenizer_path(BYTE_BPE)).drop("text")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_toxicity, op4_decontamination, op5_suffix_dedup, op6_token_counts, op7_secret_scan, op8_language_id, op9_quality_rules, op10_byte_bpe, page_language_id)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_toxicity, op4_decontamination, op5_suffix_dedup, op6_token_counts, op7_secret_scan, op8_language_id, op9_quality_rules, op10_byte_bpe,
+                                     op11_minhash, op12_spelling, op13_conversation_trie, page_language_id)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.oracle_sql(), "op7_secret_scan": secret_scan.oracle_sql()}
+    return {"op2_url_filter": url_filter.oracle_sql(), "op7_secret_scan": secret_scan.oracle_sql(),
+            "op11_minhash": minhash.oracle_sql(), "op12_spelling": spelling.oracle_sql(), "op13_conversation_trie": prefix_trie.oracle_sql()}
