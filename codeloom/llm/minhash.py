@@ -13,11 +13,14 @@ Classes under one key are not paired with each other.  They are first compared
 with the smallest of their key, only the nearest such partner is confirmed on the
 full sets, and confirmed links make components; that joins a group of copies in
 one linear pass.  What is left are the keys whose classes lie in several
-components.  There each class outside the key's main component is compared with
-all that are in other components, in blocks of at most about ``BLOCK`` signatures
-that meet in pairs, and whatever lies within the distance is confirmed as well.
-So every link within the distance either is confirmed or lies inside a component
-already: components are those of all links.
+components.  Their classes, with their full sets, are put into blocks of bounded
+size (those that meet at one smallest class together, a main component's apart
+from the others); blocks that share such a key meet in pairs, blocks of one and
+the same component don't.  A pair of blocks takes all pairs of classes of
+different components within the distance, confirms them by products of 0/1
+matrices over the shared hashes, and emits a spanning forest of the links.  So
+every link within the distance either is confirmed or lies inside a component
+already, and nothing that is emitted grows with the square of a group.
 
 Confirming recomputes full sets from the texts of the classes concerned only.
 
@@ -39,14 +42,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.llm.common import bounded_batches, join_counted, materialize, mix64, row_groups, utf8_buffer
-from codeloom.llm.components import components
+from codeloom.llm.components import components, local_roots
 
 CHUNKS, WIDTH = 14, 5
 SYMBOLS = CHUNKS * WIDTH
 #: Differing symbols up to which no pair is missed.
 DISTANCE = 2 * CHUNKS - 1
-#: Signatures in one block of a key.
-BLOCK = 512
+#: Classes, and hashes of their sets (1 MB), in one block.
+BLOCK, BLOCK_HASHES = 512, 1 << 17
+#: Shared hashes that one matrix product covers.
+SLAB = 1 << 14
 _RNG = np.random.default_rng(11)
 _XOR, _MUL = _RNG.integers(0, 2**64, SYMBOLS, np.uint64), _RNG.integers(0, 2**64, SYMBOLS, np.uint64) | np.uint64(1)
 _PLACE = _RNG.integers(0, 2**64, (CHUNKS, WIDTH), np.uint64)
@@ -152,10 +157,9 @@ def _within(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return met.select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long, apart int")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """(a, b): the pairs (u, v) whose full sets are similar enough."""
-    nodes = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "minhash-concerned")
-    wanted = materialize(classes.join(nodes, "node").select("node", "first", "da", "db"), "minhash-wanted")
+def _full_sets(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(node, hashes) of these classes (node, first, da, db), from their texts."""
+    wanted = materialize(classes.select("node", "first", "da", "db"), "minhash-wanted")
     ids = wanted.select(F.col("first").alias("id")).distinct()
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     some = join_counted(src.filter("id is not null"), materialize(ids.filter("id is not null"), "minhash-ids"), ["id"], "left_semi").select("text")
@@ -168,8 +172,11 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
             yield pa.RecordBatch.from_arrays([pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["da", "db", "hashes"])
 
     found = some.mapInArrow(run, "da long, db long, hashes binary")
-    sets = materialize(join_counted(found, wanted.select("node", "da", "db"), ["da", "db"], "inner").select("node", "hashes").dropDuplicates(["node"]), "minhash-sets")
+    return materialize(join_counted(found, wanted.select("node", "da", "db"), ["da", "db"], "inner").select("node", "hashes").dropDuplicates(["node"]), "minhash-sets")
+
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs (u, v) whose full sets are similar enough."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
@@ -182,9 +189,9 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
 
     def side(x):
         return sets.select(F.col("node").alias(x), F.col("hashes").alias(f"set_{x}"))
-    bounded_batches(docs.sparkSession, 200)                    # pairs of whole sets
+    bounded_batches(pairs.sparkSession, 200)                   # pairs of whole sets
     out = materialize(pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(check, "a long, b long"), "minhash-links")
-    bounded_batches(docs.sparkSession)
+    bounded_batches(pairs.sparkSession)
     return out
 
 
@@ -193,39 +200,101 @@ def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(classes.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "minhash-components")
 
 
-def _rest(hits: DataFrame, labels: DataFrame, classes: DataFrame, block: int) -> DataFrame:
-    """(u, v): pairs under one key, in different components, within the distance."""
+def _mixed(hits: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, root, pivot) of the keys whose classes lie in several components."""
     rows = materialize(hits.join(labels, "node"), "minhash-rows")
-    mixed = materialize(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("root"))).alias("main"), F.count("*").alias("size"))
-                        .filter("lo <> hi").select("key", "main", "size"), "minhash-mixed")
-    blocks = F.ceil(F.col("size") / block)
-    parts = (rows.join(mixed, "key").withColumns({"minor": F.col("root") != F.col("main"), "part": F.pmod(F.xxhash64("node"), blocks).cast("int")})
-             .join(classes.select("node", "sig"), "node"))
-    cut = materialize(parts.groupBy("key", "minor", "part").agg(F.collect_list(F.struct("node", "root", "sig")).alias("members")), "minhash-blocks")
-    one = cut.filter("minor").select("key", F.col("part").alias("p"), F.col("members").alias("x"))
-    two = cut.select("key", "minor", F.col("part").alias("q"), F.col("members").alias("y"))
-    met = one.join(two, "key").filter("not minor or p <= q").select("x", "y")
+    keys = materialize(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "minhash-mixed")
+    return materialize(rows.join(keys, "key"), "minhash-left")
+
+
+def _block_links(left: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b): a spanning forest of the links between components among classes that share a key."""
+    nodes = left.groupBy("node").agg(F.min("root").alias("root"), F.min("pivot").alias("anchor"))
+    nodes = materialize(nodes.join(classes.select("node", "n", "sig"), "node").join(sets, "node"), "minhash-nodes")
+    main = nodes.groupBy("anchor").agg(F.min("root").alias("main"))
+    nodes = nodes.join(main, "anchor").withColumn("minor", F.col("root") != F.col("main"))
+    parts = nodes.groupBy("anchor", "minor").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_HASHES)).alias("parts"))
+    dealt = nodes.join(parts, ["anchor", "minor"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    blocks = materialize(dealt.groupBy("anchor", "minor", "part").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(F.struct("node", "root", "n", "sig", "hashes")).alias("members")).withColumn("block", F.monotonically_increasing_id()), "minhash-blocks")
+    at = blocks.select("block", F.explode("members.node").alias("node"))
+    keyed = materialize(left.select("key", "node").join(at, "node").select("key", "block").distinct(), "minhash-keyed")
+    ends = blocks.select("block", "lo", "hi")
+    pairs = keyed.withColumnRenamed("block", "x").join(keyed.withColumnRenamed("block", "y"), "key").filter("x <= y").select("x", "y").distinct()
+    pairs = (pairs.join(ends.toDF("x", "lo_x", "hi_x"), "x").join(ends.toDF("y", "lo_y", "hi_y"), "y")
+             .filter(~((F.col("lo_x") == F.col("hi_x")) & (F.col("lo_y") == F.col("hi_y")) & (F.col("lo_x") == F.col("lo_y")))).select("x", "y"))
+    data = blocks.select("block", "members")
+    met = (materialize(pairs, "minhash-block-pairs").join(data.toDF("x", "mx"), "x").join(data.toDF("y", "my"), "y").select("x", "y", "mx", "my"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for r in range(b.num_rows):
-                (nx, rx, sx), (ny, ry, sy) = (_members(b.column(c)[r].values) for c in (0, 1))
-                for i in range(0, len(nx), 64):
-                    close = (sx[i: i + 64, None, :] != sy[None, :, :]).sum(axis=2) <= DISTANCE
-                    p, q = np.nonzero(close & (rx[i: i + 64, None] != ry[None, :]))
-                    us.append(np.minimum(nx[i + p], ny[q]))
-                    vs.append(np.maximum(nx[i + p], ny[q]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
-
-    bounded_batches(hits.sparkSession, 16)                     # pairs of blocks, some 160 KB each
-    out = materialize(met.mapInArrow(run, "u long, v long").distinct(), "minhash-rest")
-    bounded_batches(hits.sparkSession)
+                same = b.column(0)[r].as_py() == b.column(1)[r].as_py()
+                x, y = (_Members(b.column(c)[r].values) for c in (2, 3))
+                u, v = linked(x, y, same, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
+
+    bounded_batches(left.sparkSession, 4)                      # pairs of blocks, some 2 MB each
+    out = materialize(met.mapInArrow(run, "a long, b long"), "minhash-block-links")
+    bounded_batches(left.sparkSession)
     return out
 
 
-def _members(s: pa.StructArray):
-    return s.field("node").to_numpy(), s.field("root").to_numpy(), _sigs(s.field("sig"))
+class _Members:
+    """A block's classes as arrays."""
+
+    def __init__(self, s: pa.StructArray):
+        self.node, self.root, self.n = (s.field(c).to_numpy() for c in ("node", "root", "n"))
+        self.sig = _sigs(s.field("sig"))
+        data, offs = utf8_buffer(s.field("hashes"))
+        self.hashes, self.offs = np.frombuffer(data.tobytes(), "<u8"), offs // 8
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of these rows, and the place in ``rows`` of each."""
+        n = self.n[rows]
+        return np.concatenate([self.hashes[self.offs[r]: self.offs[r + 1]] for r in rows]), np.repeat(np.arange(len(rows)), n)
+
+
+def shared_hashes(x: _Members, y: _Members, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``rows`` of x with ``cols`` of y."""
+    (hx, ix), (hy, iy) = x.of(rows), y.of(cols)
+    common = np.intersect1d(hx, hy)
+    out = np.zeros((len(rows), len(cols)), np.float32)
+    for k in range(0, len(common), SLAB):
+        slab = common[k: k + SLAB]
+
+        def ones(h, i, n):
+            at = np.minimum(np.searchsorted(slab, h), len(slab) - 1)
+            hit = slab[at] == h
+            m = np.zeros((n, len(slab)), np.float32)
+            m[i[hit], at[hit]] = 1
+            return m
+        out += ones(hx, ix, len(rows)) @ ones(hy, iy, len(cols)).T
+    return out.astype(np.int64)
+
+
+def linked(x: _Members, y: _Members, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between different components of two blocks."""
+    p, q = [], []
+    for i in range(0, len(x.node), 64):
+        a = slice(i, i + 64)
+        near = (x.sig[a, None, :] != y.sig[None, :, :]).sum(axis=2) <= DISTANCE
+        near &= (x.root[a, None] != y.root[None, :]) & (100 * np.minimum(x.n[a, None], y.n[None, :]) >= percent * np.maximum(x.n[a, None], y.n[None, :]))
+        if same:
+            near &= x.node[a, None] < y.node[None, :]
+        u, v = np.nonzero(near)
+        p.append(u + i)
+        q.append(v)
+    p, q = np.concatenate(p), np.concatenate(q)
+    if not len(p):
+        return p, q
+    (rows, ip), (cols, iq) = np.unique(p, return_inverse=True), np.unique(q, return_inverse=True)
+    both = shared_hashes(x, y, rows, cols)[ip, iq]
+    good = 100 * both >= percent * (x.n[p] + y.n[q] - both)
+    names, ends = np.unique(np.concatenate([x.node[p[good]], y.node[q[good]]]), return_inverse=True)
+    root = local_roots(len(names), *np.split(ends, 2))
+    child = np.flatnonzero(root != np.arange(len(names)))
+    return names[child], names[root[child]]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 85, block: int = BLOCK) -> DataFrame:
@@ -239,12 +308,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hits = materialize(join_counted(keys, shared, ["key"], "inner"), "minhash-hits")
 
     first = hits.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-    nearest = _within(first, classes, percent).groupBy("v").agg(F.min(F.struct("apart", "u")).alias("m")).select("m.u", "v")
-    nearest = materialize(nearest, "minhash-nearest")
-    links = _confirmed(nearest, classes, docs, id_col, text_col, shingle, percent)
-    labels = _labelled(classes, links)
-    rest = _within(_rest(hits, labels, classes, block), classes, percent).join(nearest, ["u", "v"], "left_anti")
-    more = _confirmed(materialize(rest, "minhash-candidates"), classes, docs, id_col, text_col, shingle, percent)
+    nearest = materialize(_within(first, classes, percent).groupBy("v").agg(F.min(F.struct("apart", "u")).alias("m")).select("m.u", "v"), "minhash-nearest")
+    concerned = materialize(nearest.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "minhash-concerned")
+    links = _confirmed(nearest, _full_sets(classes.join(concerned, "node"), docs, id_col, text_col, shingle), percent)
+    left = _mixed(hits, _labelled(classes, links))
+    concerned = materialize(left.select("node").distinct(), "minhash-concerned")
+    more = _block_links(left, classes, _full_sets(classes.join(concerned, "node"), docs, id_col, text_col, shingle), percent, block)
     labels = _labelled(classes, links.unionByName(more))
 
     named = materialize(classes.join(labels, "node").select("da", "db", "first", "root"), "minhash-named")
