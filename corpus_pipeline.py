@@ -2,7 +2,10 @@
 
 Each stage works on all that the one before it kept, is written as Parquet under
 the cluster's shared folder and reread, so a lost executor costs one stage's
-tasks at most.  The first four keep the columns of ``documents``."""
+tasks at most.  The first four keep the columns of ``documents``, whatever other
+columns there are and however they are named.  Null and empty texts are rejected
+by language identification; an empty table gives an empty table in every stage;
+of repeated rows, near-duplicate removal leaves one."""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import byte_bpe, decontaminate, language_id, secret_scan, simhash
-from codeloom.llm.common import join_counted, materialize, scratch_path, table
+from codeloom.llm.common import join_counted, materialize, scratch_path, table, unique_name
 from codeloom.llm.queries import BYTE_BPE, tokenizer_path
 
 
@@ -29,10 +32,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination; documents that leak an item go (a document
     without an id is judged by its text, so it is searched under its digest)."""
-    key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    leaks = decontaminate.find_leaks(docs.select(key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key", short_exact=True)
-    bad = materialize(leaks.select("key").distinct(), "leaking-texts")
-    return join_counted(docs.withColumn("key", key), bad, ["key"], "left_anti").select(*docs.columns)
+    own, = unique_name(docs, "key")
+    keyed = docs.withColumn(own, F.sha2(F.coalesce("text", F.lit("")), 256))
+    leaks = decontaminate.find_leaks(keyed.select(own, "text"), table(spark, sf_dir, "benchmark"), id_col=own)
+    bad = materialize(leaks.select(own).distinct(), "leaking-texts")
+    return join_counted(keyed, bad, [own], "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
