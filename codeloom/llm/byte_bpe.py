@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from codeloom.llm import ragged_bpe
-from codeloom.llm.common import bounded_batches, row_groups, utf8_buffer
+from codeloom.llm.common import bounded_batches, row_groups, unique_name, utf8_buffer
 
 # Raw code-point classes.
 LETTER, ONE, RV, EL, EE, NUMBER, SPACE, WHITE, APOSTROPHE, OTHER = range(10)
@@ -205,7 +205,7 @@ def _map(docs: DataFrame, path: str, text_col: str, new: list[tuple[str, T.DataT
     old = [f for f in docs.schema.fields if f.name.lower() not in {n.lower() for n in names}]
     keep = [f.name for f in old]
     out = T.StructType([*old, *(T.StructField(n, t) for n, t, _ in new)])
-    src = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text_col}`"].alias("__text"))
+    src = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text_col}`"].alias(*unique_name(docs, "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokeniser(path)
@@ -235,7 +235,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
     old = [f for f in docs.schema.fields if f.name.lower() not in {out_col.lower(), offsets_col.lower()}]
     keep = [f.name for f in old]
     out = T.StructType([*old, T.StructField(out_col, T.BinaryType()), T.StructField(offsets_col, T.ArrayType(T.LongType()))])
-    src = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{ids_col}`"].alias("__ids"))
+    src = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{ids_col}`"].alias(*unique_name(docs, "ids")))
 
     def run(batches):
         tok = tokeniser(path)

@@ -134,11 +134,9 @@ def identify(df: DataFrame, text_col: str = "text", declared_col: str | None = N
     bounded_batches(spark)
     new = ["language", "confidence", "accepted"]
     keep = [c for c in df.columns if c.lower() not in new]
-    tmp = dict(zip(("text", "declared", "host", "suffix"), ("__text", "__declared", "__host", "__suffix")))
-    if set(tmp.values()) & {c.lower() for c in keep}:
-        raise ValueError(f"column names {sorted(tmp.values())} are taken by this operator")
+    kept = [f"c{i}" for i in range(len(keep))]                 # under way, so that no name clashes
     null = F.lit(None).cast("string")
-    rows = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text_col}`"].alias("__text"),
+    rows = df.select(*[df[f"`{c}`"].alias(k) for c, k in zip(keep, kept)], df[f"`{text_col}`"].alias("__text"),
                      (_declared(df[f"`{declared_col}`"], languages) if declared_col else F.lit(-1)).alias("__declared"),
                      (df[f"`{host_col}`"].cast("string") if host_col else null).alias("__host"),
                      (df[f"`{suffix_col}`"].cast("string") if suffix_col else null).alias("__suffix"))
@@ -198,12 +196,12 @@ def identify(df: DataFrame, text_col: str = "text", declared_col: str | None = N
                 none = letters == 0
                 lang[i:j][none], conf[i:j][none] = n, 0.0
             names = np.array([*languages, UNDETERMINED], object)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names[lang], pa.string()), pa.array(conf),
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names[lang], pa.string()), pa.array(conf),
                                               pa.array((lang < n) & (conf >= min_confidence))], names=[*keep, *new])
 
     types = {f.name: f for f in df.schema.fields}
     out = T.StructType([*(types[c] for c in keep), T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
-    return joined.select(*[F.col(f"`{c}`") for c in keep], "__text", "__declared", "__host_mass", "__suffix_mass").mapInArrow(decide, out)
+    return joined.select(*kept, "__text", "__declared", "__host_mass", "__suffix_mass").mapInArrow(decide, out)
 
 
 def page_columns(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:

@@ -2,16 +2,23 @@
 
 Fingerprints (64 bits, majority over the XXH64 values of all word shingles,
 repeats included) are first grouped: a group of copies is one class.  Distinct
-fingerprints are range-partitioned and sorted by their Gray rank (the position
-in reflected Gray order, where neighbours share long bit patterns) and cut into
-blocks.  A block keeps the bits that all its members share (``ones`` set,
-``zeros`` unset in all); nodes above factor out what their blocks share, level
-by level, by prefix of the Gray rank.  The self-join goes down this tree from
-the pair (root, root): shared differing bits accumulate, and a pair of nodes is
-dropped with all below it as soon as they exceed the limit.  Surviving pairs of
-blocks meet in one task, which goes on in the same way with leaves of 64
-fingerprints, compares what is left bit by bit, and emits a spanning forest
-instead of all pairs.  So no link is lost, and a dense group of n fingerprints
+fingerprints are indexed once for each of ``max_bits`` + 1 ranges of bits, rotated
+so that the range leads: of those ranges two fingerprints within ``max_bits`` bits
+agree fully in one, so each index only has to join what shares its leading range.
+
+An index is range-partitioned and sorted by Gray rank (the position in reflected
+Gray order, where neighbours share long bit patterns; its leading bits number the
+leading range) and cut into blocks: of whole groups of an equal range, or, where
+a group is larger than a block or lies at a partition's end, of one group.  A block
+keeps the bits that all its members share (``ones`` set, ``zeros`` unset in all);
+nodes above factor out what their blocks share, level by level, by prefix of the
+Gray rank.  Blocks of whole groups are joined with themselves.  The blocks of one
+group are joined down this tree from the pair (group, group): shared differing bits
+accumulate, and a pair of nodes is dropped with all below it as soon as they exceed
+the limit.  Surviving pairs of blocks meet in one task, which goes on in the same
+way with leaves of 64 fingerprints, compares what is left bit by bit, and emits a
+spanning forest instead of all pairs.  So no link is lost, pairs of blocks grow with
+the blocks and not with their square, and a dense group of n fingerprints
 gives n links per task, not n squared.
 
 Defined results: null, empty or blank texts have fingerprint zero, linked like
@@ -30,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.llm.common import bounded_batches, materialize, row_groups, utf8_buffer
+from codeloom.llm.common import bounded_batches, materialize, row_groups, unique_name, utf8_buffer
 from codeloom.llm.components import components, local_roots
 
 LEAF, FAN_BITS = 64, 5
@@ -72,7 +79,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3, out_
     bounded_batches(docs.sparkSession)
     old = [f for f in docs.schema.fields if f.name != text_col and f.name.lower() != out_col]
     keep = [f.name for f in old]
-    src = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text_col}`"].alias("__text"))
+    src = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text_col}`"].alias(*unique_name(docs, "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,25 +100,60 @@ def gray_rank(code):
     return code.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _blocks(codes: DataFrame, n: int, size: int) -> DataFrame:
-    """Blocks of Gray-ordered codes: first rank (its key), shared bits, codes."""
+def _rotated(code, by: int):
+    return F.shiftleft(code, by).bitwiseOR(F.shiftrightunsigned(code, 64 - by)) if by else code
+
+
+def _blocks(codes: DataFrame, n: int, size: int, ranges: int) -> DataFrame:
+    """Blocks of Gray-ordered codes of every index (``turn``): first rank, the
+    group if it is the only one (``part``), shared bits, codes."""
+    width = 64 // ranges
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 2), np.int64)
+        held, begun = np.zeros((0, 3), np.int64), False        # turn, rank, code; the first group has begun before
+
+        def emit(x, part):
+            c = x[:, 2].copy()
+            top = int(x[0, 1] >> (64 - width))
+            return pa.RecordBatch.from_arrays([pa.array(x[:1, 0]), pa.array(x[:1, 1]), pa.array([top if part else None], pa.int64()), pa.array([np.bitwise_and.reduce(c)], pa.int64()),
+                                               pa.array([np.bitwise_and.reduce(~c)], pa.int64()), pa.array([c.astype("<i8").tobytes()], pa.binary())],
+                                              names=["turn", "rank", "part", "ones", "zeros", "codes"])
 
-        def emit(x):
-            c = x[:, 1].copy()
-            return pa.RecordBatch.from_arrays([pa.array(x[:1, 0]), pa.array([np.bitwise_and.reduce(c)], pa.int64()), pa.array([np.bitwise_and.reduce(~c)], pa.int64()),
-                                               pa.array([c.astype("<i8").tobytes()], pa.binary())], names=["block", "ones", "zeros", "codes"])
+        def pieces(x):
+            return (emit(x[k: k + size], True) for k in range(0, len(x), size))
+
+        first = True
         for b in batches:
-            held = np.concatenate([held, np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)])
-            while len(held) >= size:
-                yield emit(held[:size])
-                held = held[size:]
+            held = np.concatenate([held, np.stack([b.column(k).to_numpy() for k in range(3)], axis=1)])
+            if not len(held):
+                continue
+            top = held[:, 1] >> (64 - width)
+            ends = (np.flatnonzero((top[1:] != top[:-1]) | (held[1:, 0] != held[:-1, 0])) + 1).tolist()
+            a = start = 0                                      # of the open block, of the group
+            for z in ends:
+                alone = first or begun or z - start > size
+                if alone or z - a > size or held[a, 0] != held[start, 0]:
+                    if start > a:
+                        yield emit(held[a:start], False)
+                    a = start
+                if alone:
+                    yield from pieces(held[start:z])
+                    a = z
+                first = begun = False
+                start = z
+            if start > a:
+                yield emit(held[a:start], False)
+            held = held[start:]
+            while len(held) > size:                            # a group larger than a block
+                yield emit(held[:size], True)
+                held, begun = held[size:], True
         if len(held):
-            yield emit(held)
+            yield from pieces(held)
 
-    return (codes.select(gray_rank(F.col("fp")).alias("rank"), "fp").repartitionByRange(max(1, -(-n // (8 * size))), "rank")
-            .sortWithinPartitions("rank").mapInArrow(cut, "block long, ones long, zeros long, codes binary"))
+    turns = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), _rotated(F.col("fp"), k * width).alias("code")) for k in range(ranges)]))
+    rows = codes.select(turns.alias("t")).select("t.turn", gray_rank(F.col("t.code")).alias("rank"), "t.code")
+    return (rows.repartitionByRange(max(1, -(-n * ranges // (8 * size))), "turn", "rank").sortWithinPartitions("turn", "rank")
+            .mapInArrow(cut, "turn long, rank long, part long, ones long, zeros long, codes binary").withColumn("block", F.monotonically_increasing_id()))
 
 
 def _differ():
@@ -119,36 +161,40 @@ def _differ():
     return F.bit_count(F.col("a.ones").bitwiseAND(F.col("b.zeros")).bitwiseOR(F.col("a.zeros").bitwiseAND(F.col("b.ones"))))
 
 
-def block_pairs(blocks: DataFrame, n_blocks: int, limit: int) -> DataFrame:
-    """(a, b) with a <= b: blocks that the descent through the tree leaves."""
-    depth = FAN_BITS * max(1, -(-max(n_blocks - 1, 1).bit_length() // FAN_BITS))
-    unsigned = F.col("block").bitwiseXOR(F.lit(-(1 << 63)))
-    nodes = blocks.select("block", "ones", "zeros")
-
-    def level(bits):                                           # nodes of that many leading rank bits
-        own = F.shiftrightunsigned(unsigned, 64 - bits) if bits else F.lit(0).cast("long")
-        up = F.shiftrightunsigned(unsigned, 64 - bits + FAN_BITS) if bits > FAN_BITS else F.lit(0).cast("long")
-        return nodes.groupBy(own.alias("node"), up.alias("up")).agg(F.expr("bit_and(ones)").alias("ones"), F.expr("bit_and(zeros)").alias("zeros"))
-
+def block_pairs(blocks: DataFrame, limit: int, ranges: int) -> DataFrame:
+    """(x, y): each block with itself, and of the blocks of one group those pairs
+    that the descent through the tree leaves."""
+    width = 64 // ranges
+    alone = blocks.select(F.col("block").alias("x"), F.col("block").alias("y"))
+    parts = blocks.filter("part is not null").select("block", "turn", "ones", "zeros", F.col("rank").bitwiseXOR(F.lit(-(1 << 63))).alias("rank"))
+    most = parts.groupBy("turn", F.shiftrightunsigned("rank", 64 - width)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most < 2:
+        return alone
+    depth = width + FAN_BITS * max(1, -(-(most - 1).bit_length() // FAN_BITS))
     pairs = None
-    for bits in [*range(FAN_BITS, depth + 1, FAN_BITS), None]:
-        if bits is None:                                       # last level: the blocks
-            up = F.shiftrightunsigned(unsigned, 64 - depth)
-            x = nodes.select(F.col("block").alias("node"), up.alias("up"), "ones", "zeros")
+    for bits in [*range(width + FAN_BITS, depth + 1, FAN_BITS), None]:
+        if bits is None or bits > 64:                          # last level: the blocks
+            x = parts.select(F.col("block").alias("node"), "turn", F.shiftrightunsigned("rank", 64 - min(depth, 64)).alias("up"), "ones", "zeros")
         else:
-            x = level(bits)
+            x = (parts.groupBy("turn", F.shiftrightunsigned("rank", 64 - bits).alias("node"), F.shiftrightunsigned("rank", 64 - bits + FAN_BITS).alias("up"))
+                 .agg(F.expr("bit_and(ones)").alias("ones"), F.expr("bit_and(zeros)").alias("zeros")))
         a, b = x.alias("a"), x.alias("b")
-        if pairs is None:
-            j = a.join(b, F.col("a.up") == F.col("b.up"))      # the children of the root
+        if pairs is None:                                      # the children of a group
+            j = a.join(b, (F.col("a.turn") == F.col("b.turn")) & (F.col("a.up") == F.col("b.up")))
         else:
-            j = pairs.alias("p").join(a, F.col("p.x") == F.col("a.up")).join(b, F.col("p.y") == F.col("b.up"))
-        pairs = j.filter((F.col("a.node") <= F.col("b.node")) | (F.col("a.up") < F.col("b.up"))).filter(_differ() <= limit).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
-    return pairs
+            j = (pairs.alias("p").join(a, (F.col("p.turn") == F.col("a.turn")) & (F.col("p.x") == F.col("a.up")))
+                 .join(b, (F.col("p.turn") == F.col("b.turn")) & (F.col("p.y") == F.col("b.up"))))
+        once = (F.col("a.node") <= F.col("b.node")) | (F.col("a.up") < F.col("b.up"))
+        pairs = j.filter(once).filter(_differ() <= limit).select("a.turn", F.col("a.node").alias("x"), F.col("b.node").alias("y"))
+        if bits is None or bits > 64:
+            break
+    return alone.unionByName(pairs.filter("x <> y").select("x", "y"))
 
 
-def near(a: np.ndarray, b: np.ndarray, limit: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def near(a: np.ndarray, b: np.ndarray, limit: int, same: bool, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (codes of either end) of the pairs of a and b within
-    ``limit`` bits; both are in Gray order."""
+    ``limit`` bits that agree in their leading ``width`` bits; both are in Gray
+    order, and two different blocks are of one group."""
     def leaves(x):
         pad = np.concatenate([x, np.full(-len(x) % LEAF, x[-1], np.uint64)]).reshape(-1, LEAF)
         return pad, np.bitwise_and.reduce(pad, axis=1), np.bitwise_and.reduce(~pad, axis=1)
@@ -157,6 +203,9 @@ def near(a: np.ndarray, b: np.ndarray, limit: int, same: bool) -> tuple[np.ndarr
     i, j = np.nonzero(apart <= limit)
     if same:
         i, j = i[i <= j], j[i <= j]
+        top = pa_ >> np.uint64(64 - width) if width else np.zeros_like(pa_)
+        share = (i == j) | (top[i, -1] == top[j, 0])           # a group goes on from leaf i to leaf j
+        i, j = i[share], j[share]
     root = np.arange(len(a) if same else len(a) + len(b))
     us, vs, held = [], [], 0
     for k in range(0, len(i), 256):
@@ -180,19 +229,21 @@ def near(a: np.ndarray, b: np.ndarray, limit: int, same: bool) -> tuple[np.ndarr
 def links(codes: DataFrame, max_bits: int = 3, block: int = BLOCK) -> DataFrame:
     """(a, b): links between distinct fingerprints (column ``fp`` of ``codes``)
     with the same components as all links of at most ``max_bits`` bits."""
-    n = codes.count()
-    blocks = materialize(_blocks(codes, n, block), "gray-blocks")
-    pairs = materialize(block_pairs(blocks, blocks.count(), max_bits), "gray-pairs")
-    data = blocks.select("block", "codes")
-    met = (pairs.join(data.withColumnRenamed("codes", "ca"), F.col("x") == F.col("block")).drop("block")
-           .join(data.withColumnRenamed("codes", "cb"), F.col("y") == F.col("block")).select("x", "y", "ca", "cb"))
+    ranges = max_bits + 1
+    width = 64 // ranges
+    blocks = materialize(_blocks(codes, codes.count(), block, ranges), "gray-blocks")
+    pairs = materialize(block_pairs(blocks, max_bits, ranges), "gray-pairs")
+    data = blocks.select("block", "turn", "codes")
+    met = (pairs.join(data.toDF("x", "turn", "ca"), "x").join(data.drop("turn").toDF("y", "cb"), "y").select("x", "y", "ca", "cb", "turn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 x, y = (np.frombuffer(b.column(c)[r].as_py(), "<i8").view(np.uint64) for c in (2, 3))
-                u, v = near(x, y, max_bits, b.column(0)[r].as_py() == b.column(1)[r].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["a", "b"])
+                back = np.uint64(b.column(4)[r].as_py() * width)
+                out = near(x, y, max_bits, b.column(0)[r].as_py() == b.column(1)[r].as_py(), width)
+                u, v = (((c >> back) | (c << (np.uint64(64) - back)) if back else c).view(np.int64) for c in out)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
 
     bounded_batches(codes.sparkSession, 64)                    # pairs of blocks, 128 KB each
     out = materialize(met.mapInArrow(run, "a long, b long"), "simhash-links")
@@ -226,4 +277,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = components_of(fps.withColumnRenamed("__id", "id"), "id", max_bits).select("fp", "root")
     first = F.min(F.struct(F.col("__id").isNull().alias("z"), "__id", "__key"))
     stays = materialize(fps.join(found, "fp").groupBy("root").agg(first.alias("m")).select("m.__key"), "simhash-stays")
-    return docs.withColumn("__key", key).join(stays, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    own, = unique_name(docs, "key")
+    return docs.withColumn(own, key).join(stays.toDF(own), own, "left_semi").dropDuplicates([own]).drop(own)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from codeloom.llm import ragged_bpe
-from codeloom.llm.common import bounded_batches, row_groups, utf8_buffer
+from codeloom.llm.common import bounded_batches, row_groups, unique_name, utf8_buffer
 
 MARK = "▁"  # stands for a space
 CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -125,7 +125,7 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", limit: int
     old = [f for f in docs.schema.fields if f.name.lower() not in names]
     keep = [f.name for f in old]
     out = T.StructType([*old, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
-    src = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text_col}`"].alias("__text"))
+    src = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text_col}`"].alias(*unique_name(docs, "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)

@@ -2,14 +2,15 @@
 
 Features are the presence of hashed character n-grams (UTF-8 bytes, ASCII
 lower-cased, white space runs as one space).  Over all labelled training rows,
-document counts of each n-gram by class give smoothed log-count ratios; the
-``features`` n-grams with the greatest z-score of that ratio are kept, and each
-feature's value is its ratio.  A logistic regression over the scaled features is
+document counts of each n-gram by class give smoothed log-count ratios; every
+n-gram whose ratio is at least ``z_min`` standard errors from zero is a feature,
+however many those are, and each feature's value is its ratio.  (All n-grams that
+occur, without that test, score worse on held-out rows: see the README.)  A logistic regression over the scaled features is
 fitted on about ``fit_rows`` labelled rows (the documented bound; those whose
 ids hash below the share that it is of all), and scores every whole text.
 
 Counts are summed in tasks before Spark sums the tasks'; the model's size is
-fixed by ``bits`` and ``features``.
+bounded by ``bits``.
 
 Defined results: null and empty texts have no feature and get the score of the
 intercept; labels of rows without a text, unlabelled rows and null labels teach
@@ -28,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.llm.common import bounded_batches, join_counted, materialize, row_groups, utf8_buffer
+from codeloom.llm.common import bounded_batches, join_counted, materialize, row_groups, unique_name, utf8_buffer
 
 SIZES = (4, 5, 6)
 BITS = 20
-FEATURES, FIT_ROWS = 4096, 20_000
+Z_MIN, FIT_ROWS = 3.0, 20_000
 LABEL_ROWS = 500_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -79,7 +80,7 @@ def document_grams(data: np.ndarray, offs: np.ndarray, sizes=SIZES, bits: int =
     return rows[out], buckets[out]
 
 
-def count_ratios(train: DataFrame, bits: int, features: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+def count_ratios(train: DataFrame, bits: int, z_min: float) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Buckets and log-count ratios of the kept features, rows of either class."""
     size = 1 << bits
 
@@ -105,7 +106,7 @@ def count_ratios(train: DataFrame, bits: int, features: int) -> tuple[np.ndarray
     a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
     ratio = F.log(a / (n1 + 1.0)) - F.log(b / (n0 + 1.0))
     z = F.abs(ratio) / F.sqrt(1 / a + 1 / b)
-    top = sums.filter("bucket >= 0").select("bucket", ratio.alias("r"), z.alias("z")).orderBy(F.desc("z"), "bucket").limit(features).toPandas()
+    top = sums.filter("bucket >= 0").select("bucket", ratio.alias("r"), z.alias("z")).filter(F.col("z") >= z_min).select("bucket", "r").toPandas()
     top = top.sort_values("bucket")
     return top["bucket"].to_numpy(np.int64), top["r"].to_numpy(float), n0, n1
 
@@ -140,13 +141,13 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.nda
     return w[:-1], float(w[-1])
 
 
-def score(docs: DataFrame, labelled: DataFrame, text_col: str = "text", bits: int = BITS, features: int = FEATURES, fit_rows: int = FIT_ROWS) -> DataFrame:
+def score(docs: DataFrame, labelled: DataFrame, text_col: str = "text", bits: int = BITS, z_min: float = Z_MIN, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``docs`` without its text, with score.  ``labelled``: (id, text, y), each
     labelled text with its class 0 or 1; ``id`` only orders the fitted rows."""
     spark = docs.sparkSession
     bounded_batches(spark)
     train = labelled.filter("text is not null and y is not null").select("id", "text", F.col("y").cast("int").alias("y"))
-    buckets, ratios, n0, n1 = count_ratios(train, bits, features)
+    buckets, ratios, n0, n1 = count_ratios(train, bits, z_min)
     weights, bias = np.zeros(len(buckets)), float(np.log((n1 + 1e-9) / (n0 + 1e-9))) if n0 + n1 else -30.0
     slot = np.full(1 << bits, -1, np.int32)
     slot[buckets] = np.arange(len(buckets))
@@ -158,19 +159,19 @@ def score(docs: DataFrame, labelled: DataFrame, text_col: str = "text", bits: in
                 for i, j in row_groups(offs):
                     r, f = _kept(data[offs[i]: offs[j]], offs[i: j + 1] - offs[i], slots.value, bits)
                     at = np.searchsorted(r, np.arange(j - i + 1))
-                    yield pa.RecordBatch.from_arrays([pa.array([f[x:y].astype("<i2").tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary()),
+                    yield pa.RecordBatch.from_arrays([pa.array([f[x:y].astype("<i4").tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary()),
                                                       b.column(1).slice(i, j - i)], names=["f", "y"])
         share = min(1.0, fit_rows / (n0 + n1))
         chosen = train.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
         got = chosen.select("text", "y").mapInArrow(vectors, "f binary, y int").toPandas()
-        hits = [np.frombuffer(f, "<i2").astype(np.int64) for f in got["f"]]
+        hits = [np.frombuffer(f, "<i4") for f in got["f"]]
         rows = np.repeat(np.arange(len(hits)), [len(f) for f in hits])
         cols = np.concatenate(hits)
         weights, bias = fit_logistic(rows, cols, ratios[cols], got["y"].to_numpy(float), len(buckets))
     model = spark.sparkContext.broadcast((weights * ratios, bias))
     old = [f for f in docs.schema.fields if f.name != text_col and f.name.lower() != "score"]
     keep = [f.name for f in old]
-    src = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text_col}`"].alias("__text"))
+    src = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text_col}`"].alias(*unique_name(docs, "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, c = model.value

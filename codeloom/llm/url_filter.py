@@ -2,7 +2,7 @@
 
 Address rules judge first.  The addresses that they allow and block train two
 variable-order Markov models of the characters of ``host + path`` (ASCII
-lower-cased, every digit as 0, padded at both ends): Witten-Bell smoothing mixes
+lower-cased, padded at both ends): Witten-Bell smoothing mixes
 each context of up to ``order`` characters with its shorter ones, down to a
 uniform distribution.  Every other address gets the verdict of its
 log-likelihood difference over its length against a threshold calibrated on the
@@ -29,7 +29,6 @@ ALLOW, BLOCK = "allow", "block"
 #: (host and path, verdict)
 RULES = (("com/", ALLOW), ("example.com/en/", BLOCK), ("www.example.com/en/", ALLOW), ("net/es/", BLOCK), ("net/fr/", BLOCK))
 START, END = "\x02", "\x03"
-DIGITS = "123456789"
 
 
 def host_and_path(url):
@@ -85,23 +84,24 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, order: int = 4) -
     """``pages`` with host, path, rule, verdict and score (null where no model)."""
     new = ["host", "path", "rule", "verdict", "score"]
     keep = [c for c in pages.columns if c.lower() not in new]
+    kept = [f"c{i}" for i in range(len(keep))]                 # under way, so that no name clashes
+    old = [F.col(k).alias(c) for c, k in zip(keep, kept)]
     host, path = host_and_path(pages[f"`{url_col}`"].cast("string"))
-    x = pages.select(*[pages[f"`{c}`"] for c in keep], host.alias("host"), path.alias("path"))
+    x = pages.select(*[pages[f"`{c}`"].alias(k) for c, k in zip(keep, kept)], host.alias("host"), path.alias("path"))
     rule, says = fitting_rule(F.col("host"), F.col("path"), rules)
-    s = F.translate(F.concat("host", ascii_lower(F.col("path"))), DIGITS, "0" * len(DIGITS))
-    x = x.withColumns({"rule": rule, "__says": says, "__s": s})
+    x = x.withColumns({"rule": rule, "__says": says, "__s": F.concat("host", ascii_lower(F.col("path")))})
     address = materialize(x.groupBy("__s").agg(F.sum((F.col("__says") == ALLOW).cast("long")).alias("n_allow"), F.sum((F.col("__says") == BLOCK).cast("long")).alias("n_block"))
                           .select("__s", F.coalesce("n_allow", F.lit(0)).alias("__allow"), F.coalesce("n_block", F.lit(0)).alias("__block")), "url-addresses")
     llr = ngram_ratios(address, order)
     if llr is None:
-        return x.select(*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", F.coalesce("__says", F.lit(ALLOW)).alias("verdict"), F.lit(None).cast("double").alias("score"))
+        return x.select(*old, "host", "path", "rule", F.coalesce("__says", F.lit(ALLOW)).alias("verdict"), F.lit(None).cast("double").alias("score"))
     parts = address.select("__s", F.explode(_grams(F.col("__s"), order)).alias("gram"))
     score = materialize(join_counted(parts, llr, ["gram"], "inner").groupBy("__s").agg(F.avg("llr").alias("score")), "url-scores")
     stats = (address.join(score, "__s").select("score", F.explode(F.array(F.struct(F.lit(1).alias("allow"), F.col("__allow").alias("n")), F.struct(F.lit(0).alias("allow"), F.col("__block").alias("n")))).alias("c"))
              .groupBy("c.allow").agg(F.sum("c.n").alias("n"), F.sum(F.col("c.n") * F.col("score")).alias("s"), F.sum(F.col("c.n") * F.col("score") * F.col("score")).alias("q")))
     cut = threshold({r["allow"]: (r["n"], r["s"], r["q"]) for r in stats.collect()})
     verdict = F.coalesce("__says", F.when(F.col("score") >= cut, ALLOW).otherwise(BLOCK))
-    return x.join(score, "__s", "left").select(*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", verdict.alias("verdict"), "score")
+    return x.join(score, "__s", "left").select(*old, "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def threshold(stats: dict[int, tuple[float, float, float]]) -> float:
@@ -136,7 +136,7 @@ WITH a1 AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, ins
 a2 AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h0 FROM a1),
 a3 AS (SELECT page_id, {lower.format('h0')} AS host, regexp_extract(substr(rest, length(h0) + 1), '^[^?#]*') AS path FROM a2),
 a4 AS (SELECT *, CASE {' '.join(fits)} END AS rule, CASE {' '.join(says)} END AS says,
-  translate(host || {lower.format('path')}, '{DIGITS}', '{'0' * len(DIGITS)}') AS s FROM a3),
+  host || {lower.format('path')} AS s FROM a3),
 addr AS (SELECT s, count(*) FILTER (says = '{ALLOW}') AS al, count(*) FILTER (says = '{BLOCK}') AS bl FROM a4 GROUP BY s),
 parts AS (SELECT s, al, bl, substr(repeat(chr(2), {order}) || s || chr(3), i, {order + 1}) AS gram
   FROM (SELECT s, al, bl, unnest(generate_series(1, length(s) + 1)) AS i FROM addr)),
