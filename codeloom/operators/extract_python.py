@@ -50,10 +50,45 @@ def headers(p: DataFrame) -> DataFrame:
     ends = (u.select("file_path", "idx", "is_hdr", nearest.over(wu).alias("nc"))
              .where(F.col("is_hdr") == 1).select("file_path", "idx", F.col("nc.k").alias("end_ll_idx"),
                                                   F.col("nc.e").alias("blk_end")))
-    h = hdrs.join(ends, ["file_path", "idx"])
+    h = hdrs.join(ends, ["file_path", "idx"]).join(_cases_within(ends, case_clauses(ll)), ["file_path", "idx"], "left")
     return h.withColumn("blk_end", F.coalesce("blk_end", "file_end")), ll
 
 
+def case_clauses(ll: DataFrame) -> DataFrame:
+    """(file_path, idx) of the logical lines that open a clause of a ``match``
+    statement.  ``case`` is a soft keyword: a line that starts with it is a clause
+    only if the nearest line above with a smaller indent is a ``match`` header.
+
+    Like block ends, that is a window per ``(file, level)``: the levels are the
+    indents of the ``match`` bodies of a file (none in most files), a ``match``
+    header opens its level, and any other line with a smaller indent closes it."""
+    w = Window.partitionBy("file_path").orderBy("idx")
+    x = ll.select("file_path", "idx", "text", "indent", F.lead("prv1").over(w).alias("ends_in"),
+                  F.lead("text").over(w).alias("then"), F.lead("indent").over(w).alias("body"))
+    header = (F.col("text") == "match") & (F.col("ends_in") == ":") & (F.col("then") == "case") & (F.col("body") > F.col("indent"))
+    x = x.withColumn("body", F.when(header, F.col("body")))
+    levels = F.collect_set("body").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    u = x.withColumn("levels", levels).select("file_path", "idx", "text", "indent", "body", F.explode(
+        F.filter("levels", lambda v: v >= F.col("indent"))).alias("lvl"))
+    opened = F.when(F.col("body") == F.col("lvl"), 1).when(F.col("indent") < F.col("lvl"), 0)
+    wl = Window.partitionBy("file_path", "lvl").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    return (u.withColumn("inside", F.last(opened, ignorenulls=True).over(wl))
+             .where((F.col("text") == "case") & (F.col("indent") == F.col("lvl")) & (F.col("inside") == 1)).select("file_path", "idx"))
+
+
+def _cases_within(ends: DataFrame, cases: DataFrame) -> DataFrame:
+    """(file_path, idx, n_cases): clauses inside each header's block — how many
+    there are before its end less how many before its start, both read from one
+    running count over blocks' ends and clauses."""
+    bounds = F.explode(F.array(F.struct(F.col("idx").alias("at"), F.lit(-1).alias("sign")),
+                               F.struct(F.coalesce("end_ll_idx", F.lit(2**31 - 1)).alias("at"), F.lit(1).alias("sign"))))
+    events = (ends.select("file_path", "idx", bounds.alias("b")).select("file_path", "idx", "b.at", "b.sign", F.lit(0).alias("clause"))
+              .unionByName(cases.select("file_path", F.lit(None).cast("int").alias("idx"), F.col("idx").alias("at"), F.lit(None).cast("int").alias("sign"), F.lit(1).alias("clause"))))
+    w = Window.partitionBy("file_path").orderBy("at", "clause").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (events.withColumn("before", F.sum("clause").over(w)).where("sign is not null")
+                  .groupBy("file_path", "idx").agg(F.sum(F.col("sign") * F.col("before")).alias("n_cases")))
+
+
 def functions(p: DataFrame, files_masked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All ``def``s (top level, nested, methods) and all classes, flat rows."""
     return split_definitions(definitions(p, files_masked))
@@ -72,7 +107,7 @@ def definitions(p: DataFrame, files_masked: DataFrame) -> DataFrame:
     paren = F.when(is_async, F.col("t3")).otherwise(F.col("t2"))
     body_start = F.col("colon.nxt_off")
     start_dec = F.col("cum_dec") - F.col("dec")
-    cplx = (F.lit(1) + F.col("blk_end.cum_dec") - start_dec).cast("int")
+    cplx = (F.lit(1) + F.col("blk_end.cum_dec") - start_dec + F.coalesce("n_cases", F.lit(0))).cast("int")
     decorated = F.col("prev_ll_text") == "@"
     base = h.select("file_path", "htype", "idx", "indent", "line", "bcol", "char_off",
                     name.alias("nm"), paren.alias("pr"), body_start.alias("body_start"), "blk_end",

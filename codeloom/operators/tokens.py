@@ -134,8 +134,8 @@ def tokenize(files: DataFrame, num_partitions: int | None = None) -> tuple[DataF
     punct = F.col("kind") == "punct"
     t = F.col("text")
     dec_words = _by_language(F.col("language"), DECISIONS, lambda v: F.array(*[F.lit(x) for x in v]))
-    # Python's ``case`` is a soft keyword: it is decided once logical lines are
-    # known (below); every other decision word counts here.
+    # Python's ``case`` is a soft keyword: whether it opens a clause depends on the
+    # block it stands in (extract_python.case_clauses); all other words count here.
     py_case = (F.col("language") == "python") & (t == "case")
     is_f = (F.col("language") == "python") & (F.col("kind") == "str") & t.rlike("^[rRbBuU]?[fF][rR]?[\"']")
     dec = (F.when((F.col("kind") == "word") & F.array_contains(dec_words, t) & ~py_case, 1)
@@ -150,8 +150,7 @@ def tokenize(files: DataFrame, num_partitions: int | None = None) -> tuple[DataF
         F.sum(F.when(punct & (t == "("), 1).when(punct & (t == ")"), -1).otherwise(0)).over(inc).alias("pdepth"),
         F.sum(a_delta).over(inc).alias("adepth"),
         a_delta.alias("adelta"),
-        dec.alias("dec0"),
-        ((F.col("kind") == "word") & py_case).alias("py_case"),
+        dec.alias("dec"),
     )
     # Line starts: just after the latest newline before the token — in its own
     # trivia, else in an earlier piece (running max over earlier pieces).
@@ -166,12 +165,9 @@ def tokenize(files: DataFrame, num_partitions: int | None = None) -> tuple[DataF
     own_b = F.when(F.col("tnls") > 0, F.col("byte_off") - after_b(F.col("tr")))
     ll_brk = F.when(F.col("brk") & ((F.col("adepth") - F.col("adelta")) == 0), 1).otherwise(0)
     ll_start = (F.col("idx") == 0) | (ll_brk == 1)
-    # ``case`` counts as a match-statement clause only when it starts a logical line.
-    dec = F.col("dec0") + F.when(F.col("py_case") & ll_start, 1).otherwise(0)
     tok = tok.select(
         "*",
-        dec.alias("dec"),
-        F.sum(dec).over(inc).alias("cum_dec"),
+        F.sum("dec").over(inc).alias("cum_dec"),
         F.coalesce(own_c, F.max(last_nl_c).over(prev), F.lit(0)).alias("__lsc"),
         F.coalesce(own_b, F.max(last_nl_b).over(prev), F.lit(0)).alias("__lsb"),
         # Python logical lines: a newline at bracket depth 0 starts a new one.
@@ -231,6 +227,8 @@ def with_context(s: DataFrame) -> DataFrame:
                  _struct(["idx", "line", "bcol", "char_off"]))
     t = F.col("text")
     bad_str = (F.col("kind") == "str") & ((F.length(t) < 2) | (F.substring(t, -1, 1) != F.substring(t, 1, 1)))
+    opens = (F.col("kind") == "punct") & t.isin("{", "(", "[")
+    misnested = opens & F.coalesce(F.col("close.adepth") + 1 != F.col("adepth"), F.lit(True))
     return c.select("*", F.last(F.when(stmt_start, F.col("text")), ignorenulls=True).over(run).alias("stmt"),
                     F.sum(stmt_start.cast("int")).over(run).alias("stmt_no"),
                     F.last(group("import"), ignorenulls=True).over(run).alias("imp_grp"),
@@ -238,24 +236,75 @@ def with_context(s: DataFrame) -> DataFrame:
                     F.last(seg, ignorenulls=True).over(run).alias("decl_start"),
                     # File-level balance facts (E22 routing), one value per file.
                     ((F.min("bdepth").over(whole) >= 0) & (F.min("pdepth").over(whole) >= 0)
-                     & (F.last("bdepth").over(whole) == 0) & (F.last("pdepth").over(whole) == 0)
-                     & (F.max(bad_str.cast("int")).over(whole) == 0)).alias("file_balanced"))
-
-
-def relevant(s: DataFrame) -> DataFrame:
+                     & (F.last("bdepth").over(whole) == 0) & (F.last("adepth").over(whole) == 0) & (F.last("pdepth").over(whole) == 0)
+                     & (F.max((bad_str | misnested | java_misfit()).cast("int")).over(whole) == 0)).alias("file_balanced"))
+
+
+# Java words after which an expression may start, words that a
+# parenthesis must follow, and words that none of ``= ) ] , .`` can follow.
+BEFORE_LITERAL = ["return", "case", "throw", "assert", "yield", "else", "do", "default", "when"]
+BEFORE_PARENTHESIS = ["if", "while", "for", "switch", "catch"]
+BEFORE_OPERAND = ["return", "throw", "new", "case", "import", "package", "extends", "implements", "throws"]
+
+
+def java_misfit() -> Column:
+    """A token that cannot stand after the one before it in any Java text,
+    judged from the token and its two predecessors.
+
+    A file's verdict is the maximum over its rows, so partial results of parts
+    of a file compose; no parse tree is built.  Every rule is a pair that no
+    production allows (an operator without its right operand, an empty argument,
+    two operands side by side, a statement word without what must follow it);
+    pairs that some construct allows, such as ``, }`` in an array or ``, ;`` in an
+    enumeration, are let through."""
+    t, p, q = F.col("text"), F.col("prv1"), F.coalesce(F.col("prv2"), F.lit(""))
+    word, lit_t = F.col("kind") == "word", F.col("kind") == "str"
+    number = lambda c: c.rlike("^[0-9]")
+    after_word, after_str = F.col("pkind1") == "word", F.col("pkind1") == "str"
+    after_literal = after_str | (after_word & number(p))
+    literal = lit_t | (word & number(t))
+    closes = t.isin(";", ")", "]", "}")
+    rules = [
+        (p == "=") & (closes | (t == ",")),
+        (p == ".") & (closes | t.isin(",", "=")) & ~number(q),
+        (p == ",") & t.isin(")", "]", ","),
+        (p == "(") & t.isin(",", "]", "}"),
+        (p == "(") & (t == ";") & (q != "for"),
+        (p == "(") & (t == ")") & q.isin(*BEFORE_PARENTHESIS),
+        (p == "[") & t.isin(";", ",", ")", "}"),
+        p.isin("/", "%", "^", "&", "|", "!", "~", "<", "?") & closes,
+        (p == "*") & t.isin(")", "]", "}"),
+        p.isin("+", "-") & closes & (q != p),
+        after_literal & (literal | (word & (t != "instanceof"))),
+        after_word & ~number(p) & ~p.isin(*BEFORE_LITERAL) & literal,
+        after_word & p.isin(*BEFORE_PARENTHESIS) & (t != "("),
+        after_word & p.isin(*BEFORE_OPERAND) & t.isin("=", ")", "]", ",", "."),
+        after_word & p.isin("class", "interface", "enum") & t.isin("{", "(", "=") & (q != "."),
+    ]
+    bad = rules[0]
+    for r in rules[1:]:
+        bad = bad | r
+    return (F.col("language") == "java") & F.coalesce(bad, F.lit(False))
+
+
+def relevant(s: DataFrame, words: list[str] | None = None) -> DataFrame:
     """Keep only the token rows some extractor reads (all their window-derived
     columns are already computed over the full stream): logical-line starts,
     import statements, depth-0 colons, braces and semicolons, string literals,
-    ``name(`` candidates, ``… struct`` names and the declaration keywords.
+    ``name(`` candidates, ``… struct`` names, what follows type parameters and the
+    declaration keywords (``words`` adds those of languages given as rules).
     The materialised token table is then a fraction of the token stream."""
     t = F.col("text")
     keep = (F.col("ll_start")
             | F.col("stmt").isin("import", "from")
             | ((t == ":") & (F.col("adepth") == 0))
-            | ((F.col("kind") == "word") & t.isin("def", "class", "async", "func", "type", "import"))
+            | ((F.col("kind") == "word") & t.isin("def", "class", "async", "func", "type", "import", *(words or [])))
             | ((F.col("kind") == "punct") & t.isin("{", ";"))
             | (F.col("kind") == "str")
-            | ((F.col("kind") == "word") & F.col("t1.text").isin("(", "struct")))
+            | ((F.col("kind") == "word") & F.col("t1.text").isin("(", "struct"))
+            | ((t == "(") & F.col("prv1").isin("]", ">"))
+            | ((t == "struct") & (F.col("prv1") == "]"))
+            | ((F.col("language") == "go") & (F.col("bdepth") == 0) & (F.col("kind") == "word") & (F.col("t1.text") == "[")))
     return s.where(keep)
 
 
@@ -273,17 +322,19 @@ def next_in_subset(df: DataFrame, anchor: Column, target: Column, name: str, fie
 
 
 def match_brackets(sig: DataFrame) -> DataFrame:
-    """Add ``close`` (struct of the matching close token) to every ``{`` and ``(``."""
+    """Add ``close`` (struct of the matching close token) to every ``{``, ``(`` and ``[``."""
     t = F.col("text")
-    fam = F.when(t.isin("{", "}"), "{").when(t.isin("(", ")"), "(")
+    fam = F.when(t.isin("{", "}"), "{").when(t.isin("(", ")"), "(").when(t.isin("[", "]"), "[")
+    sdepth = F.col("adepth") - F.col("bdepth") - F.col("pdepth")
     lvl = (F.when(t == "{", F.col("bdepth")).when(t == "}", F.col("bdepth") + 1)
-             .when(t == "(", F.col("pdepth")).when(t == ")", F.col("pdepth") + 1))
+             .when(t == "(", F.col("pdepth")).when(t == ")", F.col("pdepth") + 1)
+             .when(t == "[", sdepth).when(t == "]", sdepth + 1))
     s = sig.withColumn("__fam", F.when(F.col("kind") == "punct", fam)).withColumn("__lvl", lvl)
     w = Window.partitionBy("file_path", "__fam", "__lvl").orderBy("idx")
     nxt = F.lead(F.struct(F.col("idx").alias("idx"), F.col("text").alias("text"),
                           F.col("char_off").alias("char_off"), F.col("char_end").alias("char_end"),
                           F.col("end_line").alias("end_line"), F.col("end_bcol").alias("end_bcol"),
-                          F.col("cum_dec").alias("cum_dec"))).over(w)
-    is_open = (F.col("kind") == "punct") & t.isin("{", "(")
-    closing = F.when(is_open & (nxt.getField("text") == F.when(t == "{", "}").otherwise(")")), nxt)
+                          F.col("cum_dec").alias("cum_dec"), F.col("adepth").alias("adepth"))).over(w)
+    is_open = (F.col("kind") == "punct") & t.isin("{", "(", "[")
+    closing = F.when(is_open & (nxt.getField("text") == F.translate(t, "{([", "})]")), nxt)
     return s.withColumn("close", closing).drop("__fam", "__lvl")
