@@ -185,10 +185,11 @@ def regex_records(files: DataFrame) -> DataFrame:
 
 
 def with_flat_columns(analysis: DataFrame) -> DataFrame:
-    """The table as it is stored: counts and function names as flat columns."""
+    """The table as it is stored: counts, function names and places as flat columns."""
     return analysis.withColumns({
         **{f"n_{c}": F.size(c) for c in ("functions", "classes", "structs", "imports")},
-        "function_names": F.transform("functions", lambda f: f["name"])})
+        "function_names": F.transform("functions", lambda f: f["name"]),
+        "function_heads": F.transform("functions", lambda f: F.struct(f["name"].alias("name"), f["position"].alias("position")))})
 
 
 def summary(analysis: DataFrame, by_language: bool = False) -> DataFrame:

@@ -1,10 +1,18 @@
 """The line-oriented Java fallback path.
 
-Per line (``posexplode(split(content, '\\n'))``): method, class and import
-patterns, and the block-comment state machine as a window.  Patterns are
-linear rewrites (possessive / look-behind) of the fallback's patterns, so a
-200 KB line cannot exhaust the JVM stack.  ``(?U)`` gives ``\\w``/``\\s`` the
-Unicode meaning the fallback's patterns have.
+Lines are cut into tokens (words, runs of white space, single other characters),
+one row each, and declarations are recognised from a token's neighbours by
+windows over its line:
+
+* a method body's ``{`` comes after a parameter list, or after ``throws`` and
+  whatever follows it up to the brace; the list's ``(`` comes after a name that
+  has white space before it;
+* a class body's ``{`` comes after a word ending in ``class``, a name, and an
+  ``extends`` name and an ``implements`` clause if there are any.
+
+Imports are matched as text.  Nothing backtracks, so a line of any length is read
+in one pass.  ``(?U)`` gives ``\\w``/``\\s`` their Unicode meaning.  The
+block-comment state machine of M5 is a window over the lines.
 """
 
 from __future__ import annotations
@@ -12,8 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-METHOD_RE = r"(?U)(?<=\s)(\w++)\s*+\([^)]*+\)\s*+(?:throws\s++[^{]++)?\{"
-CLASS_RE = r"(?U)class\s++(\w++)(?:\s++extends\s++\w++)?(?:\s++implements\s++[^{]++)?\s*+\{"
+TOKEN = r"(?U)\w+|\s+|[^\w\s]"
 # the word, white space, then whatever is not a semicolon up to the first one;
 # a leading ``static`` is part of the text, its presence is read from the line
 IMPORT_RE = r"(?U)import\s++([^;]++);"
@@ -51,30 +58,80 @@ def _matches(ln: DataFrame, rx: str) -> DataFrame:
                     F.col("z.g").alias("g"), (before + F.length("z.p")).alias("m_start"))
 
 
+def _line_tokens(files: DataFrame) -> DataFrame:
+    """(file_path, line_no, line, k, tok, off, space, word, brace): the tokens of
+    every line, and the first opening brace after each, as (k, end)."""
+    t = lines(files).select("file_path", "line_no", "line", F.posexplode(F.regexp_extract_all("line", F.lit(TOKEN), 0)).alias("k", "tok"))
+    w = Window.partitionBy("file_path", "line_no").orderBy("k")
+    size = F.length("tok")
+    t = t.withColumns({"off": F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)) - size,
+                       "space": F.col("tok").rlike(r"^(?U:\s)"), "word": F.col("tok").rlike(r"^(?U:\w)")})
+    here = F.when(F.col("tok") == "{", F.struct("k", (F.col("off") + 1).alias("end")))
+    return t.withColumn("brace", F.first(here, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+
+
+def _token(i: int) -> Column:
+    """The token ``i`` places further on its line (or back, if negative)."""
+    w = Window.partitionBy("file_path", "line_no").orderBy("k")
+    cols = F.struct("tok", "space", "word", "off")
+    return F.lead(cols, i).over(w) if i > 0 else F.lag(cols, -i).over(w)
+
+
+def _first_of_each_body(found: DataFrame) -> DataFrame:
+    """Of candidates that end at the same brace the leftmost, with ``piece``: the
+    text between the declaration before it on the line and itself."""
+    w = Window.partitionBy("file_path", "line_no").orderBy("start")
+    one = found.groupBy("file_path", "line_no", "end").agg(F.min_by(F.struct("start", "name", "line"), "start").alias("m")).select("file_path", "line_no", "end", "m.*")
+    before = F.coalesce(F.lag("end").over(w), F.lit(0))
+    return one.withColumn("piece", F.substr("line", before + 1, F.col("start") - before))
+
+
 def methods(files: DataFrame) -> DataFrame:
-    """Start column = the leftmost point the fallback's pattern can start
-    from: inside the trailing run of word/space characters before the name, the
-    first whitespace or modifier-word run followed by whitespace."""
-    m = _matches(lines(files), METHOD_RE).where(~F.col("g").isin(*SKIP_NAMES))
+    """Start column = the leftmost point a declaration can start from: inside
+    the trailing run of word/space characters before the name, the first white
+    space or modifier-word run followed by white space."""
+    t = _line_tokens(files)
+    w = Window.partitionBy("file_path", "line_no").orderBy("k")
+    t = t.withColumns({f"b{i}": _token(-i) for i in (1, 2, 3)} | {f"a{i}": _token(i) for i in (1, 2, 3, 4, 5)})
+    # after a list's end: the brace at once, or ``throws``, white space and something, then the next brace
+    gap = F.coalesce(F.col("a1.space"), F.lit(False))
+    n1, n2, n3 = (F.when(gap, F.col(f"a{i + 1}")).otherwise(F.col(f"a{i}")) for i in (1, 2, 3))
+    throws = (n1["tok"] == "throws") & n2["space"] & (n3["tok"] != "{")
+    body = F.when((F.col("tok") == ")") & ((n1["tok"] == "{") | throws), F.col("brace.end"))
+    ends = F.first(F.when(F.col("tok") == ")", F.struct(body.alias("end"))), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    spaced = F.coalesce(F.col("b1.space"), F.lit(False))
+    name, before = F.when(spaced, F.col("b2")).otherwise(F.col("b1")), F.when(spaced, F.col("b3")).otherwise(F.col("b2"))
+    found = (t.select("file_path", "line_no", "line", "tok", name.alias("nm"), before.alias("bf"), ends["end"].alias("end"))
+              .where((F.col("tok") == "(") & F.col("nm.word") & F.col("bf.space") & F.col("end").isNotNull())
+              .select("file_path", "line_no", "line", F.col("nm.tok").alias("name"), F.col("nm.off").alias("start"), "end"))
+    m = _first_of_each_body(found).where(~F.col("name").isin(*SKIP_NAMES))
     run = F.regexp_extract("piece", r"(?U)[\w\s]*+$", 0)
     lead_len = F.length(F.regexp_extract(run, rf"(?U)^([\s\S]*?)(?=\s|(?:{METHOD_MODS})++\s)", 1))
-    start = F.length("piece") - F.length(run) + lead_len
-    return m.select("file_path", F.col("g").alias("name"), F.col("line_no").alias("start_line"),
-                    (F.col("m_start") - F.length("piece") + start).cast("int").alias("start_column"),
-                    F.col("line_no").alias("end_line"),
-                    (F.col("m_start") + F.length("m")).cast("int").alias("end_column"),
-                    F.lit(1).alias("complexity"))
+    return m.select("file_path", "name", F.col("line_no").alias("start_line"),
+                    (F.col("start") - F.length(run) + lead_len).cast("int").alias("start_column"),
+                    F.col("line_no").alias("end_line"), F.col("end").cast("int").alias("end_column"), F.lit(1).alias("complexity"))
 
 
 def classes(files: DataFrame) -> DataFrame:
     """Start column = start of the modifier/space run right before ``class``."""
-    m = _matches(lines(files), CLASS_RE)
+    t = _line_tokens(files)
+    t = t.withColumns({f"a{i}": _token(i) for i in range(1, 11)})
+    at = lambda i: F.col(f"a{i}")
+
+    def opens(i):                                              # the body's brace is token i, or i + 1 after white space
+        return (at(i)["tok"] == "{") | (at(i)["space"] & (at(min(i + 1, 10))["tok"] == "{"))
+
+    def implements(i):                                         # white space, the word, white space, something
+        return at(i)["space"] & (at(i + 1)["tok"] == "implements") & at(i + 2)["space"] & (at(i + 3)["tok"] != "{")
+    extends = at(3)["space"] & (at(4)["tok"] == "extends") & at(5)["space"] & at(6)["word"]
+    body = opens(3) | implements(3) | (extends & (opens(7) | implements(7)))
+    c = t.where(F.col("tok").endswith("class") & F.col("word") & at(1)["space"] & at(2)["word"] & body & F.col("brace").isNotNull()).select(
+        "file_path", "line_no", "line", at(2)["tok"].alias("name"), (F.col("off") + F.length("tok") - 5).alias("start"), F.col("brace.end").alias("end"))
+    m = _first_of_each_body(c)
     run = F.regexp_extract("piece", rf"(?U)(?:{CLASS_MODS}|\s)*+$", 0)
-    return m.select("file_path", F.col("g").alias("name"), F.col("line_no").alias("start_line"),
-                    (F.col("m_start") - F.length(run)).cast("int").alias("start_column"),
-                    F.col("line_no").alias("end_line"),
-                    (F.col("m_start") + F.length("m")).cast("int").alias("end_column"),
-                    F.lit(1).alias("complexity"))
+    return m.select("file_path", "name", F.col("line_no").alias("start_line"),
+                    (F.col("start") - F.length(run)).cast("int").alias("start_column"),
+                    F.col("line_no").alias("end_line"), F.col("end").cast("int").alias("end_column"), F.lit(1).alias("complexity"))
 
 
 def imports(files: DataFrame) -> DataFrame:

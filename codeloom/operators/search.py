@@ -71,10 +71,12 @@ def complexity_range(analysis: DataFrame, min_complexity: float | None = None,
 
 def function_name_search(analysis: DataFrame, name: str, top_k: int = 5) -> DataFrame:
     """Case-insensitive substring over function names, one row per matching
-    function, first k in (file_path, position) order, with ``matched_function``."""
+    function, first k in (file_path, position) order, with ``matched_function``
+    (its name and position).  Over a stored table only the flat heads are read."""
     needle = name.lower()
-    hits = analysis.select("*", F.explode(F.filter("functions", lambda f: F.lower(f["name"]).contains(needle)))
-                           .alias("matched_function"))
+    stored = "function_heads" in analysis.columns            # names and places without bodies
+    heads = F.col("function_heads") if stored else F.transform("functions", lambda f: F.struct(f["name"].alias("name"), f["position"].alias("position")))
+    hits = analysis.select("*", F.explode(F.filter(heads, lambda f: F.lower(f["name"]).contains(needle))).alias("matched_function"))
     return hits.orderBy("file_path", "matched_function.position.start_line",
                         "matched_function.position.start_column").limit(top_k)
 

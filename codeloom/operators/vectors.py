@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
@@ -42,32 +43,38 @@ def token_bucket(tok: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
 
 
-def _bucket_counts(df: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
-    """(id, bucket, n), a null bucket for a text without tokens.  Texts stay where
-    they are: at most ``dim`` counts of a text go through the shuffle."""
-    toks = df.select(F.col(id_col).alias("__id"), F.explode_outer(
-        F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\w+"), 0)).alias("tok"))
-    return toks.groupBy("__id", token_bucket(F.col("tok"), dim).alias("bucket")).agg(F.count("tok").alias("n"))
+def bucket_counts(text: Column, dim: int) -> Column:
+    """How many tokens of the text fall into each of ``dim`` buckets, as an array,
+    within the row: the buckets are sorted with one sentinel for each number, and
+    the distance of two sentinels is the count between them."""
+    toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\w+"), 0)
+    numbers = F.sequence(F.lit(0), F.lit(dim))
+    marked = F.array_sort(F.concat(F.transform(toks, lambda t: token_bucket(t, dim)), numbers))
+    places = F.transform(numbers, lambda i: F.array_position(marked, i))
+    return F.transform(F.slice(places, 1, dim), lambda p, i: F.element_at(places, i + 2) - p - 1)
+
+
+def _counted(df: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
+    """(id, counts, norm); neither texts nor counts leave their row."""
+    c = df.select(F.col(id_col).alias("id"), bucket_counts(F.col(text_col), dim).alias("counts"))
+    norm = F.sqrt(F.aggregate("counts", F.lit(0).cast("long"), lambda acc, n: acc + n * n).cast("double"))
+    return c.withColumn("norm", norm)
 
 
 def hash_embed_sparse(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """V2 default model: hashed bag of lowercase ``\\w+`` tokens, L2-normalised.
 
-    Returns the non-zero entries ``(id, bucket, weight)``."""
-    counts = _bucket_counts(df, id_col, text_col, dim).where(F.col("bucket").isNotNull())
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("__id")))
-    return counts.select(F.col("__id").alias(id_col), "bucket", (F.col("n") / norm).alias("weight"))
+    Returns the non-zero entries ``(id, bucket, weight)``, at most ``dim`` a row."""
+    rows = _counted(df, id_col, text_col, dim).select("id", "norm", F.posexplode("counts").alias("bucket", "n"))
+    return rows.where("n > 0").select(F.col("id").alias(id_col), "bucket", (F.col("n") / F.col("norm")).alias("weight"))
 
 
 def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
-    """Dense form ``(id, embedding ARRAY<FLOAT>)`` of :func:`hash_embed_sparse`;
-    texts without tokens get a zero vector."""
-    m = (_bucket_counts(df, id_col, text_col, dim).groupBy("__id")
-         .agg(F.map_from_entries(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "n")))).alias("m"),
-              F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("m"), i) / F.nullif("norm", F.lit(0)), F.lit(0.0)).cast("float"))
-    return m.select(F.col("__id").alias(id_col), dense.alias("embedding"))
+    """Dense form ``(id, embedding ARRAY<FLOAT>)`` of :func:`hash_embed_sparse`, one
+    row for each of ``df``; texts without tokens get a zero vector.  A plain
+    projection: no row is multiplied, nothing is exchanged."""
+    dense = F.transform("counts", lambda n: F.coalesce(n / F.nullif(F.col("norm"), F.lit(0.0)), F.lit(0.0)).cast("float"))
+    return _counted(df, id_col, text_col, dim).select(F.col("id").alias(id_col), dense.alias("embedding"))
 
 
 def build_index(vectors: DataFrame, dim: int, id_col: str = "id", emb_col: str = "embedding",
@@ -138,10 +145,10 @@ def topk_single(index: DataFrame, query_vec: list[float], k: int = 5, id_col: st
 
 def _block_topk(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Per query row: positions and scores of its first k vectors by
-    (score desc, id asc).  A matrix product finds all vectors that may be among
+    (score desc, id asc); ``ids`` are the positions in the order of the ids.  A matrix product finds all vectors that may be among
     them; their scores are then summed in index order, as the single-query path
     does, and rounded alike."""
-    order = np.argsort(ids, kind="stable")                     # ties go by id
+    order = ids                                                # ties go by id
     rough = q @ v[order].T
     k = min(k, rough.shape[1])
     bound = 1e-9 * (1 + np.abs(rough).max(initial=0))
@@ -168,28 +175,30 @@ def topk_batch(spark: SparkSession, queries: DataFrame, index: DataFrame, k: int
     has ``block`` squared entries, whatever the size of either side, and it
     emits k rows per query.  A window over the query id, limited map-side,
     merges the blocks' candidates.  Nothing passes through the driver but two
-    counts; ids keep their type.  Ties: score (rounded) desc, id asc."""
+    counts; ids keep their type, and a vector without an id comes first among
+    equals.  Ties: score (rounded) desc, id asc."""
     nq, nv = max(1, -(-queries.count() // block)), max(1, -(-index.count() // block))
     q = queries.select(F.col(qid_col).alias("qid"), F.col(qemb_col).alias("e"))
     v = index.select(F.col(id_col).alias("id"), F.col(emb_col).alias("e"))
     qt, vt = q.schema["qid"].dataType, v.schema["id"].dataType
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    ql = q.select(F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("qb"), every(nv, "vb"), "qid", F.lit(None).cast(vt).alias("id"), "e")
-    vl = v.select(every(nq, "qb"), F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("vb"), F.lit(None).cast(qt).alias("qid"), "id", "e")
+    ql = q.select(F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("qb"), every(nv, "vb"), F.lit(True).alias("is_query"), "qid", F.lit(None).cast(vt).alias("id"), "e")
+    vl = v.select(every(nq, "qb"), F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("vb"), F.lit(False).alias("is_query"), F.lit(None).cast(qt).alias("qid"), "id", "e")
     out = StructType([StructField("qid", qt), StructField("id", vt), StructField("similarity_score", DoubleType())])
 
     def meet(t: pa.Table) -> pa.Table:
-        is_q = t.column("id").is_null().to_numpy()
+        is_q = np.asarray(t.column("is_query").to_numpy(), bool)
         at_q, at_v = np.flatnonzero(is_q), np.flatnonzero(~is_q)
         empty = pa.table({"qid": t.column("qid").slice(0, 0), "id": t.column("id").slice(0, 0), "similarity_score": pa.array([], pa.float64())})
         if not len(at_q) or not len(at_v):
             return empty
         e = np.stack([np.asarray(x, dtype=np.float64) for x in t.column("e").to_numpy()])
         ids = t.column("id").take(pa.array(at_v))
-        pair, score = _block_topk(e[at_q], e[at_v], ids.to_numpy(), k)
+        by_id = pc.sort_indices(ids, null_placement="at_start").to_numpy().astype(np.int64)   # as Spark sorts
+        pair, score = _block_topk(e[at_q], e[at_v], by_id, k)
         return pa.table({"qid": t.column("qid").take(pa.array(at_q[pair[0]])), "id": ids.take(pa.array(pair[1])), "similarity_score": pa.array(score)})
 
-    cand = ql.unionByName(vl.filter("id is not null")).groupBy("qb", "vb").applyInArrow(meet, out)
+    cand = ql.unionByName(vl).groupBy("qb", "vb").applyInArrow(meet, out)
     w = Window.partitionBy("qid").orderBy(F.col("similarity_score").desc(), F.col("id"))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -250,7 +250,7 @@ _BUILT: dict = {}
 def analysis_table(spark, sf_dir):
     """The stored table of this corpus, built when there is none for these very
     rows yet (their checksum tells, so changed data are analysed anew)."""
-    rows = code_files(spark, sf_dir).agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "k").cast("decimal(38,0)"))).first()
+    rows = code_files(spark, sf_dir).agg(F.count(F.lit(1)), F.sum(F.xxhash64("file_path", "language", "content", "created_at").cast("decimal(38,0)"))).first()
     key = (spark.sparkContext.applicationId, sf_dir, *rows)
     if key not in _BUILT:
         _BUILT[key] = build_analysis_table(spark, sf_dir)

@@ -6,7 +6,8 @@
 * R2 enrichment: ranking windows are not allowed on a stream, so each
   micro-batch runs the batch top-k (V6) inside ``foreachBatch``.
 * R4 continuous analysis: manifests arrive as files; each micro-batch runs the
-  extraction and appends records to the analysis log.
+  extraction and appends records to the analysis log, or folds them into the
+  versioned table (``continuous_table``), rewriting the key buckets it touches.
 * R5 rolling activity: sliding ``window(ts, '24 hours', '1 hour')`` counts with
   a watermark, append mode (a window is emitted once it can no longer change).
 
@@ -98,3 +99,23 @@ def continuous_analysis(spark: SparkSession, src_dir: str, schema: StructType, s
     raw = spark.readStream.schema(schema).parquet(src_dir)
     return (raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start())
+
+
+def continuous_table(spark: SparkSession, src_dir: str, schema: StructType, table: str, checkpoint: str, buckets: int = 64):
+    """R4 + T1: files(file_path, language, content, op, ts, seq) arriving as Parquet,
+    analysed and folded into the snapshot table ``table``.  ``op`` is put or delete;
+    a batch that is run again after a failure finds itself committed or starts over."""
+    from ..operators import snapshots
+    from ..operators.analysis import analyse, with_flat_columns
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # of a file that comes several times in a batch, its latest content counts
+        last = batch.groupBy("file_path").agg(F.max_by(F.struct("language", "content", "op", "ts", "seq"), F.struct("ts", "seq")).alias("r")).select("file_path", "r.*")
+        rec = with_flat_columns(analyse(last.where("op = 'put'").select("file_path", "language", "content")))
+        payload = [c for c in rec.columns if c != "file_path"]
+        log = last.select("file_path", "op", "ts", "seq", F.col("ts").alias("created_hint")).join(rec, "file_path", "left")
+        snapshots.apply_log(batch.sparkSession, table, log, "file_path", payload, [], batch_id, buckets=buckets)
+
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src_dir)
+    return (raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+               .trigger(availableNow=True).start())
