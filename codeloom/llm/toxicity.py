@@ -118,27 +118,48 @@ def _kept(data, offs, slot, bits):
     return rows[f >= 0], f[f >= 0]
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, n_features: int, ridge: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated gradient steps (sparse triplets)."""
-    n = len(y)
-    w, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
-    v[-1] = w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
-    # a bound of the curvature by some power steps
-    p = np.ones(n_features + 1)
-    for _ in range(15):
-        q = np.bincount(rows, vals * p[cols], n) + p[-1]
-        p = np.append(np.bincount(cols, vals * q[rows], n_features), q.sum())
-        top = np.linalg.norm(p)
-        p /= top
-    rate, t = 1 / (0.25 * top * 1.1 + ridge), 1.0
-    for _ in range(steps):
-        m = np.bincount(rows, vals * v[cols], n) + v[-1]
-        e = 1 / (1 + np.exp(-np.clip(m, -50, 50))) - y
-        g = np.append(np.bincount(cols, vals * e[rows], n_features) + ridge * v[:-1], e.sum())
-        new = v - rate * g
+def fit_logistic(features: list[np.ndarray], ratios: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 300, piece: int = 1 << 20) -> tuple[np.ndarray, float]:
+    """Weights and intercept by accelerated gradient steps, until they change by
+    less than a thousandth in ten.  ``features``: those of each row, whose values
+    are their ratios.  Rows are gone through in pieces, so beside the features
+    themselves (4 bytes each) memory holds one piece."""
+    n, none = len(y), len(ratios)
+    size = np.array([len(f) + 1 for f in features])            # one absent feature more: no row is empty
+    ends = np.cumsum(size)
+    cuts = [0, *(np.searchsorted(ends, np.arange(piece, ends[-1] + piece, piece), side="left") + 1).clip(max=n).tolist()]
+    pieces = []
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            pieces.append((np.concatenate([x for f in features[a:b] for x in (f, [none])]).astype(np.int32), np.cumsum(size[a:b]) - size[a:b], slice(a, b)))
+    values = np.append(ratios, 0.0)
+
+    def forward(w):
+        scaled = values * w
+        return np.concatenate([np.add.reduceat(scaled[c], s) for c, s, _ in pieces])
+
+    def back(e):
+        return values * sum(np.bincount(c, np.repeat(e[r], size[r]), none + 1) for c, _, r in pieces)
+
+    w, v = np.zeros(none + 1), np.zeros(none + 1)
+    bias = bias_v = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+    p, p_bias, top = np.ones(none + 1), 1.0, 1.0               # a bound of the curvature by some power steps
+    for _ in range(10):
+        q = forward(p) + p_bias
+        p, p_bias = back(q), q.sum()
+        top = float(np.sqrt((p * p).sum() + p_bias ** 2))
+        p, p_bias = p / top, p_bias / top
+    rate, t, before = 1 / (0.25 * top * 1.2 + ridge), 1.0, None
+    for k in range(steps):
+        e = 1 / (1 + np.exp(-np.clip(forward(v) + bias_v, -50, 50))) - y
+        new, new_bias = v - rate * (back(e) + ridge * v), bias_v - rate * e.sum()
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, w, t = new + (t - 1) / s * (new - w), new, s
-    return w[:-1], float(w[-1])
+        v, bias_v = new + (t - 1) / s * (new - w), new_bias + (t - 1) / s * (new_bias - bias)
+        w, bias, t = new, new_bias, s
+        if k % 10 == 9:
+            if before is not None and np.linalg.norm(w - before) < 1e-3 * np.linalg.norm(w):
+                break
+            before = w
+    return w[:-1], float(bias)
 
 
 def score(docs: DataFrame, labelled: DataFrame, text_col: str = "text", bits: int = BITS, z_min: float = Z_MIN, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -164,10 +185,7 @@ def score(docs: DataFrame, labelled: DataFrame, text_col: str = "text", bits: in
         share = min(1.0, fit_rows / (n0 + n1))
         chosen = train.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
         got = chosen.select("text", "y").mapInArrow(vectors, "f binary, y int").toPandas()
-        hits = [np.frombuffer(f, "<i4") for f in got["f"]]
-        rows = np.repeat(np.arange(len(hits)), [len(f) for f in hits])
-        cols = np.concatenate(hits)
-        weights, bias = fit_logistic(rows, cols, ratios[cols], got["y"].to_numpy(float), len(buckets))
+        weights, bias = fit_logistic([np.frombuffer(f, "<i4") for f in got["f"]], ratios, got["y"].to_numpy(float))
     model = spark.sparkContext.broadcast((weights * ratios, bias))
     old = [f for f in docs.schema.fields if f.name != text_col and f.name.lower() != "score"]
     keep = [f.name for f in old]
