@@ -39,16 +39,17 @@ def comment_pattern(prefix_re: str) -> str:
     return f"^{PY_WS}*+(?:{prefix_re})"
 
 
-def line_metric_cols(content: Column, language: Column) -> dict[str, Column]:
+def line_metric_cols(content: Column, language: Column, more: dict[str, str] | None = None) -> dict[str, Column]:
     """total/blank/comment/code line counts (all INT) for one file row.
 
     The comment prefix depends on the row's language; one filter per language
-    keeps each regex a literal (compiled once per task)."""
+    keeps each regex a literal (compiled once per task).  ``more``: prefixes of
+    other languages, as regex alternations."""
     lines = lines_of(content)
     total = F.size(lines)
     blank = _count(lines, blank_pattern())
     comment = None
-    for lang, pre in COMMENT_PREFIX_RE.items():
+    for lang, pre in (COMMENT_PREFIX_RE | (more or {})).items():
         c = _count(lines, comment_pattern(pre))
         comment = F.when(language == lang, c) if comment is None else comment.when(language == lang, c)
     comment = comment.otherwise(_count(lines, comment_pattern("#")))

@@ -17,6 +17,7 @@ from . import extract_go as XG
 from . import extract_java as XJ
 from . import extract_python as XP
 from . import java_regex as JR
+from . import language_rules as LR
 from .tokens import TOKEN_RE, match_brackets, relevant, tokenize, with_context
 
 
@@ -61,15 +62,16 @@ def _avg(parts: list[DataFrame]) -> DataFrame:
     return u.groupBy("file_path").agg(F.avg("complexity").alias("avg_c"))
 
 
-def analyse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def analyse(files: DataFrame, num_partitions: int | None = None, rules=()) -> DataFrame:
     """files(file_path, language, content) → analysis records (schema ANALYSIS)
     plus ``function_spans``: (name, first line, last line) of every function's
-    whole definition, for locating code by line (L6)."""
-    known = F.coalesce(F.col("language").isin(*TOKEN_RE) & F.col("content").isNotNull(), F.lit(False))
+    whole definition, for locating code by line (L6).  ``rules`` (LanguageRule rows)
+    add languages to the built-in ones (U1)."""
+    known = F.coalesce(F.col("language").isin(*TOKEN_RE, *(r.name for r in rules)) & F.col("content").isNotNull(), F.lit(False))
     failed = failure_records(files.where(~known))
-    sig, fm = tokenize(files.where(known).select("file_path", "language", "content"), num_partitions)
+    sig, fm = tokenize(files.where(known).select("file_path", "language", "content"), num_partitions, rules)
     n = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = materialize(relevant(with_context(match_brackets(sig))), "tokens", "file_path", n)
+    s = materialize(relevant(with_context(match_brackets(sig)), [w for r in rules for w in r.words]), "tokens", "file_path", n)
 
     p = XP.prepare(s)
     py_f, py_c = XP.split_definitions(materialize(XP.definitions(p, fm), "py_defs", "file_path", n))
@@ -86,18 +88,26 @@ def analyse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
     ja_cm = XJ.class_methods(ja_m, ja_c)
     ja_i = XJ.imports(j, fm)
 
+    added = [LR.extract(s, fm, r) for r in rules]
+
+    def plus(base: DataFrame, part: str, *cols) -> DataFrame:
+        for a in added:
+            base = base.unionByName(a[part].select(*cols))
+        return base
+
     imp = lambda d: d.select("file_path", "idx", F.struct("text", _pos().alias("position"), "type").alias("v"))
     funcs = (py_f.select("file_path", "idx", _func().alias("v"))
              .unionByName(go_f.select("file_path", "idx", _func().alias("v")))
              .unionByName(ja_m.select("file_path", "idx", _func().alias("v"))))
+    funcs = plus(funcs, "functions", "file_path", "idx", _func().alias("v"))
     f_arr = funcs.groupBy("file_path").agg(_sorted(F.struct(F.col("idx").alias("k"), F.col("v"))).alias("functions"))
-    i_arr = (imp(py_i).unionByName(imp(go_i)).unionByName(imp(ja_i))
-             .groupBy("file_path").agg(_sorted(F.struct(F.col("idx").alias("k"), F.col("v"))).alias("imports")))
+    imps = plus(imp(py_i).unionByName(imp(go_i)).unionByName(imp(ja_i)), "imports", "file_path", "idx", F.struct("text", _pos().alias("position"), "type").alias("v"))
+    i_arr = (imps.groupBy("file_path").agg(_sorted(F.struct(F.col("idx").alias("k"), F.col("v"))).alias("imports")))
     cls_cols = ["file_path", "idx", "name", "start_line", "start_column", "end_line", "end_column",
                 "complexity", "body_text"]
-    c_arr = _classes_with_methods(py_c.select(cls_cols).unionByName(ja_c.select(cls_cols)),
-                                  py_m.unionByName(ja_cm))
-    s_arr = _per_file(go_s, F.struct("name", _pos().alias("position"), "fields", "body_text"), "structs")
+    c_arr = _classes_with_methods(plus(py_c.select(cls_cols).unionByName(ja_c.select(cls_cols)), "classes", *cls_cols),
+                                  plus(py_m.unionByName(ja_cm), "methods", *py_m.columns))
+    s_arr = _per_file(plus(go_s, "structs", *go_s.columns), F.struct("name", _pos().alias("position"), "fields", "body_text"), "structs")
     SPAN = schemas.SPAN
     spans = (py_f.select("file_path", "idx", F.struct("name", F.col("def_line").alias("start_line"),
                                                       F.col("blk_end_line").alias("end_line")).alias("v"))
@@ -106,15 +116,17 @@ def analyse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
                  F.col("span_end_line").alias("end_line")).alias("v")))
              .unionByName(ja_m.select("file_path", "idx", F.struct(
                  "name", F.col("decl_line").alias("start_line"), F.col("close_line").alias("end_line")).alias("v"))))
+    spans = plus(spans, "functions", "file_path", "idx", F.struct("name", F.col("decl_line").alias("start_line"), F.col("close_line").alias("end_line")).alias("v"))
     sp_arr = spans.groupBy("file_path").agg(
         _sorted(F.struct(F.col("idx").alias("k"), F.col("v").cast(SPAN).alias("v"))).alias("function_spans"))
     avg = _avg([py_f.select("file_path", "complexity"), py_c.select("file_path", "complexity"),
                 go_f.select("file_path", "complexity"), go_t.select("file_path", "complexity"),
                 ja_m.select("file_path", "complexity"), ja_c.select("file_path", "complexity"),
-                XJ.bodiless_methods(j).select("file_path", "complexity")])
+                XJ.bodiless_methods(j).select("file_path", "complexity"),
+                *(a[part].select("file_path", "complexity") for a in added for part in ("functions", "classes"))])
 
     base = fm.select("file_path", "language", "content").join(bal, "file_path", "left")
-    m = line_metric_cols(F.col("content"), F.col("language"))
+    m = line_metric_cols(F.col("content"), F.col("language"), {r.name: LR.comment_lines(r) for r in rules})
     rec = (base.join(f_arr, "file_path", "left").join(c_arr, "file_path", "left")
                .join(s_arr, "file_path", "left").join(i_arr, "file_path", "left").join(avg, "file_path", "left")
                .join(sp_arr, "file_path", "left"))

@@ -20,10 +20,14 @@ def prepare(s: DataFrame) -> DataFrame:
     return s.where(F.col("language") == "python")
 
 
-def headers(p: DataFrame) -> DataFrame:
-    """Logical-line rows, with block end for ``def`` / ``class`` headers."""
-    is_def = (F.col("text") == "def") | ((F.col("text") == "async") & (F.col("nxt1") == "def"))
-    is_cls = F.col("text") == "class"
+DEFS, CLASSES = ("def",), ("class",)
+
+
+def headers(p: DataFrame, defs: tuple[str, ...] = DEFS, classes: tuple[str, ...] = CLASSES) -> DataFrame:
+    """Logical-line rows, with block end for ``def`` / ``class`` headers (or
+    those of another language with indented blocks)."""
+    is_def = F.col("text").isin(*defs) | ((F.col("text") == "async") & F.col("nxt1").isin(*defs))
+    is_cls = F.col("text").isin(*classes)
     ll = (p.where(F.col("ll_start"))
            .withColumn("htype", F.when(is_def, "def").when(is_cls, "class"))
            .withColumn("indent", F.col("ccol")))
@@ -98,10 +102,10 @@ def split_definitions(out: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.where(F.col("htype") == "def").drop("htype"), out.where(F.col("htype") == "class").drop("htype")
 
 
-def definitions(p: DataFrame, files_masked: DataFrame) -> DataFrame:
+def definitions(p: DataFrame, files_masked: DataFrame, defs: tuple[str, ...] = DEFS, classes: tuple[str, ...] = CLASSES) -> DataFrame:
     """``def`` and ``class`` headers with names, spans, parameters and texts
     (``htype`` tells them apart)."""
-    h, ll = headers(p)
+    h, ll = headers(p, defs, classes)
     is_async = F.col("text") == "async"
     name = F.when(is_async, F.col("t2")).otherwise(F.col("t1"))
     paren = F.when(is_async, F.col("t3")).otherwise(F.col("t2"))

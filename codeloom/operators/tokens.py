@@ -21,6 +21,8 @@ partitioning already satisfies, so extraction needs exactly one exchange.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,9 +66,9 @@ def _by_language(language: Column, values: dict, wrap=lambda v: F.lit(v)) -> Col
     return expr
 
 
-def _pieces(content: Column, language: Column, group: int) -> Column:
+def _pieces(content: Column, language: Column, group: int, patterns: dict[str, str]) -> Column:
     expr = None
-    for lang, rx in PIECE_RE.items():
+    for lang, rx in patterns.items():
         t = F.regexp_extract_all(content, F.lit(rx), group)
         expr = F.when(language == lang, t) if expr is None else expr.when(language == lang, t)
     return expr
@@ -100,18 +102,23 @@ def _interpolated_decisions(tok: Column) -> Column:
     return F.size(F.regexp_extract_all(F.regexp_replace(expressions, r"'[^']*+'|\"[^\"]*+\"", " "), words, 1))
 
 
-def tokenize(files: DataFrame, num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+def tokenize(files: DataFrame, num_partitions: int | None = None, rules=()) -> tuple[DataFrame, DataFrame]:
     """Return ``(sig, files_masked)``.
 
     ``sig`` holds one row per significant token (words, strings, punctuation)
     with positions, depths and decision counts; ``files_masked`` adds the masked
-    content.  Both stay hash-partitioned by ``file_path``."""
+    content.  Both stay hash-partitioned by ``file_path``.  ``rules`` (of
+    language_rules) add languages."""
+    from .language_rules import piece_pattern
+
+    patterns = PIECE_RE | {r.name: piece_pattern(r) for r in rules}
+    indented = {"python": "#"} | {r.name: r.line_comment for r in rules if r.blocks == "indent"}
     # An explicit count: AQE must not coalesce this exchange into a handful of
     # tasks, because the per-file windows after it are CPU-bound.
     n = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     f = (files.repartition(n, "file_path")
-              .withColumn("__tr", _pieces(F.col("content"), F.col("language"), 1))
-              .withColumn("__tk", _pieces(F.col("content"), F.col("language"), 2)))
+              .withColumn("__tr", _pieces(F.col("content"), F.col("language"), 1, patterns))
+              .withColumn("__tk", _pieces(F.col("content"), F.col("language"), 2, patterns)))
     # Written once, bucketed by file: the only tokenisation and the only shuffle
     # of contents; every later join on the file reads its bucket in place.
     f = materialize(f.withColumn("masked", masked_content(F.col("__tr"), F.col("__tk"))), "pieces", "file_path", n)
@@ -126,14 +133,13 @@ def tokenize(files: DataFrame, num_partitions: int | None = None) -> tuple[DataF
                      F.length("text").alias("clen"), F.octet_length("text").alias("blen"),
                      tr_nls.alias("tnls"), _nl_count(F.col("text")).alias("nls"),
                      # a newline in the trivia that is not a line continuation
-                     F.when(F.col("language") == "python",
-                            F.regexp_replace("tr", "#[^\n]*+", "").rlike(r"(?<!\\)\n"))
-                      .otherwise(tr_nls > 0).alias("brk"))
+                     F.coalesce(_by_language(F.col("language"), indented, lambda c: F.regexp_replace("tr", re.escape(c) + "[^\n]*+", "").rlike(r"(?<!\\)\n")),
+                                tr_nls > 0).alias("brk"))
     w = Window.partitionBy("file_path").orderBy("idx")
     inc = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     punct = F.col("kind") == "punct"
     t = F.col("text")
-    dec_words = _by_language(F.col("language"), DECISIONS, lambda v: F.array(*[F.lit(x) for x in v]))
+    dec_words = _by_language(F.col("language"), DECISIONS | {r.name: list(r.decisions) or [""] for r in rules}, lambda v: F.array(*[F.lit(x) for x in v]))
     # Python's ``case`` is a soft keyword: whether it opens a clause depends on the
     # block it stands in (extract_python.case_clauses); all other words count here.
     py_case = (F.col("language") == "python") & (t == "case")
