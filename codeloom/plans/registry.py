@@ -29,7 +29,7 @@ def register(name: str, oracle: str | None = None):
 
 def _load_all() -> None:
     # Import for side effects (registration).
-    from . import (q_alerts, q_code, q_extract, q_search, q_sources, q_state, q_stats,  # noqa: F401
+    from . import (q_alerts, q_code, q_extract, q_languages, q_search, q_sources, q_state, q_stats,  # noqa: F401
                    q_streams, q_vectors)
 
 
