@@ -211,10 +211,8 @@ def _block_links(left: DataFrame, classes: DataFrame, sets: DataFrame, percent:
     """(a, b): a spanning forest of the links between components among classes that share a key."""
     nodes = left.groupBy("node").agg(F.min("root").alias("root"), F.min("pivot").alias("anchor"))
     nodes = materialize(nodes.join(classes.select("node", "n"), "node"), "minhash-nodes")
-    main = materialize(nodes.groupBy("anchor").agg(F.min("root").alias("main")), "minhash-main")
-    nodes = materialize(join_counted(nodes, main, ["anchor"]).select("node", "root", "anchor", "n", (F.col("root") != F.col("main")).alias("minor")), "minhash-nodes")
-    parts = nodes.groupBy("anchor", "minor").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_HASHES)).alias("parts"))
-    dealt = join_counted(nodes, materialize(parts, "minhash-parts"), ["anchor", "minor"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    anchors = materialize(nodes.groupBy("anchor").agg(F.min("root").alias("main"), F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_HASHES)).alias("parts")), "minhash-anchors")
+    dealt = join_counted(nodes, anchors, ["anchor"]).withColumns({"minor": F.col("root") != F.col("main"), "part": F.pmod(F.xxhash64("node"), F.col("parts"))})
     dealt = dealt.join(classes.select("node", "sig"), "node").join(sets, "node")
     blocks = materialize(dealt.groupBy("anchor", "minor", "part").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(F.struct("node", "root", "n", "sig", "hashes")).alias("members")).withColumn("block", F.monotonically_increasing_id()), "minhash-blocks")
