@@ -3,8 +3,9 @@
 Features are the presence of hashed character n-grams (UTF-8 bytes, ASCII
 lower-cased, white space runs as one space).  Over all labelled training rows,
 document counts of each n-gram by class give smoothed log-count ratios; every
-n-gram whose ratio is at least ``z_min`` standard errors from zero is a feature,
-however many those are, and each feature's value is its ratio.  (All n-grams that
+n-gram that is at least twice as frequent in one class as in the other, and whose
+ratio is at least ``z_min`` standard errors from zero, is a feature, however many
+those are, and each feature's value is its ratio.  (All n-grams that
 occur, without that test, score worse on held-out rows: see the README.)  A logistic regression over the scaled features is
 fitted on about ``fit_rows`` labelled rows (the documented bound; those whose
 ids hash below the share that it is of all), and scores every whole text.
@@ -34,6 +35,8 @@ from codeloom.llm.common import bounded_batches, join_counted, materialize, row_
 SIZES = (4, 5, 6)
 BITS = 20
 Z_MIN, FIT_ROWS = 3.0, 20_000
+#: Twice as frequent; what differs less is scaled to little, yet occurs in most texts.
+RATIO_MIN = float(np.log(2))
 LABEL_ROWS = 500_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -106,7 +109,7 @@ def count_ratios(train: DataFrame, bits: int, z_min: float) -> tuple[np.ndarray,
     a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
     ratio = F.log(a / (n1 + 1.0)) - F.log(b / (n0 + 1.0))
     z = F.abs(ratio) / F.sqrt(1 / a + 1 / b)
-    top = sums.filter("bucket >= 0").select("bucket", ratio.alias("r"), z.alias("z")).filter(F.col("z") >= z_min).select("bucket", "r").toPandas()
+    top = sums.filter("bucket >= 0").select("bucket", ratio.alias("r"), z.alias("z")).filter((F.col("z") >= z_min) & (F.abs("r") >= RATIO_MIN)).select("bucket", "r").toPandas()
     top = top.sort_values("bucket")
     return top["bucket"].to_numpy(np.int64), top["r"].to_numpy(float), n0, n1
 
