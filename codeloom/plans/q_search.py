@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.text import text_representation
 from ..operators import alerts as A
 from ..operators import search as S
+from ..operators import substring_index as SI
 from ..operators import vectors as V
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources.alerts_src import DUCK_ALERTS_CTE, alerts
 from ..sources.corpus import duck_code_cte
 from ..sources.tables import read_table
@@ -97,6 +98,23 @@ def function_name_search(spark, sf_dir):
                     F.col("matched_function.position.start_line").alias("start_line"))
 
 
+NAMES_SQL = """SELECT file_path, name AS matched_function, line AS start_line FROM (
+  SELECT file_path, 'run_' || sid AS name, 4 AS line FROM src WHERE id % 3 = 0
+  UNION ALL SELECT file_path, 'run' || sid, CASE id % 3 WHEN 1 THEN 5 ELSE 9 END FROM src WHERE id % 3 <> 0) t
+  WHERE strpos(lower(name), 'n_11') > 0 ORDER BY file_path, line LIMIT 5"""
+
+
+@register("function_name_indexed", WALL + NAMES_SQL)
+def function_name_indexed(spark, sf_dir):
+    """P9 through trigram posting lists of the stored names, verified exactly."""
+    a = analysis_table(spark, sf_dir)
+    path = scratch_path(spark, "name_grams")
+    SI.build(a.select("file_path", F.explode("function_names").alias("text")), path)
+    r = SI.function_name_search(a, path, "N_11", 5)
+    return r.select("file_path", F.col("matched_function.name").alias("matched_function"),
+                    F.col("matched_function.position.start_line").alias("start_line"))
+
+
 DIP = ("list_sum(list_transform(range(1, len(e.embedding) + 1), "
        "lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.qe[i] AS DOUBLE)))")
 

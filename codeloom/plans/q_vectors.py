@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators import vector_blocks as VB
 from ..operators import vectors as V
 from ..session import scratch_path
 from ..sources.tables import read_table
@@ -43,6 +44,20 @@ def semantic_topk(spark, sf_dir):
     return top.select("rank", "id", F.round("similarity_score", 6).alias("similarity_score"))
 
 
+@register("semantic_topk_blocks", f"""
+WITH q AS (SELECT embedding AS qe FROM embeddings ORDER BY vec_id LIMIT 1),
+s AS (SELECT vec_id, {_duck_ip('embedding', 'qe')} AS sc FROM embeddings, q)
+SELECT CAST(row_number() OVER (ORDER BY round(sc, 12) DESC, vec_id) AS INTEGER) AS rank, vec_id AS id,
+  round(sc, 6) AS similarity_score FROM s ORDER BY round(sc, 12) DESC, vec_id LIMIT 5""")
+def semantic_topk_blocks(spark, sf_dir):
+    """V5 over the blocked index: blocks whose bound cannot reach the k-th score
+    are not read; the result is that of the full scan."""
+    path = scratch_path(spark, "vector_blocks")
+    VB.build(_index(spark, sf_dir), path, DIM, per_block=128)
+    top, _ = VB.topk(spark, path, _query_vec(spark, sf_dir), 5)
+    return top.select("rank", "id", F.round("similarity_score", 6).alias("similarity_score"))
+
+
 @register("cosine_topk", f"""
 WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x / sqrt({_duck_ip('embedding', 'embedding')}) AS FLOAT)) AS e
            FROM embeddings),

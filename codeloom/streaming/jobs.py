@@ -2,7 +2,8 @@
 
 * R1 ingest: file source → L1 normalisation → Parquet append (checkpointed).
 * R3 idempotent retries: ``withWatermark`` + ``dropDuplicatesWithinWatermark``
-  on the deterministic alert id, so a replayed file adds nothing.
+  on the deterministic alert id, so a replayed file adds nothing within the
+  watermark; ``alert_ingest_once`` has no such limit.
 * R2 enrichment: ranking windows are not allowed on a stream, so each
   micro-batch runs the batch top-k (V6) inside ``foreachBatch``.
 * R4 continuous analysis: manifests arrive as files; each micro-batch runs the
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.alerts import normalise
+from ..operators.vectors import _path_exists
+from ..session import materialize
 
 
 def alert_ingest(spark: SparkSession, src_dir: str, schema: StructType, sink: str, checkpoint: str,
@@ -34,6 +37,25 @@ def alert_ingest(spark: SparkSession, src_dir: str, schema: StructType, sink: st
                .outputMode("append").trigger(availableNow=True).start())
 
 
+def alert_ingest_once(spark: SparkSession, src_dir: str, schema: StructType, sink: str, checkpoint: str, buckets: int = 64):
+    """R1 + R3 without a time limit: an alert that the sink holds already, however
+    old, is not added again.  The sink is partitioned by a hash of the alert id; a
+    micro-batch reads the ids of the buckets that its own ids fall into and leaves
+    those out.  A batch that is run again replaces what it had written."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        new = materialize(normalise(batch).dropDuplicates(["alert_id"]).withColumn("bucket", F.pmod(F.xxhash64("alert_id"), F.lit(buckets)).cast("int")), "alert-batch")
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]      # at most ``buckets``
+        if _path_exists(s, sink):
+            held = s.read.option("basePath", sink).parquet(sink).where(F.col("bucket").isin(touched) & (F.col("batch_id") != batch_id)).select("alert_id")
+            new = new.join(held, "alert_id", "left_anti")
+        if touched:
+            new.write.mode("overwrite").partitionBy("bucket").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
+
+    raw = spark.readStream.schema(schema).parquet(src_dir)
+    return raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def rolling_activity(events: DataFrame, ts: str = "ts", length: str = "24 hours", slide: str = "1 hour",
                      watermark: str = "24 hours") -> DataFrame:
     """R5 (works on a stream or a batch frame)."""
