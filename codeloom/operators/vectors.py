@@ -43,38 +43,41 @@ def token_bucket(tok: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
 
 
-def bucket_counts(text: Column, dim: int) -> Column:
-    """How many tokens of the text fall into each of ``dim`` buckets, as an array,
-    within the row: the buckets are sorted with one sentinel for each number, and
-    the distance of two sentinels is the count between them."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is read (an
+    expression that a lambda refers to would be computed anew for each element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def bucket_weights(text: Column, dim: int) -> Column:
+    """Counts of the text's tokens in ``dim`` buckets, divided by their norm (zeros
+    without tokens), as an array and within the row: the buckets are sorted with
+    one sentinel for each number, and the distance of two sentinels is the count
+    between them."""
     toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\w+"), 0)
-    numbers = F.sequence(F.lit(0), F.lit(dim))
+    numbers = F.array(*[F.lit(i) for i in range(dim + 1)])
     marked = F.array_sort(F.concat(F.transform(toks, lambda t: token_bucket(t, dim)), numbers))
-    places = F.transform(numbers, lambda i: F.array_position(marked, i))
-    return F.transform(F.slice(places, 1, dim), lambda p, i: F.element_at(places, i + 2) - p - 1)
-
+    places = _let(marked, lambda m: F.transform(numbers, lambda i: F.array_position(m, i)))
+    counts = _let(places, lambda p: F.zip_with(F.slice(p, 2, dim), F.slice(p, 1, dim), lambda after, at: after - at - 1))
 
-def _counted(df: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
-    """(id, counts, norm); neither texts nor counts leave their row."""
-    c = df.select(F.col(id_col).alias("id"), bucket_counts(F.col(text_col), dim).alias("counts"))
-    norm = F.sqrt(F.aggregate("counts", F.lit(0).cast("long"), lambda acc, n: acc + n * n).cast("double"))
-    return c.withColumn("norm", norm)
+    def normed(c):
+        norm = F.sqrt(F.aggregate(c, F.lit(0).cast("long"), lambda acc, n: acc + n * n).cast("double"))
+        return _let(norm, lambda z: F.transform(c, lambda n: F.when(z > 0, n / z).otherwise(F.lit(0.0))))
+    return _let(counts, normed)
 
 
 def hash_embed_sparse(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """V2 default model: hashed bag of lowercase ``\\w+`` tokens, L2-normalised.
 
     Returns the non-zero entries ``(id, bucket, weight)``, at most ``dim`` a row."""
-    rows = _counted(df, id_col, text_col, dim).select("id", "norm", F.posexplode("counts").alias("bucket", "n"))
-    return rows.where("n > 0").select(F.col("id").alias(id_col), "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+    return df.select(id_col, F.posexplode(bucket_weights(F.col(text_col), dim)).alias("bucket", "weight")).where("weight > 0")
 
 
 def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """Dense form ``(id, embedding ARRAY<FLOAT>)`` of :func:`hash_embed_sparse`, one
     row for each of ``df``; texts without tokens get a zero vector.  A plain
     projection: no row is multiplied, nothing is exchanged."""
-    dense = F.transform("counts", lambda n: F.coalesce(n / F.nullif(F.col("norm"), F.lit(0.0)), F.lit(0.0)).cast("float"))
-    return _counted(df, id_col, text_col, dim).select(F.col("id").alias(id_col), dense.alias("embedding"))
+    return df.select(id_col, bucket_weights(F.col(text_col), dim).cast("array<float>").alias("embedding"))
 
 
 def build_index(vectors: DataFrame, dim: int, id_col: str = "id", emb_col: str = "embedding",

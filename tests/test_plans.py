@@ -87,11 +87,9 @@ def test_summary_and_listing_read_no_bodies(spark):
         assert "body_text" not in _plan(df)
 
 
-def test_embedding_moves_counts_not_texts(spark):
+def test_embedding_moves_nothing(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    p = _plan(V.hash_embed_sparse(docs, "doc_id", "text"), "simple")
-    assert "Exchange" in p and not any("text" in line for line in _exchanges(p))
-    assert p.index("partial_count") > 0
+    assert "Exchange" not in _plan(V.hash_embed_sparse(docs, "doc_id", "text"), "simple")
 
 
 def test_rolling_counts_before_windows(spark):
