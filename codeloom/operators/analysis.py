@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..session import materialize
@@ -18,7 +19,7 @@ from . import extract_java as XJ
 from . import extract_python as XP
 from . import java_regex as JR
 from . import language_rules as LR
-from .tokens import TOKEN_RE, match_brackets, relevant, tokenize, with_context
+from .tokens import TOKEN_RE, token_table
 
 
 def _pos(prefix: str = "") -> Column:
@@ -36,30 +37,33 @@ def _sorted(col: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(col)), lambda x: x["v"])
 
 
-def _per_file(df: DataFrame, value: Column, name: str) -> DataFrame:
-    return df.groupBy("file_path").agg(_sorted(F.struct(F.col("idx").alias("k"), value.alias("v"))).alias(name))
+def _part(df: DataFrame, **values: Column) -> DataFrame:
+    """Rows of one kind for the one aggregation per file; what the kind lacks is null."""
+    kinds = {"function": schemas.FUNCTION, "span": schemas.SPAN, "class": CLASS, "methods": METHODS, "struct": schemas.STRUCT,
+             "import": schemas.IMPORT, "complexity": T.IntegerType()}
+    return df.select("file_path", "idx", *[values.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()])
 
 
-def _classes_with_methods(classes: DataFrame, methods: DataFrame) -> DataFrame:
-    """Nest methods into their classes through a per-file map (file-keyed only)."""
-    mm = (methods.groupBy("file_path", "class_idx")
-                 .agg(_sorted(F.struct(F.col("idx").alias("k"), _func().alias("v"))).alias("ms"))
-                 .groupBy("file_path").agg(F.map_from_entries(F.collect_list(F.struct("class_idx", "ms"))).alias("mm")))
-    cl = _per_file(classes, F.struct("idx", "name", _pos().alias("position"), "complexity", "body_text"), "cls")
-    j = cl.join(mm, "file_path", "left")
-    nested = F.transform("cls", lambda c: F.struct(
-        c["name"].alias("name"), c["position"].alias("position"),
-        F.coalesce(F.element_at(F.col("mm"), c["idx"]), F.array().cast(F.ArrayType(schemas.FUNCTION)))
-        .alias("methods"),
-        c["complexity"].cast("int").alias("complexity"), c["body_text"].alias("body_text")))
-    return j.select("file_path", nested.alias("classes"))
+#: A class without its methods, and the methods of one class.
+CLASS = T.StructType([T.StructField("idx", T.IntegerType()), *[f for f in schemas.CLASS.fields if f.name != "methods"]])
+METHODS = T.StructType([T.StructField("class_idx", T.IntegerType()), T.StructField("ms", T.ArrayType(schemas.FUNCTION))])
 
 
-def _avg(parts: list[DataFrame]) -> DataFrame:
+def _assemble(parts: list[DataFrame]) -> DataFrame:
+    """One row per file with its lists in source order: one exchange and one
+    aggregation for all kinds of rows."""
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return u.groupBy("file_path").agg(F.avg("complexity").alias("avg_c"))
+    listed = lambda c: _sorted(F.when(F.col(c).isNotNull(), F.struct(F.col("idx").alias("k"), F.col(c).alias("v"))))
+    a = u.groupBy("file_path").agg(
+        listed("function").alias("functions"), listed("span").alias("function_spans"), listed("class").alias("classes"), listed("struct").alias("structs"),
+        listed("import").alias("imports"), F.map_from_entries(F.collect_list("methods")).alias("mm"), F.avg("complexity").alias("avg_c"))
+    nested = F.transform("classes", lambda c: F.struct(
+        c["name"].alias("name"), c["position"].alias("position"),
+        F.coalesce(F.element_at(F.col("mm"), c["idx"]), F.array().cast(T.ArrayType(schemas.FUNCTION))).alias("methods"),
+        c["complexity"].alias("complexity"), c["body_text"].alias("body_text")))
+    return a.withColumn("classes", nested).drop("mm")
 
 
 def analyse(files: DataFrame, num_partitions: int | None = None, rules=()) -> DataFrame:
@@ -69,9 +73,8 @@ def analyse(files: DataFrame, num_partitions: int | None = None, rules=()) -> Da
     add languages to the built-in ones (U1)."""
     known = F.coalesce(F.col("language").isin(*TOKEN_RE, *(r.name for r in rules)) & F.col("content").isNotNull(), F.lit(False))
     failed = failure_records(files.where(~known))
-    sig, fm = tokenize(files.where(known).select("file_path", "language", "content"), num_partitions, rules)
+    s, fm = token_table(files.where(known), num_partitions, rules)
     n = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = materialize(relevant(with_context(match_brackets(sig)), [w for r in rules for w in r.words]), "tokens", "file_path", n)
 
     p = XP.prepare(s)
     py_f, py_c = XP.split_definitions(materialize(XP.definitions(p, fm), "py_defs", "file_path", n))
@@ -95,42 +98,33 @@ def analyse(files: DataFrame, num_partitions: int | None = None, rules=()) -> Da
             base = base.unionByName(a[part].select(*cols))
         return base
 
-    imp = lambda d: d.select("file_path", "idx", F.struct("text", _pos().alias("position"), "type").alias("v"))
-    funcs = (py_f.select("file_path", "idx", _func().alias("v"))
-             .unionByName(go_f.select("file_path", "idx", _func().alias("v")))
-             .unionByName(ja_m.select("file_path", "idx", _func().alias("v"))))
-    funcs = plus(funcs, "functions", "file_path", "idx", _func().alias("v"))
-    f_arr = funcs.groupBy("file_path").agg(_sorted(F.struct(F.col("idx").alias("k"), F.col("v"))).alias("functions"))
-    imps = plus(imp(py_i).unionByName(imp(go_i)).unionByName(imp(ja_i)), "imports", "file_path", "idx", F.struct("text", _pos().alias("position"), "type").alias("v"))
-    i_arr = (imps.groupBy("file_path").agg(_sorted(F.struct(F.col("idx").alias("k"), F.col("v"))).alias("imports")))
+    def span(df: DataFrame, first: str, last: str) -> DataFrame:
+        f = F.struct("name", F.col(first).alias("start_line"), F.col(last).alias("end_line"))
+        return _part(df, function=_func(), span=f, complexity=F.col("complexity"))
+
+    one_class = F.struct("idx", "name", _pos().alias("position"), F.col("complexity").cast("int").alias("complexity"), "body_text")
     cls_cols = ["file_path", "idx", "name", "start_line", "start_column", "end_line", "end_column",
                 "complexity", "body_text"]
-    c_arr = _classes_with_methods(plus(py_c.select(cls_cols).unionByName(ja_c.select(cls_cols)), "classes", *cls_cols),
-                                  plus(py_m.unionByName(ja_cm), "methods", *py_m.columns))
-    s_arr = _per_file(plus(go_s, "structs", *go_s.columns), F.struct("name", _pos().alias("position"), "fields", "body_text"), "structs")
-    SPAN = schemas.SPAN
-    spans = (py_f.select("file_path", "idx", F.struct("name", F.col("def_line").alias("start_line"),
-                                                      F.col("blk_end_line").alias("end_line")).alias("v"))
-             .unionByName(go_f.select("file_path", "idx", F.struct(
-                 "name", F.col("span_start_line").alias("start_line"),
-                 F.col("span_end_line").alias("end_line")).alias("v")))
-             .unionByName(ja_m.select("file_path", "idx", F.struct(
-                 "name", F.col("decl_line").alias("start_line"), F.col("close_line").alias("end_line")).alias("v"))))
-    spans = plus(spans, "functions", "file_path", "idx", F.struct("name", F.col("decl_line").alias("start_line"), F.col("close_line").alias("end_line")).alias("v"))
-    sp_arr = spans.groupBy("file_path").agg(
-        _sorted(F.struct(F.col("idx").alias("k"), F.col("v").cast(SPAN).alias("v"))).alias("function_spans"))
-    avg = _avg([py_f.select("file_path", "complexity"), py_c.select("file_path", "complexity"),
-                go_f.select("file_path", "complexity"), go_t.select("file_path", "complexity"),
-                ja_m.select("file_path", "complexity"), ja_c.select("file_path", "complexity"),
-                XJ.bodiless_methods(j).select("file_path", "complexity"),
-                *(a[part].select("file_path", "complexity") for a in added for part in ("functions", "classes"))])
+    classes = plus(py_c.select(cls_cols).unionByName(ja_c.select(cls_cols)), "classes", *cls_cols)
+    methods = (plus(py_m.unionByName(ja_cm), "methods", *py_m.columns).groupBy("file_path", "class_idx")
+               .agg(_sorted(F.struct(F.col("idx").alias("k"), _func().alias("v"))).alias("ms")).withColumn("idx", F.col("class_idx")))
+    structs = plus(go_s, "structs", *go_s.columns)
+    imp = lambda d: d.select("file_path", "idx", F.struct("text", _pos().alias("position"), "type").alias("v"))
+    imports = plus(imp(py_i).unionByName(imp(go_i)).unionByName(imp(ja_i)), "imports", "file_path", "idx", F.struct("text", _pos().alias("position"), "type").alias("v"))
+    per_file = _assemble([
+        span(py_f, "def_line", "blk_end_line"), span(go_f, "span_start_line", "span_end_line"), span(ja_m, "decl_line", "close_line"),
+        *(span(a["functions"], "decl_line", "close_line") for a in added),
+        _part(classes, **{"class": one_class, "complexity": F.col("complexity")}),
+        _part(methods, methods=F.struct("class_idx", "ms")),
+        _part(structs, struct=F.struct("name", _pos().alias("position"), "fields", "body_text")),
+        _part(imports, **{"import": F.col("v")}),
+        # they count in the average, though no list has them
+        _part(go_t, complexity=F.col("complexity")), _part(XJ.bodiless_methods(j), complexity=F.col("complexity"))])
 
     base = fm.select("file_path", "language", "content").join(bal, "file_path", "left")
     m = line_metric_cols(F.col("content"), F.col("language"), {r.name: LR.comment_lines(r) for r in rules})
-    rec = (base.join(f_arr, "file_path", "left").join(c_arr, "file_path", "left")
-               .join(s_arr, "file_path", "left").join(i_arr, "file_path", "left").join(avg, "file_path", "left")
-               .join(sp_arr, "file_path", "left"))
-    empty = lambda t: F.array().cast(F.ArrayType(t))
+    rec = base.join(per_file, "file_path", "left")
+    empty = lambda t: F.array().cast(T.ArrayType(t))
     structural = rec.where((F.col("language") != "java") | F.coalesce("balanced", F.lit(True))).select(
         "file_path", "language",
         F.coalesce("functions", empty(schemas.FUNCTION)).alias("functions"),
@@ -151,7 +145,7 @@ def analyse(files: DataFrame, num_partitions: int | None = None, rules=()) -> Da
 
 def failure_records(files: DataFrame) -> DataFrame:
     """The empty record of a file that cannot be analysed, with the reason."""
-    empty = lambda t: F.array().cast(F.ArrayType(t))
+    empty = lambda t: F.array().cast(T.ArrayType(t))
     zero = [F.lit(0).alias(c) for c in ("total_lines", "code_lines", "comment_lines", "blank_lines")]
     why = (F.when(F.col("language").isNull(), "unknown language").when(F.col("content").isNull(), "no content")
             .otherwise(F.concat(F.lit("unsupported language: "), "language")))
@@ -173,7 +167,7 @@ def regex_records(files: DataFrame) -> DataFrame:
     fn = mk(JR.methods(fm)).groupBy("file_path").agg(srt("functions"))
     cl = (JR.classes(fm).select("file_path", F.struct(
         F.col("start_line").alias("k1"), F.col("start_column").alias("k2"),
-        F.struct("name", _pos().alias("position"), F.array().cast(F.ArrayType(schemas.FUNCTION)).alias("methods"),
+        F.struct("name", _pos().alias("position"), F.array().cast(T.ArrayType(schemas.FUNCTION)).alias("methods"),
                  F.lit(1).alias("complexity"), F.lit("").alias("body_text")).alias("v")).alias("e"))
           .groupBy("file_path").agg(srt("classes")))
     im = (JR.imports(fm).select("file_path", F.struct(
@@ -181,7 +175,7 @@ def regex_records(files: DataFrame) -> DataFrame:
         F.struct("text", _pos().alias("position"), "type").alias("v")).alias("e"))
           .groupBy("file_path").agg(srt("imports")))
     mt = JR.metrics(fm)
-    empty = lambda t: F.array().cast(F.ArrayType(t))
+    empty = lambda t: F.array().cast(T.ArrayType(t))
     r = files.select("file_path", "language").join(fn, "file_path", "left").join(cl, "file_path", "left") \
              .join(im, "file_path", "left").join(mt, "file_path", "left")
     return r.select(

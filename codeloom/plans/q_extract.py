@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import extract_python as XP
-from ..operators.tokens import match_brackets, relevant, tokenize, with_context
+from ..operators.tokens import token_table
 from ..session import scratch_path
 from ..sources.corpus import code_files, duck_code_cte
 from .registry import register
@@ -15,8 +15,7 @@ def _tokens(spark, sf_dir, language=None):
     files = code_files(spark, sf_dir).select("file_path", "language", "content")
     if language:
         files = files.where(F.col("language") == language)
-    sig, fm = tokenize(files)
-    return relevant(with_context(match_brackets(sig))), fm
+    return token_table(files)
 
 
 def python_tables(spark, sf_dir):
