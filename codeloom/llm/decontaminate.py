@@ -4,10 +4,10 @@
    vocabulary is the benchmark's own words (others add nothing to a product with
    a benchmark vector); their document frequencies come from all documents.
 2. A randomised SVD of the TF-IDF matrix of the benchmark's passages and those
-   of a sample of about ``fit_docs`` documents (a documented bound; every
-   passage of every document is searched) runs as passes over a written table:
-   tasks multiply their rows with the sketch, the driver orthonormalises a
-   matrix of vocabulary times rank.
+   of all documents.  Tasks add up the products of the words that share a passage;
+   the sums, one for each pair of vocabulary words at most, are a written table
+   over which the passes run: tasks multiply its rows with the sketch, the driver
+   orthonormalises a matrix of vocabulary times rank.
 3. Each document gives windows of 24 words at a stride of 8, projected as sums of
    blocks of 8 words.  All windows are compared, those of little TF-IDF energy
    too: a paraphrase may replace an item's rare words first.  Benchmark probes of
@@ -123,20 +123,19 @@ def _texts(batches: Iterator[pa.RecordBatch], col: int):
             yield b, i, j, c.slice(i, j - i).to_pylist()
 
 
-def document_frequencies(docs: DataFrame, vocabulary) -> tuple[np.ndarray, int]:
+def document_frequencies(numbers: DataFrame, n_words: int) -> tuple[np.ndarray, int]:
     """Documents that hold each vocabulary word, and how many documents there are."""
     def count(batches):
-        v = vocabulary.value
-        total, rows, get, none = np.zeros(len(v) + 1, np.int64), 0, v.get, len(v)
-        for _, _, _, texts in _texts(batches, 0):
-            rows += len(texts)
-            for t in texts:
-                total[[get(w, none) for w in set(words_of(t or ""))]] += 1
+        total, rows = np.zeros(n_words + 1, np.int64), 0
+        for b in batches:
+            rows += len(b)
+            for x in b.column(0).to_pylist():
+                total[np.unique(np.frombuffer(x, "<i4"))] += 1
         at = np.flatnonzero(total[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], names=["word", "n"])
 
-    got = docs.select("__text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    df, n = np.zeros(len(vocabulary.value)), 0
+    got = numbers.select("words").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    df, n = np.zeros(n_words), 0
     for r in got:
         if r["word"] < 0:
             n = int(r["n"])
@@ -211,52 +210,118 @@ def _padded(rows: list[np.ndarray], none: int) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def passages(numbers: np.ndarray) -> list[np.ndarray]:
-    """Disjoint passages as long as a window."""
-    n = BLOCK * WINDOW_BLOCKS
-    return [numbers[a: a + n] for a in range(0, len(numbers), n)]
-
-
-def gram_times(rows: list[np.ndarray], idf: np.ndarray, q: np.ndarray, step: int = 256) -> np.ndarray:
-    """A'AQ for the TF-IDF rows A, each of length one, of these passages."""
-    out, n = np.zeros(q.shape, np.float32), len(idf)
-    for k in range(0, len(rows), step):
-        part = rows[k: k + step]
-        at = np.repeat(np.arange(len(part)), [len(r) for r in part])
-        word = np.concatenate(part)
-        known = word < n
-        a = np.zeros((len(part), n), np.float32)
-        np.add.at(a, (at[known], word[known]), idf[word[known]])
-        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-6)
-        out += a.T @ (a @ q)
+#: Words of a vocabulary whose pairs a task adds up in one matrix; more are sorted.
+DENSE_WORDS = 3000
+#: Passages whose pairs are numbered at a time.
+_PASSAGES = 8192
+
+
+def passages(rows: list[np.ndarray], none: int, width: int = BLOCK * WINDOW_BLOCKS) -> np.ndarray:
+    """Disjoint passages as long as a window, one in each row, padded with ``none``."""
+    counts = [-(-len(r) // width) for r in rows]
+    out = np.full((sum(counts), width), none, np.int32)
+    flat, at = out.reshape(-1), 0
+    for r, c in zip(rows, counts):
+        flat[at * width: at * width + len(r)] = r
+        at += c
     return out
 
 
-def latent_space(sample: DataFrame, items: Items, idf: np.ndarray, rank: int, passes: int = 2, weight: float = 5.0) -> np.ndarray:
+def passage_products(words: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first word * vocabulary + second word, first word <= second, and product) of the entries of A'A for the
+    TF-IDF rows A, each of length one, of these passages; what a diagonal entry
+    has from two places of a passage comes once with half its value."""
+    n = len(idf)
+    weight = np.append(idf, 0.0)[words]
+    square = (weight * weight).sum(axis=1)
+    for d in range(1, words.shape[1]):                          # a word's places add up before they are squared
+        square += 2 * np.where(words[:, d:] == words[:, :-d], weight[:, d:] * weight[:, :-d], 0).sum(axis=1)
+    weight /= np.maximum(np.sqrt(square), 1e-6)[:, None]
+    for d in range(words.shape[1]):
+        a, b = words[:, : words.shape[1] - d], words[:, d:]
+        known = (a < n) & (b < n)
+        a, b = a[known].astype(np.int64), b[known].astype(np.int64)
+        value = (weight[:, : words.shape[1] - d] * weight[:, d:])[known]
+        yield np.minimum(a, b) * n + np.maximum(a, b), value / 2 if d == 0 else value
+
+
+def word_products(numbers: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
+    """The entries (row, col, v) of A'A over all passages of all documents, and how
+    many passages there are.  Each task adds up its own; one exchange adds those up."""
+    n = len(idf)
+
+    def add(batches):
+        dense = np.zeros(n * n) if n <= DENSE_WORDS else None
+        codes, values, count = np.zeros(0, np.int64), np.zeros(0), 0
+        for b in batches:
+            rows = passages([np.frombuffer(x, "<i4") for x in b.column(0).to_pylist()], n)
+            count += len(rows)
+            for k in range(0, len(rows), _PASSAGES):
+                if dense is not None:
+                    parts = [*passage_products(rows[k: k + _PASSAGES], idf)]
+                    dense += np.bincount(np.concatenate([c for c, _ in parts]), np.concatenate([v for _, v in parts]), minlength=n * n)
+                    continue
+                parts = [(codes, values), *passage_products(rows[k: k + _PASSAGES], idf)]
+                codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+                values = np.bincount(at, np.concatenate([v for _, v in parts]), minlength=len(codes))
+                if len(codes) > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(values)], names=["code", "v"])
+                    codes, values = np.zeros(0, np.int64), np.zeros(0)
+        if dense is not None:
+            codes = np.flatnonzero(dense)
+            values = dense[codes]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, -1)), pa.array(np.append(values, float(count)))], names=["code", "v"])
+
+    # few tasks: each sends one row for each pair of words that it met
+    files = numbers.select("words")
+    sums = materialize(files.coalesce(16).mapInArrow(add, "code long, v double").groupBy("code").agg(F.sum("v").alias("v")), "word-products")
+    count = sums.filter("code < 0").first()
+    i, j = F.floor(F.col("code") / n).cast("int"), F.pmod("code", F.lit(n)).cast("int")
+    half = sums.filter("code >= 0").select(i.alias("row"), j.alias("col"), "v")
+    both = half.unionByName(half.select(F.col("col").alias("row"), F.col("row").alias("col"), "v"))
+    return materialize(both.repartition(8, "row").sortWithinPartitions("row"), "word-rows"), int(count["v"] or 0)
+
+
+def latent_space(products: DataFrame, n_passages: int, items: Items, idf: np.ndarray, rank: int, passes: int = 2, weight: float = 5.0) -> np.ndarray:
     """Right singular vectors (word, dimension) of the TF-IDF passages of the
-    benchmark and the sample; the benchmark's have ``weight`` times the energy."""
+    benchmark and the documents; the benchmark's have ``weight`` times the energy."""
     n_words, width = len(idf), min(rank + 8, len(idf))
-    idf = idf.astype(np.float32)
-    probes = [np.array(p, np.int32) for _, _, p in items.probes()]
+    probes = passages([np.array(p, np.int32) for _, _, p in items.probes()], n_words)
+    scale = weight * max(n_passages, 1) / len(probes)
+    parts = [*passage_products(probes, idf)]
+    own, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    entries = np.bincount(at, np.concatenate([v for _, v in parts])) * scale
+    own = np.concatenate([own, own % n_words * n_words + own // n_words])
+    own, entries = own // n_words, np.stack([own % n_words, np.concatenate([entries, entries])], axis=1)
+    order = np.argsort(own, kind="stable")
+    own, own_col, own_v = own[order], entries[order, 0].astype(np.int64), entries[order, 1]
+
+    def times(row, col, v, q):
+        """(rows, their sums of v times q's row of col), for sorted rows a block at a time."""
+        names, at = np.unique(row, return_index=True)
+        at = np.append(at, len(row))
+        for k in range(0, len(names), 128):
+            a, z = at[k], at[min(k + 128, len(names))]
+            block = np.zeros((min(128, len(names) - k), n_words), np.float32)
+            np.add.at(block, (np.searchsorted(names[k: k + 128], row[a:z]), col[a:z]), v[a:z])
+            yield names[k: k + 128], block @ q
 
     def total(q: np.ndarray) -> np.ndarray:
-        shared = sample.sparkSession.sparkContext.broadcast(q)
+        shared = products.sparkSession.sparkContext.broadcast(q)
 
         def part(batches):
-            out, n = np.zeros((n_words, width), np.float32), 0
             for b in batches:
-                rows = [p for x in b.column(0).to_pylist() for p in passages(np.frombuffer(x, "<i4"))]
-                n += len(rows)
-                if rows:
-                    out += gram_times(rows, idf, shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([n])], names=["part", "n"])
-
-        out, n = np.zeros((n_words, width), np.float32), 0
-        for r in sample.mapInArrow(part, "part binary, n long").toLocalIterator():   # one matrix per task, few tasks
-            out += np.frombuffer(r["part"], np.float32).reshape(n_words, width)
-            n += r["n"]
+                row, col, v = (b.column(k).to_numpy() for k in range(3))
+                for names, sums in times(row, col, v, shared.value):
+                    yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([x.tobytes() for x in sums], pa.binary())], names=["row", "part"])
+
+        out = np.zeros((n_words, width), np.float32)
+        for r in products.mapInArrow(part, "row int, part binary").toLocalIterator():   # one row for each word, or few
+            out[r["row"]] += np.frombuffer(r["part"], np.float32)
         shared.unpersist()
-        return out + gram_times(probes, idf, q) * np.float32(weight * max(n, 1) / len(probes))
+        for names, sums in times(own, own_col, own_v, q):
+            out[names] += sums
+        return out
 
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((n_words, width)))[0].astype(np.float32)
     for _ in range(passes):
@@ -292,7 +357,7 @@ def _verify(words: np.ndarray, found: list[tuple[int, int, int, float]], items:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int | None = None, cosine_min: float = 0.6,
-               lcs_min: float = 0.8, paraphrase_min: float = 0.6, fit_docs: int = 1500, block_items: int = 1000) -> DataFrame:
+               lcs_min: float = 0.8, paraphrase_min: float = 0.6, block_items: int = 1000) -> DataFrame:
     """(id, item_id, cosine, lcs_share, answer_found, word_from, word_to) per
     document row and item that it leaks.  ``benchmark``: (item_id, text)."""
     spark = docs.sparkSession
@@ -307,7 +372,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         rows = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select("item_id", "text").orderBy("item_id", "text").collect()
         items = Items.of(rows)
         if items.ids:
-            out = out.unionByName(_search(source, items, schema, rank, cosine_min, lcs_min, paraphrase_min, fit_docs))
+            out = out.unionByName(_search(source, items, schema, rank, cosine_min, lcs_min, paraphrase_min))
         short = [(r["item_id"], ws) for r in rows if 0 < len(ws := words_of(r["text"] or "")) < MIN_WORDS]
         if short:
             out = out.unionByName(_contiguous(source, short, schema))
@@ -346,21 +411,33 @@ def _contiguous(source: DataFrame, short: list[tuple[object, list[bytes]]], sche
     return source.mapInArrow(match, schema)
 
 
-def _search(source, items, schema, rank, cosine_min, lcs_min, paraphrase_min, fit_docs) -> DataFrame:
-    spark = source.sparkSession
-    vocabulary = spark.sparkContext.broadcast(items.vocabulary)
-    df, n = document_frequencies(source, vocabulary)
-    idf = np.log((n + 1) / (df + 1)) + 1e-3
-    share = min(1.0, fit_docs / max(n, 1))
-    picked = source.filter(F.pmod(F.xxhash64("__id", F.length("__text")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+def _word_groups(batches: Iterator[pa.RecordBatch]):
+    """(batch, first row, word numbers of its texts) in groups of a bounded size."""
+    for b in batches:
+        words = [np.frombuffer(x, "<i4") for x in b.column(1).to_pylist()]
+        for i, j in row_groups(np.cumsum([0, *map(len, words)]), _CHUNK // 6):
+            yield b, i, words[i:j]
 
-    def numbers(batches):
-        for _, _, _, texts in _texts(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4").tobytes() for x in _numbers(texts, vocabulary.value)], pa.binary())], names=["words"])
 
-    sample = materialize(picked.select("__text").mapInArrow(numbers, "words binary").repartition(8), "latent-sample")
+def _numbered(source: DataFrame, vocabulary) -> DataFrame:
+    """(__id, words): each text's words as vocabulary numbers, written once."""
+    def number(batches):
+        for b, i, j, texts in _texts(batches, 1):
+            words = [x.astype("<i4").tobytes() for x in _numbers(texts, vocabulary.value)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(words, pa.binary())], names=["__id", "words"])
+
+    schema = T.StructType([T.StructField("__id", source.schema["__id"].dataType), T.StructField("words", T.BinaryType())])
+    return materialize(source.mapInArrow(number, schema), "latent-words")
+
+
+def _search(source, items, schema, rank, cosine_min, lcs_min, paraphrase_min) -> DataFrame:
+    spark = source.sparkSession
+    numbers = _numbered(source, spark.sparkContext.broadcast(items.vocabulary))
+    df, n = document_frequencies(numbers, len(items.vocabulary))
+    idf = np.log((n + 1) / (df + 1)) + 1e-3
+    products, n_passages = word_products(numbers, idf)
     probes = items.probes()
-    space = latent_space(sample.coalesce(8), items, idf, rank or min(512, max(64, len(probes) // 2)))
+    space = latent_space(products, n_passages, items, idf, rank or min(512, max(64, len(probes) // 2)))
     project = np.vstack([space * idf[:, None], np.zeros((1, space.shape[1]))]).astype(np.float32)
     q = np.stack([project[p].sum(axis=0) for _, _, p in probes])
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
@@ -368,8 +445,7 @@ def _search(source, items, schema, rank, cosine_min, lcs_min, paraphrase_min, fi
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         project, tops, qt, origin, items = shared.value
-        for b, i, j, texts in _texts(batches, 1):
-            words = _numbers(texts, items.vocabulary)
+        for b, i, words in _word_groups(batches):
             flat, sizes = _padded(words, len(items.vocabulary))
             ids, found = [], []
             hits: dict[int, list] = {}
@@ -388,4 +464,4 @@ def _search(source, items, schema, rank, cosine_min, lcs_min, paraphrase_min, fi
     from pyspark.sql.pandas.types import to_arrow_type
 
     ITEM_TYPE = to_arrow_type(schema["item_id"].dataType)
-    return source.mapInArrow(search, schema)
+    return numbers.mapInArrow(search, schema)
