@@ -41,6 +41,9 @@ from codeloom.llm.common import bounded_batches, materialize, row_groups, unique
 from codeloom.llm.components import components, local_roots
 
 LEAF, FAN_BITS = 64, 5
+#: Pairs of leaves that are compared at a time, and links held before they are
+#: reduced to a forest: a dense group links nearly all that is compared.
+LEAF_PAIRS, HELD_LINKS = 32, 1 << 17
 #: Fingerprints in a block: 64 KB, the unit that tasks exchange.
 BLOCK = 8192
 #: For each byte a 64-bit number whose byte k is bit k.
@@ -208,15 +211,15 @@ def near(a: np.ndarray, b: np.ndarray, limit: int, same: bool, width: int = 0) -
         i, j = i[share], j[share]
     root = np.arange(len(a) if same else len(a) + len(b))
     us, vs, held = [], [], 0
-    for k in range(0, len(i), 256):
-        p, q = i[k: k + 256], j[k: k + 256]
+    for k in range(0, len(i), LEAF_PAIRS):
+        p, q = i[k: k + LEAF_PAIRS], j[k: k + LEAF_PAIRS]
         c, x, y = np.nonzero(np.bitwise_count(pa_[p][:, :, None] ^ pb[q][:, None, :]) <= limit)
         u, v = p[c] * LEAF + x, q[c] * LEAF + y
         ok = (u < len(a)) & (v < len(b)) & ((u < v) if same else True)
         us.append(u[ok])
         vs.append(v[ok] + (0 if same else len(a)))
         held += len(us[-1])
-        if held > 1_000_000:                                   # keep a forest only
+        if held > HELD_LINKS:                                  # keep a forest only
             r = local_roots(len(root), np.concatenate([*us, np.arange(len(root))]), np.concatenate([*vs, root]))
             root, us, vs, held = r, [], [], 0
     if us:
