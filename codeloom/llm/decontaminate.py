@@ -212,8 +212,8 @@ def _padded(rows: list[np.ndarray], none: int) -> tuple[np.ndarray, np.ndarray]:
 
 #: Words of a vocabulary whose pairs a task adds up in one matrix; more are sorted.
 DENSE_WORDS = 3000
-#: Passages whose pairs are numbered at a time.
-_PASSAGES = 8192
+#: Passages whose pairs are made at a time, and pairs that are sorted at a time.
+_PASSAGES, _PAIRS = 1024, 4_000_000
 
 
 def passages(rows: list[np.ndarray], none: int, width: int = BLOCK * WINDOW_BLOCKS) -> np.ndarray:
@@ -230,19 +230,28 @@ def passages(rows: list[np.ndarray], none: int, width: int = BLOCK * WINDOW_BLOC
 def passage_products(words: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(first word * vocabulary + second word, first word <= second, and product) of the entries of A'A for the
     TF-IDF rows A, each of length one, of these passages; what a diagonal entry
-    has from two places of a passage comes once with half its value."""
+    has from two places of a passage comes once with half its value.
+
+    The order of a passage's words is of no account: they are sorted, so that
+    unknown ones come last, and passages of equally many known words go together."""
     n = len(idf)
-    weight = np.append(idf, 0.0)[words]
-    square = (weight * weight).sum(axis=1)
-    for d in range(1, words.shape[1]):                          # a word's places add up before they are squared
-        square += 2 * np.where(words[:, d:] == words[:, :-d], weight[:, d:] * weight[:, :-d], 0).sum(axis=1)
-    weight /= np.maximum(np.sqrt(square), 1e-6)[:, None]
-    for d in range(words.shape[1]):
-        a, b = words[:, : words.shape[1] - d], words[:, d:]
-        known = (a < n) & (b < n)
-        a, b = a[known].astype(np.int64), b[known].astype(np.int64)
-        value = (weight[:, : words.shape[1] - d] * weight[:, d:])[known]
-        yield np.minimum(a, b) * n + np.maximum(a, b), value / 2 if d == 0 else value
+    for k in range(0, len(words), _PASSAGES):
+        rows = np.sort(words[k: k + _PASSAGES], axis=1)
+        known = (rows < n).sum(axis=1)
+        for m in np.unique(known[known > 0]).tolist():
+            x = rows[known == m, :m].astype(np.int64)
+            weight = idf[x]
+            square = (weight * weight).sum(axis=1)
+            for d in range(1, m):                               # a word's places add up before they are squared
+                same = x[:, d:] == x[:, :-d]
+                if not same.any():
+                    break
+                square += 2 * np.where(same, weight[:, d:] * weight[:, :-d], 0).sum(axis=1)
+            weight /= np.maximum(np.sqrt(square), 1e-6)[:, None]
+            yield (x * (n + 1)).ravel(), (weight * weight).ravel() / 2
+            i, j = np.triu_indices(m, 1)
+            if len(i):
+                yield (x[:, i] * n + x[:, j]).ravel(), (weight[:, i] * weight[:, j]).ravel()
 
 
 def word_products(numbers: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
@@ -253,24 +262,36 @@ def word_products(numbers: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
     def add(batches):
         dense = np.zeros(n * n) if n <= DENSE_WORDS else None
         codes, values, count = np.zeros(0, np.int64), np.zeros(0), 0
+        parts, held = [], 0
+
+        def merged():
+            codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            return codes, np.bincount(at, np.concatenate([v for _, v in parts]), minlength=len(codes))
+
         for b in batches:
             rows = passages([np.frombuffer(x, "<i4") for x in b.column(0).to_pylist()], n)
             count += len(rows)
-            for k in range(0, len(rows), _PASSAGES):
+            for code, value in passage_products(rows, idf):
                 if dense is not None:
-                    parts = [*passage_products(rows[k: k + _PASSAGES], idf)]
-                    dense += np.bincount(np.concatenate([c for c, _ in parts]), np.concatenate([v for _, v in parts]), minlength=n * n)
+                    np.add.at(dense, code, value)
                     continue
-                parts = [(codes, values), *passage_products(rows[k: k + _PASSAGES], idf)]
-                codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-                values = np.bincount(at, np.concatenate([v for _, v in parts]), minlength=len(codes))
-                if len(codes) > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(values)], names=["code", "v"])
-                    codes, values = np.zeros(0, np.int64), np.zeros(0)
-        if dense is not None:
-            codes = np.flatnonzero(dense)
-            values = dense[codes]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, -1)), pa.array(np.append(values, float(count)))], names=["code", "v"])
+                parts.append((code, value))
+                held += len(code)
+                if held > _PAIRS:
+                    codes, values = merged()
+                    parts, held = [(codes, values)], 0
+                    if len(codes) > _PAIRS:
+                        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(values)], names=["code", "v"])
+                        parts, codes, values = [], codes[:0], values[:0]
+        if parts:
+            codes, values = merged()
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([float(count)])], names=["code", "v"])
+        if dense is None:
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(values)], names=["code", "v"])
+            return
+        for k in range(0, len(dense), _PAIRS):                  # a copy of some entries at a time
+            codes = np.flatnonzero(dense[k: k + _PAIRS]) + k
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(dense[codes])], names=["code", "v"])
 
     # few tasks: each sends one row for each pair of words that it met
     files = numbers.select("words")
