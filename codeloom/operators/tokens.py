@@ -90,8 +90,11 @@ def token_table(files: DataFrame, num_partitions: int | None = None, rules=()) -
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = (files.select("file_path", "language", "content").repartition(n, "file_path").sortWithinPartitions("file_path")
                    .select("*", *[_pieces(F.col("content"), F.col("language"), g, patterns).alias(c) for g, c in ((1, "tr"), (2, "tk"))]))
-    t = materialize(pieces.mapInArrow(context, SCHEMA), "tokens", "file_path", n)
-    return t.where("idx >= 0").drop("content", "masked"), t.where("idx < 0").select("file_path", "language", "content", "masked")
+    # A folder for each language and kind of row: an extractor reads its language's
+    # tokens, and what needs the text reads the files' rows.
+    rows = pieces.mapInArrow(context, SCHEMA).withColumn("is_token", F.col("idx") >= 0)
+    t = materialize(rows, "tokens", "file_path", n, ("language", "is_token"))
+    return t.where("is_token").drop("content", "masked", "is_token"), t.where("not is_token").select("file_path", "language", "content", "masked")
 
 
 def _struct(fields: list[str]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract_python as XP
 from ..operators.tokens import token_table
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources.corpus import code_files, duck_code_cte
 from .registry import register
 
@@ -238,7 +238,9 @@ def build_analysis_table(spark, sf_dir):
     listings and summaries read no body text."""
     path = scratch_path(spark, "analysis_current")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (AN.with_flat_columns(code_analysis(spark, sf_dir)).repartitionByRange(n, "language", "file_path")
+    # Written before it is ranged: the bounds come from a sample of the keys, which
+    # would assemble all records a first time.
+    (materialize(AN.with_flat_columns(code_analysis(spark, sf_dir)), "analysis_records").repartitionByRange(n, "language", "file_path")
         .sortWithinPartitions("language", "file_path").write.mode("overwrite").parquet(path))
     return path
 
