@@ -96,12 +96,16 @@ def piece_pattern(rule: LanguageRule) -> str:
     return f"({_trivia(rule)})({'|'.join(tokens)}|\\z)"
 
 
+def _stops(rule: LanguageRule) -> Column:
+    """``{``, ``;`` and headers: what the body of a header is looked for among."""
+    words = (F.col("kind") == "word") & F.col("text").isin(*rule.functions, *rule.types, *rule.structs) & (F.col("t1.kind") == "word")
+    return ((F.col("kind") == "punct") & F.col("text").isin("{", ";")) | words
+
+
 def _header_end(g: DataFrame, header: Column, rule: LanguageRule, after: Column | None = None, line: Column | None = None) -> DataFrame:
     """Headers with ``body``, the ``{`` that belongs to them: the next one before a
     ``;`` or another header, on the line ``line`` if lines end statements."""
-    words = (F.col("kind") == "word") & F.col("text").isin(*rule.functions, *rule.types, *rule.structs) & (F.col("t1.kind") == "word")
-    target = ((F.col("kind") == "punct") & F.col("text").isin("{", ";")) | words
-    f = next_in_subset(g, header, target, "body", ["idx", "text", "char_off", "close", "line", "bdepth"], after)
+    f = next_in_subset(g, header, _stops(rule), "body", ["idx", "text", "char_off", "close", "line", "bdepth"], after)
     own = (F.col("body.text") == "{") & F.col("body.close").isNotNull()
     return f.where(own & (F.col("body.line") == line) if rule.ends == "line" and line is not None else own)
 
@@ -124,8 +128,9 @@ def _brace_functions(g: DataFrame, fm: DataFrame, rule: LanguageRule) -> DataFra
     own = F.struct(*[F.col(f"t2.{c}").alias(c) for c in ("idx", "char_end", "close")])
     f = f.withColumn("params", F.when(F.col("t2.text") == "(", own).when(F.col("t2.text").isin("<", "["), F.col("generic")))
     params = f.where(F.col("params.close").isNotNull()).select("file_path", "idx", "params")
-    # the header rows once more, with their parameter lists as where the body is looked for
-    h = g.join(params, ["file_path", "idx"], "left")
+    # the header rows once more, with their parameter lists as where the body is looked
+    # for; rows that are neither headers nor stops would only be sorted for the join
+    h = g.where(header | _stops(rule)).join(params, ["file_path", "idx"], "left")
     b = _header_end(h, F.col("params").isNotNull(), rule, F.col("params.close.idx"), F.col("params.close.end_line"))
     cplx = (F.lit(1) + F.col("body.close.cum_dec") - (F.col("cum_dec") - F.col("dec"))).cast("int")
     j = b.select("file_path", "idx", "line", "bcol", "char_off", "bdepth", "t1", "params", "body", cplx.alias("complexity")).join(
