@@ -123,7 +123,7 @@ def analyse(files: DataFrame, num_partitions: int | None = None, rules=()) -> Da
 
     base = fm.select("file_path", "language", "content").join(bal, "file_path", "left")
     m = line_metric_cols(F.col("content"), F.col("language"), {r.name: LR.comment_lines(r) for r in rules})
-    rec = base.join(per_file, "file_path", "left")
+    rec = base.join(per_file.hint("merge"), "file_path", "left")
     empty = lambda t: F.array().cast(T.ArrayType(t))
     structural = rec.where((F.col("language") != "java") | F.coalesce("balanced", F.lit(True))).select(
         "file_path", "language",
@@ -176,8 +176,9 @@ def regex_records(files: DataFrame) -> DataFrame:
           .groupBy("file_path").agg(srt("imports")))
     mt = JR.metrics(fm)
     empty = lambda t: F.array().cast(T.ArrayType(t))
-    r = files.select("file_path", "language").join(fn, "file_path", "left").join(cl, "file_path", "left") \
-             .join(im, "file_path", "left").join(mt, "file_path", "left")
+    r = files.select("file_path", "language")
+    for part in (fn, cl, im, mt):
+        r = r.join(part.hint("merge"), "file_path", "left")
     return r.select(
         "file_path", "language",
         F.coalesce("functions", empty(schemas.FUNCTION)).alias("functions"),

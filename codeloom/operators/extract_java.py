@@ -106,7 +106,7 @@ def class_methods(meths: DataFrame, classes_df: DataFrame) -> DataFrame:
     w = Window.partitionBy("file_path", "lvl").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     own = (c.unionByName(m).select("file_path", "idx", "is_cls", F.last("cls", ignorenulls=True).over(w).alias("o"))
             .where((F.col("is_cls") == 0) & F.col("o").isNotNull() & (F.col("idx") < F.col("o.cend"))))
-    r = meths.join(own.select("file_path", "idx", "o"), ["file_path", "idx"])
+    r = meths.join(own.select("file_path", "idx", "o").hint("merge"), ["file_path", "idx"])
     return r.select("file_path", F.col("o.cidx").alias("class_idx"), F.col("o.cname").alias("class_name"), "idx",
                     "name", F.col("decl_line").alias("start_line"), F.col("decl_column").alias("start_column"),
                     F.col("close_line").alias("end_line"), F.col("close_column").alias("end_column"),

@@ -54,7 +54,8 @@ def headers(p: DataFrame, defs: tuple[str, ...] = DEFS, classes: tuple[str, ...]
     ends = (u.select("file_path", "idx", "is_hdr", nearest.over(wu).alias("nc"))
              .where(F.col("is_hdr") == 1).select("file_path", "idx", F.col("nc.k").alias("end_ll_idx"),
                                                   F.col("nc.e").alias("blk_end")))
-    h = hdrs.join(ends, ["file_path", "idx"]).join(_cases_within(ends, case_clauses(ll)), ["file_path", "idx"], "left")
+    # rows of every file on all sides: none is a side to broadcast
+    h = hdrs.join(ends.hint("merge"), ["file_path", "idx"]).join(_cases_within(ends, case_clauses(ll)).hint("merge"), ["file_path", "idx"], "left")
     return h.withColumn("blk_end", F.coalesce("blk_end", "file_end")), ll
 
 
@@ -155,7 +156,7 @@ def class_methods(funcs: DataFrame, classes: DataFrame) -> DataFrame:
     u = c.unionByName(d).select("file_path", "idx", "is_cls",
                                 F.last("cls", ignorenulls=True).over(w).alias("owner"))
     own = u.where(F.col("is_cls") == 0).select("file_path", "idx", "owner")
-    m = funcs.join(own, ["file_path", "idx"]).where(
+    m = funcs.join(own.hint("merge"), ["file_path", "idx"]).where(
         F.col("owner").isNotNull() & (F.col("blk_end_off") <= F.col("owner.cend")) & ~F.col("decorated"))
     return m.select("file_path", F.col("owner.cidx").alias("class_idx"), F.col("owner.cname").alias("class_name"),
                     "idx", "name", F.col("def_line").alias("start_line"), F.col("def_column").alias("start_column"),

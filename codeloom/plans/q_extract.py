@@ -21,7 +21,8 @@ def _tokens(spark, sf_dir, language=None):
 def python_tables(spark, sf_dir):
     s, fm = _tokens(spark, sf_dir, "python")
     p = XP.prepare(s)
-    funcs, classes = XP.functions(p, fm)
+    # read several times for the classes and their methods
+    funcs, classes = XP.split_definitions(materialize(XP.definitions(p, fm), "py_defs", "file_path"))
     return funcs, classes, XP.class_methods(funcs, classes), XP.imports(p, fm)
 
 

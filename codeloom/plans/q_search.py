@@ -195,7 +195,8 @@ def text_repr_200(spark, sf_dir):
 def code_vectors(spark, sf_dir, dim=64):
     t = code_texts(spark, sf_dir)
     emb = V.hash_embed(t, "file_path", "text_for_embedding", dim)
-    return emb.join(t.select("file_path", "language"), "file_path")
+    # One row for each file on either side: never a broadcast, however small the table on disk.
+    return emb.hint("merge").join(t.select("file_path", "language").hint("merge"), "file_path")
 
 
 def related_code(spark, sf_dir, k=5, dim=64):
