@@ -210,10 +210,11 @@ def _padded(rows: list[np.ndarray], none: int) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-#: Words of a vocabulary whose pairs a task adds up in one matrix; more are sorted.
-DENSE_WORDS = 3000
+#: The most frequent words, whose pairs a task adds up in place in half a matrix of at
+#: most 67 MB; the pairs with others, of any number, are sorted.
+DENSE_WORDS = 4096
 #: Passages whose pairs are made at a time, and pairs that are sorted at a time.
-_PASSAGES, _PAIRS = 1024, 4_000_000
+_PASSAGES, _PAIRS = 1024, 1_000_000
 
 
 def passages(rows: list[np.ndarray], none: int, width: int = BLOCK * WINDOW_BLOCKS) -> np.ndarray:
@@ -228,7 +229,13 @@ def passages(rows: list[np.ndarray], none: int, width: int = BLOCK * WINDOW_BLOC
 
 
 def passage_products(words: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(first word * vocabulary + second word, first word <= second, and product) of the entries of A'A for the
+    """``passage_pairs`` as (first word * vocabulary + second word, product)."""
+    for p, q, value in passage_pairs(words, idf):
+        yield p * len(idf) + q, value
+
+
+def passage_pairs(words: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first word, second word, first word <= second, and product) of the entries of A'A for the
     TF-IDF rows A, each of length one, of these passages; what a diagonal entry
     has from two places of a passage comes once with half its value.
 
@@ -248,19 +255,29 @@ def passage_products(words: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.nd
                     break
                 square += 2 * np.where(same, weight[:, d:] * weight[:, :-d], 0).sum(axis=1)
             weight /= np.maximum(np.sqrt(square), 1e-6)[:, None]
-            yield (x * (n + 1)).ravel(), (weight * weight).ravel() / 2
+            yield x.ravel(), x.ravel(), (weight * weight).ravel() / 2
             i, j = np.triu_indices(m, 1)
             if len(i):
-                yield (x[:, i] * n + x[:, j]).ravel(), (weight[:, i] * weight[:, j]).ravel()
+                yield x[:, i].ravel(), x[:, j].ravel(), (weight[:, i] * weight[:, j]).ravel()
 
 
 def word_products(numbers: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
     """The entries (row, col, v) of A'A over all passages of all documents, and how
     many passages there are.  Each task adds up its own; one exchange adds those up."""
     n = len(idf)
+    order = np.argsort(idf, kind="stable")                      # the most frequent words first
+    place = np.append(np.empty(n, np.int32), n).astype(np.int32)
+    place[order] = np.arange(n)
+    ordered, m = idf[order], min(n, DENSE_WORDS)
+    half = np.arange(m, dtype=np.int64) * np.arange(1, m + 1) // 2
+
+    def coded(p, q):
+        """Codes of the pairs of these places, by the words' numbers."""
+        a, b = order[p], order[q]
+        return np.minimum(a, b) * n + np.maximum(a, b)
 
     def add(batches):
-        dense = np.zeros(n * n) if n <= DENSE_WORDS else None
+        dense = np.zeros(m * (m + 1) // 2)                      # pairs p <= q < m at half[q] + p
         codes, values, count = np.zeros(0, np.int64), np.zeros(0), 0
         parts, held = [], 0
 
@@ -269,14 +286,15 @@ def word_products(numbers: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
             return codes, np.bincount(at, np.concatenate([v for _, v in parts]), minlength=len(codes))
 
         for b in batches:
-            rows = passages([np.frombuffer(x, "<i4") for x in b.column(0).to_pylist()], n)
+            rows = place[passages([np.frombuffer(x, "<i4") for x in b.column(0).to_pylist()], n)]
             count += len(rows)
-            for code, value in passage_products(rows, idf):
-                if dense is not None:
-                    np.add.at(dense, code, value)
-                    continue
-                parts.append((code, value))
-                held += len(code)
+            for p, q, value in passage_pairs(rows, ordered):
+                if m < n and len(rare := np.flatnonzero(q >= m)):
+                    parts.append((coded(p[rare], q[rare]), value[rare]))
+                    held += len(rare)
+                    few = np.flatnonzero(q < m)
+                    p, q, value = p[few], q[few], value[few]
+                np.add.at(dense, half[q] + p, value)
                 if held > _PAIRS:
                     codes, values = merged()
                     parts, held = [(codes, values)], 0
@@ -286,12 +304,11 @@ def word_products(numbers: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
         if parts:
             codes, values = merged()
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([float(count)])], names=["code", "v"])
-        if dense is None:
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(values)], names=["code", "v"])
-            return
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(values)], names=["code", "v"])
         for k in range(0, len(dense), _PAIRS):                  # a copy of some entries at a time
-            codes = np.flatnonzero(dense[k: k + _PAIRS]) + k
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(dense[codes])], names=["code", "v"])
+            at = np.flatnonzero(dense[k: k + _PAIRS]) + k
+            q = ((np.sqrt(8.0 * at + 1) - 1) / 2).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(coded(at - half[q], q)), pa.array(dense[at])], names=["code", "v"])
 
     # few tasks: each sends one row for each pair of words that it met
     files = numbers.select("words")

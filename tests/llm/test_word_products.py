@@ -69,3 +69,23 @@ def test_products_of_passages_need_no_second_table(monkeypatch, dense):
     assert count == len(a) and np.allclose(got + got.T, want)
     if dense:                                                  # the sums of all pairs, 17 MB
         assert peak < 80
+
+
+def test_vocabulary_of_many_words_is_added_in_place_where_words_are_frequent():
+    rng, n = np.random.default_rng(3), 5000
+    rows = [np.minimum(rng.zipf(1.3, 240), n).astype("<i4") for _ in range(3000)]
+    df = np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=n + 1)[:n]
+    idf = np.log((len(rows) + 1) / (df + 1)) + 1e-3
+    table = _Table()
+    with pytest.raises(_Caught):
+        D.word_products(table, idf)
+    batch = pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], names=["words"])
+    out = []
+    peak = _peak_mb(lambda: out.extend(table.run(iter([batch]))))
+    code, v = (np.concatenate([b.column(k).to_numpy() for b in out]) for k in (0, 1))
+    got = np.bincount(code[code >= 0], v[code >= 0], minlength=n * n)
+    want = np.zeros(n * n)
+    for c, x in D.passage_products(D.passages(rows, n), idf):
+        np.add.at(want, c, x)
+    assert np.allclose(got, want) and v[code < 0].sum() == len(rows) * 10
+    assert peak < 200                                          # 259 MB when all pairs were held and sorted
