@@ -31,6 +31,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +113,8 @@ class Items:
 
 def _numbers(texts: list, vocabulary: dict[bytes, int]) -> list[np.ndarray]:
     none, get = len(vocabulary), vocabulary.get
-    return [np.array([get(w, none) for w in words_of(t or "")], np.int32) for t in texts]
+    each = map(words_of, (t or "" for t in texts))
+    return [np.fromiter(map(get, ws, repeat(none)), np.int32, len(ws)) for ws in each]
 
 
 def _texts(batches: Iterator[pa.RecordBatch], col: int):
@@ -213,8 +215,10 @@ def _padded(rows: list[np.ndarray], none: int) -> tuple[np.ndarray, np.ndarray]:
 #: The most frequent words, whose pairs a task adds up in place in half a matrix of at
 #: most 67 MB; the pairs with others, of any number, are sorted.
 DENSE_WORDS = 4096
-#: Passages whose pairs are made at a time, and pairs that are sorted at a time.
-_PASSAGES, _PAIRS = 1024, 1_000_000
+#: Passages that are dealt by their known words at a time, those of them whose pairs
+#: are made at a time (so few that what is made stays in the processor's cache), and
+#: pairs that are sorted at a time.
+_PASSAGES, _TOGETHER, _PAIRS = 8192, 128, 1_000_000
 
 
 def passages(rows: list[np.ndarray], none: int, width: int = BLOCK * WINDOW_BLOCKS) -> np.ndarray:
@@ -246,19 +250,21 @@ def passage_pairs(words: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarr
         rows = np.sort(words[k: k + _PASSAGES], axis=1)
         known = (rows < n).sum(axis=1)
         for m in np.unique(known[known > 0]).tolist():
-            x = rows[known == m, :m].astype(np.int64)
-            weight = idf[x]
-            square = (weight * weight).sum(axis=1)
-            for d in range(1, m):                               # a word's places add up before they are squared
-                same = x[:, d:] == x[:, :-d]
-                if not same.any():
-                    break
-                square += 2 * np.where(same, weight[:, d:] * weight[:, :-d], 0).sum(axis=1)
-            weight /= np.maximum(np.sqrt(square), 1e-6)[:, None]
-            yield x.ravel(), x.ravel(), (weight * weight).ravel() / 2
+            alike = rows[known == m, :m].astype(np.int64)
             i, j = np.triu_indices(m, 1)
-            if len(i):
-                yield x[:, i].ravel(), x[:, j].ravel(), (weight[:, i] * weight[:, j]).ravel()
+            for a in range(0, len(alike), _TOGETHER):
+                x = alike[a: a + _TOGETHER]
+                weight = idf[x]
+                square = (weight * weight).sum(axis=1)
+                for d in range(1, m):                           # a word's places add up before they are squared
+                    same = x[:, d:] == x[:, :-d]
+                    if not same.any():
+                        break
+                    square += 2 * np.where(same, weight[:, d:] * weight[:, :-d], 0).sum(axis=1)
+                weight /= np.maximum(np.sqrt(square), 1e-6)[:, None]
+                yield x.ravel(), x.ravel(), (weight * weight).ravel() / 2
+                if len(i):
+                    yield x.take(i, axis=1).ravel(), x.take(j, axis=1).ravel(), (weight.take(i, axis=1) * weight.take(j, axis=1)).ravel()
 
 
 def word_products(numbers: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
@@ -450,10 +456,11 @@ def _contiguous(source: DataFrame, short: list[tuple[object, list[bytes]]], sche
 
 
 def _word_groups(batches: Iterator[pa.RecordBatch]):
-    """(batch, first row, word numbers of its texts) in groups of a bounded size."""
+    """(batch, first row, word numbers of its texts) in groups of a bounded size, so
+    that a group's sums stay in the processor's cache."""
     for b in batches:
         words = [np.frombuffer(x, "<i4") for x in b.column(1).to_pylist()]
-        for i, j in row_groups(np.cumsum([0, *map(len, words)]), _CHUNK // 6):
+        for i, j in row_groups(np.cumsum([0, *map(len, words)]), _CHUNK // 24):
             yield b, i, words[i:j]
 
 
