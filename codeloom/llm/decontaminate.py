@@ -218,7 +218,7 @@ DENSE_WORDS = 4096
 #: Passages that are dealt by their known words at a time, those of them whose pairs
 #: are made at a time (so few that what is made stays in the processor's cache), and
 #: pairs that are sorted at a time.
-_PASSAGES, _TOGETHER, _PAIRS = 8192, 128, 1_000_000
+_PASSAGES, _TOGETHER, _PAIRS = 1024, 128, 1_000_000
 
 
 def passages(rows: list[np.ndarray], none: int, width: int = BLOCK * WINDOW_BLOCKS) -> np.ndarray:
@@ -250,32 +250,32 @@ def passage_pairs(words: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarr
         rows = np.sort(words[k: k + _PASSAGES], axis=1)
         known = (rows < n).sum(axis=1)
         for m in np.unique(known[known > 0]).tolist():
-            alike = rows[known == m, :m].astype(np.int64)
+            x = rows[known == m, :m].astype(np.int64)
+            weight = idf[x]
+            square = (weight * weight).sum(axis=1)
+            for d in range(1, m):                               # a word's places add up before they are squared
+                same = x[:, d:] == x[:, :-d]
+                if not same.any():
+                    break
+                square += 2 * np.where(same, weight[:, d:] * weight[:, :-d], 0).sum(axis=1)
+            weight /= np.maximum(np.sqrt(square), 1e-6)[:, None]
+            yield x.ravel(), x.ravel(), (weight * weight).ravel() / 2
             i, j = np.triu_indices(m, 1)
-            for a in range(0, len(alike), _TOGETHER):
-                x = alike[a: a + _TOGETHER]
-                weight = idf[x]
-                square = (weight * weight).sum(axis=1)
-                for d in range(1, m):                           # a word's places add up before they are squared
-                    same = x[:, d:] == x[:, :-d]
-                    if not same.any():
-                        break
-                    square += 2 * np.where(same, weight[:, d:] * weight[:, :-d], 0).sum(axis=1)
-                weight /= np.maximum(np.sqrt(square), 1e-6)[:, None]
-                yield x.ravel(), x.ravel(), (weight * weight).ravel() / 2
-                if len(i):
-                    yield x.take(i, axis=1).ravel(), x.take(j, axis=1).ravel(), (weight.take(i, axis=1) * weight.take(j, axis=1)).ravel()
+            for a in range(0, len(x) if len(i) else 0, _TOGETHER):
+                some, w = x[a: a + _TOGETHER], weight[a: a + _TOGETHER]
+                yield some.take(i, axis=1).ravel(), some.take(j, axis=1).ravel(), (w.take(i, axis=1) * w.take(j, axis=1)).ravel()
 
 
 def word_products(numbers: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
     """The entries (row, col, v) of A'A over all passages of all documents, and how
     many passages there are.  Each task adds up its own; one exchange adds those up."""
     n = len(idf)
-    order = np.argsort(idf, kind="stable")                      # the most frequent words first
+    order = np.arange(n) if n <= DENSE_WORDS else np.argsort(idf, kind="stable")   # the most frequent words first
     place = np.append(np.empty(n, np.int32), n).astype(np.int32)
     place[order] = np.arange(n)
     ordered, m = idf[order], min(n, DENSE_WORDS)
-    half = np.arange(m, dtype=np.int64) * np.arange(1, m + 1) // 2
+    diagonal = np.cumsum(np.r_[0, np.arange(m, 0, -1)])[:m]      # the rows of half a matrix, one after the other
+    start = diagonal - np.arange(m)
 
     def coded(p, q):
         """Codes of the pairs of these places, by the words' numbers."""
@@ -283,7 +283,7 @@ def word_products(numbers: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
         return np.minimum(a, b) * n + np.maximum(a, b)
 
     def add(batches):
-        dense = np.zeros(m * (m + 1) // 2)                      # pairs p <= q < m at half[q] + p
+        dense = np.zeros(m * (m + 1) // 2)                      # pairs p <= q < m at start[p] + q
         codes, values, count = np.zeros(0, np.int64), np.zeros(0), 0
         parts, held = [], 0
 
@@ -300,7 +300,7 @@ def word_products(numbers: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
                     held += len(rare)
                     few = np.flatnonzero(q < m)
                     p, q, value = p[few], q[few], value[few]
-                np.add.at(dense, half[q] + p, value)
+                np.add.at(dense, start[p] + q, value)
                 if held > _PAIRS:
                     codes, values = merged()
                     parts, held = [(codes, values)], 0
@@ -313,8 +313,8 @@ def word_products(numbers: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(values)], names=["code", "v"])
         for k in range(0, len(dense), _PAIRS):                  # a copy of some entries at a time
             at = np.flatnonzero(dense[k: k + _PAIRS]) + k
-            q = ((np.sqrt(8.0 * at + 1) - 1) / 2).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(coded(at - half[q], q)), pa.array(dense[at])], names=["code", "v"])
+            p = np.searchsorted(diagonal, at, side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(coded(p, at - start[p])), pa.array(dense[at])], names=["code", "v"])
 
     # few tasks: each sends one row for each pair of words that it met
     files = numbers.select("words")
