@@ -66,7 +66,8 @@ class LanguageRule:
         return [*self.functions, *self.types, *self.structs, *self.imports]
 
 
-def _trivia(rule: LanguageRule) -> str:
+def trivia_pattern(rule: LanguageRule) -> str:
+    """White space and comments before a token (the same in Java's and Python's patterns)."""
     parts = [r"[ \t\f\r\n]++"]
     if rule.blocks == "indent":
         parts.append(r"\\\r?\n")
@@ -93,7 +94,7 @@ def piece_pattern(rule: LanguageRule) -> str:
     if rule.characters:
         strings.append(r"'(?:[^'\\\n]|\\[^\n][^'\n]{0,9}+)'")
     tokens = [*strings, r"(?U:\w++)", r"[\s\S]"]
-    return f"({_trivia(rule)})({'|'.join(tokens)}|\\z)"
+    return f"({trivia_pattern(rule)})({'|'.join(tokens)}|\\z)"
 
 
 def _stops(rule: LanguageRule) -> Column:

@@ -42,6 +42,8 @@ SCHEMA = ("file_path string, language string, content string, masked string, idx
 BEFORE_LITERAL = ["return", "case", "throw", "assert", "yield", "else", "do", "default", "when"]
 BEFORE_PARENTHESIS = ["if", "while", "for", "switch", "catch"]
 BEFORE_OPERAND = ["return", "throw", "new", "case", "import", "package", "extends", "implements", "throws"]
+#: Words that no Java method is named by, though a parenthesis may follow them.
+NOT_CALLED = ["if", "while", "for", "switch", "catch", "return", "synchronized", "new", "throw", "this", "super", "assert", "case"]
 #: Words that an extractor reads wherever they stand.
 DECLARATION_WORDS = ["def", "class", "async", "func", "type", "import"]
 
@@ -68,16 +70,17 @@ _F_STRING = re.compile("[rRbBuU]?[fF][rR]?[\"']")
 @dataclass(frozen=True)
 class Context:
     """What languages give: decision words, the line comment of those whose lines
-    end statements, and words to keep."""
+    end statements, words to keep, and what a piece's trivia is."""
 
     decisions: dict[str, tuple[str, ...]]
     indented: dict[str, str]
     words: tuple[str, ...]
+    trivia: dict[str, str]
     schema: pa.Schema
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _whole_paths(batches):
-            sizes = pc.fill_null(pc.list_value_length(b.column("tk")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = _sizes(b)
             path = pc.dictionary_encode(b.column("file_path"), null_encoding="encode").indices.to_numpy()
             at = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])          # first row of each path
             ends, upto = np.r_[at[1:], len(path)], np.cumsum(sizes)
@@ -86,30 +89,43 @@ class Context:
                 before = upto[at[i] - 1] if at[i] else 0
                 j = max(i + 1, int(np.searchsorted(upto[ends - 1], before + STEP, side="right")))
                 part = b.slice(at[i], ends[j - 1] - at[i])
-                yield self._files(part)
-                yield from self._tokens(part)
+                trivia, text = self._split(part)
+                yield self._files(part, trivia, text)
+                yield from self._tokens(part, trivia, text)
                 i = j
 
-    def _files(self, b: pa.RecordBatch) -> pa.RecordBatch:
+    def _split(self, b: pa.RecordBatch) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
+        """Trivia and token of each piece.  Each distinct piece of a language is looked
+        at once: its trivia is what the language's trivia pattern takes from its start."""
+        piece = b.column("pieces").flatten().dictionary_encode()
+        lang = pc.dictionary_encode(b.column("language"))
+        names, of = lang.dictionary.to_pylist(), np.repeat(pc.fill_null(lang.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64), _sizes(b))
+        both, one = np.unique(piece.indices.to_numpy().astype(np.int64) * max(len(names), 1) + of, return_inverse=True)
+        patterns = [re.compile(self.trivia.get(x, ""), re.ASCII) for x in names]
+        words = piece.dictionary.to_pylist()
+        cut = [(w, patterns[k].match(w).end()) for w, k in ((words[x // len(names)], x % len(names)) for x in both.tolist())]
+
+        def column(parts):
+            d = pa.array(parts, pa.string()).dictionary_encode()
+            return pa.DictionaryArray.from_arrays(pa.array(d.indices.to_numpy()[one], pa.int32()), d.dictionary)
+
+        return column([w[:e] for w, e in cut]), column([w[e:] for w, e in cut])
+
+    def _files(self, b: pa.RecordBatch, trivia: pa.DictionaryArray, text: pa.DictionaryArray) -> pa.RecordBatch:
         """The files' rows: trivia (comments, white space) blanked to spaces, newlines kept."""
-        trivia, blanked = b.column("tr").flatten().dictionary_encode(), []
         blanked = pa.array([re.sub("[^\n]", " ", t) for t in trivia.dictionary.to_pylist()], pa.string())
-        toks = b.column("tk").flatten()
-        n = len(toks)
-        both = pa.concat_arrays([blanked.take(trivia.indices), toks]).take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel()))
-        sizes = pc.fill_null(pc.list_value_length(b.column("tk")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(2 * sizes)], pa.int32()), both)
-        masked = pc.if_else(b.column("tk").is_valid(), pc.binary_join(lists, ""), pa.scalar(None, pa.string()))
+        m = len(blanked)
+        both = pa.concat_arrays([blanked, text.dictionary]).take(pa.array(np.stack([trivia.indices.to_numpy(), text.indices.to_numpy() + m], 1).ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(2 * _sizes(b))], pa.int32()), both)
+        masked = pc.if_else(b.column("pieces").is_valid(), pc.binary_join(lists, ""), pa.scalar(None, pa.string()))
         held = {"file_path": b.column("file_path"), "language": b.column("language"), "content": b.column("content"), "masked": masked,
                 "idx": pa.array(np.full(len(b), -1), pa.int32())}
         return pa.RecordBatch.from_arrays([held[f.name] if f.name in held else pa.nulls(len(b), f.type) for f in self.schema], schema=self.schema)
 
-    def _tokens(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        tk = b.column("tk")
-        sizes = pc.fill_null(pc.list_value_length(tk), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    def _tokens(self, b: pa.RecordBatch, trivia: pa.DictionaryArray, text: pa.DictionaryArray) -> Iterator[pa.RecordBatch]:
+        sizes = _sizes(b)
         row = np.repeat(np.arange(len(b)), sizes)
         idx = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        text, trivia = tk.flatten().dictionary_encode(), b.column("tr").flatten().dictionary_encode()
         code, tcode = text.indices.to_numpy().astype(np.int64), trivia.indices.to_numpy().astype(np.int64)
         texts, trivias = text.dictionary, trivia.dictionary
         path = pc.dictionary_encode(b.column("file_path"), null_encoding="encode").indices.to_numpy().astype(np.int64)
@@ -140,7 +156,7 @@ class Context:
 
         # Facts of each distinct text.
         number = {w: k + 1 for k, w in enumerate(dict.fromkeys([
-            *"()[]{};:,.=/%^&|!~<>?*+-", "from", "new", "enum", "interface", "struct", "instanceof", *DECLARATION_WORDS, *BEFORE_LITERAL, *BEFORE_PARENTHESIS, *BEFORE_OPERAND,
+            *"()[]{};:,.=/%^&|!~<>?*+-", "from", "new", "enum", "interface", "struct", "instanceof", *DECLARATION_WORDS, *BEFORE_LITERAL, *BEFORE_PARENTHESIS, *BEFORE_OPERAND, *NOT_CALLED,
             *self.words, *(w for ws in self.decisions.values() for w in ws)]))}
         value_set = pa.array(list(number), pa.string())
         known = pc.fill_null(pc.add(pc.index_in(texts, value_set), 1), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -268,9 +284,35 @@ class Context:
         # the declaration keywords (with those of languages given as rules).
         nxt = neighbour(1)
         n1 = np.where(nxt >= 0, tid[nxt], 0)
-        keep = (ll_start | ((stmt >= 0) & one_of(tid[stmt], ["import", "from"])) | (is_(":") & (adepth == 0))
+        every = (ll_start | ((stmt >= 0) & one_of(tid[stmt], ["import", "from"])) | (is_(":") & (adepth == 0))
                 | (word & tin([*DECLARATION_WORDS, *self.words])) | (punct & tin("{;")) | string | (word & one_of(n1, ["(", "struct"]))
                 | (is_("(") & pin("]>")) | (is_("struct") & is_p("]")) | (is_lang("go") & (bdepth == 0) & word & one_of(n1, "[")))
+        # Of a built-in language's files fewer will do (where a path has one row, so
+        # that token numbers are distinct).  What a lookup finds after its anchor is
+        # the first of its kind there: Python's first colon after a header, Java's
+        # first stop after a parenthesis, a class or an import.
+        seen = lambda flag: after(latest(flag), -1)
+        word_of = lambda *w: word & one_of(tid, w)
+        colon, stop = is_(":") & (adepth == 0), punct & tin("{;")
+        header = ll_start & one_of(tid, ["def", "class", "async"])
+        group_o, group_c = groups["import"], np.where(groups["import"] >= 0, closes[groups["import"]], -1)
+        own = {
+            "python": (ll_start | ((stmt >= 0) & one_of(tid[stmt], ["import", "from"])) | (colon & (seen(header) > seen(colon)))),
+            "go": (word_of("func", "type") | (is_("{") & (bdepth == 1)) | (is_("(") & is_p("]"))
+                   | (string & (is_p("import") | (q1 == number["import"]) | ((group_o >= 0) & (group_c >= 0) & (here > group_o) & (here < group_c))))
+                   | (word & (one_of(n1, ["struct"]) | ((bdepth == 0) & one_of(n1, "[")))) | (is_("struct") & is_p("]"))),
+            "java": ((idx == 0) | word_of("class", "import") | (word & one_of(n1, "(") & ~one_of(tid, NOT_CALLED))
+                     | (stop & (seen(is_(")")) > seen(stop))) | (is_("{") & (seen(is_("class")) > seen(is_("{")))) | (is_(";") & (seen(is_("import")) > seen(is_(";"))))),
+        }
+        single = np.bincount(path, minlength=1)[group] == 1
+        narrow = {name: is_lang(name) & single for name in own}
+        keep = np.select([narrow[x] for x in own], [own[x] for x in own], every)
+        # Neighbours, ends and declaration starts where an extractor reads them.
+        spec = word & one_of(n1, ["struct", "["])
+        declares = header | word_of("func", "type", "class", "import") | spec
+        read = {"t1": declares | colon | is_("struct") | word & one_of(n1, "("), "t2": declares, "t3": header | spec, "prev_end": narrow["python"],
+                "file_end": header | word_of("func"), "decl_start": narrow["java"] & word & one_of(n1, "(")}
+        wide = ~np.any(list(narrow.values()), axis=0)
         k = np.flatnonzero(keep)
 
         def pick(x, at, kind):
@@ -308,16 +350,22 @@ class Context:
             return pa.StructArray.from_arrays([pa.array(idx[at], i32), pa.array(idx[c], i32, mask=c < 0)], fields=list(self.schema.field("imp_grp").type), mask=pa.array(at < 0))
 
         type_of = lambda name: self.schema.field(name).type
+        where_read = lambda name, at: np.where((wide | read[name])[k], at[k], -1)
         rows = pa.array(row[k])
         out = {"file_path": b.column("file_path").take(rows), "language": b.column("language").take(rows), "content": pa.nulls(len(k), pa.string()), "masked": pa.nulls(len(k), pa.string()),
                "kind": kinds.take(pa.array(kind[k])), "text": words_at(k), "close": struct(type_of("close"), closes[k]),
                "nxt1": words_at(nxt[k]), "prv1": words_at(prev[k]), "prv2": words_at(neighbour(-2)[k]), "pkind1": kinds.take(pa.array(kind[prev[k]], mask=prev[k] < 0)),
-               **{f"t{i}": struct(type_of(f"t{i}"), neighbour(i)[k]) for i in (1, 2, 3)},
-               "prev_end": struct(type_of("prev_end"), prev[k]), "file_end": struct(type_of("file_end"), last[k]), "stmt": words_at(stmt[k]),
-               "imp_grp": span(groups["import"][k]), "typ_grp": span(groups["type"][k]), "decl_start": struct(type_of("decl_start"), decl[k])}
+               **{f"t{i}": struct(type_of(f"t{i}"), where_read(f"t{i}", neighbour(i))) for i in (1, 2, 3)},
+               "prev_end": struct(type_of("prev_end"), where_read("prev_end", prev)), "file_end": struct(type_of("file_end"), where_read("file_end", last)), "stmt": words_at(stmt[k]),
+               "imp_grp": span(groups["import"][k]), "typ_grp": span(groups["type"][k]), "decl_start": struct(type_of("decl_start"), where_read("decl_start", decl))}
         yield pa.RecordBatch.from_arrays([out[f.name] if f.name in out else pick(values[f.name][0], k, f.type) for f in self.schema], schema=self.schema)
 
 
+def _sizes(b: pa.RecordBatch) -> np.ndarray:
+    """Pieces of each row."""
+    return pc.fill_null(pc.list_value_length(b.column("pieces")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _whole_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows dealt anew so that all those of a path, which come one after the
     other, are in one batch."""

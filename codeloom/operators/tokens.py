@@ -77,19 +77,19 @@ def token_table(files: DataFrame, num_partitions: int | None = None, rules=()) -
     Java); ``files_masked`` has the content with trivia blanked beside it.  Both are
     one written table, bucketed by ``file_path``.  ``rules`` (of language_rules) add
     languages."""
-    from .language_rules import piece_pattern
+    from .language_rules import piece_pattern, trivia_pattern
 
     spark = files.sparkSession
     bounded_batches(spark)
     patterns = PIECE_RE | {r.name: piece_pattern(r) for r in rules}
     context = Context({**{k: tuple(v) for k, v in DECISIONS.items()}, **{r.name: tuple(r.decisions) for r in rules}},
                       {"python": "#", **{r.name: r.line_comment for r in rules if r.blocks == "indent"}},
-                      tuple(w for r in rules for w in r.words), to_arrow_schema(StructType.fromDDL(SCHEMA)))
+                      tuple(w for r in rules for w in r.words), TRIVIA_RE | {r.name: trivia_pattern(r) for r in rules}, to_arrow_schema(StructType.fromDDL(SCHEMA)))
     # An explicit count: AQE must not coalesce this exchange into a handful of
     # tasks, because what follows is CPU-bound.
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = (files.select("file_path", "language", "content").repartition(n, "file_path").sortWithinPartitions("file_path")
-                   .select("*", *[_pieces(F.col("content"), F.col("language"), g, patterns).alias(c) for g, c in ((1, "tr"), (2, "tk"))]))
+                   .select("*", _pieces(F.col("content"), F.col("language"), 0, patterns).alias("pieces")))
     # A folder for each language and kind of row: an extractor reads its language's
     # tokens, and what needs the text reads the files' rows.
     rows = pieces.mapInArrow(context, SCHEMA).withColumn("is_token", F.col("idx") >= 0)
