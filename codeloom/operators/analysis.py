@@ -51,14 +51,18 @@ METHODS = T.StructType([T.StructField("class_idx", T.IntegerType()), T.StructFie
 
 def _assemble(parts: list[DataFrame]) -> DataFrame:
     """One row per file with its lists in source order: one exchange and one
-    aggregation for all kinds of rows."""
+    aggregation for all kinds of rows, which are collected as one list (a list for
+    each kind would be written and read for each file, though most are empty)."""
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    listed = lambda c: _sorted(F.when(F.col(c).isNotNull(), F.struct(F.col("idx").alias("k"), F.col(c).alias("v"))))
-    a = u.groupBy("file_path").agg(
-        listed("function").alias("functions"), listed("span").alias("function_spans"), listed("class").alias("classes"), listed("struct").alias("structs"),
-        listed("import").alias("imports"), F.map_from_entries(F.collect_list("methods")).alias("mm"), F.avg("complexity").alias("avg_c"))
+    kinds = ("function", "span", "class", "struct", "import", "methods")
+    of = lambda c: F.filter("all", lambda x: x[c].isNotNull())
+    listed = lambda c: F.transform(F.array_sort(F.transform(of(c), lambda x: F.struct(x["idx"].alias("k"), x[c].alias("v")))), lambda x: x["v"])
+    some = F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in kinds])
+    a = (u.groupBy("file_path").agg(F.collect_list(F.when(some, F.struct("idx", *kinds))).alias("all"), F.avg("complexity").alias("avg_c"))
+          .select("file_path", listed("function").alias("functions"), listed("span").alias("function_spans"), listed("class").alias("classes"), listed("struct").alias("structs"),
+                  listed("import").alias("imports"), F.map_from_entries(F.transform(of("methods"), lambda x: x["methods"])).alias("mm"), "avg_c"))
     nested = F.transform("classes", lambda c: F.struct(
         c["name"].alias("name"), c["position"].alias("position"),
         F.coalesce(F.element_at(F.col("mm"), c["idx"]), F.array().cast(T.ArrayType(schemas.FUNCTION))).alias("methods"),
@@ -85,7 +89,6 @@ def analyse(files: DataFrame, num_partitions: int | None = None, rules=()) -> Da
     go_f, go_s, go_i, go_t = XG.functions(g, fm), XG.structs(g, fm), XG.imports(g), XG.type_declarations(g)
 
     j = XJ.prepare(s)
-    bal = XJ.balanced(s)
     ja_m = materialize(XJ.methods(j, fm), "java_methods", "file_path", n)
     ja_c = XJ.classes(j, fm)
     ja_cm = XJ.class_methods(ja_m, ja_c)
@@ -121,7 +124,7 @@ def analyse(files: DataFrame, num_partitions: int | None = None, rules=()) -> Da
         # they count in the average, though no list has them
         _part(go_t, complexity=F.col("complexity")), _part(XJ.bodiless_methods(j), complexity=F.col("complexity"))])
 
-    base = fm.select("file_path", "language", "content").join(bal, "file_path", "left")
+    base = fm.select("file_path", "language", "content", F.col("file_balanced").alias("balanced"))
     m = line_metric_cols(F.col("content"), F.col("language"), {r.name: LR.comment_lines(r) for r in rules})
     rec = base.join(per_file.hint("merge"), "file_path", "left")
     empty = lambda t: F.array().cast(T.ArrayType(t))
@@ -138,7 +141,7 @@ def analyse(files: DataFrame, num_partitions: int | None = None, rules=()) -> Da
         F.when(F.col("language") == "java", "tree-sitter").alias("parser_used"),
         F.lit(None).cast("string").alias("error"),
         F.coalesce("function_spans", empty(schemas.SPAN)).alias("function_spans"))
-    fallback = regex_records(rec.where((F.col("language") == "java") & ~F.coalesce("balanced", F.lit(True)))
+    fallback = regex_records(base.where((F.col("language") == "java") & ~F.coalesce("balanced", F.lit(True)))
                              .select("file_path", "language", "content"))
     return structural.unionByName(fallback).unionByName(failed)
 

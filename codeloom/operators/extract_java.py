@@ -1,5 +1,5 @@
 """E14–E18, E22 Java (structural path): methods with bodies, parameters, classes,
-direct class methods, imports, and the balanced-file routing flag."""
+direct class methods and imports."""
 
 from __future__ import annotations
 
@@ -129,11 +129,3 @@ def imports(j: DataFrame, files_masked: DataFrame) -> DataFrame:
                       F.col("st.line").alias("end_line"),
                       (F.col("st.bcol") + F.octet_length("nm")).cast("int").alias("end_column"),
                       F.lit("regular").alias("type"))
-
-
-def balanced(s: DataFrame) -> DataFrame:
-    """E22 routing flag per Java file: braces/parens never negative and closed at
-    the end, and every string/char literal terminated (computed over the whole
-    token stream as window facts, read here from any kept row)."""
-    j = s.where(F.col("language") == "java")
-    return j.groupBy("file_path").agg(F.min(F.col("file_balanced").cast("int")).cast("boolean").alias("balanced"))

@@ -90,8 +90,10 @@ class Context:
                 j = max(i + 1, int(np.searchsorted(upto[ends - 1], before + STEP, side="right")))
                 part = b.slice(at[i], ends[j - 1] - at[i])
                 trivia, text = self._split(part)
-                yield self._files(part, trivia, text)
-                yield from self._tokens(part, trivia, text)
+                tokens, balanced = self._tokens(part, trivia, text)
+                yield self._files(part, trivia, text, balanced)
+                if tokens is not None:
+                    yield tokens
                 i = j
 
     def _split(self, b: pa.RecordBatch) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
@@ -111,18 +113,19 @@ class Context:
 
         return column([w[:e] for w, e in cut]), column([w[e:] for w, e in cut])
 
-    def _files(self, b: pa.RecordBatch, trivia: pa.DictionaryArray, text: pa.DictionaryArray) -> pa.RecordBatch:
-        """The files' rows: trivia (comments, white space) blanked to spaces, newlines kept."""
+    def _files(self, b: pa.RecordBatch, trivia: pa.DictionaryArray, text: pa.DictionaryArray, balanced: pa.Array) -> pa.RecordBatch:
+        """The files' rows: trivia (comments, white space) blanked to spaces, newlines kept,
+        and whether the path's Java tokens are balanced (null: there are none)."""
         blanked = pa.array([re.sub("[^\n]", " ", t) for t in trivia.dictionary.to_pylist()], pa.string())
         m = len(blanked)
         both = pa.concat_arrays([blanked, text.dictionary]).take(pa.array(np.stack([trivia.indices.to_numpy(), text.indices.to_numpy() + m], 1).ravel()))
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(2 * _sizes(b))], pa.int32()), both)
         masked = pc.if_else(b.column("pieces").is_valid(), pc.binary_join(lists, ""), pa.scalar(None, pa.string()))
-        held = {"file_path": b.column("file_path"), "language": b.column("language"), "content": b.column("content"), "masked": masked,
+        held = {"file_path": b.column("file_path"), "language": b.column("language"), "content": b.column("content"), "masked": masked, "file_balanced": balanced,
                 "idx": pa.array(np.full(len(b), -1), pa.int32())}
         return pa.RecordBatch.from_arrays([held[f.name] if f.name in held else pa.nulls(len(b), f.type) for f in self.schema], schema=self.schema)
 
-    def _tokens(self, b: pa.RecordBatch, trivia: pa.DictionaryArray, text: pa.DictionaryArray) -> Iterator[pa.RecordBatch]:
+    def _tokens(self, b: pa.RecordBatch, trivia: pa.DictionaryArray, text: pa.DictionaryArray) -> tuple[pa.RecordBatch | None, pa.Array]:
         sizes = _sizes(b)
         row = np.repeat(np.arange(len(b)), sizes)
         idx = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -133,7 +136,7 @@ class Context:
         if path.size > 1 and len(np.unique(path)) < len(path):               # a path's rows are one stream
             some = some[np.lexsort((idx[some], path[row[some]]))]
         if not len(some):
-            return
+            return None, pa.nulls(len(b), pa.bool_())
         row, idx, code, tcode = row[some], idx[some], code[some], tcode[some]
         n, here = len(some), np.arange(len(some))
         group = path[row]
@@ -358,7 +361,11 @@ class Context:
                **{f"t{i}": struct(type_of(f"t{i}"), where_read(f"t{i}", neighbour(i))) for i in (1, 2, 3)},
                "prev_end": struct(type_of("prev_end"), where_read("prev_end", prev)), "file_end": struct(type_of("file_end"), where_read("file_end", last)), "stmt": words_at(stmt[k]),
                "imp_grp": span(groups["import"][k]), "typ_grp": span(groups["type"][k]), "decl_start": struct(type_of("decl_start"), where_read("decl_start", decl))}
-        yield pa.RecordBatch.from_arrays([out[f.name] if f.name in out else pick(values[f.name][0], k, f.type) for f in self.schema], schema=self.schema)
+        java = np.flatnonzero(is_lang("java"))
+        fit = np.full(path.max() + 1, -1)
+        fit[group[java]] = balanced[java]
+        return (pa.RecordBatch.from_arrays([out[f.name] if f.name in out else pick(values[f.name][0], k, f.type) for f in self.schema], schema=self.schema),
+                pa.array(fit[path] == 1, mask=fit[path] < 0))
 
 
 def _sizes(b: pa.RecordBatch) -> np.ndarray:

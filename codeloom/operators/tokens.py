@@ -74,7 +74,8 @@ def token_table(files: DataFrame, num_partitions: int | None = None, rules=()) -
     and the last token), ``stmt`` and ``stmt_no`` (first token and number of the
     statement), ``imp_grp`` and ``typ_grp`` (the latest ``import ( … )`` and ``type
     ( … )`` group, Go) and ``decl_start`` (first token after the latest ``; { }``,
-    Java); ``files_masked`` has the content with trivia blanked beside it.  Both are
+    Java); ``files_masked`` has the content with trivia blanked and
+    ``file_balanced`` (E22, null without Java tokens) beside it.  Both are
     one written table, bucketed by ``file_path``.  ``rules`` (of language_rules) add
     languages."""
     from .language_rules import piece_pattern, trivia_pattern
@@ -94,7 +95,7 @@ def token_table(files: DataFrame, num_partitions: int | None = None, rules=()) -
     # tokens, and what needs the text reads the files' rows.
     rows = pieces.mapInArrow(context, SCHEMA).withColumn("is_token", F.col("idx") >= 0)
     t = materialize(rows, "tokens", "file_path", n, ("language", "is_token"))
-    return t.where("is_token").drop("content", "masked", "is_token"), t.where("not is_token").select("file_path", "language", "content", "masked")
+    return t.where("is_token").drop("content", "masked", "is_token"), t.where("not is_token").select("file_path", "language", "content", "masked", "file_balanced")
 
 
 def _struct(fields: list[str]) -> Column:

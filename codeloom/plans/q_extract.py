@@ -227,7 +227,8 @@ def code_analysis(spark, sf_dir):
     """The analysis table of the generated corpus (+ created_at for searches)."""
     files = code_files(spark, sf_dir)
     rec = AN.analyse(files.select("file_path", "language", "content"))
-    return rec.join(files.select("file_path", "created_at"), "file_path")
+    # a row for each file, however little room the table it is rendered from takes: never broadcast
+    return rec.join(files.select("file_path", "created_at").hint("merge"), "file_path")
 
 
 def build_analysis_table(spark, sf_dir):

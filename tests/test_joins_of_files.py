@@ -32,3 +32,15 @@ def test_definitions_are_made_once(spark, tmp_path):
     spark.range(9).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
     plan = _plan(q_extract.py_classes(spark, str(tmp_path)))
     assert "py_defs" in plan and "codeloom_tokens" not in plan
+
+
+def test_records_meet_their_files_without_a_broadcast(spark, tmp_path):
+    spark.range(9).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    plan = _plan(q_extract.code_analysis(spark, str(tmp_path)))
+    assert "Broadcast" not in plan and "min(cast(file_balanced" not in plan      # the flag comes with the file, not from its tokens
+
+
+def test_a_files_row_tells_whether_it_is_balanced(spark):
+    rows = [("a.java", "java", "class A { int f() { return 1; } }"), ("b.java", "java", "class B { int f( { return 1; } }"), ("c.java", "java", "// nothing"), ("d.go", "go", "func f() {}")]
+    _, fm = token_table(files_df(spark, rows), 2)
+    assert {r.file_path: r.file_balanced for r in fm.collect()} == {"a.java": True, "b.java": False, "c.java": None, "d.go": None}
