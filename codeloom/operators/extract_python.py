@@ -3,9 +3,9 @@
 Works on the significant-token rows of :mod:`codeloom.operators.tokens`.
 Block ends come from indentation: the block of a header with indent I ends
 before the next logical line with indent <= I.  That "next smaller-or-equal"
-lookup is a window per ``(file, level)``: each logical line is a closer for
-every header level >= its indent (levels = the distinct header indents of the
-file, a handful), and a header takes the nearest closer after it.
+lookup is a window per ``(file, level)``: the first of a run of logical lines is a
+closer for every header level >= its indent (levels = the distinct header indents
+of the file, a handful), and a header takes the nearest closer after it.
 """
 
 from __future__ import annotations
@@ -35,11 +35,18 @@ def headers(p: DataFrame, defs: tuple[str, ...] = DEFS, classes: tuple[str, ...]
     ll = ll.select("*",
                    F.lag("text").over(wl).alias("prev_ll_text"),
                    F.lag("indent").over(wl).alias("prev_ll_indent"),
+                   F.lag("htype").over(wl).isNotNull().alias("after_header"), F.lag("idx").over(wl).alias("prev_ll_idx"),
                    F.lead("indent").over(wl).alias("next_ll_indent"),
                    F.collect_set(F.when(F.col("htype").isNotNull(), F.col("indent")))
                     .over(wl.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("levels"))
-    closers = ll.select("file_path", "idx", F.explode(F.filter("levels", lambda v: v >= F.col("indent"))).alias("lvl"),
-                        F.lit(0).alias("is_hdr"), "prev_end")
+    # Of a run of lines that could close a level the first does: the line before it is
+    # deeper, or a header of that level.  (Where a path has several rows, so that token
+    # numbers repeat, every line counts.)
+    repeats = F.max(F.col("idx") == F.col("prev_ll_idx")).over(wl.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = lambda v: ((v < F.col("prev_ll_indent")) | ((v == F.col("prev_ll_indent")) & F.col("after_header"))
+                       | F.coalesce("repeats", F.lit(False)))
+    closers = ll.withColumn("repeats", repeats).select(
+        "file_path", "idx", F.explode(F.filter("levels", lambda v: (v >= F.col("indent")) & first(v))).alias("lvl"), F.lit(0).alias("is_hdr"), "prev_end")
     # Block start = token after the first bracket-depth-0 ':' following the
     # header: a subset window over headers and depth-0 colons only.
     colon = (F.col("text") == ":") & (F.col("adepth") == 0)

@@ -1,5 +1,7 @@
 """FIXTURES §2 mutations: edges of the extraction semantics."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from codeloom.operators.analysis import analyse
@@ -118,3 +120,19 @@ def test_enclosing_function_matches_brute_force_on_nested_code(spark):
         inside = [s for s in spans if s.start_line <= n <= s.end_line]
         exp = max(inside, key=lambda s: s.start_line).name if inside else None
         assert got[f"a{n}"] == exp
+
+
+def test_a_run_of_lines_closes_a_block_once(spark):
+    """The first line that is not deeper ends a block, and only that line is looked at."""
+    from codeloom.operators import extract_python as XP
+    from codeloom.operators.tokens import token_table
+    body = "".join(f"    x{i} = {i}\n" for i in range(60))
+    src = f"def f():\n{body}    def g():\n        y = 1\n        z = 2\n{body}class A:\n    def m(self):\n        pass\n    def n(self): pass\n    v = 1\nw = 2\nq = 3\n"
+    s, fm = token_table(files_df(spark, [("a.py", "python", src)]), 2)
+    d = XP.definitions(XP.prepare(s), fm)
+    line = lambda text: src[:src.index(text)].count("\n")
+    assert {r["name"]: r.blk_end_line for r in d.collect()} == {
+        "f": line("class A") - 1, "g": line("        z"), "A": line("    v = 1"), "m": line("        pass"), "n": line("    def n")}
+    plan = re.sub(r"#\d+L?", "", d._jdf.queryExecution().executedPlan().toString())
+    closers = [x for x in plan.splitlines() if "Generate explode(filter(levels" in x and "prev_ll_indent" in x]
+    assert closers                                             # by the line before, so that a run gives one row for each level
